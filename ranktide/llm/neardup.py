@@ -149,10 +149,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     kind = docs.schema["doc_id"].dataType.simpleString()
     classes = written(docs.filter("text is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "join-classes")
     labels = docs.filter("text is not null").select("node", "text").mapInArrow(_labels(depth_for(threshold, recall)), "node string, keys array<bigint>")
-    seen = written(labels.select("node", F.explode("keys").alias("key")).distinct().groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n"), F.max("node").alias("top")), "join-trie").filter("n > 1")
+    keyed = written(labels.dropDuplicates(["node"]), "join-labels").select(F.col("node").alias("a"), F.explode("keys").alias("key"))
+    tries = keyed.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1")
     # meetings: every class of a trie node with the node's least class
-    keyed = labels.select(F.col("node").alias("a"), F.explode("keys").alias("key"))
-    meet = keyed.join(seen.select("key", "b"), "key").select("a", "b").distinct()
+    meet = keyed.join(tries.select("key", "b"), "key").select("a", "b").distinct()
     hoods = components(meet)
     big = hoods.groupBy("root").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
     hoods = written(hoods.join(big, "root").select("node", F.col("root").alias("hood"), "sides"), "join-hoods")

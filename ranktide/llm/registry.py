@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ranktide.llm import language, licences, mixing, secrets
+from ranktide.llm import language, licences, lm, mixing, neardup, secrets
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op2_secrets": secrets.op2_secrets,
+    "op3_lm_score": lm.op3_lm_score,
     "op7_licence_scan": licences.op7_licence_scan,
+    "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL = {"op10_mixing": mixing.SQL}
