@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ranktide.llm import language, licences, lm, mixing, neardup, secrets
+from ranktide.llm import decontam, language, licences, lm, mixing, neardup, quality, secrets
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op2_secrets": secrets.op2_secrets,
     "op3_lm_score": lm.op3_lm_score,
+    "op4_decontamination": decontam.op4_decontamination,
+    "op6_quality": quality.op6_quality,
     "op7_licence_scan": licences.op7_licence_scan,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLE_SQL = {"op10_mixing": mixing.SQL}
+ORACLE_SQL = {"op6_quality": quality.SQL, "op10_mixing": mixing.SQL}
