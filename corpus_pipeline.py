@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranktide.llm import language
+from ranktide.llm import decontam, language, lines, mixing, neardup
 from ranktide.llm.common import written
 
 STAGES = [
     ("language_id", language.keep_known),
+    ("line_dedup", lines.keep_first_lines),
+    ("near_duplicates", neardup.keep_one),
+    ("decontamination", decontam.drop_leaks),
+    ("mixing", mixing.draw),
 ]
 
 #: Several stages cannot be said in SQL; tests hold each against a brute-force version.

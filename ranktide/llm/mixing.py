@@ -86,9 +86,9 @@ def copies_by_class(classes: DataFrame, goals: DataFrame, max_repeats: int) -> D
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size) -> the same with source_size, target and copies (0 to max_repeats)."""
+    """(doc_id, source, size, ...) -> the same with source_size, target and copies (0 to max_repeats); columns of those names are replaced."""
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("bigint") + 0.5) / 4503599627370496.0
-    d = docs.select("doc_id", "source", "size", F.length(F.bin("size")).alias("w"), u.alias("u"))
+    d = docs.select("doc_id", "source", "size", F.struct(*docs.columns).alias("_row"), F.length(F.bin("size")).alias("w"), u.alias("u"))
     classes = d.groupBy("source", "w").agg(F.sum("size").alias("words"))
     sizes = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
     plan = written(copies_by_class(classes, targets(sizes, weights, share, max_repeats), max_repeats), "mix-plan")
@@ -106,7 +106,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     sure = sure.withColumn("more", F.when(F.col("rank").isNotNull() & (F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin"))), 1).otherwise(0))
     upto = F.col("start") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     edge = d.filter(at).withColumn("upto", upto).withColumn("more", F.when(2.0 * F.col("upto") - F.col("size") <= 2.0 * F.col("quota"), 1).otherwise(0)).drop("upto")
-    return sure.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("more")).alias("copies"))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("source_size", "target", "copies")]
+    return sure.unionByName(edge).select(*kept, "source_size", "target", (F.col("whole") + F.col("more")).alias("copies"))
 
 
 def _small(plan: DataFrame, rows: int = 100_000) -> bool:
@@ -123,6 +124,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(d).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def draw(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: a row for each copy that the mix takes, numbered by ``copy``."""
+    mixed = mix(with_size(docs)).filter("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns, "copy")
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),

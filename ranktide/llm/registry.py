@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from ranktide.llm import decontam, language, licences, lm, mixing, neardup, quality, secrets
+from ranktide.llm import decontam, language, licences, lines, lm, mixing, neardup, privacy, quality, secrets
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op2_secrets": secrets.op2_secrets,
     "op3_lm_score": lm.op3_lm_score,
     "op4_decontamination": decontam.op4_decontamination,
+    "op5_surrogates": privacy.op5_surrogates,
     "op6_quality": quality.op6_quality,
     "op7_licence_scan": licences.op7_licence_scan,
+    "op8_line_dedup": lines.op8_line_dedup,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_mixing": mixing.op10_mixing,
 }
