@@ -20,9 +20,9 @@ def auroc(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z") -
     """keys, auroc by the rank sum of the larger of two target values; null for other targets. Independent of ``rga`` on purpose."""
     ends = df.groupBy(*keys).agg(F.max(y).alias("_hi"), F.count_distinct(y).alias("_levels"))
     d = on(df, ends, keys).withColumn("_p", F.when(F.col(y) == F.col("_hi"), 1.0).otherwise(0.0))
-    g = by_value(d, keys, z, {"p": F.col("_p")}).groupBy(*keys).agg(F.sum(F.col("p") * F.col("rank")).alias("s"), F.sum("p").alias("a"), F.sum("n").alias("n"))
+    g = by_value(d, keys, z, {"_pos": F.col("_p")}).groupBy(*keys).agg(F.sum(F.col("_pos") * F.col("rank")).alias("_s"), F.sum("_pos").alias("_a"), F.sum("n").alias("_m"))
     g = on(g, ends, keys)
-    value = F.try_divide(F.col("s") - F.col("a") * (F.col("a") + 1) / 2.0, F.col("a") * (F.col("n") - F.col("a")))
+    value = F.try_divide(F.col("_s") - F.col("_a") * (F.col("_a") + 1) / 2.0, F.col("_a") * (F.col("_m") - F.col("_a")))
     return g.select(*keys, F.when(F.col("_levels") == 2, value).alias("auroc"))
 
 
@@ -54,14 +54,14 @@ def kendall(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z")
     both = long.select(*keys, "_level", y, z, "m", F.lit(0.0).alias("_m2")).unionByName(on(levels_pairs(c, keys, y), other, [*keys, "_level"]).select(*keys, "_level", y, z, F.lit(0.0).alias("m"), "_m2"))
     w = Window.partitionBy(*keys, "_level", y).orderBy(z)
     both = both.withColumn("_below", F.sum("_m2").over(w.rangeBetween(Window.unboundedPreceding, 0)) - F.sum("_m2").over(Window.partitionBy(*keys, "_level", y, z))).withColumn("_tie", F.sum("_m2").over(Window.partitionBy(*keys, "_level", y, z))).withColumn("_all", F.sum("_m2").over(Window.partitionBy(*keys, "_level", y)))
-    s = both.groupBy(*keys).agg(F.sum(F.col("m") * (F.col("_below") - (F.col("_all") - F.col("_below") - F.col("_tie")))).alias("s"))
-    t = c.groupBy(*keys).agg(F.sum("m").alias("n"))
+    s = both.groupBy(*keys).agg(F.sum(F.col("m") * (F.col("_below") - (F.col("_all") - F.col("_below") - F.col("_tie")))).alias("_s"))
+    t = c.groupBy(*keys).agg(F.sum("m").alias("_n"))
     for v in (y, z):
         ties = c.groupBy(*keys, v).agg(F.sum("m").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2.0).alias(f"_t_{v}"))
         t = on(t, ties, keys)
-    pairs = F.col("n") * (F.col("n") - 1) / 2.0
+    pairs = F.col("_n") * (F.col("_n") - 1) / 2.0
     r = on(s, t, keys)
-    return r.select(*keys, F.try_divide(F.col("s"), F.sqrt((pairs - F.col(f"_t_{y}")) * (pairs - F.col(f"_t_{z}")))).alias("kendall"))
+    return r.select(*keys, F.try_divide(F.col("_s"), F.sqrt((pairs - F.col(f"_t_{y}")) * (pairs - F.col(f"_t_{z}")))).alias("kendall"))
 
 
 def levels_pairs(c: DataFrame, keys: Sequence[str], y: str) -> DataFrame:

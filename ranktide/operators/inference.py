@@ -27,7 +27,7 @@ def _both(df: DataFrame, keys: Sequence[str], y: str, z: str) -> DataFrame:
     """Rows with n, mean, sum of y; rank, tie sum and sum above by z and by y; products of y and rank."""
     d = df.withColumns({y: F.col(y).cast("double"), z: F.col(z).cast("double")})
     for v, s in ((z, "z"), (y, "y")):
-        g = by_value(d, keys, v, {"p": F.col(y)}).select(*keys, F.col(v).alias("_v"), F.col("rank").alias(f"_r{s}"), F.col("p").alias(f"_u{s}"), F.col("p_upto").alias(f"_c{s}"))
+        g = by_value(d, keys, v, {"_p": F.col(y)}).select(*keys, F.col(v).alias("_v"), F.col("rank").alias(f"_r{s}"), F.col("_p").alias(f"_u{s}"), F.col("_p_upto").alias(f"_c{s}"))
         same = F.col(v) == F.col("_v")
         g = g.withColumnsRenamed({k: f"_g{i}" for i, k in enumerate(keys)})
         for i, k in enumerate(keys):
@@ -183,11 +183,11 @@ def test(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", al
     d = _both(df, keys, y, z)
     mean_rank = (F.col("_n") + 1) / 2.0
     s = d.groupBy(*keys).agg(F.var_pop(y).alias("_vy"), F.sum(F.pow(F.col("_rz") - mean_rank, F.lit(2.0))).alias("_rr"), F.sum(F.col(y) * (F.col("_ry") - mean_rank)).alias("_den"), F.count("*").alias("_m"))
-    r = on(point, s, keys).withColumn("sd", F.when(F.col("_m") > 1, F.sqrt(F.col("_vy") * F.col("_m") * F.col("_rr") / (F.col("_m") - 1)) / (2.0 * F.nullif(F.abs("_den"), F.lit(0.0)))))
+    r = on(point, s, keys).withColumn("_sd", F.when(F.col("_m") > 1, F.sqrt(F.col("_vy") * F.col("_m") * F.col("_rr") / (F.col("_m") - 1)) / (2.0 * F.nullif(F.abs("_den"), F.lit(0.0)))))
     if n_permutations is None:
-        stat = F.when(F.col("sd") > 0, F.try_divide(F.col("rga") - 0.5, F.col("sd"))).when(F.col("rga").isNotNull(), 0.0)
+        stat = F.when(F.col("_sd") > 0, F.try_divide(F.col("rga") - 0.5, F.col("_sd"))).when(F.col("rga").isNotNull(), 0.0)
         tail = {"greater": gauss.upper(stat), "less": 1.0 - gauss.upper(stat), "two-sided": gauss.two_sided(stat)}[alternative]
-        return r.select(*keys, "n", "rga", stat.alias("statistic"), F.when(F.col("sd") > 0, tail).when(F.col("rga").isNotNull(), 1.0).alias("p_value"))
+        return r.select(*keys, "n", "rga", stat.alias("statistic"), F.when(F.col("_sd") > 0, tail).when(F.col("rga").isNotNull(), 1.0).alias("p_value"))
     count(n_permutations, "n_permutations", 1)
     reps = d.select(*keys, row_id, y, "_rz", "_n").withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
     by = Window.partitionBy(*keys, "_rep")

@@ -44,13 +44,13 @@ def rga(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", wei
     w = F.col("_w")
 
     def half(value: str) -> DataFrame:
-        g = by_value(d, keys, value, {"c": F.col("_c"), "m": F.lit(1.0)}, weight=w)
-        return g.groupBy(*keys).agg(F.sum(F.col("c") * F.col("rank")).alias("s"), F.sum("m").alias("n"), F.max(F.abs(F.col("c") / F.col("m"))).alias("far"))
+        g = by_value(d, keys, value, {"_sum": F.col("_c"), "_rows": F.lit(1.0)}, weight=w)
+        return g.groupBy(*keys).agg(F.sum(F.col("_sum") * F.col("rank")).alias("_s"), F.sum("_rows").alias("n"), F.max(F.abs(F.col("_sum") / F.col("_rows"))).alias("_far"))
 
     num, den = half(z), half(y)
-    r = on(num.withColumnsRenamed({"s": "num"}).drop("far"), den.select(*keys, F.col("s").alias("den"), "far"), keys)
-    tiny = F.abs("den") <= F.greatest(F.lit(1e-12), F.col("far") * F.col("n") * F.col("n") * 1e-15)
-    value = F.when(~tiny & (F.col("n") >= least), 0.5 + F.try_divide(F.col("num"), 2.0 * F.col("den")))
+    r = on(num.withColumnRenamed("_s", "_num").drop("_far"), den.select(*keys, F.col("_s").alias("_den"), "_far"), keys)
+    tiny = F.abs("_den") <= F.greatest(F.lit(1e-12), F.col("_far") * F.col("n") * F.col("n") * 1e-15)
+    value = F.when(~tiny & (F.col("n") >= least), 0.5 + F.try_divide(F.col("_num"), 2.0 * F.col("_den")))
     note = F.when(F.col("n") < least, NOTE_FEW).when(tiny, NOTE_CONSTANT).otherwise("")
     return r.select(*keys, F.col("n").cast("bigint").alias("n"), value.alias("rga"), (2.0 * value - 1.0).alias("gini"), note.alias("note"))
 

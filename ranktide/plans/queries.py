@@ -215,6 +215,6 @@ query("cohort_p_value", CUSTOMERS, None)(lambda d: cohorts.search_p_value(d, ["g
 query("score_sql", ORDERS, f"SELECT row_id, {R('-(' + _m + ')', 'z')} FROM {O}")(lambda d: score(d.drop("z"), MODEL, "z", greater_is_better=False).select("row_id", "z"))
 query("facade_rge", ORDERS, "SELECT variable, rge FROM (" + _one("a", _avg, FEATURES) + ")")(lambda d: facade.compute_rge_values(d, d, MODEL, FEATURES))
 query("facade_rgr", ORDERS, "SELECT variable, rgr FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, {R('rga', 'rgr')} FROM {q.rga(vs(swapped(c, 0.05)))}" for c in FEATURES) + ")")(lambda d: facade.compute_rgr_values(d, MODEL, FEATURES))
-EVENTS = "SELECT ts, event_type, value AS y, FLOOR(value / 5.0E0) + user_id % 3 AS z FROM events"
+EVENTS = "SELECT ts, event_type, value AS y, CAST(FLOOR(value / 5.0E0) AS DOUBLE) + user_id % 3 AS z FROM events"
 _ev = f"(SELECT date_trunc('day', ts) AS start, event_type, y, z FROM ({EVENTS}))"
 query("monitor_daily", EVENTS, f"SELECT strftime(start, '%Y-%m-%d') AS day, event_type, n, {R('rga', 'rga')} FROM {q.rga(_ev, ['start', 'event_type'])}")(lambda d: monitor.measured(monitor.tie_counts(d, "ts", "y", "z", ["event_type"]), ["event_type"]).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "rga"))

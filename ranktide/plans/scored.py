@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 ORDERS = """SELECT o_orderkey AS row_id, o_orderpriority AS g, o_orderstatus AS s, o_totalprice AS y,
   CASE WHEN o_totalprice + 1500.0E0 * (o_orderkey % 41) > 280000.0E0 THEN 1.0E0 ELSE 0.0E0 END AS yb,
   o_totalprice + 2000.0E0 * (o_custkey % 97) AS z, o_totalprice + 4000.0E0 * (o_orderkey % 53) AS zb,
-  FLOOR(o_totalprice / 20000.0E0) AS t, o_totalprice AS f1, CAST(o_custkey % 97 AS DOUBLE) AS f2, CAST(o_orderkey % 53 AS DOUBLE) AS f3,
+  CAST(FLOOR(o_totalprice / 20000.0E0) AS DOUBLE) AS t, o_totalprice AS f1, CAST(o_custkey % 97 AS DOUBLE) AS f2, CAST(o_orderkey % 53 AS DOUBLE) AS f3,
   1.0E0 + (o_custkey % 3) AS w, CASE WHEN o_orderstatus = 'F' THEN 1.0E0 ELSE 0.0E0 END AS d1, CASE WHEN o_orderstatus = 'O' THEN 1.0E0 ELSE 0.0E0 END AS d2
   FROM orders"""
 #: A small one, for replicates.
