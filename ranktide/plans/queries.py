@@ -113,7 +113,7 @@ _ovr = f"SELECT class, CAST(m AS BIGINT) AS n, {R('rga', 'rga')} FROM {q.rga(_ov
 query("one_vs_rest", ORDERS, f"{_ovr} UNION ALL SELECT NULL, CAST(SUM(n) AS BIGINT), {R('AVG(r)', 'rga')} FROM (SELECT n, rga AS r FROM ({_ovr.replace('ROUND(rga, 6) + 0.0E0', 'rga')}))")(
     lambda d: accuracy.one_vs_rest(d.withColumn("proba", F.array(*[F.when(F.col("g") == c, 0.5).otherwise(0.0) + ((F.col("row_id") + i * 7) % 13) / 13.0 for i, c in enumerate(_cls)])), "g", "proba", _cls).drop("note"))
 _models = f"(SELECT row_id, y, 'z' AS model, z FROM {O} UNION ALL SELECT row_id, y, 'zb', zb FROM {O} UNION ALL SELECT row_id, y, 'f2', f2 FROM {O})"
-query("compare_models", ORDERS, f"SELECT model, {R('rga', 'rga')}, {R('se', 'standard_error')}, ROW_NUMBER() OVER (ORDER BY rga DESC) AS place, {R(f'CASE WHEN rga > lo THEN rga - lo END', 'difference')} FROM {q.estimate(_models, ['model'])} CROSS JOIN (SELECT MIN(rga) AS lo FROM {q.rga(_models, ['model'])})")(lambda d: accuracy.compare_models(d, "y", ["z", "zb", "f2"]).select("model", "rga", "standard_error", "place", "difference"))
+query("compare_models", ORDERS, f"SELECT model, {R('rga', 'rga')}, {R('se', 'standard_error')}, ROW_NUMBER() OVER (ORDER BY rga DESC) AS place, {R(f'CASE WHEN rga > lo + 1E-9 THEN rga - lo END', 'difference')} FROM {q.estimate(_models, ['model'])} CROSS JOIN (SELECT MIN(rga) AS lo FROM {q.rga(_models, ['model'])})")(lambda d: accuracy.compare_models(d, "y", ["z", "zb", "f2"]).select("model", "rga", "standard_error", "place", "difference"))
 query("by_segment", ORDERS, f"SELECT g, n, {R('rga', 'rga')}, {R('se', 'standard_error')}, n >= 50 AS reliable FROM {q.estimate(O, ['g'], 'yb', 'zb')}")(lambda d: accuracy.by_segment(d, "g", "yb", "zb").select("g", "n", "rga", "standard_error", "reliable"))
 _fr = [0.0, 0.01, 0.02, 0.05, 0.1]
 _cont = f"(SELECT fraction, rep, z, y + CASE WHEN rn <= ROUND_EVEN(fraction * n, 0) THEN CASE WHEN {q.uniform(str(SEED), chr(39) + 'sign' + chr(39), 'rep', 'row_id')} < 0.5E0 THEN -1.0E0 ELSE 1.0E0 END * 50.0E0 * sd ELSE 0.0E0 END AS y2 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY fraction, rep ORDER BY {q.uniform(str(SEED), chr(39) + 'pick' + chr(39), 'rep', 'row_id')}, row_id) AS rn FROM {C} CROSS JOIN (SELECT COUNT(*) AS n, STDDEV_POP(y) AS sd FROM {C}) CROSS JOIN (SELECT range AS rep FROM range(5)) CROSS JOIN (VALUES {', '.join(f'({f!r}E0)' for f in _fr)}) v(fraction)))"
@@ -151,7 +151,7 @@ query("rgf", ORDERS, f"SELECT n, {R('rga', 'rgf')}, {R('1 - rga', 'rge')} FROM {
 # --- robustness
 def swapped(c: str, m: float, rel: str = O) -> str:
     """rel's rows with column c tail-swapped."""
-    return f"(SELECT a.* REPLACE (COALESCE(b.x, a.{c}) AS {c}) FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {c}, row_id) AS k, COUNT(*) OVER () AS n FROM {rel}) a LEFT JOIN (SELECT {c} AS x, ROW_NUMBER() OVER (ORDER BY {c}, row_id) AS k FROM {rel}) b ON b.k = a.n + 1 - a.k AND (a.k <= LEAST(CEIL({m!r}E0 * a.n), a.n - CEIL({1 - m!r}E0 * a.n)) OR a.k > a.n - LEAST(CEIL({m!r}E0 * a.n), a.n - CEIL({1 - m!r}E0 * a.n))))"
+    return f"(SELECT a.* EXCLUDE (k, n) REPLACE (COALESCE(b.x, a.{c}) AS {c}) FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {c}, row_id) AS k, COUNT(*) OVER () AS n FROM {rel}) a LEFT JOIN (SELECT {c} AS x, ROW_NUMBER() OVER (ORDER BY {c}, row_id) AS k FROM {rel}) b ON b.k = a.n + 1 - a.k AND (a.k <= LEAST(CEIL({m!r}E0 * a.n), a.n - CEIL({1 - m!r}E0 * a.n)) OR a.k > a.n - LEAST(CEIL({m!r}E0 * a.n), a.n - CEIL({1 - m!r}E0 * a.n))))"
 
 
 def vs(changed: str, rel: str = O) -> str:
