@@ -27,6 +27,8 @@ def bin_columns(df: DataFrame, features: Sequence[str], n_bins: int = 4) -> list
     numeric = [c for c in names if is_numeric(df, c) or not odd[c]]
     qs = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
     facts = df.agg(*[F.struct(F.percentile(num[c], qs).alias("q"), F.count_distinct(num[c]).alias("k")).alias(c) for c in numeric]).first() if numeric else None
+    few = [c for c in numeric if facts[c]["k"] <= n_bins]
+    levels = df.agg(*[F.sort_array(F.collect_set(num[c])).alias(c) for c in few]).first() if few else None  # n_bins values at most
     out = []
     for c in names:
         missing = F.lit(f"{c} is missing")
@@ -34,8 +36,11 @@ def bin_columns(df: DataFrame, features: Sequence[str], n_bins: int = 4) -> list
             out.append((c, F.when(F.col(c).isNull(), missing).otherwise(F.concat(F.lit(f"{c} == '"), F.col(c).cast("string"), F.lit("'")))))
             continue
         x = num[c]
-        if facts[c]["k"] <= n_bins:
-            out.append((c, F.when(x.isNull(), missing).otherwise(F.concat(F.lit(f"{c} == "), F.format_string("%.6g", x)))))
+        if c in few:
+            label = F.when(x.isNull(), missing)
+            for v in levels[c]:
+                label = label.when(x == v, f"{c} == {v:g}")
+            out.append((c, label))
             continue
         edges = sorted(set(facts[c]["q"]))
         label = F.when(x.isNull(), missing)
@@ -78,8 +83,10 @@ def search(df: DataFrame, features: Sequence[str], y: str = "y", z: str = "z", n
 
 def worst(df: DataFrame, features: Sequence[str], y: str = "y", z: str = "z", n_bins: int = 4, max_depth: int = 2, min_size: int = 100, top: int = 10, level: float = 0.95, row_id: str = "row_id") -> DataFrame:
     """The ``top`` cohorts of the search, lowest first, with standard_error, ci_low, ci_high."""
-    best = search(df, features, y, z, n_bins, max_depth, min_size, row_id).orderBy("rga", "label").limit(top)
-    m = memberships(df, features, n_bins, max_depth, min_size, row_id).withColumnRenamed(row_id, "_id").join(best.select(F.col("label").alias("_label")), F.col("label") == F.col("_label"), "left_semi")
+    found = search(df, features, y, z, n_bins, max_depth, min_size, row_id).orderBy("rga", "label").limit(top)
+    rows = found.collect()  # ``top`` rows
+    best = df.sparkSession.createDataFrame(rows, found.schema)
+    m = memberships(df, features, n_bins, max_depth, min_size, row_id).withColumnRenamed(row_id, "_id").filter(F.col("label").isin([r["label"] for r in rows]))
     long = df.select(row_id, y, z).join(m, F.col(row_id) == F.col("_id")).select(row_id, "label", y, z)
     e = estimate(long, ["label"], y, z, level=level).select("label", "standard_error", "ci_low", "ci_high")
     return on(best, e, ["label"], "left")
