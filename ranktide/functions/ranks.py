@@ -1,9 +1,11 @@
 """Ranks, cumulative sums and tie sums.
 
 Two ways to the same numbers.  ``by_value`` first adds up ties, so that a row of the
-result stands for all rows of a key with one value; a key is cut into ranges of the
-value, sums run inside a range, and the totals of the ranges before it are added.  No task
-holds a whole key, even if one key has all rows.  ``window_*`` are plain window
+result stands for all rows of a key with one value.  If the tables that are read are
+larger than ``WHOLE_KEY_BYTES`` by Spark's own statistics, a key is cut into ranges of the
+value, sums run inside a range, and the totals of the ranges before it are added: no task
+holds a whole key, even if one key has all rows.  Below that, a key is summed in one window,
+which saves a pass; both give the same numbers.  ``window_*`` are plain window
 columns for callers who know that their keys are small.
 """
 
@@ -16,10 +18,29 @@ from pyspark.sql import functions as F
 
 #: Ranges that a key is cut into.
 RANGES = 32
+#: Size of the tables read up to which a key may be summed by one task.
+WHOLE_KEY_BYTES = 256 << 20
 
 
-def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], weight: Column | None = None, ranges: int = RANGES) -> DataFrame:
+def read_bytes(df: DataFrame) -> int:
+    """Size of all tables that the frame reads, as the optimizer estimates it."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return total
+
+
+def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], weight: Column | None = None, ranges: int | None = None) -> DataFrame:
     """keys, value, n (weight of the ties), before (weight below them), rank (their mean rank), and for each sum its tie total and ``<name>_upto`` (total of values up to this one)."""
+    if ranges is None:
+        ranges = RANGES if read_bytes(df) > WHOLE_KEY_BYTES else 1
+    if ranges == 1:
+        g = df.groupBy(*keys, value).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+        upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        g = g.withColumns({f"{c}_upto": F.sum(c).over(upto) for c in ("n", *sums)})
+        g = g.withColumn("before", F.col("n_upto") - F.col("n")).withColumn("rank", F.col("before") + (F.col("n") + 1.0) / 2.0)
+        return g.select(*keys, value, "n", "before", "rank", *sums, *[f"{c}_upto" for c in sums])
     # cut points may be approximate: they balance the work and change no result
     cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
     points = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")

@@ -140,8 +140,8 @@ def contamination(df: DataFrame, y: str = "y", z: str = "z", row_id: str = "row_
         from ranktide.errors import TooFewRows
 
         raise TooFewRows(f"{n} rows; at least 10 are needed")
-    spec = df.sparkSession.createDataFrame([(float(f), int(round(f * n))) for f in fractions], "fraction double, take bigint")
-    long = df.select(row_id, y, z).crossJoin(F.broadcast(s)).crossJoin(F.broadcast(spec)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
+    spec = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(int(round(f * n))).alias("take")) for f in fractions])
+    long = df.select(row_id, y, z, F.explode(spec).alias("_f")).select(row_id, y, z, "_f.fraction", "_f.take").crossJoin(F.broadcast(s)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
     order = Window.partitionBy("fraction", "rep").orderBy(uniform(seed, "pick", F.col("rep"), F.col(row_id)), row_id)
     shift = F.when(F.row_number().over(order) <= F.col("take"), F.when(uniform(seed, "sign", F.col("rep"), F.col(row_id)) < 0.5, -1.0).otherwise(1.0) * magnitude * F.col("_sd")).otherwise(0.0)
     long = long.withColumn("y2", F.col(y) + shift)
