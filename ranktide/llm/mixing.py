@@ -78,7 +78,8 @@ def copies_by_class(classes: DataFrame, goals: DataFrame, max_repeats: int) -> D
     })
     c = c.withColumn("lam", F.when(F.col("left") > 0, (F.col("target") - F.col("full")) / F.col("left")))
     c = c.withColumn("lam", F.max_by("lam", F.when(F.col("lam") * F.col("w") < max_repeats, F.col("w"))).over(every))
-    e = F.coalesce(F.least(F.lit(float(max_repeats)), F.greatest(F.lit(0.0), F.col("lam") * F.col("w"))), F.lit(float(max_repeats)))
+    # no open class: the source is taken whole, as often as may be
+    e = F.when(F.col("lam").isNull(), F.lit(float(max_repeats))).otherwise(F.least(F.lit(float(max_repeats)), F.greatest(F.lit(0.0), F.col("lam") * F.col("w"))))
     e = F.when(F.col("target") > 0, e).otherwise(0.0)
     c = c.withColumn("e", e).withColumn("whole", F.floor("e")).withColumn("p", F.col("e") - F.floor("e"))
     c = c.withColumn("quota", F.col("target") - F.sum(F.col("whole") * F.col("words")).over(every))
@@ -156,7 +157,7 @@ c1 AS (
   WINDOW b AS (PARTITION BY c.source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c2 AS (SELECT *, CASE WHEN leftw > 0 THEN (target - fullw) / leftw END AS lam0 FROM c1),
 c3 AS (SELECT *, max_by(lam0, CASE WHEN lam0 * w < 2 THEN w END) OVER (PARTITION BY source) AS lam FROM c2),
-c4 AS (SELECT *, CASE WHEN target > 0 THEN coalesce(least(2.0E0, greatest(0.0E0, lam * w)), 2.0E0) ELSE 0.0E0 END AS e FROM c3),
+c4 AS (SELECT *, CASE WHEN target > 0 THEN CASE WHEN lam IS NULL THEN 2.0E0 ELSE least(2.0E0, greatest(0.0E0, lam * w)) END ELSE 0.0E0 END AS e FROM c3),
 c5 AS (SELECT *, floor(e) AS whole, e - floor(e) AS p, target - sum(floor(e) * words) OVER (PARTITION BY source) AS quota FROM c4),
 r AS (
   SELECT k.*, source_size, target, whole, p, quota, CASE WHEN p > 0 THEN (u / (1.0E0 - u)) / (p / (1.0E0 - p)) END AS rk
