@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktide.llm.common import documents, fold
+from ranktide.llm.common import documents, fold, written
 
 #: Number of hashed features of each n-gram length.
 WIDTHS = (1 << 12, 1 << 13, 1 << 14)
 DIM = sum(WIDTHS)
 PER_LANGUAGE = 1500
 CENTROIDS = 4
+#: Up to so many labels, their counts are sent to every task.
+LANGUAGES = 10_000
 #: A text is rejected below this share of its centroid's lowest usual cosine.
 SLACK = 0.25
 UND = "und"
@@ -107,7 +109,9 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CEN
     of the language), and never more than twice ``per_language``.
     """
     train = train.filter("text is not null and lang is not null")
-    per = train.groupBy("lang").count().withColumnRenamed("lang", "s_lang")
+    per = written(train.groupBy("lang").count().withColumnRenamed("lang", "s_lang"), "lang-counts")
+    if per.count() <= LANGUAGES:  # so many rows at most go to every task, and the texts stay where they are
+        per = F.broadcast(per)
     df, n = document_frequencies(train)
     idf = np.log((1.0 + n) / (1.0 + df)).astype(np.float32)
     u = F.pmod(F.xxhash64(F.lit(7), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
