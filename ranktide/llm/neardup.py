@@ -74,12 +74,12 @@ def _labels(depth: int):
     def keys(s: np.ndarray) -> np.ndarray:
         """One hash of the label's prefix for each tree."""
         low, high = s.astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32)
-        sig = np.empty(TREES * depth, dtype=np.uint32)
-        for k in range(TREES * depth):
-            x = low * mul[k]
-            x ^= high + add[k]
-            x *= mul[k]
-            sig[k] = x.min()
+        sig = np.full(TREES * depth, 2**32 - 1, dtype=np.uint32)
+        for a in range(0, len(s), 1024):  # all hash functions at once over shingles that fit a cache
+            x = low[None, a : a + 1024] * mul[:, None]
+            x ^= high[None, a : a + 1024] + add[:, None]
+            x *= mul[:, None]
+            np.minimum(sig, x.min(axis=1), out=sig)
         out = np.arange(1, TREES + 1, dtype=np.uint64) * M2
         for k in range(depth):
             out = (out + sig.reshape(TREES, depth)[:, k]) * M1
@@ -94,7 +94,7 @@ def _labels(depth: int):
                 if len(s):
                     ids.append(h)
                     out.append(keys(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.list_(pa.int64()))], names=["node", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["node", "keys"])
 
     return run
 
@@ -103,7 +103,7 @@ def _check(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         """Links among the classes of a group; between its two sides only if it has two."""
         if not table.num_rows:
-            return pa.table({"node": pa.array([], pa.string()), "n_links": pa.array([], pa.int64()), "root": pa.array([], pa.string())})
+            return pa.table({"node": pa.array([], pa.binary()), "n_links": pa.array([], pa.int64()), "root": pa.array([], pa.binary())})
         table = table.sort_by("node")
         node, side = table.column("node").to_pylist(), np.array(table.column("side").to_pylist())
         sets = [np.frombuffer(b, dtype=np.uint64) for b in table.column("shingles").to_pylist()]
@@ -133,7 +133,7 @@ def _check(threshold: float):
             if (new == root).all():
                 break
             root = new
-        return pa.table({"node": pa.array(node, pa.string()), "n_links": pa.array(link.sum(1)), "root": pa.array([node[k] for k in root], pa.string())})
+        return pa.table({"node": pa.array(node, pa.binary()), "n_links": pa.array(link.sum(1)), "root": pa.array([node[k] for k in root], pa.binary())})
 
     return run
 
@@ -145,10 +145,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, text) -> doc_id, class_id, copies, n_links, component."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("node", F.md5("text"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("node", F.unhex(F.md5("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     classes = written(docs.filter("text is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "join-classes")
-    labels = docs.filter("text is not null").select("node", "text").mapInArrow(_labels(depth_for(threshold, recall)), "node string, keys array<bigint>")
+    labels = docs.filter("text is not null").select("node", "text").mapInArrow(_labels(depth_for(threshold, recall)), "node binary, keys array<bigint>")
     keyed = written(labels.dropDuplicates(["node"]), "join-labels").select(F.col("node").alias("a"), F.explode("keys").alias("key"))
     tries = keyed.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1")
     # meetings: every class of a trie node with the node's least class
@@ -156,11 +156,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     hoods = components(meet)
     big = hoods.groupBy("root").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
     hoods = written(hoods.join(big, "root").select("node", F.col("root").alias("hood"), "sides"), "join-hoods")
-    texts = docs.select(F.col("node").alias("t_node"), "text").join(hoods, F.col("t_node") == F.col("node"), "inner").groupBy("node", "hood", "sides").agg(F.first("text").alias("text"))
-    sets = texts.mapInArrow(_sets, "node string, hood string, sides int, shingles binary")
+    texts = docs.select(F.col("node").alias("t_node"), "text").join(hoods.hint("merge"), F.col("t_node") == F.col("node")).groupBy("node", "hood", "sides").agg(F.first("text").alias("text"))
+    sets = texts.mapInArrow(_sets, "node binary, hood binary, sides int, shingles binary")
     sets = sets.withColumn("side", F.pmod(F.xxhash64("node"), "sides").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     sets = sets.withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")})
-    found = written(sets.groupBy("hood", "x", "y").applyInArrow(_check(threshold), "node string, n_links long, root string"), "join-links")
+    found = written(sets.groupBy("hood", "x", "y").applyInArrow(_check(threshold), "node binary, n_links long, root binary"), "join-links")
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     groups = components(found.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     least = groups.join(classes, "node").groupBy("root").agg(F.min("class_id").alias("component"))
