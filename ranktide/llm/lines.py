@@ -1,13 +1,19 @@
 """Fuzzy line dedup by MinHash.
 
 Distinct lines are compared by the Jaccard similarity of their character shingles of five.
-The signature hashes the shingles that begin at a run of ASCII letters or digits, or at any character
-beyond the Latin blocks: a choice by content alone, a sixth of all, that has nearly the similarity of the whole
-set.  One permutation deals the hashes to ``BINS`` bins and keeps the least of each.  Runs
-of three neighbouring minima are the bands; two lines meet in a bucket when they share one.
+Lines meet in buckets, by one of three kinds of keys, chosen by content alone:
+
+* a line of at most ``SHORT`` characters, or with few filled bins (below), of at most ``LONG / threshold`` shingles
+  has its rarest shingles as keys, as many as a linked line can't all lack (prefix filter).  Two such
+  lines at the threshold always meet.  The order of rarity is that of a sample's counts; any order is exact;
+* other lines have bands.  The signature hashes the shingles of eight characters that begin at a run of ASCII letters or digits, or
+  at any character beyond the Latin blocks, a sixth of all.  One permutation deals the hashes to ``BINS``
+  bins and keeps the least of each.  Runs of three neighbouring minima are the bands, for ``FULL`` filled bins and more.
+  Their recall at the threshold is not exact; tests hold it against brute force;
+* a line of more shingles with fewer than ``FEW`` filled bins has bands of the minima over all of its shingles, too.
 
 Links are found without listing the pairs of a bucket.  Each line of a bucket is
-checked, over all its shingles, against the bucket's pivot, if the two share enough bin minima; linked lines are joined by
+checked, over all its shingles, against the bucket's pivot, if counts and parities of their shingles, or the bin minima they share, allow a link; linked lines are joined by
 distributed union-find; then the lines that are not yet one with the pivot get a pivot of their own, for ``PIVOTS``
 rounds.  What is left of a bucket in different components is at last checked pair by pair.
 Lines of one component need no further check, so the components are those of all pairs.
@@ -22,6 +28,8 @@ Lines are known by a 64-bit hash.  Columns of other names pass through.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +40,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BINS = 32
 PIVOTS = 2
+#: Lines of up to LONG shingles meet by prefixes only, those up to LONG / threshold also by prefixes.
+LONG = 72
+#: Filled bins from which on bands are made, and up to which all shingles are looked at as well.
+FULL, FEW = 12, 16
+#: Places of the table of rarities, a byte each, and the share of lines it is counted on.
+RARITIES, SAMPLE = 65536, 16
 #: A pair is checked in full if it shares this part of its bin minima: a pair at the threshold shares two thirds.
 SHARED = 0.35
 BLANK = r"^[\x20\x09-\x0D]*$"
@@ -44,32 +58,69 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return d.filter(~F.col("line").rlike(BLANK)).withColumn("id", F.xxhash64("line"))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(id, line) -> id, m: the least hash of each bin, in order; a hash's first five bits are its bin."""
-    h = f"sort_array(transform(regexp_extract_all(lower(line), r'{ANCHORED}', 1), s -> xxhash64(s)))"
-    d = lines.select("id", F.expr(h).alias("_h"))
-    return d.select("id", F.expr("filter(_h, (x, i) -> i = 0 or shiftright(x, 59) != shiftright(_h[i - 1], 59))").alias("m"))
-
-
-def bands(signed: DataFrame) -> DataFrame:
-    """(id, m) -> id, key: runs of three minima, from every second bin on if there are many."""
-    keys = """transform(
-      filter(sequence(0, greatest(size(m) - 3, 0)), i -> size(m) < 12 or i = 0 or shiftright(m[i], 59) & 1 = 0),
-      i -> xxhash64(m[i], get(m, i + 1), get(m, i + 2)))"""
-    return signed.filter("size(m) > 0").select("id", F.explode(F.array_distinct(F.expr(keys))).alias("key"))
-
-
 def shingle_set(line: Column) -> Column:
     """Distinct hashes of all character shingles."""
     all_ = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
     return F.array_distinct(F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(all_), lambda s: F.xxhash64(s)))
 
 
+def short(threshold: float) -> int:
+    """Characters of a line that has at most LONG / threshold shingles, whatever they are."""
+    return int(LONG / threshold) + SHINGLE - 1
+
+
+def rarities(lines: DataFrame, threshold: float = THRESHOLD) -> bytes:
+    """For each remainder of a shingle's hash, how often shingles of it stand in a sample of short lines, on a log scale."""
+    some = lines.filter((F.length("line") <= short(threshold)) & (F.pmod("id", F.lit(SAMPLE)) == 0))
+    hashes = some.select(F.explode(shingle_set(F.lower("line"))).alias("h"))
+    out = bytearray(RARITIES)
+    for k, n in hashes.groupBy(F.pmod("h", F.lit(RARITIES)).cast("int")).count().collect():
+        out[k] = min(255, int(8 * math.log2(1 + n)))
+    return bytes(out)
+
+
+MINIMA = "filter({0}, (x, i) -> i = 0 or shiftright(x, 59) != shiftright({0}[i - 1], 59))"
+BANDS = """transform(
+  filter(sequence(0, size({0}) - 3), i -> i = 0 or shiftright({0}[i], 59) & 1 = 0),
+  i -> xxhash64({0}[i], get({0}, i + 1), get({0}, i + 2), {1}))"""
+NONE = "cast(array() as array<bigint>)"
+
+
+def signatures(lines: DataFrame, threshold: float = THRESHOLD, rare: bytes = bytes(RARITIES)) -> DataFrame:
+    """(id, line) -> id, m, n, bits, keys.
+
+    ``m`` holds the least hash of each bin, in order; a hash's first five bits are its bin.  ``n`` is the number of
+    distinct shingles, of lines that are short or have few bins, and ``bits`` their parities by remainder of the hash; ``keys`` are the line's buckets.
+    """
+    d = lines.select("id", F.lower("line").alias("_l"))
+    d = d.withColumn("_h", F.expr(f"sort_array(transform(regexp_extract_all(_l, r'{ANCHORED}', 1), s -> xxhash64(s)))"))
+    d = d.select("id", "_l", F.expr(MINIMA.format("_h")).alias("m"))
+    d = d.withColumn("_s", F.when((F.size("m") < FEW) | (F.length("_l") <= short(threshold)), F.sort_array(shingle_set(F.col("_l"))))).drop("_l")
+    d = d.withColumns({"n": F.when(F.col("_s").isNotNull(), F.size("_s")), "bits": F.expr("aggregate(_s, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int)))")})
+    ranked = F.sort_array(F.transform("_s", lambda h: F.struct(F.substring(F.lit(rare), F.pmod(h, F.lit(RARITIES)).cast("int") + 1, F.lit(1)).alias("d"), h.alias("h"))))
+    first = F.slice(ranked, 1, (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int"))
+    d = d.withColumn("_p", F.when(F.col("n") <= LONG / threshold, F.transform(first, lambda x: F.xxhash64(x["h"], F.lit(1)))))
+    d = d.withColumn("_w", F.when((F.size("m") < FEW) & (F.col("n") > LONG), F.expr(MINIMA.format("_s")))).drop("_s")
+    bands = [f"if(size(m) >= {FULL}, {BANDS.format('m', 2)}, {NONE})", f"if(size(_w) >= 3, {BANDS.format('_w', 3)}, {NONE})"]
+    return d.select("id", "m", "n", "bits", F.expr(f"array_distinct(concat(coalesce(_p, {NONE}), {', '.join(bands)}))").alias("keys"))
+
+
+def may_link(one: Column, two: Column, threshold: float) -> Column:
+    """Whether structs (id, n, bits) of two lines allow a link: true unless the counts of shingles or their parities rule it out.
+
+    Linked sets of n and k shingles differ in at most (1 - t) / (1 + t) * (n + k), and each of those turns one bit.
+    """
+    counts = F.least(one["n"], two["n"]) >= threshold * F.greatest(one["n"], two["n"]) - 1e-9
+    parities = F.bit_count(one["bits"].bitwiseXOR(two["bits"])) <= (1 - threshold) / (1 + threshold) * (one["n"] + two["n"]) + 1e-9
+    return F.coalesce(counts & parities, F.lit(True))
+
+
 def likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share enough bin minima to be worth a full check."""
-    one, two = signed.toDF("a", "_ma"), signed.toDF("b", "_mb")
+    """The pairs (a, b) that are worth a full check: those with a line whose shingles are not counted must share enough bin minima."""
+    one, two = signed.select("id", "m", "n").toDF("a", "_ma", "_na"), signed.select("id", "m", "n").toDF("b", "_mb", "_nb")
     p = pairs.join(one, "a").join(two, "b")
-    return p.filter(F.size(F.array_intersect("_ma", "_mb")) >= SHARED * F.greatest(F.size("_ma"), F.size("_mb"))).select("a", "b")
+    minima = F.size(F.array_intersect("_ma", "_mb")) >= SHARED * F.greatest(F.size("_ma"), F.size("_mb"))
+    return p.filter((F.col("_na").isNotNull() & F.col("_nb").isNotNull()) | minima).select("a", "b")
 
 
 def linked(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -87,26 +138,30 @@ def linked(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
 
 def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, line), distinct -> node, root for lines that are linked to another."""
-    signed = written(signatures(lines), "line-signatures")
-    dealt = bands(signed).repartition("key")
+    signed = written(signatures(lines, threshold, rarities(lines, threshold)), "line-signatures")
+    dealt = signed.select("id", F.explode("keys").alias("key")).repartition("key")
     least = dealt.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = written(dealt.join(least.hint("shuffle_hash"), "key"), "line-buckets")  # id, key, pivot: lines that share a bucket
+    met = written(dealt.join(least.hint("shuffle_hash"), "key"), "line-buckets")
+    counted = signed.select("id", F.struct("id", "n", "bits").alias("at"))
+    met = met.join(counted, "id").join(counted.withColumnsRenamed({"id": "pivot", "at": "_p"}), "pivot").drop("pivot").withColumnRenamed("_p", "pivot")
+    met = written(met, "line-buckets")  # id, at, key, pivot: lines that share a bucket
     some = met.select("id").distinct()
-    signed = written(signed.join(some.hint("shuffle_hash"), "id", "left_semi"), "line-signatures")
+    signed = written(signed.drop("keys").join(some.hint("shuffle_hash"), "id", "left_semi"), "line-signatures")
     texts = written(lines.join(some.hint("shuffle_hash"), "id", "left_semi"), "line-texts")
     roots = None
     for n in range(PIVOTS + 1):
         if n == 0:
-            pairs = met.filter("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+            pairs = met.filter("id != pivot.id").select(F.col("at").alias("x"), F.col("pivot").alias("y"))
         else:
-            met = met.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            mixed = met.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("id", F.struct("root", "id")).alias("p"), F.max_by("id", F.struct("root", "id")).alias("q")).filter("lo != hi")
+            met = met.select("key", "id", "at").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+            mixed = met.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("at", F.struct("root", "id")).alias("p"), F.max_by("at", F.struct("root", "id")).alias("q")).filter("lo != hi")
             met = written(met.join(mixed, "key"), "line-buckets")
             if n < PIVOTS:  # one pivot from the highest component for all others, and one from the lowest
-                pairs = met.filter("root != hi").select(F.col("id").alias("a"), F.col("q").alias("b")).union(met.filter("root != lo").select("id", "p"))
+                pairs = met.filter("root != hi").select(F.col("at").alias("x"), F.col("q").alias("y")).union(met.filter("root != lo").select("at", "p"))
             else:
-                x, y = met.select("key", F.col("id").alias("a"), F.col("root").alias("ra")), met.select(F.col("key").alias("key_b"), F.col("id").alias("b"), F.col("root").alias("rb"))
-                pairs = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("ra") < F.col("rb"))).select("a", "b")
+                x, y = met.select("key", F.col("at").alias("x"), F.col("root").alias("ra")), met.select(F.col("key").alias("key_b"), F.col("at").alias("y"), F.col("root").alias("rb"))
+                pairs = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("ra") < F.col("rb")) & may_link(F.col("x"), F.col("y"), threshold)).select("x", "y")
+        pairs = pairs.filter(may_link(F.col("x"), F.col("y"), threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         new = written(linked(written(likely(pairs, signed), "line-pairs"), texts, threshold), "line-links")
         if roots is None:

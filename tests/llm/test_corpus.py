@@ -287,6 +287,20 @@ def test_line_dedup(spark):
         assert got[i]["text"] == want
 
 
+def test_short_lines_meet(spark):
+    """Lines of one to eight words, edited at either end: every pair that brute force links falls into one component."""
+    r, pool = random.Random(5), ["----------", "------------", "é à é à é à", "é à é à é à."]
+    for k in range(160):
+        base = " ".join("".join(r.choice(SYL) for _ in range(r.randint(2, 5))) for _ in range(1 + k % 8))
+        pool += [base, base + ".", base[:-1] + "7", "a " + base, base + " of"]
+    pool = sorted(set(pool))
+    sets = [char_set(x) for x in pool]
+    links = [(i, j) for i in range(len(pool)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {x["node"]: x["root"] for x in lines.line_components(spark.createDataFrame(list(enumerate(pool)), "id bigint, line string")).collect()}
+    assert len(links) > 200
+    assert got == groups(links)
+
+
 def test_near_duplicates(spark):
     texts = []
     for _ in range(15):
