@@ -83,11 +83,11 @@ def clean_lines(docs: DataFrame, **limits: float) -> DataFrame:
     """(doc_id, source, text, ...) -> the same with frequent lines taken out of the text, depleted documents left out."""
     _, often = frequent_lines(docs, **limits)
     bad = often.groupBy("source").agg(F.collect_set("line").alias("often")).withColumnRenamed("source", "o_source")
-    d = docs.join(bad, F.col("source").eqNullSafe(F.col("o_source")), "left").drop("o_source")
+    d = docs.withColumn("_t", F.xxhash64("text")).join(bad, F.col("source").eqNullSafe(F.col("o_source")), "left").drop("o_source")
     kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.coalesce("often", F.array().cast("array<bigint>")), F.xxhash64(normal(x))))
     d = d.withColumn("text", F.array_join(kept, "\n")).drop("often")
     gone = depleted(docs, **limits).withColumnsRenamed({"source": "d_source", "t": "d_t"})
-    return d.withColumn("_t", F.xxhash64("text")).join(gone, F.col("source").eqNullSafe(F.col("d_source")) & (F.col("_t") == F.col("d_t")), "left_anti").drop("_t")
+    return d.join(gone, F.col("source").eqNullSafe(F.col("d_source")) & (F.col("_t") == F.col("d_t")), "left_anti").drop("_t")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
