@@ -2,7 +2,8 @@
 
 Base patterns find assignments to credential names, access keys and long hex
 runs.  The method looks at every value in a credential context (a credential
-name, a separator, a value; also "password is ...") and splits it into dictionary
+name or a compound that ends in one, a separator, perhaps a scheme word such as Bearer, a value; also
+"password is ..." and the password in a URL) and splits it into dictionary
 words, dates, repeats, keyboard walks and brute-force spans so that the product
 of guesses is least.  A value that costs more than ``MIN_LOG10`` guesses is a
 span of kind ``guess``; a placeholder such as ``password123`` is cheap and is none.
@@ -35,8 +36,17 @@ ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][D
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
-#: Values in a credential context, wider than the base pattern: more names, other separators, any printable value.
-CONTEXT = re.compile(r"""(?<![A-Za-z])(?:[Pp](?i:ass(?:word|wd|phrase|code)?|wd)|(?i:secret|token|api[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credentials?|login))["']?\x20*(?:[:=]|\x20(?:is|ist|est|es)\x20)\x20*["']?([!-~]{6,})""")
+#: Names of credentials: whole words, or ends of compounds (db_password, dbPassword, aws_secret_access_key).
+_NAME = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))[Pp](?i:ass(?:word|wd|phrase|code)?|wd)|(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:(?:secret|private|access|api|auth|encryption|signing|account|master|shared|client)(?:[_-]?access)?[_-]?(?:key|secret|token)|secret|token|auth(?:orization)?|bearer|credentials?|login)"
+#: Values in a credential context, wider than the base pattern: more names, other separators, scheme words, any value to its end.
+#: A quoted value ends at its quote, others at white space, a quote, a comma, a semicolon or an ampersand that begins another key.
+CONTEXT = re.compile(
+    rf"""(?:{_NAME})(?![A-Za-z])(?:\\?["'])?\s*(?:=>|:=|[:=]|\s(?:is|ist|est|es)\s)\s*(?:(?i:bearer|basic|token|digest|apikey)\s+)?"""
+    r"""(?:\\?"(?P<dq>(?:[^"\\\s]|\\(?!")){6,})|\\?'(?P<sq>(?:[^'\\\s]|\\(?!')){6,})|(?P<bare>(?:(?!&(?:amp;)?[\w.-]+=)[^\s"',;\x00-\x1F]){6,}))"""
+    r"""|(?i:\bbearer)\s+(?P<scheme>[A-Za-z0-9._~+/=-]{6,})"""
+)
+#: The password of a URL's user.
+USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'<>]*:([^\s/\"'<>]{6,})@")
 #: Passwords that guessers try first.
 COMMON = """password 123456 12345678 1234 qwerty 12345 dragon pussy baseball football letmein monkey 696969 abc123 mustang michael shadow master jennifer 111111 2000 jordan superman harley 1234567 hunter trustno1 ranger buster thomas tigger robert soccer batman test pass killer hockey george charlie andrew michelle love sunshine jessica pepper daniel access 123456789 654321 joshua maggie starwars silver william dallas yankees 123123 ashley 666666 hello amanda orange freedom computer summer secret admin changeme default example root guest welcome login token apikey null none user""".split()
 ROWS = ("`1234567890-=", "~!@#$%^&*()_+", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik")
@@ -109,10 +119,13 @@ def spans(text: str, ranks: dict[str, int]) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip("\"',;)>.")
+    values = {m.span(m.lastgroup): m[m.lastgroup] for m in CONTEXT.finditer(text)}
+    if "://" in text:
+        values |= {m.span(1): m[1] for m in USERINFO.finditer(text)}
+    for (start, _), value in values.items():
+        value = value.rstrip("\"',;)>.}]")
         if len(value) >= 6 and guess_cost(value, ranks) >= MIN_LOG10:
-            found.append((m.start(1), 3, m.start(1) + len(value)))
+            found.append((start, 3, start + len(value)))
     return sorted(found)
 
 

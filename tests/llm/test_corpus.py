@@ -123,6 +123,19 @@ def test_guess_cost():
     assert cost(every) == pytest.approx(3 * 1.42 + 1)
 
 
+def test_secret_contexts():
+    """Each form of a credential context gives one span, of the value alone."""
+    v, ascii_ = "Tr0#ub&9!vQz$", "x7Kq2mZp9LwRt4"
+    forms = ["dbPassword={}", "password:\t{}", "password =\n  {}", "secret_key={}", "access_key: {}", "aws_secret_access_key = {}", '{{"password":"{}","user":"x"}}', "postgres://admin:{}@db.example/x", "clientSecret: '{}'", "db_password={}, other", "The password is {}"]
+    forms = [(f, v) for f in forms] + [(f, ascii_) for f in ("Authorization: Bearer {}", "Authorization: Basic {}", "Bearer {}", "/x?token={}&page=2", "auth_token => {}")] + [("password: {}", "Пр8щж#ёЫ2чЭ9ъ")]
+    for form, value in forms:
+        text = form.format(value)
+        got = [text[a:b] for a, k, b in secrets.spans(text, {}) if k == 3]
+        assert got == [value], (form, got)
+    for text in ("password: hunter", "compass: x7Kq2mZp9LwRt4", "author: x7Kq2mZp9LwRt4", "tokens are common in all of these texts"):
+        assert not [x for x in secrets.spans(text, {}) if x[1] == 3], text
+
+
 def test_lm_base(spark, folder):
     got = lm.op3_lm_score(spark, folder).collect()
     tokens = lambda t: (t or "").encode().lower().split() + [b"\n"]
