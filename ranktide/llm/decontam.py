@@ -213,6 +213,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a benchmark passage stay."""
-    found = leaks(docs, benchmark(spark, sf_dir)).select(F.col("doc_id").alias("l_doc_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("l_doc_id")), "left_anti").select(*docs.columns)
+    """Pipeline stage: documents without a benchmark passage stay.  The text decides, so ids may be null or repeated."""
+    d = docs.withColumn("_t", F.xxhash64("text"))
+    found = leaks(d.select(F.col("_t").alias("doc_id"), "text"), benchmark(spark, sf_dir)).select(F.col("doc_id").alias("l_t")).distinct()
+    return d.join(found, F.col("_t") == F.col("l_t"), "left_anti").select(*docs.columns)

@@ -145,6 +145,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, text) -> doc_id, class_id, copies, n_links, component."""
+    return joined(docs, threshold, recall).drop("node", "root")
+
+
+def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """As ``join``, with node (hash of the text) and root (the node that names its component), which hold where ids are null or repeated."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("node", F.unhex(F.md5("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     classes = written(docs.filter("text is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "join-classes")
@@ -164,10 +169,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     links = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     groups = components(found.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     least = groups.join(classes, "node").groupBy("root").agg(F.min("class_id").alias("component"))
-    of = groups.join(least, "root").select("node", "component")
-    table = classes.join(links, "node", "left").join(of, "node", "left").select(F.col("node").alias("c_node"), "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "class_id").alias("component"))
+    of = groups.join(least, "root").select("node", "root", "component")
+    table = classes.join(links, "node", "left").join(of, "node", "left").select(F.col("node").alias("c_node"), "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "class_id").alias("component"), F.coalesce("root", "node").alias("root"))
     out = docs.select("doc_id", "node").join(table, F.col("node") == F.col("c_node"), "left")
-    return out.select("doc_id", F.col("class_id").cast(kind).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), "n_links", "component")
+    return out.select("doc_id", F.col("class_id").cast(kind).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), "n_links", "component", "node", "root")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +180,13 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of equal or linked texts stays, the one with the least id; documents without text stay."""
-    first = join(docs.select("doc_id", "text")).filter("component is null or component = doc_id").select(F.col("doc_id").alias("j_doc_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("j_doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Pipeline stage: one row of each group of equal or linked texts stays, the one with the least (doc_id, hash of the text), null ids last.
+
+    Rows of unlinked texts stay even if they share an id or have none; so do all rows without text.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    first = joined(docs.select("doc_id", "text")).filter("root is not null").groupBy("root").agg(F.min(rank).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("j_doc_id"), F.col("first.node").alias("j_node"))
+    d = docs.withColumn("_node", F.unhex(F.md5("text")))
+    kept = d.join(first, F.col("doc_id").eqNullSafe(F.col("j_doc_id")) & (F.col("_node") == F.col("j_node")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_node"]).select(*docs.columns).unionByName(docs.filter("text is null"))

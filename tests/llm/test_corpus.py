@@ -351,6 +351,14 @@ def test_near_duplicates_in_a_large_neighbourhood(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_links"], r["component"]) for r in neardup.join(docs(spark, data)).collect()} == whole
 
 
+def test_stages_with_null_and_shared_ids(spark, folder):
+    clean = [sentence("en", 40) for _ in range(6)]
+    data = [(None, t, "en", "s", 1) for t in clean[:4]] + [(7, t, "en", "s", 1) for t in clean[4:]] + [(8, clean[5], "en", "s", 1), (None, clean[0], "en", "s", 1)]
+    assert sorted(r["text"] for r in neardup.keep_one(spark, docs(spark, data), folder).collect()) == sorted(clean)
+    leak = [(i, sentence("en", 20) + " " + ITEMS[0][1], "en", "s", 1) for i in (None, 7)]
+    assert sorted(r["text"] for r in decontam.drop_leaks(spark, docs(spark, data[:6] + leak), folder).collect()) == sorted(clean)
+
+
 def test_mixing(spark):
     data = [(i, " ".join(["w"] * rng.randint(1, 400)), "en", rng.choice(["a", "b", "c", None]), 0) for i in range(600)]
     m = mixing.mix(mixing.with_size(docs(spark, data))).collect()
