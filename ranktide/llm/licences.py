@@ -12,6 +12,9 @@ digest and matches nothing; repeated rows stay; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,16 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."), ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-4.0", "This work is licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
+#: Whole texts, one file for each SPDX id.
+TEXTS = Path(__file__).parent / "licence_texts"
+#: Where the terms of a licence end and advice on its use begins; the terms alone are the licence, too.
+END = re.compile(r"^[^\S\n]*END OF TERMS AND CONDITIONS[^\n]*$", re.M)
+for _file in sorted(TEXTS.glob("*.txt")):
+    _text = _file.read_text(encoding="utf-8")
+    KNOWN += [(_file.stem, t) for t in [_text, *[_text[:k] for m in END.finditer(_text) for k in m.span()]]]
+#: Ids named by a line only, besides those of the texts and notices above.
+IDS = """AGPL-3.0-only AGPL-3.0-or-later GPL-2.0-or-later LGPL-2.0-or-later LGPL-2.1-or-later LGPL-3.0-or-later GPL-1.0-or-later GFDL-1.2-or-later GFDL-1.3-or-later CC-BY-SA-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CC-BY-3.0 CC-BY-SA-3.0 BSL-1.0 EPL-2.0 Artistic-2.0 0BSD MIT-0""".split()
+KNOWN += [(i, f"SPDX-License-Identifier: {i}") for i in sorted({i for i, _ in KNOWN} | set(IDS))]
 #: Spellings that licence comparison treats as one, in canonical form.
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sublicence", "sublicense"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("honour", "honor"), ("judgement", "judgment"),
@@ -80,10 +93,18 @@ def with_digest(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("digest", F.when(F.col("_canonical") != "", F.sha2("_canonical", 256))).drop("_canonical")
 
 
+def hint(words: Column) -> Column:
+    """A word that every spelling of a text with these canonical words holds: license, released, or its longest; null if there is none."""
+    spelled = [w for _, b in SPELLINGS for w in b.split()]
+    rest = F.filter(words, lambda w: ~w.isin(spelled))
+    longest = F.array_max(F.transform(rest, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    return F.when(F.array_contains(words, "license"), "license").when(F.array_contains(words, "released"), "released").otherwise(longest)
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """digest, licence: one row for each known text."""
-    rows = with_digest(spark.createDataFrame(known, "licence string, text string"), "text")
-    return rows.groupBy("digest").agg(F.min("licence").alias("licence"))
+    """digest, licence, hint: one row for each known text."""
+    rows = with_digest(spark.createDataFrame(known, "licence string, text string"), "text").withColumn("words", F.array_distinct(F.split(canonical(F.col("text")), " ")))
+    return rows.groupBy("digest").agg(F.min("licence").alias("licence"), F.first(hint(F.col("words"))).alias("hint"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -98,10 +119,12 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 def scan_lines(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, licence for every line that is itself a known notice, one row for each pair.
 
-    Lines without one of the words that all known one-line notices hold are not digested.
+    Lines without any of the hints of the known texts are not digested; a list without hints has all lines digested.
     """
-    lines = docs.filter(F.col("text").rlike("(?i)licen[cs]e|released")).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = with_digest(lines.filter(F.col("line").rlike("(?i)licen[cs]e|released")), "line")
+    hints = [r["hint"] for r in known.select("hint").distinct().collect()] if "hint" in known.columns else [None]
+    pattern = "" if None in hints else "|".join(sorted(h.replace("license", "licen[cs]e") for h in hints)) or "(?!)"
+    lines = docs.filter(F.lower("text").rlike(pattern)).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = with_digest(lines.filter(F.lower("line").rlike(pattern)), "line")
     return lines.join(F.broadcast(known), "digest", "left").filter("licence is not null").select("doc_id", "licence").distinct()
 
 

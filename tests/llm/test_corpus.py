@@ -248,6 +248,17 @@ def test_licences(spark, folder):
     assert {r["doc_id"]: r["licence"] for r in licences.scan(d, licences.known_digests(spark)).collect()} == {1: "MIT", 2: None}
 
 
+def test_licences_whole_texts(spark):
+    ids = ["Apache-2.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0"]
+    texts = [(licences.TEXTS / f"{i}.txt").read_text() for i in ids]
+    data = [(k, t.upper(), None, None, None) for k, t in enumerate(texts)] + [(50, texts[3][: texts[3].index("How to Apply")], None, None, None)]
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(docs(spark, data), licences.known_digests(spark)).collect()}
+    assert got == dict(enumerate(ids)) | {50: "GPL-3.0-only"}
+    data = [(1, "x\n// SPDX-License-Identifier: LGPL-2.1-or-later\ny", None, None, None), (2, "a\nDo what you favour with it!\nb", None, None, None)]
+    assert [tuple(r) for r in licences.scan_lines(docs(spark, data), licences.known_digests(spark)).collect()] == [(1, "LGPL-2.1-or-later")]
+    assert [tuple(r) for r in licences.scan_lines(docs(spark, data), licences.known_digests(spark, [("own", "do what you favor with it")])).collect()] == [(2, "own")]
+
+
 def groups(links):
     root = {}
 
