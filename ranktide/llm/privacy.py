@@ -9,10 +9,12 @@ gets one surrogate in the whole corpus, so mentions of one person stay one perso
 * an IPv4 address becomes four other octets;
 * an address keeps its dots, its length class and a reserved top-level domain; equal local parts
   with other domains get unrelated surrogates;
-* a name is drawn for its title's gender and its own script, word by word, and a surname
-  met with either title is the same surname.
+* a name is put together for its title's gender and its own script from one surrogate for each distinct
+  surname and one for each distinct first name, so a surname met with any title or first name is the same surname.
+  These are settled in a table of their own: names that share one, or whose surname is one of the corpus, are drawn again from a
+  name space that grows with each round, until all are distinct.
 
-Surrogates are checked for collisions: of the entities that share one, or whose surrogate is
+Other surrogates are checked for collisions: of the entities that share one, or whose surrogate is
 itself an entity of the corpus, all but the first are hashed again with a higher attempt number, up to
 ``ATTEMPTS`` rounds, after which a distinct serial number from the hash makes the rest distinct.
 
@@ -42,6 +44,8 @@ FIRST = {
     ("n", "cyrillic"): ["Саша", "Женя", "Валя", "Слава"],
 }
 LAST = {"latin": ["Archer", "Bennett", "Calder", "Dalton", "Ellery", "Fischer", "Garnier", "Hidalgo", "Iversen", "Jansen", "Keller", "Lorenz", "Marchand", "Navarro", "Olsen", "Prieto", "Quinn", "Renard", "Serrano", "Tanner", "Ulrich", "Vidal", "Weber", "Ximenes", "Young", "Zeller"], "cyrillic": ["Орлов", "Зимин", "Белов", "Громов", "Седов", "Лебедь", "Шевчук", "Коваль"]}
+#: Syllables of made-up names, 48 for Latin and 40 for Cyrillic script.
+SYLLABLES = {"latin": [c + v for c in ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t") for v in "aeio"], "cyrillic": [c + v for c in "бвгдлмнрст" for v in "аеио"]}
 _TITLE = "|".join(sorted((t for v in TITLES.values() for t in v), key=lambda t: (-len(t), t)))
 EMAIL = r"[A-Za-z0-9\p{L}][A-Za-z0-9\p{L}._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)"
@@ -101,18 +105,58 @@ def surrogate(e: Column, kind: Column, attempt: Column, key: str) -> Column:
     local = F.regexp_extract(e, "^([^@]*)@", 1)
     dotted = F.when(local.contains("."), F.concat(_pick(h, 1, [x.lower() for x in FIRST["n", "latin"]]), F.lit("."), F.substring(h, 20, 6))).otherwise(F.concat(_pick(h, 1, [x.lower() for x in FIRST["n", "latin"]]), F.substring(h, 20, 6)))
     email = F.concat(dotted, F.lit("@mail"), F.substring(h, 40, 4), F.lit(".example"))
-    words = F.split(e, " ")
-    title, last = words[0], F.element_at(words, -1)
-    bare = F.regexp_replace(title, r"\.$", "")
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).otherwise(phone)
+
+
+def _made_up(h: Column, script: str, n: int) -> Column:
+    """A name of n syllables, at most eight."""
+    parts = F.concat(*[_pick(h, 1 + 7 * i, SYLLABLES[script]) for i in range(min(n, 8))])
+    return F.concat(F.upper(F.substring(parts, 1, 1)), F.substring(parts, 2, 99))
+
+
+def settled_names(parts: DataFrame, key: str) -> DataFrame:
+    """Distinct (role, name) -> role, name, new: distinct within a role, and no new surname is a surname of the corpus.
+
+    Roles are ``last-<script>`` and ``first-<gender>-<script>``.  A round's name space is 40 times that of the round before, or more.
+    """
+    open_ = written(parts.select("role", "name").distinct(), "pii-parts")
+    known = open_.filter(F.col("role").startswith("last-")).select("role", F.col("name").alias("new"))
+    done, attempt = None, 0
+    while True:
+        h = _hash(key, "part", F.concat_ws("|", "role", "name"), F.lit(attempt))
+        new = F.lit(None).cast("string")
+        for script, family in LAST.items():
+            new = F.when(F.col("role") == f"last-{script}", _pick(h, 1, family) if attempt == 0 else _made_up(h, script, attempt + 2)).otherwise(new)
+        for (g, script), names in FIRST.items():
+            drawn = _pick(h, 57, names)
+            new = F.when(F.col("role") == f"first-{g}-{script}", drawn if attempt == 0 else F.concat(drawn, F.lit("-"), _made_up(h, script, attempt + 1))).otherwise(new)
+        tried = open_.withColumn("new", new)
+        taken = known if done is None else known.unionByName(done.select("role", "new"))
+        first = tried.groupBy("role", "new").agg(F.min("name").alias("owner")).join(taken, ["role", "new"], "left_anti")
+        first = first.select(F.col("role").alias("r"), F.col("new").alias("n"), "owner")
+        state = tried.join(first, (F.col("role") == F.col("r")) & (F.col("new") == F.col("n")) & (F.col("name") == F.col("owner")), "left")
+        state = written(state.select("role", "name", "new", F.col("owner").isNotNull().alias("settled")), "pii-part-round")
+        got = state.filter("settled").drop("settled")
+        done = got if done is None else done.unionByName(got)
+        open_ = state.filter("not settled").select("role", "name")
+        if open_.isEmpty():
+            return done
+        attempt += 1
+
+
+def name_surrogates(names: DataFrame, key: str) -> DataFrame:
+    """Distinct (entity, kind) of titled names -> entity, kind, surrogate."""
+    words = F.split("entity", " ")
+    d = names.select("entity", "kind", words[0].alias("title"), F.when(F.size(words) > 2, words[1]).alias("given"), F.element_at(words, -1).alias("family"))
+    bare = F.regexp_replace("title", r"\.$", "")
     gender = F.when(bare.isin(TITLES["m"]), "m").when(bare.isin(TITLES["f"]), "f").otherwise("n")
-    script = F.when(last.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    first = F.lit("")
-    for (g, s), names in FIRST.items():
-        first = F.when((gender == g) & (script == s), _pick(_hash(key, "first", words[1], attempt), 1, names)).otherwise(first)
-    hl = _hash(key, "last", last, attempt)
-    family = F.when(script == "cyrillic", F.concat(_pick(hl, 1, LAST["cyrillic"]), F.lit("-"), _pick(hl, 9, LAST["cyrillic"]))).otherwise(F.concat(_pick(hl, 1, LAST["latin"]), F.lit("-"), _pick(hl, 9, LAST["latin"])))
-    name = F.when(F.size(words) > 2, F.concat_ws(" ", title, first, family)).otherwise(F.concat_ws(" ", title, family))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).otherwise(name)
+    script = F.when(F.col("family").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    d = d.withColumns({"last_role": F.concat(F.lit("last-"), script), "first_role": F.concat(F.lit("first-"), gender, F.lit("-"), script)})
+    parts = d.select(F.col("last_role").alias("role"), F.col("family").alias("name")).union(d.filter("given is not null").select("first_role", "given"))
+    table = settled_names(parts, key)
+    d = d.join(table.toDF("last_role", "family", "new_family"), ["last_role", "family"])
+    d = d.join(table.toDF("first_role", "given", "new_given"), ["first_role", "given"], "left")
+    return d.select("entity", "kind", F.concat_ws(" ", "title", "new_given", "new_family").alias("surrogate"))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -121,6 +165,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     A round costs a pass over the entities that are still open; the settled ones are written.
     """
     open_ = written(entities.select("entity", kind_of(F.col("entity")).alias("kind")).distinct(), "pii-entities")
+    names = written(name_surrogates(open_.filter("kind = 'name'"), key), "pii-names")
+    open_ = open_.filter("kind != 'name'")
     known = open_.select(F.col("entity").alias("surrogate"))
     done = None
     for attempt in range(ATTEMPTS + 1):
@@ -136,7 +182,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         open_ = state.filter("not settled").select("entity", "kind")
         if open_.isEmpty():
             break
-    return done
+    return done.unionByName(names)
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:

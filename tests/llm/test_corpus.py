@@ -228,6 +228,18 @@ def test_surrogates_are_distinct(spark):
     assert not {r["entity"] for r in got} & {r["surrogate"] for r in got}
 
 
+def test_surnames_beyond_the_lists(spark):
+    """More surnames than any list holds: all stay names, distinct, and a surname is one whatever the title and first name."""
+    family = [f"Q{a}{b}{c}" for a in "abcdefghij" for b in "abcdefghijkl" for c in "abcdefghij"]
+    names = [f"{t} {n}" for n in family for t in ("Mr", "Mrs", "Mr John")] + [f"Dr Given{chr(97 + k)} Qaaa" for k in range(26)]
+    got = {r["entity"]: r["surrogate"] for r in privacy.surrogates(spark.createDataFrame([(n,) for n in names], "entity string"), "k").collect()}
+    assert len(got) == len(set(got.values())) == len(names)
+    assert all(re.fullmatch(r"[A-Z][a-z]+( [A-Z][A-Za-z-]+){1,2}", v) for v in got.values())
+    for n in family:
+        assert len({got[f"{t} {n}"].split(" ")[-1] for t in ("Mr", "Mrs", "Mr John")}) == 1
+    assert not {v.split(" ")[-1] for v in got.values()} & set(family)
+
+
 def test_quality_depletes(spark):
     common = [f"boilerplate line number {'abcdefghij'[k]} of this site" for k in range(3)]
     data = [(i, "\n".join(common), "en", "h", 0) for i in range(2)] + [(10 + i, "\n".join([*common, sentence("en", 5)]), "en", "h", 0) for i in range(30)] + [(100 + i, "\n".join([common[0], *[sentence("en", 30) for _ in range(3)]]), "en", "h", 0) for i in range(30)]
