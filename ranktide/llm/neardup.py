@@ -1,11 +1,10 @@
 """N-gram Jaccard join by an LSH forest of MinHash signatures.
 
 Equal texts form a class.  Each class has a signature of ``TREES`` labels of
-``DEPTH`` MinHash values over its shingles of five words.  A tree of the forest holds
-the labels of one position as a trie; two classes meet in it at the depth to which
-their labels agree.  The match starts at the full depth and is shortened until the
-chance to meet, in any tree, of a pair just at the threshold reaches the target recall
-(``depth_for``): a pair above it meets more often.  Classes that meet are checked exactly.
+``DEPTH`` MinHash values, at most, over its shingles of five words.  The depth is fixed for all classes before
+labels are made: the deepest at which the chance to meet, in any tree, of a pair just at the
+threshold reaches the target recall (``depth_for``), 8 for the defaults.  Two classes meet in a tree if their labels of that
+depth are equal, which is banding: longer prefixes would add no pair to those that are checked.  Classes that meet are checked exactly.
 
 Checks run in groups of at most 2 * ``SIDE`` classes.  The classes that meet, directly
 or through others, make up a neighbourhood; one of more than ``SIDE`` classes is
