@@ -6,7 +6,7 @@ character.  Strings at a small edit distance fall back into step, so their walks
 differ in few places.  A key is made of the walk at some sampled steps; each of
 ``TABLES`` samples over ``WALKS`` walks is a hash table.
 
-Text is lower-cased and its white space made single spaces.  Item-sized windows of a
+Text is lower-cased and its white space made single spaces.  Windows of some 20 characters (what a walk of ``STEPS`` steps reads) of a
 document begin at every ``STRIDE``-th word.  An item is indexed from every one of its words,
 so that whatever the place of a passage in a document, one of its windows begins at the same word as
 an indexed one, and so does another every ``STRIDE`` words; each is a further chance.
