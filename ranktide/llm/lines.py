@@ -1,36 +1,36 @@
 """Fuzzy line dedup by MinHash.
 
-Distinct lines are compared by the Jaccard similarity of their character shingles of five.
-Lines meet in buckets, by one of three kinds of keys, chosen by content alone:
-
-* a line of at most ``SHORT`` characters, or with few filled bins (below), of at most ``LONG / threshold`` shingles
-  has its rarest shingles as keys, as many as a linked line can't all lack (prefix filter).  Two such
-  lines at the threshold always meet.  The order of rarity is that of a sample's counts; any order is exact;
-* other lines have bands.  The signature hashes the shingles of eight characters that begin at a run of ASCII letters or digits, or
-  at any character beyond the Latin blocks, a sixth of all.  One permutation deals the hashes to ``BINS``
-  bins and keeps the least of each.  Runs of three neighbouring minima are the bands, for ``FULL`` filled bins and more.
-  Their recall at the threshold is not exact; tests hold it against brute force;
-* a line of more shingles with fewer than ``FEW`` filled bins has bands of the minima over all of its shingles, too.
-
-Links are found without listing the pairs of a bucket.  Each line of a bucket is
-checked, over all its shingles, against the bucket's pivot, if counts and parities of their shingles, or the bin minima they share, allow a link; linked lines are joined by
-distributed union-find; then the lines that are not yet one with the pivot get a pivot of their own, for ``PIVOTS``
-rounds.  What is left of a bucket in different components is at last checked pair by pair.
-Lines of one component need no further check, so the components are those of all pairs.
+Distinct lines are compared by the Jaccard similarity of their lower-cased character shingles of five.
+
+1. Signatures: ``BANDS`` x ``ROWS`` MinHash values over all shingles of a line, of any length.  Lines that agree in one band
+   meet in its bucket.  A pair at the threshold meets with probability 1 - (1 - 0.8^5)^12 = 0.991, whatever its length.
+2. Verification: every line of a bucket is compared with the bucket's pivot, its least line, by the whole shingle
+   sets.  Linked lines are joined by distributed union-find.
+3. A bucket whose other lines are by then all in one component needs no more; the others are open.  An open bucket of
+   more than ``SIDE`` lines gets another pivot, up to ``PIVOTS`` times.  What stays open is compared line by line
+   within groups of bounded size: lines outside the bucket's main component against all others,
+   ``SIDE`` of either at once.  A group returns links that join its components, never its pairs.
+
+Lines of one component need no further check, so components are those of all pairs that meet.
+Keys that a sample finds very frequent are not shuffled: their pivots are sent to the tasks, ``HEAVY`` of them at most.
 
 One line of each component stays: the one with the least (doc_id, place).
 
 Nulls and edges: a null text stays null; blank lines are never compared or removed; a line of fewer than five
 characters is its own only shingle; repeated rows of a document are treated alike;
 a document whose every line goes is left out by ``drop_lines`` if ``drop_empty``; an empty table gives no rows.
-Lines are known by a 64-bit hash.  Columns of other names pass through.
+Lines are equal if their 128-bit digests are: a graph node is the first half, and of lines that share only that
+half, all but one are left alone by the fuzzy step.  Columns of any names pass through.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranktide.llm.common import documents, written
@@ -38,160 +38,302 @@ from ranktide.llm.graph import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BINS = 32
-PIVOTS = 2
-#: Lines of up to LONG shingles meet by prefixes only, those up to LONG / threshold also by prefixes.
-LONG = 72
-#: Filled bins from which on bands are made, and up to which all shingles are looked at as well.
-FULL, FEW = 12, 16
-#: Places of the table of rarities, a byte each, and the share of lines it is counted on.
-RARITIES, SAMPLE = 65536, 16
-#: A pair is checked in full if it shares this part of its bin minima: a pair at the threshold shares two thirds.
-SHARED = 0.35
-BLANK = r"^[\x20\x09-\x0D]*$"
-ANCHORED = r"(?:\b(?=\w)|(?=[^\x00-\x{24F}]))(?=(.{1,8}))"
-
-
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, t (hash of the text), place, line, id; blank lines left out."""
-    d = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return d.filter(~F.col("line").rlike(BLANK)).withColumn("id", F.xxhash64("line"))
-
-
-def shingle_set(line: Column) -> Column:
-    """Distinct hashes of all character shingles."""
-    all_ = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(all_), lambda s: F.xxhash64(s)))
-
-
-def short(threshold: float) -> int:
-    """Characters of a line that has at most LONG / threshold shingles, whatever they are."""
-    return int(LONG / threshold) + SHINGLE - 1
-
-
-def rarities(lines: DataFrame, threshold: float = THRESHOLD) -> bytes:
-    """For each remainder of a shingle's hash, how often shingles of it stand in a sample of short lines, on a log scale."""
-    some = lines.filter((F.length("line") <= short(threshold)) & (F.pmod("id", F.lit(SAMPLE)) == 0))
-    hashes = some.select(F.explode(shingle_set(F.lower("line"))).alias("h"))
-    out = bytearray(RARITIES)
-    for k, n in hashes.groupBy(F.pmod("h", F.lit(RARITIES)).cast("int")).count().collect():
-        out[k] = min(255, int(8 * math.log2(1 + n)))
-    return bytes(out)
-
-
-MINIMA = "filter({0}, (x, i) -> i = 0 or shiftright(x, 59) != shiftright({0}[i - 1], 59))"
-BANDS = """transform(
-  filter(sequence(0, size({0}) - 3), i -> i = 0 or shiftright({0}[i], 59) & 1 = 0),
-  i -> xxhash64({0}[i], get({0}, i + 1), get({0}, i + 2), {1}))"""
-NONE = "cast(array() as array<bigint>)"
-
-
-def signatures(lines: DataFrame, threshold: float = THRESHOLD, rare: bytes = bytes(RARITIES)) -> DataFrame:
-    """(id, line) -> id, m, n, bits, keys.
-
-    ``m`` holds the least hash of each bin, in order; a hash's first five bits are its bin.  ``n`` is the number of
-    distinct shingles, of lines that are short or have few bins, and ``bits`` their parities by remainder of the hash; ``keys`` are the line's buckets.
-    """
-    d = lines.select("id", F.lower("line").alias("_l"))
-    d = d.withColumn("_h", F.expr(f"sort_array(transform(regexp_extract_all(_l, r'{ANCHORED}', 1), s -> xxhash64(s)))"))
-    d = d.select("id", "_l", F.expr(MINIMA.format("_h")).alias("m"))
-    d = d.withColumn("_s", F.when((F.size("m") < FEW) | (F.length("_l") <= short(threshold)), F.sort_array(shingle_set(F.col("_l"))))).drop("_l")
-    d = d.withColumns({"n": F.when(F.col("_s").isNotNull(), F.size("_s")), "bits": F.expr("aggregate(_s, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int)))")})
-    ranked = F.sort_array(F.transform("_s", lambda h: F.struct(F.substring(F.lit(rare), F.pmod(h, F.lit(RARITIES)).cast("int") + 1, F.lit(1)).alias("d"), h.alias("h"))))
-    first = F.slice(ranked, 1, (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int"))
-    d = d.withColumn("_p", F.when(F.col("n") <= LONG / threshold, F.transform(first, lambda x: F.xxhash64(x["h"], F.lit(1)))))
-    d = d.withColumn("_w", F.when((F.size("m") < FEW) & (F.col("n") > LONG), F.expr(MINIMA.format("_s")))).drop("_s")
-    bands = [f"if(size(m) >= {FULL}, {BANDS.format('m', 2)}, {NONE})", f"if(size(_w) >= 3, {BANDS.format('_w', 3)}, {NONE})"]
-    return d.select("id", "m", "n", "bits", F.expr(f"array_distinct(concat(coalesce(_p, {NONE}), {', '.join(bands)}))").alias("keys"))
-
-
-def may_link(one: Column, two: Column, threshold: float) -> Column:
-    """Whether structs (id, n, bits) of two lines allow a link: true unless the counts of shingles or their parities rule it out.
-
-    Linked sets of n and k shingles differ in at most (1 - t) / (1 + t) * (n + k), and each of those turns one bit.
-    """
-    counts = F.least(one["n"], two["n"]) >= threshold * F.greatest(one["n"], two["n"]) - 1e-9
-    parities = F.bit_count(one["bits"].bitwiseXOR(two["bits"])) <= (1 - threshold) / (1 + threshold) * (one["n"] + two["n"]) + 1e-9
-    return F.coalesce(counts & parities, F.lit(True))
-
-
-def likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are worth a full check: those with a line whose shingles are not counted must share enough bin minima."""
-    one, two = signed.select("id", "m", "n").toDF("a", "_ma", "_na"), signed.select("id", "m", "n").toDF("b", "_mb", "_nb")
-    p = pairs.join(one, "a").join(two, "b")
-    minima = F.size(F.array_intersect("_ma", "_mb")) >= SHARED * F.greatest(F.size("_ma"), F.size("_mb"))
-    return p.filter((F.col("_na").isNotNull() & F.col("_nb").isNotNull()) | minima).select("a", "b")
-
-
-def linked(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of line ids whose similarity over all shingles is at least the threshold.
-
-    The condition is one expression whose lambdas bind the two sets and the size of their intersection: as columns,
-    they would be computed anew wherever the pushed-down filter names them.
-    """
-    one, two = lines.toDF("a", "line_a"), lines.toDF("b", "line_b")
-    p = pairs.join(one, "a").join(two, "b")
-    sets = F.array(F.struct(shingle_set(F.lower("line_a")).alias("x"), shingle_set(F.lower("line_b")).alias("y")))
-    alike = F.exists(sets, lambda s: F.exists(F.array(F.size(F.array_intersect(s["x"], s["y"]))), lambda n: n >= threshold * (F.size(s["x"]) + F.size(s["y"]) - n)))
-    return p.filter(alike).select("a", "b")
-
-
-def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, line), distinct -> node, root for lines that are linked to another."""
-    signed = written(signatures(lines, threshold, rarities(lines, threshold)), "line-signatures")
-    dealt = signed.select("id", F.explode("keys").alias("key")).repartition("key")
-    least = dealt.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = written(dealt.join(least.hint("shuffle_hash"), "key"), "line-buckets")
-    counted = signed.select("id", F.struct("id", "n", "bits").alias("at"))
-    met = met.join(counted, "id").join(counted.withColumnsRenamed({"id": "pivot", "at": "_p"}), "pivot").drop("pivot").withColumnRenamed("_p", "pivot")
-    met = written(met, "line-buckets")  # id, at, key, pivot: lines that share a bucket
-    some = met.select("id").distinct()
-    signed = written(signed.drop("keys").join(some.hint("shuffle_hash"), "id", "left_semi"), "line-signatures")
-    texts = written(lines.join(some.hint("shuffle_hash"), "id", "left_semi"), "line-texts")
-    roots = None
-    for n in range(PIVOTS + 1):
-        if n == 0:
-            pairs = met.filter("id != pivot.id").select(F.col("at").alias("x"), F.col("pivot").alias("y"))
-        else:
-            met = met.select("key", "id", "at").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            mixed = met.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("at", F.struct("root", "id")).alias("p"), F.max_by("at", F.struct("root", "id")).alias("q")).filter("lo != hi")
-            met = written(met.join(mixed, "key"), "line-buckets")
-            if n < PIVOTS:  # one pivot from the highest component for all others, and one from the lowest
-                pairs = met.filter("root != hi").select(F.col("at").alias("x"), F.col("q").alias("y")).union(met.filter("root != lo").select("at", "p"))
-            else:
-                x, y = met.select("key", F.col("at").alias("x"), F.col("root").alias("ra")), met.select(F.col("key").alias("key_b"), F.col("at").alias("y"), F.col("root").alias("rb"))
-                pairs = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("ra") < F.col("rb")) & may_link(F.col("x"), F.col("y"), threshold)).select("x", "y")
-        pairs = pairs.filter(may_link(F.col("x"), F.col("y"), threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        new = written(linked(written(likely(pairs, signed), "line-pairs"), texts, threshold), "line-links")
-        if roots is None:
-            roots = components(new)
-        elif not new.isEmpty():
-            roots = components(new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    return roots
-
-
-def first_places(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text) -> every line that is not blank: doc_id, t, place, id, root, keep."""
-    rows = line_rows(docs)
-    lines = written(rows.groupBy("id").agg(F.first("line").alias("line")), "line-distinct")
-    roots = line_components(lines, threshold)
-    at = rows.select("doc_id", "t", "place", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    at = written(at, "line-places")
-    first = at.groupBy("root").agg(F.min(F.struct("doc_id", "place", "t")).alias("first"))
-    return at.join(first, "root").withColumn("keep", F.col("first").eqNullSafe(F.struct("doc_id", "place", "t"))).drop("first")
+BANDS, ROWS = 12, 5
+PIVOTS = 3
+#: Lines of either side that a group compares at once.
+SIDE = 128
+#: One in SAMPLE documents is looked at for frequent keys; at most HEAVY keys, each of at least COMMON sampled lines, are sent to the tasks.
+SAMPLE, HEAVY, COMMON = 64, 10_000, 256
+#: Shingles hashed at once: they fit a cache.
+CHUNK = 1 << 17
+SPACE = " \t\n\v\f\r"
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+LINES, MET = "node long, check long, line string", "node long, key long, pivot long"
+
+
+def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of every line's shingles, one line after the other, and where each line starts among them."""
+    padded = "\n".join(line.ljust(SHINGLE, "\0") for line in (x.lower() for x in lines))
+    codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.append(np.flatnonzero(codes == 10), len(codes))
+    n = len(codes) - SHINGLE + 1
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(SHINGLE):
+        h *= M1
+        h += codes[k : n + k]
+    h ^= h >> np.uint64(29)
+    h *= M2
+    h ^= h >> np.uint64(32)
+    whole = np.ones(n, dtype=bool)  # shingles that don't cross a line's end
+    for k in range(SHINGLE):
+        whole[ends[:-1] - k] = False
+    starts = np.concatenate(([0], ends[:-1] + 1)) - SHINGLE * np.arange(len(lines))
+    return h[whole], starts
+
+
+class Signer:
+    """Band keys of lines."""
+
+    def __init__(self, bands: int = BANDS, rows: int = ROWS) -> None:
+        rng = np.random.default_rng(8)
+        self.bands, self.rows = bands, rows
+        self.mul = rng.integers(1, 2**32, size=bands * rows, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        self.add = rng.integers(0, 2**32, size=bands * rows, dtype=np.uint64).astype(np.uint32)
+
+    def keys(self, lines: list[str]) -> np.ndarray:
+        """(lines, bands) keys."""
+        h, starts = char_shingles(lines)
+        low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
+        least = np.empty((len(self.mul), len(lines)), dtype=np.uint32)
+        ends, a = np.append(starts[1:], len(h)), 0
+        while a < len(lines):
+            b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK, side="right")))
+            lo, hi = low[starts[a] : ends[b - 1]], high[starts[a] : ends[b - 1]]
+            x, y = np.empty_like(lo), np.empty_like(hi)
+            for f, (m, c) in enumerate(zip(self.mul, self.add, strict=True)):
+                np.multiply(lo, m, out=x)
+                np.add(hi, c, out=y)
+                np.bitwise_xor(x, y, out=x)
+                np.multiply(x, m, out=x)
+                least[f, a:b] = np.minimum.reduceat(x, starts[a:b] - starts[a])
+            a = b
+        out = np.empty((len(lines), self.bands), dtype=np.uint64)
+        for j in range(self.bands):
+            key = np.full(len(lines), j + 1, dtype=np.uint64) * M2
+            for k in range(self.rows):
+                key = (key + least[j * self.rows + k]) * M1
+                key ^= key >> np.uint64(29)
+            out[:, j] = key
+        return out.view(np.int64)
+
+
+def _digests(lines: list[str]) -> np.ndarray:
+    """(lines, 2): the halves of each line's 128-bit digest."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), dtype=np.int64).reshape(-1, 2)
+
+
+def _portions(column: pa.Array, most: int = 2_000_000) -> Iterator[list[tuple[int, int, str]]]:
+    """(row, place, line) of the lines that are not blank, for texts of some ``most`` characters at a time."""
+    out, size = [], 0
+    for row, text in enumerate(column):
+        for place, line in enumerate((text.as_py() or "").split("\n")):
+            if line and line.strip(SPACE):
+                out.append((row, place, line))
+                size += len(line)
+        if size > most:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
+def _band_rows(heavy: dict[int, int]):
+    """text -> (node, key, pivot): distinct in a portion; the pivot is that of a frequent key, or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer()
+        known = np.array(sorted(heavy), dtype=np.int64)
+        pivots = np.array([heavy[k] for k in known.tolist()], dtype=np.int64)
+        for batch in batches:
+            for portion in _portions(batch.column(0)):
+                lines = list(dict.fromkeys(x for _, _, x in portion))
+                key = signer.keys(lines).ravel()
+                node = np.repeat(_digests(lines)[:, 0], signer.bands)
+                at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+                hit = known[at] == key if len(known) else np.zeros(len(key), dtype=bool)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key), pa.array(pivots[at] if len(known) else np.zeros(len(key), np.int64), mask=~hit)], names=["node", "key", "pivot"])
+
+    return run
+
+
+def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, key, pivot) in the order of (key, node) -> the same without repeats and pivots; where no pivot is given it is the key's first node."""
+    last_key = last_node = first = None
+    for batch in batches:
+        node, key, given = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+        if not len(node):
+            continue
+        new = np.append(last_key is None or key[0] != last_key, key[1:] != key[:-1])
+        begins = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        of = np.where(begins >= 0, node[np.maximum(begins, 0)], 0 if first is None else first)
+        again = np.append(not new[0] and node[0] == last_node, ~new[1:] & (node[1:] == node[:-1]))
+        last_key, last_node, first = key[-1], node[-1], of[-1]
+        pivot = np.where(given.is_valid().to_numpy(zero_copy_only=False), given.fill_null(0).to_numpy(), of)
+        keep = ~again & (node != pivot)
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(key[keep]), pa.array(pivot[keep])], names=["node", "key", "pivot"])
+
+
+def heavy_keys(texts: DataFrame) -> dict[int, int]:
+    """Keys that are frequent in a sample of the texts, with the least sampled node as pivot."""
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(_band_rows({}), MET)
+    rows = some.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter(F.col("n") >= COMMON).orderBy(F.col("n").desc(), "key").limit(HEAVY).collect()
+    return {r["key"]: r["pivot"] for r in rows}
+
+
+def buckets(texts: DataFrame) -> DataFrame:
+    """(text) -> node, key, pivot: the lines of each bucket of two or more, but for its pivot."""
+    rows = texts.mapInArrow(_band_rows(heavy_keys(texts)), MET)
+    dealt = F.when(F.col("pivot").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("node", "key"))  # a frequent key is spread by its lines
+    return rows.repartition(dealt).sortWithinPartitions("key", "node").mapInArrow(_followers, MET)
+
+
+def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> node, check, line: distinct in a portion."""
+    for batch in batches:
+        for portion in _portions(batch.column(0)):
+            lines = list(dict.fromkeys(x for _, _, x in portion))
+            d = _digests(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(lines, pa.string())], names=["node", "check", "line"])
+
+
+def shingle_set(line: str) -> set[str]:
+    line = line.lower()
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
+def alike(x: set[str], y: set[str], threshold: float) -> bool:
+    """Whether the Jaccard similarity of two sets reaches the threshold."""
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
+        return False
+    n = len(x & y)
+    return n >= threshold * (len(x) + len(y) - n) - 1e-9
+
+
+def _verify(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, line_a, line_b) -> the pairs (a, b) that are linked."""
+        last, kept = None, set()
+        for batch in batches:
+            found = []
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = x.as_py(), y.as_py()
+                if y != last:
+                    last, kept = y, shingle_set(y)
+                if alike(shingle_set(x), kept, threshold):
+                    found.append(k)
+            at = pa.array(found, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    return run
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (a, b) that are linked, of pairs of nodes."""
+    one, two = texts.select(F.col("node").alias("a"), F.col("line").alias("line_a")), texts.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
+    p = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b")
+    return p.mapInArrow(_verify(threshold), "a long, b long")
+
+
+def _join_groups(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Links that join the components of a group; lines of the main component are compared with others only."""
+        rows = {r["node"]: r for r in table.to_pylist()}
+        parent = {r["root"]: r["root"] for r in rows.values()}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        every = sorted(rows.values(), key=lambda r: (r["main"], r["node"]))
+        sets = [shingle_set(r["line"]) for r in every]
+        a, b = [], []
+        for i, x in enumerate(every):
+            if x["main"]:
+                break
+            for j in range(i + 1, len(every)):
+                y = every[j]
+                if (p := find(x["root"])) != (q := find(y["root"])) and alike(sets[i], sets[j], threshold):
+                    parent[p] = q
+                    a.append(x["node"]), b.append(y["node"])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def open_buckets(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, key) -> node, key, root, n, main, for buckets whose lines are in several components; main: the bucket's largest one."""
+    now = met.join(roots.withColumnRenamed("root", "r"), "node", "left").select("node", "key", F.coalesce("r", "node").alias("root"))
+    parts = now.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1").drop("roots")
+    return now.join(mixed.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("node", "key", "root", "n", (F.col("root") == F.col("main")).alias("main"))
+
+
+def united(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots of the components after some more links (a, b)."""
+    links = written(links, "line-links")
+    return roots if links.isEmpty() else components(links.unionByName(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(text) -> node, root, check for lines that share a bucket with another."""
+    docs = docs.select("text")
+    met = written(buckets(docs), "line-buckets")
+    some = met.select("node").union(met.select("pivot")).distinct()
+    texts = docs.mapInArrow(_text_rows, LINES).join(some.hint("shuffle_hash"), "node", "left_semi")
+    texts = written(texts.groupBy("node").agg(F.min_by("line", "check").alias("line"), F.min("check").alias("check")), "line-texts")
+    roots = components(written(verified(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")), texts, threshold), "line-links"))
+    met = met.select("node", "key")
+    left = written(open_buckets(met, roots), "line-buckets")
+    for _ in range(PIVOTS):
+        large = left.filter(F.col("n") > SIDE)
+        if large.isEmpty():
+            break
+        # one line outside of the main component is held against all others, and has then met all of its bucket
+        pivot = large.filter("not main").groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("pivot"))
+        pairs = large.join(pivot, "key").filter("node != pivot").select("node", "key", "pivot")
+        roots = united(roots, verified(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")), texts, threshold))
+        left = written(open_buckets(left.filter(F.col("n") <= SIDE).select("node", "key").unionByName(pairs.drop("pivot")), roots), "line-buckets")
+    sides = left.groupBy("key", "main").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
+    counts = sides.groupBy("key").agg(F.max(F.when(F.col("main"), F.col("sides"))).alias("mains"), F.max(F.when(~F.col("main"), F.col("sides"))).alias("others"))
+    put = left.join(counts, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+    # groups (x, y): side x of the others with side y of the main component, or with another side of the others
+    mine = F.transform(F.sequence(F.lit(1), F.col("others")), lambda i: F.struct((i - 1).cast("bigint").alias("x"), F.col("side").alias("y")))
+    main = put.filter("main").select("*", F.explode(mine).alias("g"))
+    rest = put.filter("not main")
+    with_main = rest.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.col("mains")), lambda i: F.struct(F.col("side").alias("x"), (i - 1).cast("bigint").alias("y")))).alias("g"))
+    with_rest = rest.filter("others > 1").select("*", F.explode(F.transform(F.sequence(F.lit(1), F.col("others")), lambda i: F.struct(F.least("side", i - 1).alias("x"), (-1 - F.greatest("side", i - 1)).alias("y")))).alias("g"))
+    dealt = main.unionByName(with_main).unionByName(with_rest).select("node", "key", "root", "main", "g").join(texts.select("node", "line"), "node")
+    links = dealt.groupBy("key", "g.x", "g.y").applyInArrow(_join_groups(threshold), "a long, b long")
+    roots = united(roots, links)
+    return roots.join(texts.select("node", "check"), "node")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, t, text) -> doc_id, t, place, node, check of every line that is not blank."""
+    for batch in batches:
+        for portion in _portions(batch.column(2)):
+            at = pa.array([row for row, _, _ in portion], pa.int64())
+            d = _digests([x for _, _, x in portion])
+            place = pa.array([p for _, p, _ in portion], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), place, pa.array(d[:, 0]), pa.array(d[:, 1])], names=["doc_id", "t", "place", "node", "check"])
+
+
+def repeated_places(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, text) -> doc_id, t, place of every line that goes; t is the hash of the text."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
+    roots = line_components(docs, threshold).select("node", F.col("check").alias("c"), "root")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    at = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(_places, f"doc_id {kind}, t long, place int, node long, check long")
+    at = at.join(roots, "node", "left")
+    own = F.coalesce(F.col("check") == F.col("c"), F.lit(False))  # else a line of its own
+    at = written(at.select("doc_id", "t", "place", F.when(own, F.col("root")).otherwise(F.col("node")).alias("root"), F.when(~own, F.col("check")).alias("check")), "line-places")
+    first = at.groupBy("root", "check").agg(F.min(F.struct("doc_id", "place", "t")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n").withColumnsRenamed({"root": "f_root", "check": "f_check"})
+    same = (F.col("root") == F.col("f_root")) & F.col("check").eqNullSafe(F.col("f_check"))
+    return at.join(first, same).filter(~F.col("first").eqNullSafe(F.struct("doc_id", "place", "t"))).select("doc_id", "t", "place")
 
 
 def drop_lines(docs: DataFrame, threshold: float = THRESHOLD, drop_empty: bool = True) -> DataFrame:
     """(doc_id, text, ...) -> the same with n_lines_dropped; the text keeps its first lines and its blank ones."""
-    gone = first_places(docs.select("doc_id", "text"), threshold).filter("not keep").groupBy("doc_id", "t").agg(F.collect_set("place").alias("_gone"), F.min("place").alias("_any"))
-    gone = gone.withColumnsRenamed({"doc_id": "g_doc_id", "t": "g_t"}).drop("_any")
-    d = docs.withColumn("_t", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("g_doc_id")) & (F.col("_t") == F.col("g_t")), "left")
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr("filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, i))"), "\n"))
-    d = d.withColumn("_kept", kept).withColumn("n_lines_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"))
+    gone = repeated_places(docs.select("doc_id", "text"), threshold).groupBy("doc_id", "t").agg(F.collect_set("place").alias("gone")).withColumnsRenamed({"doc_id": "g_doc_id", "t": "g_t"})
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d_doc_id"), F.xxhash64("text").alias("d_t"), F.col("text").alias("d_text"))
+    d = d.join(gone, F.col("d_doc_id").eqNullSafe(F.col("g_doc_id")) & (F.col("d_t") == F.col("g_t")), "left")
+    kept = F.when(F.col("gone").isNull(), F.col("d_text")).otherwise(F.array_join(F.expr("filter(split(d_text, '\\n'), (x, i) -> not array_contains(gone, i))"), "\n"))
+    d = d.withColumns({"kept": kept, "dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("bigint")})
     if drop_empty:
-        d = d.filter(F.col("_gone").isNull() | ~F.col("_kept").rlike(r"^[\x20\x09-\x0D]*$"))
-    return d.withColumn("text", F.col("_kept")).select(*docs.columns, "n_lines_dropped")
+        d = d.filter(F.col("gone").isNull() | ~F.col("kept").rlike(r"^[\x20\x09-\x0D]*$"))
+    out = [F.col("kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_lines_dropped"]
+    return d.select(*out, F.col("dropped").alias("n_lines_dropped"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
