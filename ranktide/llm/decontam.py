@@ -2,44 +2,50 @@
 
 The CGK random walk reads a string and, at each step, writes the current character
 and then stays or moves on by a random bit that depends on the step and the
-character.  Strings at a small edit distance fall back into step, so their walks
-differ in few places.  A key is made of the walk at some sampled steps; each of
-``TABLES`` samples over ``WALKS`` walks is a hash table.
-
-Text is lower-cased and its white space made single spaces.  Windows of some 20 characters (what a walk of ``STEPS`` steps reads) of a
-document begin at every ``STRIDE``-th word.  An item is indexed from every one of its words,
-so that whatever the place of a passage in a document, one of its windows begins at the same word as
-an indexed one, and so does another every ``STRIDE`` words; each is a further chance.
-One key hit makes a candidate; the window, laid over the whole item with room for
-edits on either side, is then checked: the least edit distance of the item to any part
-of it (Myers' bit vectors) must be at most ``1 - SIMILARITY`` of the item's length.
-
-Only the benchmark travels to the tasks, ``ITEMS`` items at a time, so its size is bounded;
+character.  Walks of strings at a small edit distance fall back into step and differ in few places.
+A key is made of the walk at ``SAMPLED`` of its steps; each of ``TABLES`` samples of ``WALKS`` walks is a hash table.
+
+An item-sized window is embedded piece by piece: a walk of ``STEPS`` steps starts anew at every word (and, in words of more than
+``LONG_WORD`` characters, at every character of an item and every ``LONG_WORD // 2``-th of a document).
+One walk over the whole window would not do: at one edit in five characters it never falls back into step for long, and its
+Hamming distance is that of unrelated strings; pieces start in step again.
+A window of a document is a candidate for an item if at least ``hits_for`` of its pieces meet pieces of the item on nearby diagonals:
+the most for which a copy at the least similarity still is a candidate with probability ``RECALL``,
+each piece meeting with probability ``MEETS``, which a test measures at one edit in five characters.
+
+Candidates are checked over the whole item: the least edit distance of the item to any part of the window
+(Myers' bit vectors) must be at most ``1 - SIMILARITY`` of the item's length.  Text is lower-cased and its white space made single spaces.
+
+Only the benchmark travels to the tasks, in blocks of about ``ITEM_CHARS`` characters, so its size is bounded;
 documents are read once for each such block and never shuffled.
 
 Nulls and edges: null or empty items match nothing, nor do null or empty texts; an item of fewer than ``SHORT``
-characters is found only as an exact run of words; equal items match alike; repeated rows give
-repeated results; an empty table on either side gives no rows.
+characters, which no walk fits in, is found only as an exact run of words; equal items match alike; repeated rows give
+repeated results; an empty table on either side gives no rows.  The time of a check grows with the product of the
+lengths of item and window.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ranktide.llm.common import documents
 
 SIMILARITY = 0.8
-STRIDE = 2
-STEPS, SAMPLED, TABLES, WALKS = 40, 16, 2, 2
-SHORT = 24
-ITEMS = 5000
-#: Characters of documents walked through at once.
-CHUNK = 2_000_000
+STEPS, SAMPLED, TABLES, WALKS = 20, 8, 2, 4
+#: Target share of copies at the least similarity that become candidates, and the chance that a piece of one meets.
+RECALL, MEETS = 0.98, 0.4
+SHORT, LONG_WORD = 12, 12
+ITEM_CHARS = 2_000_000
+#: Characters of documents walked through at once, and meetings looked at together.
+CHUNK, MEETINGS = 2_000_000, 4_000_000
 M1 = np.uint64(0x9E3779B97F4A7C15)
 _PAD = STEPS + 2
 
@@ -83,12 +89,30 @@ class Walks:
                 yield k ^ (k >> np.uint64(32))
 
 
-def word_starts(codes: np.ndarray) -> np.ndarray:
-    """Places where a word begins: after a space or a zero."""
+def starts_of(codes: np.ndarray, stride: int) -> np.ndarray:
+    """Places where a walk starts: where a word begins, and every ``stride`` characters of long words."""
     gap = (codes == 32) | (codes == 0)
     first = ~gap
     first[1:] &= gap[:-1]
-    return np.flatnonzero(first)
+    begins = np.flatnonzero(first)
+    lengths = np.diff(np.append(begins, len(codes)))
+    ends = np.flatnonzero(gap)
+    lengths = ends[np.searchsorted(ends, begins)] - begins if len(begins) else lengths
+    long = np.flatnonzero(lengths > LONG_WORD)
+    if not len(long):
+        return begins
+    more = [np.arange(begins[k], begins[k] + lengths[k] - STEPS // 4, stride) for k in long]
+    return np.unique(np.concatenate((begins, *more)))
+
+
+def hits_for(starts: int, recall: float = RECALL, meets: float = MEETS) -> int:
+    """The most pieces that can be asked of a window of so many pieces: at least so many meet with the target probability; 1 at least."""
+    below = 0.0
+    for m in range(starts + 1):
+        below += math.comb(starts, m) * meets**m * (1 - meets) ** (starts - m)
+        if below > 1 - recall:
+            return max(1, m)
+    return max(1, starts)
 
 
 def edit_distance(item: str, region: str, most: int) -> int:
@@ -118,88 +142,116 @@ def edit_distance(item: str, region: str, most: int) -> int:
 class Index:
     """Keys of all items of a block."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items = [(i, t) for i, t in ((i, plain(t)) for i, t in items) if t]
-        self.short = [(k, f" {t} ") for k, (_, t) in enumerate(self.items) if len(t) < SHORT]
+    def __init__(self, items: list[str | None]) -> None:
+        self.items = [plain(t) for t in items]
+        self.short = [(k, f" {t} ") for k, t in enumerate(self.items) if 0 < len(t) < SHORT]
         self.walks = Walks()
-        long = [(k, t) for k, (_, t) in enumerate(self.items) if len(t) >= SHORT]
-        codes, starts = _codes([t for _, t in long])
-        at = word_starts(codes) if long else np.zeros(0, dtype=np.int64)
+        long = [k for k, t in enumerate(self.items) if len(t) >= SHORT]
+        codes, starts = _codes([self.items[k] for k in long])
+        at = starts_of(codes, 1) if long else np.zeros(0, dtype=np.int64)
         of = np.searchsorted(starts, at, side="right") - 1
-        offset = at - starts[of] if long else at
-        left = np.array([len(t) for _, t in long], dtype=np.int64)[of] - offset if long else at
-        use = left >= SHORT  # a walk from here stays in the item for most of its steps
-        at, of, offset = at[use], of[use], offset[use]
-        number = np.array([k for k, _ in long], dtype=np.int64)
+        sizes = np.array([len(self.items[k]) for k in long], dtype=np.int64)
+        use = at - starts[of] <= sizes[of] - STEPS // 2 if long else np.zeros(0, dtype=bool)  # what a walk reads, on the whole, is in the item
+        at, of = at[use], of[use]
+        self.item, self.offset = np.array(long, dtype=np.int64)[of] if long else of, at - starts[of] if long else at
+        pieces = np.bincount(self.item, minlength=len(self.items))
+        self.most = np.array([int((1 - SIMILARITY) * len(t) + 1e-9) for t in self.items], dtype=np.int64)
+        self.width = 2 * self.most + 8  # of a band of diagonals
+        self.hits = np.array([hits_for(min(int(n), 1000)) for n in pieces], dtype=np.int64)
         self.tables = []
         for keys in self.walks.keys(codes, at):
             order = np.argsort(keys, kind="stable")
             seen = np.zeros(1 << 22, dtype=bool)
             seen[(keys >> np.uint64(42)).astype(np.int64)] = True
-            self.tables.append((keys[order], number[of[order]] if long else of, offset[order], seen))
+            self.tables.append((keys[order], order, seen))
 
-    def candidates(self, texts: list[str]) -> set[tuple[int, int, int]]:
-        """(text, item, place of the item's start in the text)."""
+    def candidates(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first diagonal, last diagonal): runs of bands of diagonals with enough hits."""
         codes, starts = _codes(texts)
-        at = word_starts(codes)
+        at = starts_of(codes, LONG_WORD // 2)
+        if not len(at) or not len(self.item):
+            return
         of = np.searchsorted(starts, at, side="right") - 1
-        first = np.searchsorted(at, starts)
-        use = (np.arange(len(at)) - first[of]) % STRIDE == 0
-        at, of = at[use], of[use]
-        out: set[tuple[int, int, int]] = set()
-        for keys, (known, number, offset, seen) in zip(self.walks.keys(codes, at), self.tables, strict=True):
+        pairs = []
+        for keys, (known, entry, seen) in zip(self.walks.keys(codes, at), self.tables, strict=True):
             maybe = np.flatnonzero(seen[(keys >> np.uint64(42)).astype(np.int64)])
             a, b = np.searchsorted(known, keys[maybe], side="left"), np.searchsorted(known, keys[maybe], side="right")
-            for w, x, y in zip(maybe[b > a], a[b > a], b[b > a], strict=True):
-                out.update((int(of[w]), int(number[k]), int(at[w] - starts[of[w]] - offset[k])) for k in range(x, y))
-        return out
+            maybe, a, n = maybe[b > a], a[b > a], (b - a)[b > a]
+            if not len(n):
+                continue
+            cuts = np.searchsorted(np.cumsum(n), np.arange(MEETINGS, int(n.sum()) + MEETINGS, MEETINGS))
+            for x, y in zip(np.concatenate(([0], cuts[:-1] + 1)), np.minimum(cuts + 1, len(n)), strict=True):
+                k = n[x:y]
+                if not len(k):
+                    continue
+                place = np.repeat(a[x:y] - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(int(k.sum()))
+                pairs.append(np.unique(np.repeat(maybe[x:y], k) * len(self.item) + entry[place]))
+        if not pairs:
+            return
+        met = np.unique(np.concatenate(pairs))
+        window, entry = met // len(self.item), met % len(self.item)
+        item, text = self.item[entry], of[window]
+        band = (at[window] - starts[text] - self.offset[entry]) // self.width[item]
+        key = ((text * len(self.items) + item) << 24) + band + (1 << 22)
+        key, n = np.unique(key, return_counts=True)
+        beside = np.append(np.where(key[1:] == key[:-1] + 1, n[1:], 0), 0)  # hits may fall on two bands
+        need = self.hits[(key >> 24) % len(self.items)]
+        good = n + beside >= need
+        good[1:] |= good[:-1] & (key[1:] == key[:-1] + 1)  # the second band of such a pair
+        key = key[good]
+        if not len(key):
+            return
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1] + 1))
+        for x, y in zip(new, [*new[1:], len(key)], strict=True):
+            (text, item), first, last = divmod(int(key[x]) >> 24, len(self.items)), (int(key[x]) & 0xFFFFFF) - (1 << 22), (int(key[y - 1]) & 0xFFFFFF) - (1 << 22)
+            width = int(self.width[item])
+            yield text, item, first * width, (last + 1) * width - 1
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """(text, item_id, distance), the least distance for each pair."""
+        """(text, item, distance), the least distance for each pair."""
         found: dict[tuple[int, int], int] = {}
-        tried: dict[tuple[int, int], list[int]] = {}
-        for text, item, place in sorted(self.candidates(texts)):
-            t = self.items[item][1]
-            most = int((1 - SIMILARITY) * len(t) + 1e-9)
-            before = tried.setdefault((text, item), [])
-            if (text, item) in found or any(abs(place - p) <= 2 for p in before):
-                continue
-            before.append(place)
-            d = edit_distance(t, texts[text][max(0, place - most - 2) : max(0, place + len(t) + most + 2)], most)
+        for text, item, first, last in self.candidates(texts):
+            t, most = self.items[item], int(self.most[item])
+            d = edit_distance(t, texts[text][max(0, first - most - 2) : max(0, last + len(t) + most + 2)], most)
             if d <= most:
-                found[text, item] = d
+                found[text, item] = min(d, found.get((text, item), d))
         for k, t in self.short:
             found |= {(i, k): 0 for i, x in enumerate(texts) if t in f" {x} "}
-        return [(text, self.items[item][0], d) for (text, item), d in sorted(found.items())]
+        return [(text, item, d) for (text, item), d in sorted(found.items())]
+
+
+def _search(held):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text) -> doc_id, item (its place in the block), distance."""
+        index = Index(held.value)
+        for batch in batches:
+            got, texts, size = [], [], 0
+            for k, text in enumerate(batch.column(1)):
+                texts.append((k, plain(text.as_py())))
+                size += len(texts[-1][1])
+                if size > CHUNK or k == batch.num_rows - 1:
+                    got += [(texts[t][0], i, d) for t, i, d in index.matches([x for _, x in texts])]
+                    texts, size = [], 0
+            rows, item, distance = (pa.array([g[j] for g in got], kind) for j, kind in enumerate((pa.int64(), pa.int32(), pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), item, distance], names=["doc_id", "item", "distance"])
+
+    return run
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text) and (item_id, text) -> doc_id, item_id, distance: a row for each document and item found in it."""
     spark = docs.sparkSession
-    kind, ikind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {ikind}, distance int"
+    kind = docs.schema["doc_id"].dataType.simpleString()
     items = items.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-items.count() // ITEMS))))
-    out = None
-    for n in range(max(1, -(-items.count() // ITEMS))):
-        held = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.filter(block == n).collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            index, arrow = Index(held.value), None
-            for batch in batches:
-                arrow = arrow or pa.schema([("doc_id", batch.schema.field(0).type), ("item_id", pa.int64() if ikind == "bigint" else pa.int32() if ikind == "int" else pa.string()), ("distance", pa.int32())])
-                ids, got, texts, size = batch.column(0).to_pylist(), [], [], 0
-                for k, text in enumerate(batch.column(1)):
-                    texts.append((k, plain(text.as_py())))
-                    size += len(texts[-1][1])
-                    if size > CHUNK:
-                        got += [(texts[t][0], i, d) for t, i, d in index.matches([x for _, x in texts])]
-                        texts, size = [], 0
-                if texts:
-                    got += [(texts[t][0], i, d) for t, i, d in index.matches([x for _, x in texts])]
-                yield pa.RecordBatch.from_pydict({"doc_id": [ids[k] for k, _, _ in got], "item_id": [i for _, i, _ in got], "distance": [d for _, _, d in got]}, schema=arrow)
-
-        part = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // ITEM_CHARS))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    schema, out = T.StructType([T.StructField("item", T.IntegerType()), T.StructField("item_id", items.schema["item_id"].dataType)]), None
+    for n in range(blocks):
+        rows = items.filter(block == n).collect()  # ITEM_CHARS characters, about
+        held = spark.sparkContext.broadcast([r["text"] for r in rows])
+        part = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_search(held), f"doc_id {kind}, item int, distance int")
+        ids = spark.createDataFrame([(k, r["item_id"]) for k, r in enumerate(rows)], schema)
+        part = part.join(F.broadcast(ids), "item").select("doc_id", "item_id", "distance")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -171,21 +172,66 @@ def test_decontamination(spark, folder):
     assert got == {(62, 1, 0)}
 
 
-def test_decontamination_recall():
-    items = [(i, sentence("en", rng.randint(15, 50))) for i in range(60)]
+def edited(r, text, share):
+    """The text after so many edits of characters at random places: substitutions, insertions and deletions alike."""
+    out = list(text)
+    for _ in range(int(share * len(text))):
+        k, c = r.randrange(len(out)), r.choice("abcdefghijklmnopqrstuvwxyz ")
+        out[k : k + 1] = [[c], [c, out[k]], []][r.randrange(3)]
+    return "".join(out)
+
+
+def phrase(r, n):
+    return " ".join("".join(r.choice(SYL) for _ in range(r.randint(1, 4))) if r.random() < 0.5 else r.choice(WORDS["en"]) for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [6, 12, 40])
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.19])
+def test_decontamination_recall(n, share):
+    r = random.Random(n)
+    items = [phrase(r, n) for _ in range(80)]
     index, hit, total = decontam.Index(items), 0, 0
-    for i, t in items:
-        text = decontam.plain(t)
-        edited = " ".join(w if rng.random() > 0.12 else "".join(rng.sample(SYL, 2)) for w in text.split())
-        edited = "".join(c if rng.random() > 0.02 else rng.choice("xyz") for c in edited)
-        most = int(0.2 * len(text))
-        doc = decontam.plain(sentence("en", 25) + " " + edited + " " + sentence("en", 25))
-        if decontam.edit_distance(text, doc, most) <= most:
+    for i, t in enumerate(items):
+        text, most = decontam.plain(t), int(0.2 * len(t))
+        doc = decontam.plain(phrase(r, 25) + " " + edited(r, t, share) + " " + phrase(r, 25))
+        if (d := decontam.edit_distance(text, doc, most)) <= most:
             total += 1
-            hit += any(j == i for _, j, _ in index.matches([doc]))
-    assert total > 30
-    assert hit >= 0.95 * total
-    assert not index.matches([decontam.plain(sentence("de", 300))])
+            hit += any(j == i and x == d for _, j, x in index.matches([doc]))
+    assert total > 60
+    assert hit >= 0.9 * total
+
+
+def test_decontamination_leaves_others():
+    r = random.Random(1)
+    index = decontam.Index([phrase(r, 30) for _ in range(50)])
+    assert not index.matches([decontam.plain(phrase(r, 3000))])
+
+
+def test_decontamination_edges():
+    r = random.Random(4)
+    item, word = phrase(r, 20), "".join(r.choice(SYL) for _ in range(60))  # a text without spaces, such as those of scripts that have none
+    index = decontam.Index([item, item, "", None, word, "ab " * 40])
+    # an edited copy before an exact one: the least distance counts
+    assert index.matches([decontam.plain(edited(r, item, 0.1) + " then " + item)]) == [(0, 0, 0), (0, 1, 0)]
+    assert index.matches([decontam.plain("x" * 31 + word[:60] + "q" + word[61:] + "yyy")]) == [(0, 4, 1)]
+    assert index.matches([decontam.plain("ab " * 3000)]) == [(0, 5, 0)]
+    assert index.matches([""]) == []
+
+
+def test_pieces_meet_as_often_as_assumed():
+    r, met, total = random.Random(9), 0, 0
+    for _ in range(60):
+        t = phrase(r, 40)
+        index, doc = decontam.Index([t]), edited(r, t, 0.2)
+        total += len(index.item)
+        index.hits[:] = 1
+        codes, _ = decontam._codes([decontam.plain(doc)])
+        at = decontam.starts_of(codes, decontam.LONG_WORD // 2)
+        found = np.zeros(len(at), dtype=bool)
+        for keys, (known, _, _) in zip(index.walks.keys(codes, at), index.tables, strict=True):
+            found |= np.isin(keys, known)
+        met += found.sum()
+    assert met >= decontam.MEETS * total
 
 
 def test_edit_distance():
