@@ -1,10 +1,16 @@
 """N-gram Jaccard join by an LSH forest of MinHash signatures.
 
-Equal texts form a class.  Each class has a signature of ``TREES`` labels of
-``DEPTH`` MinHash values, at most, over its shingles of five words.  The depth is fixed for all classes before
-labels are made: the deepest at which the chance to meet, in any tree, of a pair just at the
-threshold reaches the target recall (``depth_for``), 8 for the defaults.  Two classes meet in a tree if their labels of that
-depth are equal, which is banding: longer prefixes would add no pair to those that are checked.  Classes that meet are checked exactly.
+Equal texts form a class.  Each class has ``TREES`` labels of MinHash values over its shingles of five words.
+A tree is the prefix trie of its labels: they are sorted, and classes below one node are a run of rows.
+
+Two classes meet where their labels share a prefix.  The prefix is longest at first, the deepest at which a pair just at the
+threshold meets in some tree with the target recall (``depth_for``, 8 values for the defaults), and is shortened one
+value at a time as long as the node above holds ``ROOM`` classes at most, down to ``SHALLOW`` values.  So
+classes with few neighbours meet by short prefixes, with a recall far above the target (0.9999 at 5 values), and in dense
+regions they meet by long ones, at the target (0.988 at 8).  Classes that meet are checked exactly.
+
+Nodes that a sample finds very large are never shortened, and the largest of them are dealt out by their classes instead of by their
+node: the class that all others of the node meet is sent to the tasks, for ``HEAVY`` nodes at most.
 
 Checks run in groups of at most 2 * ``SIDE`` classes.  The classes that meet, directly
 or through others, make up a neighbourhood; one of more than ``SIDE`` classes is
@@ -37,9 +43,15 @@ from ranktide.llm.graph import components
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.985
-TREES, DEPTH = 24, 12
+TREES, DEPTH, SHALLOW = 24, 12, 5
+#: Classes that a node may hold for the prefix to be shortened to it.
+ROOM = 64
+#: One in SAMPLE texts is looked at for large nodes; at most HEAVY, each of at least COMMON sampled texts, are sent to the tasks.
+SAMPLE, HEAVY, COMMON = 64, 10_000, 256
 SIDE = 256
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Node of the least depth, the values after it, node of the largest depth, and the class that others meet there if it is known.
+LABEL = "node binary, top long, rest binary, leaf long, pivot binary, dense boolean"
 
 
 def depth_for(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -65,39 +77,122 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(out * M2)
 
 
-def _labels(depth: int):
-    rng = np.random.default_rng(20)
-    mul = rng.integers(1, 2**32, size=TREES * depth, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-    add = rng.integers(0, 2**32, size=TREES * depth, dtype=np.uint64).astype(np.uint32)
+class Labels:
+    """Labels of shingle sets: for each tree, a hash of the first ``SHALLOW`` values, the values after them, and a hash of all."""
+
+    def __init__(self, depth: int) -> None:
+        rng = np.random.default_rng(20)
+        self.depth, self.shallow = depth, min(SHALLOW, depth)
+        self.mul = rng.integers(1, 2**32, size=TREES * depth, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        self.add = rng.integers(0, 2**32, size=TREES * depth, dtype=np.uint64).astype(np.uint32)
 
-    def keys(s: np.ndarray) -> np.ndarray:
-        """One hash of the label's prefix for each tree."""
+    def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low, high = s.astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32)
-        sig = np.full(TREES * depth, 2**32 - 1, dtype=np.uint32)
+        sig = np.full(TREES * self.depth, 2**32 - 1, dtype=np.uint32)
         for a in range(0, len(s), 1024):  # all hash functions at once over shingles that fit a cache
-            x = low[None, a : a + 1024] * mul[:, None]
-            x ^= high[None, a : a + 1024] + add[:, None]
-            x *= mul[:, None]
+            x = low[None, a : a + 1024] * self.mul[:, None]
+            x ^= high[None, a : a + 1024] + self.add[:, None]
+            x *= self.mul[:, None]
             np.minimum(sig, x.min(axis=1), out=sig)
-        out = np.arange(1, TREES + 1, dtype=np.uint64) * M2
-        for k in range(depth):
-            out = (out + sig.reshape(TREES, depth)[:, k]) * M1
-            out ^= out >> np.uint64(29)
-        return out.view(np.int64)
+        values = sig.reshape(TREES, self.depth)
+        path = np.arange(1, TREES + 1, dtype=np.uint64) * M2
+        for k in range(self.depth):
+            path = (path + values[:, k]) * M1
+            path ^= path >> np.uint64(29)
+            if k == self.shallow - 1:
+                top = path.view(np.int64).copy()
+        return top, values[:, self.shallow :], path.view(np.int64)
+
+
+def _label_rows(depth: int, large: dict[int, bool], pivots: dict[int, bytes]):
+    """(node, text) -> a row for each tree of each text; equal texts of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = Labels(depth)
+        wide = (depth - labels.shallow) * 4
         for batch in batches:
-            ids, out = [], []
-            for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out: list[list] = [[] for _ in range(6)]
+            seen = set()
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
                 s = shingles(text.as_py())
-                if len(s):
-                    ids.append(h)
-                    out.append(keys(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["node", "keys"])
+                if not len(s):
+                    continue
+                top, rest, leaf = labels.of(s)
+                raw, top, leaf = rest.astype(">u4").tobytes(), top.tolist(), leaf.tolist()
+                for values, row in zip(out, ([node] * TREES, top, [raw[k : k + wide] for k in range(0, TREES * wide, wide)] if wide else [b""] * TREES, leaf, [pivots.get(x) for x in leaf], [x in large for x in top]), strict=True):
+                    values += row
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["node", "top", "rest", "leaf", "pivot", "dense"])
 
     return run
 
 
+def shortened(run: list[tuple[bytes, bytes, int]], at: int = 0, step: int = 4, room: int = 0) -> Iterator[list[bytes]]:
+    """Groups of the classes below a node, of sorted (values after it, node): all together if they are few, else by their next value."""
+    names = list(dict.fromkeys(node for _, node, _ in run))
+    if len(names) <= (room or ROOM) or at >= len(run[0][0]):
+        if len(names) > 1:
+            yield names
+        return
+    k = 0
+    while k < len(run):
+        j = k
+        while j < len(run) and run[j][0][at : at + step] == run[k][0][at : at + step]:
+            j += 1
+        yield from shortened(run[k:j], at + step, step, room)
+        k = j
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of the tries -> (a, b): each class of a group with the first one of it."""
+    held: list[tuple[bytes, bytes, int]] = []
+    last_top = last_leaf = first = None
+
+    def flush() -> Iterator[tuple[bytes, bytes]]:
+        if len(held) > 1:
+            for names in shortened(held):
+                yield from ((x, names[0]) for x in names[1:])
+        held.clear()
+
+    for batch in batches:
+        met: list[tuple[bytes, bytes]] = []
+        top = batch.column(1).to_numpy()
+        dense = batch.column(5).to_numpy(zero_copy_only=False)
+        new = top[1:] != top[:-1]
+        alone = (np.append(False, new) & np.append(new, False))[: len(top)]  # a node of one class, which meets nobody; nodes at a batch's ends may go on in another
+        rows = batch.take(pa.array(np.flatnonzero(~alone | dense)))
+        for node, t, rest, leaf, pivot, thick in zip(*[c.to_pylist() for c in rows.columns], strict=True):
+            if thick:  # by whole labels
+                if pivot is None:
+                    if leaf != last_leaf:
+                        last_leaf, first = leaf, node
+                    pivot = first
+                if node != pivot:
+                    met.append((node, pivot))
+                continue
+            if t != last_top:
+                met += flush()
+                last_top = t
+            held.append((rest, node, leaf))
+        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in met], pa.binary()) for k in (0, 1)], names=["a", "b"])
+    met = list(flush())
+    yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in met], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def meetings(texts: DataFrame, depth: int) -> DataFrame:
+    """(node, text) -> distinct (a, b): classes that share a prefix, each with one class of it."""
+    some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).mapInArrow(_label_rows(depth, {}, {}), LABEL)
+    often = lambda c: some.groupBy(c).agg(F.count("*").alias("n"), F.min("node").alias("least")).filter(F.col("n") >= COMMON).orderBy(F.col("n").desc(), c).limit(HEAVY).collect()
+    large = {r["top"]: True for r in often("top")}
+    pivots = {r["leaf"]: r["least"] for r in often("leaf")} if large else {}
+    rows = texts.mapInArrow(_label_rows(depth, large, pivots), LABEL)
+    dealt = F.when(~F.col("dense"), F.xxhash64("top")).when(F.col("pivot").isNull(), F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "node"))
+    return rows.repartition(dealt).sortWithinPartitions("top", "rest", "leaf", "node").mapInArrow(_meetings, "a binary, b binary").distinct()
+
+
 def _check(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         """Links among the classes of a group; between its two sides only if it has two."""
@@ -152,11 +247,8 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("node", F.unhex(F.md5("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     classes = written(docs.filter("text is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "join-classes")
-    labels = docs.filter("text is not null").select("node", "text").mapInArrow(_labels(depth_for(threshold, recall)), "node binary, keys array<bigint>")
-    keyed = written(labels.dropDuplicates(["node"]), "join-labels").select(F.col("node").alias("a"), F.explode("keys").alias("key"))
-    tries = keyed.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    # meetings: every class of a trie node with the node's least class
-    meet = keyed.join(tries.select("key", "b"), "key").select("a", "b").distinct()
+    # every class of a group with the first class of it
+    meet = meetings(docs.filter("text is not null").select("node", "text"), depth_for(threshold, recall))
     hoods = components(meet)
     big = hoods.groupBy("root").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
     hoods = written(hoods.join(big, "root").select("node", F.col("root").alias("hood"), "sides"), "join-hoods")

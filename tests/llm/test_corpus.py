@@ -455,6 +455,28 @@ def test_near_duplicates_in_a_large_neighbourhood(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_links"], r["component"]) for r in neardup.join(docs(spark, data)).collect()} == whole
 
 
+def test_prefixes_are_shortened_where_few_classes_are():
+    v = lambda *x: b"".join(k.to_bytes(4, "big") for k in x)
+    run = sorted((v(i % 2, i % 4, i % 8), bytes([i]), 0) for i in range(32))
+    sizes = lambda room: sorted(len(g) for g in neardup.shortened(run, room=room))
+    assert sizes(32) == [32]  # the shortest prefix
+    assert sizes(16) == [16] * 2
+    assert sizes(8) == [8] * 4
+    assert sizes(3) == [4] * 8  # whole labels, whatever the size
+    assert list(neardup.shortened([(v(1), b"a", 0), (v(1), b"a", 0)])) == []
+
+
+def test_near_duplicates_of_large_nodes(spark, monkeypatch):
+    """Nodes taken as large, and classes that all others meet sent to the tasks: the same links."""
+    base = sentence("en", 90).split(" ")
+    data = [(i, " ".join([*base[: i * 2], f"edit{i}", *base[i * 2 + 1 :]]), None, None, None) for i in range(40)] + [(100 + i, sentence("de", 60), None, None, None) for i in range(20)]
+    whole = {r["doc_id"]: (r["n_links"], r["component"]) for r in neardup.join(docs(spark, data)).collect()}
+    monkeypatch.setattr(neardup, "SAMPLE", 1)
+    monkeypatch.setattr(neardup, "COMMON", 5)
+    assert {r["doc_id"]: (r["n_links"], r["component"]) for r in neardup.join(docs(spark, data)).collect()} == whole
+    assert max(n for n, _ in whole.values()) == 39
+
+
 def test_stages_with_null_and_shared_ids(spark, folder):
     clean = [sentence("en", 40) for _ in range(6)]
     data = [(None, t, "en", "s", 1) for t in clean[:4]] + [(7, t, "en", "s", 1) for t in clean[4:]] + [(8, clean[5], "en", "s", 1), (None, clean[0], "en", "s", 1)]
