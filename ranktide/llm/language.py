@@ -5,7 +5,7 @@ the lower-cased letters, words set off by a space), weighted by TF-IDF with
 1 + log(tf) and scaled to length 1.  Each language has several centroids, found by
 spherical k-means over a bounded sample of its labelled texts; a text takes the
 language of the centroid with the highest cosine, and is rejected if that
-cosine falls below the centroid's own limit.
+cosine falls below ``SLACK`` of the centroid's limit: the lowest usual cosine of its own texts, or of the language's if that is lower.
 
 Document frequencies are counted over every labelled training text.  Only the
 k-means fit works on a sample, of at most ``per_language`` texts a language.
@@ -75,9 +75,24 @@ class Vectors:
         return None if ids is None else np.bincount(ids, minlength=DIM)
 
 
-def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = (np.log1p(counts, dtype=np.float32) * idf).astype(np.float32)
-    return v / max(float(np.sqrt(v @ v)), 1e-12)
+def weighted(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the features that are not 0: (1 + log(tf)) * idf, scaled to length 1."""
+    at = np.flatnonzero(counts)
+    v = (1.0 + np.log(counts[at], dtype=np.float32)) * idf[at]
+    return at, v / max(float(np.sqrt(v @ v)), 1e-12)
+
+
+def dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    out = np.zeros((len(rows), DIM), dtype=np.float32)
+    for k, (at, v) in enumerate(rows):
+        out[k, at] = v
+    return out
+
+
+def portions(rows: list, n: int = 256) -> Iterator[tuple[slice, np.ndarray]]:
+    """Dense vectors of so many rows at a time, so that a language's sample is never dense as a whole."""
+    for a in range(0, len(rows), n):
+        yield slice(a, a + n), dense(rows[a : a + n])
 
 
 def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
@@ -114,7 +129,7 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CEN
         per = F.broadcast(per)
     df, n = document_frequencies(train)
     idf = np.log((1.0 + n) / (1.0 + df)).astype(np.float32)
-    u = F.pmod(F.xxhash64(F.lit(7), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64(F.lit(7), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(1 << 30)) / float(1 << 30)
     picked = train.join(per, F.col("lang") == F.col("s_lang")).filter(u < per_language / F.col("count")).select("lang", "text")
     spark = train.sparkSession
     held = spark.sparkContext.broadcast(idf)
@@ -123,31 +138,38 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CEN
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vec = Vectors()
         for batch in batches:
-            langs, out = [], []
+            langs, places, values = [], [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 c = vec.counts(text.as_py())
                 if c is not None:
-                    langs.append(lang)
-                    out.append(weighted(c, held.value).astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "v"])
+                    at, v = weighted(c, held.value)
+                    langs.append(lang), places.append(at.astype(np.uint16).tobytes()), values.append(v.astype(np.float16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["lang", "places", "values"])
 
     def clusters(key: tuple, table: pa.Table) -> pa.Table:
-        x = np.stack([np.frombuffer(v, dtype=np.float16) for v in sorted(table.column("v").to_pylist())[:most]]).astype(np.float32)
-        k = min(centroids, len(x))
-        c = [x.mean(0)]
+        packed = sorted(zip(table.column("places").to_pylist(), table.column("values").to_pylist(), strict=True))[:most]
+        rows = [(np.frombuffer(a, dtype=np.uint16).astype(np.int64), np.frombuffer(v, dtype=np.float16).astype(np.float32)) for a, v in packed]
+        n, k = len(rows), min(centroids, len(rows))
+        cosines = lambda c: np.concatenate([x @ c.T for _, x in portions(rows)])
+        c = sum(x.sum(0) for _, x in portions(rows))[None] / n
         for _ in range(k - 1):  # the text farthest from all centres so far
-            c.append(x[np.argmin(np.max(x @ np.stack(c).T, axis=1))])
-        c = np.stack(c)
+            c = np.vstack([c, dense([rows[int(np.argmin(cosines(c).max(axis=1)))]])])
         for _ in range(8):
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-            near = np.argmax(x @ c.T, axis=1)
-            c = np.stack([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)])
+            near = np.argmax(cosines(c), axis=1)
+            sums = np.zeros_like(c)
+            for part, x in portions(rows):
+                for j in range(k):
+                    sums[j] += x[near[part] == j].sum(0)
+            c = np.where((np.bincount(near, minlength=k) > 0)[:, None], sums, c)
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        best = (x @ c.T).max(axis=1)
-        low = [float(np.quantile(best, 0.001))] * k
+        all_ = cosines(c)
+        near, best = np.argmax(all_, axis=1), all_.max(axis=1)
+        usual = float(np.quantile(best, 0.001))  # a centroid of few texts has no lowest usual cosine of its own
+        low = [min(usual, float(np.quantile(best[near == j], 0.001))) if (near == j).any() else usual for j in range(k)]
         return pa.table({"lang": pa.array([key[0].as_py()] * k, pa.string()), "v": pa.array([r.astype(np.float32).tobytes() for r in c], pa.binary()), "low": low})
 
-    sample = picked.mapInArrow(vectors, "lang string, v binary")
+    sample = picked.mapInArrow(vectors, "lang string, places binary, values binary")
     rows = sorted(sample.groupBy("lang").applyInArrow(clusters, "lang string, v binary, low double").collect(), key=lambda r: (r["lang"], r["v"]))
     return {"idf": idf, "langs": [r["lang"] for r in rows], "centres": np.stack([np.frombuffer(r["v"], dtype=np.float32) for r in rows]) if rows else np.zeros((0, DIM), np.float32), "low": np.array([r["low"] for r in rows]) * SLACK}
 
@@ -168,7 +190,8 @@ def predict(docs: DataFrame, model: dict, columns: list[str]) -> DataFrame:
                 if c is None or not langs:
                     pred.append(UND), best.append(0.0), out.append(True)
                     continue
-                s = centres @ weighted(c, idf)
+                at, v = weighted(c, idf)
+                s = centres[:, at] @ v
                 k = int(np.argmax(s))
                 pred.append(langs[k]), best.append(min(1.0, max(0.0, float(s[k])))), out.append(bool(s[k] < low[k]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(pred, pa.string()), pa.array(best, pa.float64()), pa.array(out, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])

@@ -3,11 +3,10 @@
 Distinct lines are compared by the Jaccard similarity of their lower-cased character shingles of five.
 
 1. Signatures: ``BANDS`` x ``ROWS`` MinHash values over all shingles of a line, of any length.  Lines that agree in one band
-   meet in its bucket.  A pair at the threshold meets with probability 1 - (1 - 0.8^5)^12 = 0.991, whatever its length.
+   meet in its bucket.  A pair at the threshold meets with probability 1 - (1 - 0.8^6)^14 = 0.986, whatever its length.
 2. Verification: every line of a bucket is compared with the bucket's pivot, its least line, by the whole shingle
    sets.  Linked lines are joined by distributed union-find.
-3. A bucket whose other lines are by then all in one component needs no more; the others are open.  An open bucket of
-   more than ``SIDE`` lines gets another pivot, up to ``PIVOTS`` times.  What stays open is compared line by line
+3. A bucket whose other lines are by then all in one component needs no more; the others are open.  They are compared line by line
    within groups of bounded size: lines outside the bucket's main component against all others,
    ``SIDE`` of either at once.  A group returns links that join its components, never its pairs.
 
@@ -38,10 +37,9 @@ from ranktide.llm.graph import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 12, 5
-PIVOTS = 3
+BANDS, ROWS = 14, 6
 #: Lines of either side that a group compares at once.
-SIDE = 128
+SIDE = 256
 #: One in SAMPLE documents is looked at for frequent keys; at most HEAVY keys, each of at least COMMON sampled lines, are sent to the tasks.
 SAMPLE, HEAVY, COMMON = 64, 10_000, 256
 #: Shingles hashed at once: they fit a cache.
@@ -186,32 +184,39 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(lines, pa.string())], names=["node", "check", "line"])
 
 
-def shingle_set(line: str) -> set[str]:
-    line = line.lower()
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
-
-
-def alike(x: set[str], y: set[str], threshold: float) -> bool:
-    """Whether the Jaccard similarity of two sets reaches the threshold."""
-    if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
-        return False
-    n = len(x & y)
-    return n >= threshold * (len(x) + len(y) - n) - 1e-9
+def alike(one: list[str], two: list[str], threshold: float) -> np.ndarray:
+    """For each pair of lines, whether the Jaccard similarity of their shingle sets reaches the threshold.
+
+    Shingles are sorted together with the number of their pair, so that all pairs of a batch are compared at once.
+    """
+    out = np.zeros(len(one), dtype=bool)
+    a = 0
+    while a < len(one):
+        b, size = a, 0
+        while b < len(one) and b - a < 1 << 12 and (b == a or size < 4_000_000):
+            size += len(one[b]) + len(two[b])
+            b += 1
+        sets = []
+        for lines in (one[a:b], two[a:b]):
+            h, starts = char_shingles(lines)
+            h >>= np.uint64(12)  # 52 bits of the hash and 12 of the pair
+            h |= np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(np.append(starts, len(h)))) << np.uint64(52)
+            h.sort()
+            sets.append(h[np.append(True, h[1:] != h[:-1])])
+        count = lambda h: np.bincount((h >> np.uint64(52)).astype(np.int64), minlength=b - a)  # noqa: B023, E731
+        both = np.concatenate(sets)
+        both.sort(kind="stable")  # two sorted runs
+        n = count(both[1:][both[1:] == both[:-1]])
+        out[a:b] = n >= threshold * (count(sets[0]) + count(sets[1]) - n) - 1e-9
+        a = b
+    return out
 
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b, line_a, line_b) -> the pairs (a, b) that are linked."""
-        last, kept = None, set()
         for batch in batches:
-            found = []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = x.as_py(), y.as_py()
-                if y != last:
-                    last, kept = y, shingle_set(y)
-                if alike(shingle_set(x), kept, threshold):
-                    found.append(k)
-            at = pa.array(found, pa.int64())
+            at = pa.array(np.flatnonzero(alike(batch.column(2).to_pylist(), batch.column(3).to_pylist(), threshold)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     return run
@@ -224,29 +229,80 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return p.mapInArrow(_verify(threshold), "a long, b long")
 
 
-def _join_groups(threshold: float):
-    def run(table: pa.Table) -> pa.Table:
-        """Links that join the components of a group; lines of the main component are compared with others only."""
-        rows = {r["node"]: r for r in table.to_pylist()}
-        parent = {r["root"]: r["root"] for r in rows.values()}
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        every = sorted(rows.values(), key=lambda r: (r["main"], r["node"]))
-        sets = [shingle_set(r["line"]) for r in every]
-        a, b = [], []
-        for i, x in enumerate(every):
-            if x["main"]:
-                break
-            for j in range(i + 1, len(every)):
-                y = every[j]
-                if (p := find(x["root"])) != (q := find(y["root"])) and alike(sets[i], sets[j], threshold):
+def _all_alike(lines: list[str], threshold: float) -> np.ndarray:
+    """The matrix of which lines are linked, by products of the incidence matrix of lines and shared shingles."""
+    h, starts = char_shingles(lines)
+    who = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(h))))
+    _, at, times = np.unique(h, return_inverse=True, return_counts=True)
+    pair = np.unique(at * len(lines) + who)
+    at, who = pair // len(lines), pair % len(lines)
+    sizes = np.bincount(who, minlength=len(lines)).astype(np.float64)
+    keep = np.bincount(at)[at] > 1  # a shingle of one line only is in no intersection
+    at, who = np.unique(at[keep], return_inverse=True)[1], who[keep]
+    inter = np.zeros((len(lines), len(lines)))
+    for a in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        x, y = np.searchsorted(at, (a, a + 4096))
+        m = np.zeros((len(lines), 4096), dtype=np.float32)
+        m[who[x:y], at[x:y] - a] = 1
+        inter += m @ m.T
+    return inter >= threshold * (sizes[:, None] + sizes[None, :] - inter) - 1e-6
+
+
+def _join_groups(threshold: float, dense: int = 24):
+    """Rows by group -> links between roots that join the components of a group; lines of the main component are compared with others only."""
+
+    def solve(groups: list[list[tuple]]) -> tuple[list[int], list[int]]:
+        a, b, pairs = [], [], {}
+
+        def join(rows: list[tuple], links: Iterator[tuple[int, int]]) -> None:
+            parent = {r[1]: r[1] for r in rows}
+            for i, j in links:
+                p, q = rows[i][1], rows[j][1]
+                while parent[p] != p:
+                    p = parent[p]
+                while parent[q] != q:
+                    q = parent[q]
+                if p != q:
                     parent[p] = q
-                    a.append(x["node"]), b.append(y["node"])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    a.append(p), b.append(q)
+
+        small = []
+        for rows in groups:
+            if len(rows) > dense:
+                join(rows, zip(*np.nonzero(np.triu(_all_alike([r[3] for r in rows], threshold), 1)), strict=True))
+                continue
+            todo = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][1] != rows[j][1] and not (rows[i][2] and rows[j][2])]
+            for i, j in todo:
+                pairs[rows[i][0], rows[j][0]] = (rows[i][3], rows[j][3])
+            small.append((rows, todo))
+        linked = dict(zip(pairs, alike([x for x, _ in pairs.values()], [y for _, y in pairs.values()], threshold).tolist(), strict=True))
+        for rows, todo in small:
+            join(rows, ((i, j) for i, j in todo if linked[rows[i][0], rows[j][0]]))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows, groups, n = None, [], [], 0
+
+        def done() -> pa.RecordBatch:
+            a, b = solve(groups)
+            groups.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            c = [x.to_pylist() for x in batch.columns]
+            for group, row in zip(zip(c[0], c[1], c[2], strict=True), zip(*c[3:], strict=True), strict=True):
+                if group != last:
+                    if len(rows) > 1:
+                        groups.append(rows)
+                        n += len(rows)
+                    if n > 2000:
+                        yield done()
+                        n = 0
+                    last, rows = group, []
+                rows.append(row)
+        if len(rows) > 1:
+            groups.append(rows)
+        yield done()
 
     return run
 
@@ -260,9 +316,10 @@ def open_buckets(met: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def united(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """Roots of the components after some more links (a, b)."""
-    links = written(links, "line-links")
-    return roots if links.isEmpty() else components(links.unionByName(roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    """(node, root) after some more links (a, b) between roots; nodes without a row are roots themselves."""
+    more = components(links).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    new = more.join(roots, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("was").alias("root"))
+    return roots.unionByName(new).join(more, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
 
 
 def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -275,15 +332,9 @@ def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     roots = components(written(verified(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")), texts, threshold), "line-links"))
     met = met.select("node", "key")
     left = written(open_buckets(met, roots), "line-buckets")
-    for _ in range(PIVOTS):
-        large = left.filter(F.col("n") > SIDE)
-        if large.isEmpty():
-            break
-        # one line outside of the main component is held against all others, and has then met all of its bucket
-        pivot = large.filter("not main").groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("pivot"))
-        pairs = large.join(pivot, "key").filter("node != pivot").select("node", "key", "pivot")
-        roots = united(roots, verified(pairs.select(F.col("node").alias("a"), F.col("pivot").alias("b")), texts, threshold))
-        left = written(open_buckets(left.filter(F.col("n") <= SIDE).select("node", "key").unionByName(pairs.drop("pivot")), roots), "line-buckets")
+    # buckets of the same lines, of which near copies have several, are looked at once
+    same = left.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t")).groupBy("s", "t").agg(F.min("key").alias("key"))
+    left = left.join(same.select("key"), "key")
     sides = left.groupBy("key", "main").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
     counts = sides.groupBy("key").agg(F.max(F.when(F.col("main"), F.col("sides"))).alias("mains"), F.max(F.when(~F.col("main"), F.col("sides"))).alias("others"))
     put = left.join(counts, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
@@ -294,7 +345,8 @@ def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     with_main = rest.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.col("mains")), lambda i: F.struct(F.col("side").alias("x"), (i - 1).cast("bigint").alias("y")))).alias("g"))
     with_rest = rest.filter("others > 1").select("*", F.explode(F.transform(F.sequence(F.lit(1), F.col("others")), lambda i: F.struct(F.least("side", i - 1).alias("x"), (-1 - F.greatest("side", i - 1)).alias("y")))).alias("g"))
     dealt = main.unionByName(with_main).unionByName(with_rest).select("node", "key", "root", "main", "g").join(texts.select("node", "line"), "node")
-    links = dealt.groupBy("key", "g.x", "g.y").applyInArrow(_join_groups(threshold), "a long, b long")
+    dealt = dealt.select("key", "g.x", "g.y", "node", "root", "main", "line").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
+    links = dealt.mapInArrow(_join_groups(threshold), "a long, b long")
     roots = united(roots, links)
     return roots.join(texts.select("node", "check"), "node")
 
