@@ -39,9 +39,9 @@ from pyspark.sql import types as T
 from ranktide.llm.common import documents
 
 SIMILARITY = 0.8
-STEPS, SAMPLED, TABLES, WALKS = 20, 8, 2, 4
+STEPS, SAMPLED, TABLES, WALKS = 20, 8, 2, 8
 #: Target share of copies at the least similarity that become candidates, and the chance that a piece of one meets.
-RECALL, MEETS = 0.98, 0.4
+RECALL, MEETS = 0.98, 0.36
 SHORT, LONG_WORD = 12, 12
 ITEM_CHARS = 2_000_000
 #: Characters of documents walked through at once, and meetings looked at together.
@@ -68,8 +68,13 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Walks:
     def __init__(self, seed: int = 4) -> None:
         rng = np.random.default_rng(seed)
-        self.moves = [rng.integers(0, 2, size=(STEPS, 256)).astype(np.int32) for _ in range(WALKS)]
-        self.samples = [[np.sort(rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(TABLES)] for _ in range(WALKS)]
+        self.moves, self.samples = [], []
+        for _ in range(WALKS):
+            bits = rng.integers(0, 2, size=(STEPS // 2, 256)).astype(np.int32)
+            # of every two steps one moves on, so that no walk stays behind, and each sample has a step of every stretch
+            self.moves.append(np.stack((bits, 1 - bits), axis=1).reshape(-1, 256))
+            edges = np.ceil(np.linspace(0, STEPS, SAMPLED + 1)).astype(int)
+            self.samples.append([rng.integers(edges[:-1], edges[1:]) for _ in range(TABLES)])
 
     def keys(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
         """For each table, the key of every window."""
@@ -139,6 +144,11 @@ def edit_distance(item: str, region: str, most: int) -> int:
     return best if best <= most else most + 1
 
 
+def sorted_set(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class Index:
     """Keys of all items of a block."""
 
@@ -185,10 +195,10 @@ class Index:
                 if not len(k):
                     continue
                 place = np.repeat(a[x:y] - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(int(k.sum()))
-                pairs.append(np.unique(np.repeat(maybe[x:y], k) * len(self.item) + entry[place]))
+                pairs.append(sorted_set(np.repeat(maybe[x:y], k) * len(self.item) + entry[place]))
         if not pairs:
             return
-        met = np.unique(np.concatenate(pairs))
+        met = sorted_set(np.concatenate(pairs))
         window, entry = met // len(self.item), met % len(self.item)
         item, text = self.item[entry], of[window]
         band = (at[window] - starts[text] - self.offset[entry]) // self.width[item]
