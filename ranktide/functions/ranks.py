@@ -1,65 +1,205 @@
 """Ranks, cumulative sums and tie sums.
 
-Two ways to the same numbers.  ``by_value`` first adds up ties, so that a row of the
-result stands for all rows of a key with one value.  If the tables that are read are
-larger than ``WHOLE_KEY_BYTES`` by Spark's own statistics, a key is cut into ranges of the
-value, sums run inside a range, and the totals of the ranges before it are added: no task
-holds a whole key, even if one key has all rows.  Below that, a key is summed in one window,
-which saves a pass; both give the same numbers.  ``window_*`` are plain window
-columns for callers who know that their keys are small.
+A key is cut into parts of the value: the ranges between cuts, and each cut's very value, which is a part of its own.
+Cuts are approximate quantiles of a sample of the rows, so a value that a large share of the rows have is a cut, and its rows are only
+counted, never sorted.  Sums run inside a range, and the totals of the parts before it are added.  No task holds a
+whole key, even if one key, or one value of it, has all rows.  Cuts balance the work and change no result.
+
+``rank_sums`` gives what the measure and its tests need of a key, ``placed`` facts for each row, ``by_value`` a row for each value.
+``window_*`` are plain window columns for callers who know that their keys are small.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a key is cut into.
-RANGES = 32
-#: Size of the tables read up to which a key may be summed by one task.
-WHOLE_KEY_BYTES = 256 << 20
-
-
-def read_bytes(df: DataFrame) -> int:
-    """Size of all tables that the frame reads, as the optimizer estimates it."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext():
-        total += int(str(leaves.next().stats().sizeInBytes()))
-    return total
-
-
-def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], weight: Column | None = None, ranges: int | None = None) -> DataFrame:
+#: Ranges that a key is cut into, the share of rows that cuts are found from, and the tasks that rows with a cut's value are dealt to.
+RANGES = 16
+SAMPLED = 1 / 16
+SALTS = 32
+Cuts = list[tuple[list[float], float]]
+
+
+def cut_points(df: DataFrame, values: Sequence[str], ranges: int = RANGES) -> Cuts:
+    """For each column its cuts, ``ranges`` - 1 at most, and its mean over finite values: one pass over the rows, at once, so that every use cuts alike."""
+    distinct, out = list(dict.fromkeys(values)), []
+    x = [F.col(v).try_cast("double") for v in distinct]
+    d = df.select(*[F.when(F.abs(c) < math.inf, c).alias(f"_{i}") for i, c in enumerate(x)], (F.rand(17) < SAMPLED).alias("_some"))
+    for i in range(len(x)):
+        out += [F.percentile_approx(F.when(F.col("_some"), F.col(f"_{i}")), [k / ranges for k in range(1, ranges)], 1000), F.coalesce(F.avg(f"_{i}"), F.lit(0.0))]
+    r = d.agg(*[c.alias(f"_{i}") for i, c in enumerate(out)]).first()
+    found = {v: (sorted(set(r[2 * i] or [])), r[2 * i + 1]) for i, v in enumerate(distinct)}
+    return [found[v] for v in values]
+
+
+def range_of(value: Column, cuts: Sequence[float]) -> Column:
+    """Number of cuts below the value, by halving."""
+
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        k = (lo + hi) // 2
+        return F.when(value > F.lit(cuts[k]), among(k + 1, hi)).otherwise(among(lo, k))
+
+    return among(0, len(cuts))
+
+
+def part_of(value: Column, cuts: Sequence[float]) -> Column:
+    """Part of the value, in the order of values: even for a range, odd for a cut's very value."""
+    return range_of(value, cuts) * 2 + (value.isin(list(cuts)).cast("int") if cuts else F.lit(0))
+
+
+def finite(*values: Column) -> Column:
+    """Whether all are there and neither NaN nor infinite."""
+    ok = F.lit(True)
+    for v in values:
+        ok = ok & F.coalesce(F.abs(v) < math.inf, F.lit(False))
+    return ok
+
+
+def _sides(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], weight: str | None, cuts: Cuts) -> DataFrame:
+    """The keys as _g0, _g1, ..., t (y less its mean), w, side (place of the value), v, part: a row for each row and value; v and part are null in rows that are left out."""
+    x = {str(i): F.col(v).try_cast("double") for i, v in enumerate(values)}
+    t, w = F.col(y).try_cast("double"), F.col(weight).try_cast("double") if weight else F.lit(1.0)
+    ok = finite(t, w, *x.values())
+    entry = [F.struct(F.when(ok, c).alias("v"), F.when(ok, part_of(c, cuts[i + 1][0])).alias("part")).alias(n) for i, (n, c) in enumerate(x.items())]
+    d = df.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.when(ok, t - cuts[0][1]).alias("t"), w.alias("w"), *entry)
+    keys = [f"_g{i}" for i in range(len(keys))]
+    return d.unpivot([*keys, "t", "w"], list(x), "side", "e").select(*keys, "t", "w", "side", "e.v", "e.part")
+
+
+def rank_sums(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], weight: str | None = None, cuts: Cuts | None = None) -> DataFrame:
+    """keys and, over the rows whose y, values and weight are all finite, _rows, _w (weights), _left_out (the other rows), _s, _s2, _lo, _hi (weighted sum, sum of squares, least and largest of y less its ``mean0``), and for each value k:
+
+    ``_p<k>``: sum over its ties of their y times (weight below + half of their own), ``_d<k>``: distinct values, ``_t<k>``: sum of n^3 - n over ties.
+    ``cuts`` are those of (y, *values), if they are known.
+    """
+    cuts = cut_points(df, [y, *values]) if cuts is None else cuts
+    u = _sides(df, keys, y, values, weight, cuts)
+    names, keys = keys, [f"_g{i}" for i in range(len(keys))]
+    wt = F.col("w") * F.col("t")
+    facts = [F.sum("w").alias("n"), F.sum(wt).alias("s"), F.count("*").alias("c"), F.sum(wt * F.col("t")).alias("s2"), F.min("t").alias("lo"), F.max("t").alias("hi")]
+    # a cut's very value: a row each; part null: rows that are left out
+    tied = u.filter("part is null or part % 2 = 1").groupBy(*keys, "side", "part").agg(*facts)
+    tied = tied.select(*keys, "side", "part", "n", "s", "c", "s2", "lo", "hi", (F.col("s") * F.col("n") / 2.0).alias("p"), F.lit(1).cast("bigint").alias("d"), (F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("t"))
+    at = Window.partitionBy(*keys, "side", "part").orderBy("v")
+    peers = at.rangeBetween(Window.unboundedPreceding, 0)
+    r = u.filter("part % 2 = 0").withColumns({"first": F.rank().over(at), "place": F.row_number().over(at), "upto": F.sum("w").over(peers), "count": F.count("*").over(peers)})
+    own = F.sum("w").over(Window.partitionBy(*keys, "side", "part", "v")) if weight else F.col("count") - F.col("first") + 1
+    r = r.withColumn("own", own.cast("double"))
+    ranged = r.groupBy(*keys, "side", "part").agg(*facts, F.sum(wt * (F.col("upto") - F.col("own") / 2.0)).alias("p"), F.count_if(F.col("first") == F.col("place")).alias("d"), F.sum(F.col("own") * F.col("own") - 1.0).alias("t"))
+    parts = ranged.unionByName(tied)
+    there = F.col("part").isNotNull()
+    one = lambda c: F.when(there & (F.col("side") == "0"), F.col(c))  # noqa: E731  every side has the same rows
+    of = lambda i, c: F.coalesce(F.sum(F.when(there & (F.col("side") == str(i)), F.col(c))), F.lit(0))
+    k = parts.groupBy(*keys).agg(
+        F.coalesce(F.sum(one("c")), F.lit(0)).alias("rows"), F.coalesce(F.sum(one("n")), F.lit(0.0)).alias("w"), F.coalesce(F.sum(F.when(~there & (F.col("side") == "0"), F.col("c"))), F.lit(0)).alias("left_out"), F.coalesce(F.sum(one("s")), F.lit(0.0)).alias("s"), F.sum(one("s2")).alias("s2"), F.min(one("lo")).alias("lo"), F.max(one("hi")).alias("hi"),
+        *[of(i, c).alias(f"{c}{i}") for i in range(len(values)) for c in ("d", "t")], F.array_sort(F.collect_list(F.when(there, F.struct("side", "part", "n", "s", "p")))).alias("_parts"))
+
+    def total(i: int) -> Column:  # at most 2 * RANGES parts a side
+        zero = F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("p"))
+        return F.aggregate(F.filter("_parts", lambda e: e["side"] == str(i)), zero, lambda a, e: F.struct((a["before"] + e["n"]).alias("before"), (a["p"] + e["p"] + a["before"] * e["s"]).alias("p")))["p"]
+
+    out = [F.col(c).alias(f"_{c}") for c in ("rows", "w", "left_out", "s", "s2", "lo", "hi")]
+    return k.select(*[F.col(g).alias(c) for g, c in zip(keys, names, strict=True)], *out, *[c for i in range(len(values)) for c in (total(i).alias(f"_p{i}"), F.col(f"d{i}").alias(f"_d{i}"), F.col(f"t{i}").alias(f"_t{i}"))])
+
+
+def placed(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], cuts: Cuts, sums: DataFrame) -> DataFrame:
+    """The rows whose y and values are all finite, with ``_y`` (y less ``mean0``), the columns of ``sums`` for their key and, for each value k, ``_r<k>``, ``_u<k>`` and ``_c<k>``: mean rank, sum of _y over its ties, and sum of _y up to it.
+
+    ``cuts`` and ``sums`` are those of (y, *values).  Rows are shuffled once for each value.
+    """
+    g = [f"_g{i}" for i in range(len(keys))]
+    totals = _sides(df, keys, y, values, None, cuts).filter("part is not null").groupBy(*g, "side", "part").agg(F.count("*").cast("double").alias("_n"), F.sum("t").alias("_s"))
+    by = Window.partitionBy(*g, "side").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 2 * RANGES rows
+    totals = totals.withColumns({"_bn": F.coalesce(F.sum("_n").over(by), F.lit(0.0)), "_bs": F.coalesce(F.sum("_s").over(by), F.lit(0.0))})
+    totals = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("part") % 2 == 1, SALTS - 1).otherwise(0))))
+    key = F.struct(*keys) if keys else F.lit(0)  # structs are equal where nulls are
+    x = [F.col(v).try_cast("double") for v in values]
+    t = F.col(y).try_cast("double")
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+    d = df.filter(finite(t, *x)).withColumns({"_y": t - cuts[0][1], "_key": key} | {f"_x{i}": c for i, c in enumerate(x)})
+    d = d.withColumns({f"_q{i}": part_of(F.col(f"_x{i}"), cuts[i + 1][0]) for i in range(len(x))}).withColumn("_salt", salt).select(*df.columns, "_key", "_y", "_salt", *[c for i in range(len(x)) for c in (f"_x{i}", f"_q{i}")])
+    for i in range(len(x)):
+        of = totals.filter(F.col("side") == str(i))
+        mine = of.select((F.struct(*[F.col(x).alias(k) for x, k in zip(g, keys, strict=True)]) if keys else key).alias("_k"), F.col("part").alias("_part"), F.col("_salt").alias("_ks"), F.col("_n").alias("_tn"), F.col("_s").alias("_ts"), "_bn", "_bs")
+        if i == 0:
+            mine = mine.join(sums.select(key.alias("_k2"), *[c for c in sums.columns if c not in keys]), F.col("_k") == F.col("_k2")).drop("_k2")
+        if not keys:
+            mine = F.broadcast(mine)  # a part is a row, or SALTS rows
+        odd = F.col(f"_q{i}") % 2 == 1
+        d = d.withColumn("_deal", F.when(odd, F.col("_salt")).otherwise(0))
+        at = Window.partitionBy("_key", f"_q{i}", "_deal").orderBy(f"_x{i}")
+        peers = at.rangeBetween(Window.unboundedPreceding, 0)
+        d = d.withColumns({"_first": F.rank().over(at), "_upto": F.count("*").over(peers), "_sum": F.sum("_y").over(peers), "_tie": F.sum("_y").over(Window.partitionBy("_key", f"_q{i}", "_deal", f"_x{i}"))})
+        d = d.join(mine, (F.col("_key") == F.col("_k")) & (F.col(f"_q{i}") == F.col("_part")) & (F.col("_deal") == F.col("_ks")))
+        d = d.withColumns({
+            f"_r{i}": F.col("_bn") + F.when(odd, (F.col("_tn") + 1.0) / 2.0).otherwise((F.col("_first") + F.col("_upto")) / 2.0),
+            f"_u{i}": F.when(odd, F.col("_ts")).otherwise(F.col("_tie")),
+            f"_c{i}": F.col("_bs") + F.when(odd, F.col("_ts")).otherwise(F.col("_sum")),
+        }).drop("_k", "_part", "_ks", "_tn", "_ts", "_bn", "_bs", "_first", "_upto", "_sum", "_tie", "_deal")
+    return d.drop("_key", "_salt", *[c for i in range(len(x)) for c in (f"_x{i}", f"_q{i}")])
+
+
+def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], weight: Column | None = None) -> DataFrame:
     """keys, value, n (weight of the ties), before (weight below them), rank (their mean rank), and for each sum its tie total and ``<name>_upto`` (total of values up to this one)."""
-    if ranges is None:
-        ranges = RANGES if read_bytes(df) > WHOLE_KEY_BYTES else 1
-    if ranges == 1:
-        g = df.groupBy(*keys, value).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-        upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        g = g.withColumns({f"{c}_upto": F.sum(c).over(upto) for c in ("n", *sums)})
-        g = g.withColumn("before", F.col("n_upto") - F.col("n")).withColumn("rank", F.col("before") + (F.col("n") + 1.0) / 2.0)
-        return g.select(*keys, value, "n", "before", "rank", *sums, *[f"{c}_upto" for c in sums])
-    # cut points may be approximate: they balance the work and change no result
-    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
-    points = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    g = df.groupBy(*keys, value).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-    g = g.withColumn("_range", F.size(F.filter(points, lambda p: p < F.col(value).cast("double"))))
     names = ["n", *sums]
+    g = df.groupBy(*keys, value).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    g = g.withColumn("_range", range_of(F.col(value).cast("double"), cut_points(df, [value])[0][0]))
     whole = g.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in names])
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key
     whole = whole.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0.0)).alias(f"_{c}") for c in names])
     same = F.col("_range") == F.col("_r")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     upto = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.join(whole, same)
-    g = g.withColumns({f"{c}_upto": F.col(f"_{c}") + F.sum(c).over(upto) for c in names})
+    g = g.withColumns({f"_up_{c}": F.sum(c).over(upto) for c in names}).join(whole, same)
+    g = g.withColumns({f"{c}_upto": F.col(f"_{c}") + F.col(f"_up_{c}") for c in names})
     g = g.withColumn("before", F.col("n_upto") - F.col("n")).withColumn("rank", F.col("before") + (F.col("n") + 1.0) / 2.0)
     return g.select(*keys, value, "n", "before", "rank", *sums, *[f"{c}_upto" for c in sums])
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], part: Column, name: str) -> DataFrame:
+    """The rows with their place in the order, from 1, within their key.
+
+    ``part`` must not fall along the order, and must be the same whenever the rows are read again: places are counted
+    inside a part, and the sizes of the parts before it are added, so that no task orders a whole key.
+    """
+    d = df.withColumn("_part", part)
+    sizes = d.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
+    sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), before.alias("_before"))
+    same = F.col("_part").eqNullSafe(F.col("_p"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    d = d.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    if not keys:
+        sizes = F.broadcast(sizes)  # a row a part
+    return d.join(sizes, same).withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_p", "_before", "_in", *[f"_k{i}" for i in range(len(keys))])
+
+
+def spread_evenly(u: Column) -> Column:
+    """The part of a number in (0, 1), for orders by random numbers."""
+    return F.floor(u * RANGES)
+
+
+def by_number(df: DataFrame, value: str, row_id: str, keys: Sequence[str] = (), name: str = "_k") -> DataFrame:
+    """The rows with their place by (value, row_id); ``value`` may be ``row_id`` itself.
+
+    Parts are ranges between cuts of the value, and rows that have a cut's very value, of which there may be many, are
+    parted by ranges of a numeric row id.
+    """
+    (by, _), (within, _) = cut_points(df, [value, row_id])
+    x, r = F.col(value).try_cast("double"), F.col(row_id).try_cast("double")
+    p = part_of(x, by)
+    part = p * RANGES + F.when(p % 2 == 1, range_of(r, within)).otherwise(0)
+    return numbered(df, keys, [value, row_id], F.coalesce(part, F.lit(-1)), name)
+
+
 def window_rank(value: str, keys: Sequence[str] = ()) -> Column:
     """Mean rank among ties, from 1."""
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput
 from ranktide.functions.hashing import uniform
+from ranktide.functions.ranks import by_number, numbered, spread_evenly
 from ranktide.operators.inference import estimate
 from ranktide.operators.measure import on, rga
 from ranktide.sources.frames import columns, is_numeric
@@ -89,7 +90,7 @@ def worst(df: DataFrame, features: Sequence[str], y: str = "y", z: str = "z", n_
     m = memberships(df, features, n_bins, max_depth, min_size, row_id).withColumnRenamed(row_id, "_id").filter(F.col("label").isin([r["label"] for r in rows]))
     long = df.select(row_id, y, z).join(m, F.col(row_id) == F.col("_id")).select(row_id, "label", y, z)
     e = estimate(long, ["label"], y, z, level=level).select("label", "standard_error", "ci_low", "ci_high")
-    return on(best, e, ["label"], "left")
+    return on(best, e, ["label"], "left").orderBy("rga", "label")
 
 
 def search_p_value(df: DataFrame, features: Sequence[str], y: str = "y", z: str = "z", n_bins: int = 4, max_depth: int = 2, min_size: int = 100, n_permutations: int = 200, row_id: str = "row_id", seed: int = 0) -> DataFrame:
@@ -99,9 +100,10 @@ def search_p_value(df: DataFrame, features: Sequence[str], y: str = "y", z: str
     """
     m = memberships(df, features, n_bins, max_depth, min_size, row_id)
     seen = search(df, features, y, z, n_bins, max_depth, min_size, row_id).agg(F.min("rga").alias("worst_rga"))
-    reps = df.select(row_id, y, z).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
-    a = reps.select("rep", F.col(row_id).alias("_from"), F.row_number().over(Window.partitionBy("rep").orderBy(row_id)).alias("_k"))
-    b = reps.select(F.col("rep").alias("_rep"), y, z, F.row_number().over(Window.partitionBy("rep").orderBy(uniform(seed, "cohort", F.col("rep"), F.col(row_id)), row_id)).alias("_k2"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1)))
+    a = by_number(df.select(row_id), row_id, row_id).select(F.col(row_id).alias("_from"), "_k", each.alias("rep"))
+    b = df.select(row_id, y, z, each.alias("_rep")).withColumn("_u", uniform(seed, "cohort", F.col("_rep"), F.col(row_id)))
+    b = numbered(b, ["_rep"], ["_u", row_id], spread_evenly(F.col("_u")), "_k2").select("_rep", y, z, "_k2")
     j = a.join(b, (F.col("rep") == F.col("_rep")) & (F.col("_k") == F.col("_k2"))).join(m, F.col("_from") == F.col(row_id))
     lows = rga(j.select("rep", "label", y, z), ["rep", "label"], y, z).groupBy("rep").agg(F.min("rga").alias("low"))
     return lows.crossJoin(F.broadcast(seen)).groupBy("worst_rga").agg(((1.0 + F.count_if(F.col("low") <= F.col("worst_rga"))) / (n_permutations + 1.0)).alias("p_value"))

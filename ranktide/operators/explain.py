@@ -8,11 +8,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput
 from ranktide.functions.hashing import uniform
+from ranktide.functions.ranks import by_number, numbered, spread_evenly
 from ranktide.operators.inference import estimate
 from ranktide.operators.measure import on, rga
 from ranktide.operators.scorer import Model, score
@@ -37,9 +38,10 @@ def replacement(train: DataFrame, names: Sequence[str], method: str) -> dict[str
 
 
 def permuted(df: DataFrame, names: Sequence[str], row_id: str, seed: int, stream: str = "permute") -> DataFrame:
-    """The rows with the named columns permuted together, by one permutation."""
-    a = df.withColumn("_k", F.row_number().over(Window.orderBy(row_id)))
-    b = df.select(F.struct(*names).alias("_s"), F.row_number().over(Window.orderBy(uniform(seed, stream, F.col(row_id)), row_id)).alias("_k2"))
+    """The rows with the named columns permuted together: the row at a place by row id takes the values of the row at that place by a hash."""
+    a = by_number(df, row_id, row_id)
+    u = df.select(row_id, F.struct(*names).alias("_s")).withColumn("_u", uniform(seed, stream, F.col(row_id)))
+    b = numbered(u, (), ["_u", row_id], spread_evenly(F.col("_u")), "_k2").select("_s", "_k2")
     j = a.join(b, F.col("_k") == F.col("_k2"))
     return j.select(*[F.col("_s")[c].alias(c) if c in names else F.col(c) for c in df.columns])
 
@@ -63,18 +65,13 @@ def reduced(train: DataFrame, df: DataFrame, model: Model, names: Sequence[str],
 
 def long_scores(train: DataFrame, df: DataFrame, model: Model, groups: dict[str, list[str]], method: str, row_id: str, seed: int = 0, refit: Callable | None = None, **scorer) -> DataFrame:
     """row_id, y (full score), variable, z (score without it)."""
-    full = score(df, model, "y", **scorer)
-    simple = method in ("mean", "median", "mode") and isinstance(model, (str, Column))
-    if simple:  # every reduced score is a column of one projection
+    if method in ("mean", "median", "mode"):  # a row for each variable, with that variable replaced, is scored once
         values = replacement(train, sorted({c for g in groups.values() for c in g}), method)
-        wide = full.select(row_id, "y")
-        cols = []
-        for i, (_, g) in enumerate(groups.items()):
-            part = score(df.withColumns({c: F.lit(values[c]) for c in g}), model, f"z{i}", **scorer).select(F.col(row_id).alias(f"_i{i}"), f"z{i}")
-            wide = wide.join(part, F.col(row_id) == F.col(f"_i{i}")).drop(f"_i{i}")
-            cols.append(f"z{i}")
-        names = F.create_map(*[x for i, n in enumerate(groups) for x in (F.lit(f"z{i}"), F.lit(n))])
-        return wide.unpivot([row_id, "y"], cols, "_v", "z").withColumn("variable", names[F.col("_v")]).select(row_id, "y", "variable", "z")
+        long = score(df, model, "_full", **scorer).withColumn("_variable", F.explode(F.array(*[F.lit(n) for n in groups])))
+        without = lambda c: F.col("_variable").isin([n for n, g in groups.items() if c in g])
+        long = long.withColumns({c: F.when(without(c), F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
+        return score(long, model, "_changed", **scorer).select(row_id, F.col("_full").alias("y"), F.col("_variable").alias("variable"), F.col("_changed").alias("z"))
+    full = score(df, model, "y", **scorer)
     out = None
     for name, g in groups.items():
         w = reduced(train, df, model, g, method, row_id, seed, refit, **scorer).withColumnRenamed(row_id, "_id")

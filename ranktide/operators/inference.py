@@ -10,62 +10,69 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput
 from ranktide.functions import gauss
 from ranktide.functions.hashing import uniform
-from ranktide.functions.ranks import by_value
-from ranktide.operators.measure import NOTE_CONSTANT, NOTE_FEW, on, rga
+from ranktide.functions.ranks import by_number, cut_points, finite, numbered, placed, rank_sums, spread_evenly
+from ranktide.operators.measure import NOTE_CONSTANT, NOTE_FEW, from_sums, left_out, on, rga
 from ranktide.sources.frames import count, level as check_level
 
 METHODS = ("jackknife", "influence", "bootstrap")
 
 
-def _both(df: DataFrame, keys: Sequence[str], y: str, z: str) -> DataFrame:
-    """Rows with n, mean, sum of y; rank, tie sum and sum above by z and by y; products of y and rank."""
-    d = df.withColumns({y: F.col(y).cast("double"), z: F.col(z).cast("double")})
-    for v, s in ((z, "z"), (y, "y")):
-        g = by_value(d, keys, v, {"_p": F.col(y)}).select(*keys, F.col(v).alias("_v"), F.col("rank").alias(f"_r{s}"), F.col("_p").alias(f"_u{s}"), F.col("_p_upto").alias(f"_c{s}"))
-        same = F.col(v) == F.col("_v")
-        g = g.withColumnsRenamed({k: f"_g{i}" for i, k in enumerate(keys)})
-        for i, k in enumerate(keys):
-            same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
-        d = d.join(g, same).drop("_v", *[f"_g{i}" for i in range(len(keys))])
-    t = d.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(y).alias("_sy"), F.sum(F.col(y) * F.col("_rz")).alias("_pz"), F.sum(F.col(y) * F.col("_ry")).alias("_py"))
-    return on(d, t, keys)
+def ranked(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose y and values are all finite, with facts of each row by each value and by y, and the ``rank_sums`` of the keys.
+
+    Columns of the rows: ``_y`` (y less a constant, which changes no measure), ``_n``, ``_sy``, and for the k-th of (*values, y): ``_r<k>`` (mean rank),
+    ``_u<k>`` (sum of _y over its ties), ``_c<k>`` (sum of _y up to it) and ``_p<k>`` (sum of _y times rank over the key).
+    """
+    every = [*values, y]
+    cuts = cut_points(df, [y, *every])
+    sums = rank_sums(df, keys, y, every, cuts=cuts)
+    t = sums.select(*keys, F.col("_rows").alias("_n"), F.col("_s").alias("_sy"), *[(F.col(f"_p{k}") + F.col("_s") / 2.0).alias(f"_p{k}") for k in range(len(every))])
+    return placed(df, keys, y, every, cuts, t), sums
+
+
+def jackknife_value(k: int, target: int) -> Column:
+    """The measure of the k-th value without the row, over ``ranked`` rows; null where that is not defined."""
+    n, y, sy = F.col("_n"), F.col("_y"), F.col("_sy")
+    rest = (sy - y) / F.nullif(n - 1, F.lit(0)) * ((n - 1) * n / 2.0)
+    side = lambda i: F.col(f"_p{i}") - y * F.col(f"_r{i}") - (sy - F.col(f"_c{i}")) - 0.5 * (F.col(f"_u{i}") - y) - rest
+    return F.when((n > 2) & (F.abs(side(target)) > 1e-9), 0.5 + F.try_divide(side(k), 2.0 * side(target)))
+
+
+def influence_value(k: int, target: int) -> Column:
+    """The influence of the row on the measure of the k-th value, over ``ranked`` rows."""
+    n, y, mean = F.col("_n"), F.col("_y"), F.col("_sy") / F.col("_n")
+    psi = lambda i: (F.col(f"_p{i}") / n - 0.5 * mean) / n  # noqa: E731  mean of y F
+    tail = lambda i: (F.col("_sy") - F.col(f"_c{i}") + 0.5 * F.col(f"_u{i}")) / n
+    inf = lambda i: y * (F.col(f"_r{i}") - 0.5) / n + tail(i) - 2.0 * psi(i) - 0.5 * (y - mean)
+    num, den = psi(k) - 0.5 * mean, psi(target) - 0.5 * mean
+    return F.when(F.abs(den) > 1e-14, inf(k) / (2.0 * den) - num * inf(target) / (2.0 * den * den))
+
+
+ROW_VALUES = {"jackknife": jackknife_value, "influence": influence_value}
 
 
 def jackknife_values(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z") -> DataFrame:
-    """The rows with ``value``: the measure without the row; null where that is not defined."""
-    d = _both(df, keys, y, z)
-    n, sy = F.col("_n"), F.col("_sy")
-    rest = (sy - F.col(y)) / F.nullif(n - 1, F.lit(0)) * ((n - 1) * n / 2.0)
-    side = lambda s: F.col(f"_p{s}") - F.col(y) * F.col(f"_r{s}") - (sy - F.col(f"_c{s}")) - 0.5 * (F.col(f"_u{s}") - F.col(y)) - rest
-    d = d.withColumn("_num", side("z")).withColumn("_den", side("y"))
-    value = F.when((n > 2) & (F.abs("_den") > 1e-9), 0.5 + F.try_divide(F.col("_num"), 2.0 * F.col("_den")))
-    return d.withColumn("value", value).select(*df.columns, "value")
+    """The complete rows with ``value``: the measure without the row; null where that is not defined."""
+    return ranked(df, keys, y, [z])[0].withColumn("value", jackknife_value(0, 1)).select(*df.columns, "value")
 
 
 def influence_values(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z") -> DataFrame:
-    """The rows with ``value``: the influence of the row on the measure."""
-    d = _both(df, keys, y, z)
-    n, mean = F.col("_n"), F.col("_sy") / F.col("_n")
-    psi = lambda s: (F.col(f"_p{s}") / n - 0.5 * mean) / n  # noqa: E731  mean of y F
-    tail = lambda s: (F.col("_sy") - F.col(f"_c{s}") + 0.5 * F.col(f"_u{s}")) / n
-    inf = lambda s: F.col(y) * (F.col(f"_r{s}") - 0.5) / n + tail(s) - 2.0 * psi(s) - 0.5 * (F.col(y) - mean)
-    num, den = psi("z") - 0.5 * mean, psi("y") - 0.5 * mean
-    value = F.when(F.abs(den) > 1e-14, inf("z") / (2.0 * den) - num * inf("y") / (2.0 * den * den))
-    return d.withColumn("value", value).select(*df.columns, "value")
+    """The complete rows with ``value``: the influence of the row on the measure."""
+    return ranked(df, keys, y, [z])[0].withColumn("value", influence_value(0, 1)).select(*df.columns, "value")
 
 
 def bootstrap_weights(df: DataFrame, keys: Sequence[str], row_id: str, n_resamples: int, seed: int) -> DataFrame:
     """The rows times replicates in which they were drawn, with ``_rep`` and ``_times``: exact multinomial draws in each key."""
-    numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(row_id)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    reps = numbered.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("_rep"))
+    placed = on(by_number(df, row_id, row_id, keys).withColumn("_i", F.col("_k") - 1).drop("_k"), df.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    reps = placed.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("_rep"))
     drawn = reps.select(*keys, "_rep", F.floor(uniform(seed, "boot", F.col("_rep"), F.col("_i")) * F.col("_n")).alias("_i")).groupBy(*keys, "_rep", "_i").agg(F.count("*").cast("double").alias("_times"))
-    return on(drawn, numbered.drop("_n"), [*keys, "_i"]).drop("_i")
+    return on(drawn, placed.drop("_n"), [*keys, "_i"]).drop("_i")
 
 
 def bootstrap_values(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", row_id: str = "row_id", n_resamples: int = 2000, seed: int = 0) -> DataFrame:
@@ -126,8 +133,8 @@ def estimate(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z"
     if method not in METHODS:
         raise BadInput(f"unknown method {method!r}")
     zc = gauss.quantile(1 - (1 - check_level(level)) / 2)
-    point = rga(df, keys, y, z, least=3)
     if method == "bootstrap":
+        point = rga(df, keys, y, z, least=3)
         reps = bootstrap_values(df, keys, y, z, row_id, n_resamples, seed).filter("value is not null")
         se = reps.groupBy(*keys).agg(_sd("value").alias("standard_error"), F.count("*").alias("_ok"))
         kind = kind or "bca"
@@ -135,40 +142,53 @@ def estimate(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z"
         r = on(on(point, se, keys, "left") if keys else on(point, se, keys), ci, keys, "left") if keys else on(on(point, se, keys), ci, keys)
         ok = F.col("_ok") * 2 >= n_resamples
         return r.select(*keys, "n", "rga", F.when(ok, F.col("standard_error")).alias("standard_error"), F.lit(None).cast("double").alias("bias"), F.when(ok, F.col("ci_low")).alias("ci_low"), F.when(ok, F.col("ci_high")).alias("ci_high"), "note")
+    rows, sums = ranked(df, keys, y, [z])
+    return from_rows(rows.groupBy(*keys).agg(*spread(method)), sums, keys, method, zc)
+
+
+def spread(method: str, k: int = 0, target: int = 1) -> list[Column]:
+    """Aggregates over ``ranked`` rows that the error of the k-th value needs."""
+    v = ROW_VALUES[method](k, target)
+    return [(F.var_pop(v) if method == "jackknife" else F.var_samp(v)).alias("_v"), F.avg(v).alias("_m"), F.count(v).alias("_k")]
+
+
+def from_rows(spreads: DataFrame, sums: DataFrame, keys: Sequence[str], method: str, zc: float, more: Sequence[str] = ()) -> DataFrame:
+    """The estimate from the aggregates of ``spread`` and ``rank_sums``; a key all of whose rows were left out has null and a note."""
+    value, flat = from_sums()
+    point = sums.withColumns({"_rga": value, "_flat": flat})
+    r = on(point, spreads, keys, "left") if keys else point.crossJoin(F.broadcast(spreads))
+    n = F.col("_rows")
     if method == "jackknife":
-        v = jackknife_values(df, keys, y, z).groupBy(*keys).agg(F.var_pop("value").alias("_v"), F.avg("value").alias("_m"), F.count("value").alias("_k"))
-        r = on(point, v, keys)
-        se, bias = F.sqrt((F.col("n") - 1) * F.col("_v")), (F.col("n") - 1) * (F.col("_m") - F.col("rga"))
-        ok = F.col("_k") == F.col("n")
+        se, bias, ok = F.sqrt((n - 1) * F.col("_v")), (n - 1) * (F.col("_m") - F.col("_rga")), F.col("_k") == n
     else:
-        v = influence_values(df, keys, y, z).groupBy(*keys).agg(_sd("value").alias("_v"))
-        r = on(point, v, keys)
-        se, bias, ok = F.col("_v") / F.sqrt("n"), F.lit(None).cast("double"), F.lit(True)
-    ok = ok & F.col("rga").isNotNull()
-    r = r.withColumn("standard_error", F.when(ok, se)).withColumn("bias", F.when(ok, bias))
-    note = F.when((F.col("note") == "") & F.col("standard_error").isNull(), NOTE_CONSTANT).when(F.col("n") < 3, NOTE_FEW).otherwise(F.col("note"))
-    return r.select(*keys, "n", F.when(ok, F.col("rga")).alias("rga"), "standard_error", "bias", (F.col("rga") - zc * F.col("standard_error")).alias("ci_low"), (F.col("rga") + zc * F.col("standard_error")).alias("ci_high"), note.alias("note"))
+        se, bias, ok = F.sqrt(F.col("_v") / n), F.lit(None).cast("double"), F.lit(True)
+    ok = F.coalesce(ok & (n >= 3) & F.col("_rga").isNotNull(), F.lit(False))
+    r = r.withColumns({"n": n, "rga": F.when(ok, F.col("_rga")), "standard_error": F.when(ok, se), "bias": F.when(ok, bias)})
+    note = F.concat_ws("; ", F.when(n < 3, NOTE_FEW).when(F.col("_flat") | F.col("standard_error").isNull(), NOTE_CONSTANT), left_out())
+    return r.select(*keys, "n", "rga", "standard_error", "bias", (F.col("rga") - zc * F.col("standard_error")).alias("ci_low"), (F.col("rga") + zc * F.col("standard_error")).alias("ci_high"), note.alias("note"), *more)
 
 
 def compare(df: DataFrame, keys: Sequence[str] = (), y: str = "y", a: str = "za", b: str = "zb", method: str = "jackknife", level: float = 0.95, row_id: str = "row_id", n_resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """keys, n, rga_a, rga_b, difference, standard_error, ci_low, ci_high, statistic, p_value: paired, over the same rows or the same draws."""
+    """keys, n, rga_a, rga_b, difference, standard_error, ci_low, ci_high, statistic, p_value, significant (the interval excludes 0): paired, over the same rows or the same draws."""
     zc = gauss.quantile(1 - (1 - check_level(level)) / 2)
-    ra, rb = rga(df, keys, y, a, least=3), rga(df, keys, y, b, least=3)
-    point = on(ra.select(*keys, "n", F.col("rga").alias("rga_a")), rb.select(*keys, F.col("rga").alias("rga_b")), keys)
+    if method not in METHODS:
+        raise BadInput(f"unknown method {method!r}")
     if method == "bootstrap":
-        va, vb = (bootstrap_values(df, keys, y, c, row_id, n_resamples, seed) for c in (a, b))
+        complete = df.filter(finite(*[F.col(c).try_cast("double") for c in (y, a, b)]))  # the same rows for both
+        ra, rb = rga(complete, keys, y, a, least=3), rga(complete, keys, y, b, least=3)
+        point = on(ra.select(*keys, "n", F.col("rga").alias("rga_a")), rb.select(*keys, F.col("rga").alias("rga_b")), keys)
+        va, vb = (bootstrap_values(complete, keys, y, c, row_id, n_resamples, seed) for c in (a, b))
         se = on(va.withColumnRenamed("value", "va"), vb.withColumnRenamed("value", "vb"), [*keys, "rep"]).withColumn("_d", F.col("va") - F.col("vb")).groupBy(*keys).agg(_sd("_d").alias("standard_error"))
     else:
-        f = {"jackknife": jackknife_values, "influence": influence_values}.get(method)
-        if f is None:
-            raise BadInput(f"unknown method {method!r}")
-        d = f(f(df, keys, y, a).withColumnRenamed("value", "_va"), keys, y, b).withColumn("_d", F.col("_va") - F.col("value"))
-        n = F.count("*")
-        se = d.groupBy(*keys).agg((_sd("_d") * (n - 1 if method == "jackknife" else F.lit(1.0)) / F.sqrt(n)).alias("standard_error"))
+        rows, sums = ranked(df, keys, y, [a, b])
+        enough = F.col("_rows") >= 3
+        point = sums.select(*keys, F.col("_rows").alias("n"), F.when(enough, from_sums(0, 2)[0]).alias("rga_a"), F.when(enough, from_sums(1, 2)[0]).alias("rga_b"))
+        value, n = ROW_VALUES[method], F.count("*")
+        se = rows.groupBy(*keys).agg((F.stddev_samp(value(0, 2) - value(1, 2)) * (n - 1 if method == "jackknife" else F.lit(1.0)) / F.sqrt(n)).alias("standard_error"))
     r = on(point, se, keys).withColumn("difference", F.col("rga_a") - F.col("rga_b"))
     stat = F.when(F.col("standard_error") > 0, F.try_divide(F.col("difference"), F.col("standard_error"))).when(F.col("difference") == 0, 0.0).otherwise(F.signum("difference") * math.inf)
     p = F.when(F.col("standard_error") > 0, gauss.two_sided(F.try_divide(F.col("difference"), F.col("standard_error")))).when(F.col("difference") == 0, 1.0).otherwise(0.0)
-    return r.select(*keys, "n", "rga_a", "rga_b", "difference", "standard_error", (F.col("difference") - zc * F.col("standard_error")).alias("ci_low"), (F.col("difference") + zc * F.col("standard_error")).alias("ci_high"), stat.alias("statistic"), p.alias("p_value"))
+    return r.select(*keys, "n", "rga_a", "rga_b", "difference", "standard_error", (F.col("difference") - zc * F.col("standard_error")).alias("ci_low"), (F.col("difference") + zc * F.col("standard_error")).alias("ci_high"), stat.alias("statistic"), p.alias("p_value"), ((F.col("difference") - zc * F.col("standard_error") > 0) | (F.col("difference") + zc * F.col("standard_error") < 0)).alias("significant"))
 
 
 def test(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", alternative: str = "greater", n_permutations: int | None = None, row_id: str = "row_id", seed: int = 0) -> DataFrame:
@@ -179,20 +199,26 @@ def test(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", al
     """
     if alternative not in ("greater", "two-sided", "less"):
         raise BadInput(f"unknown alternative {alternative!r}")
-    point = rga(df, keys, y, z)
-    d = _both(df, keys, y, z)
-    mean_rank = (F.col("_n") + 1) / 2.0
-    s = d.groupBy(*keys).agg(F.var_pop(y).alias("_vy"), F.sum(F.pow(F.col("_rz") - mean_rank, F.lit(2.0))).alias("_rr"), F.sum(F.col(y) * (F.col("_ry") - mean_rank)).alias("_den"), F.count("*").alias("_m"))
-    r = on(point, s, keys).withColumn("_sd", F.when(F.col("_m") > 1, F.sqrt(F.col("_vy") * F.col("_m") * F.col("_rr") / (F.col("_m") - 1)) / (2.0 * F.nullif(F.abs("_den"), F.lit(0.0)))))
+    value, flat = from_sums()
+    rows = F.col("_rows")
+    sums = rank_sums(df, keys, y, [z, y]) if n_permutations is None else None
+    d, sums = (None, sums) if sums is not None else ranked(df, keys, y, [z])
+    s = sums.withColumns({
+        "n": rows, "rga": F.when(rows >= 2, value), "_vy": F.col("_s2") / rows - F.pow(F.col("_s") / rows, F.lit(2.0)),
+        "_rr": (F.pow(rows, F.lit(3.0)) - rows - F.col("_t0")) / 12.0, "_den": F.col("_p1") - F.col("_s") * rows / 2.0,
+    })
+    r = s.withColumn("_sd", F.when((rows > 1) & ~flat, F.sqrt(F.col("_vy") * rows * F.col("_rr") / (rows - 1)) / (2.0 * F.nullif(F.abs("_den"), F.lit(0.0)))))
+    point = s.select(*keys, "n", "rga")
     if n_permutations is None:
         stat = F.when(F.col("_sd") > 0, F.try_divide(F.col("rga") - 0.5, F.col("_sd"))).when(F.col("rga").isNotNull(), 0.0)
         tail = {"greater": gauss.upper(stat), "less": 1.0 - gauss.upper(stat), "two-sided": gauss.two_sided(stat)}[alternative]
         return r.select(*keys, "n", "rga", stat.alias("statistic"), F.when(F.col("_sd") > 0, tail).when(F.col("rga").isNotNull(), 1.0).alias("p_value"))
     count(n_permutations, "n_permutations", 1)
-    reps = d.select(*keys, row_id, y, "_rz", "_n").withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
-    by = Window.partitionBy(*keys, "_rep")
-    left = reps.select(*keys, "_rep", F.col(y).alias("_y"), F.row_number().over(by.orderBy(row_id)).alias("_k"))
-    right = reps.select(*keys, "_rep", "_rz", F.row_number().over(by.orderBy(uniform(seed, "perm", F.col("_rep"), F.col(row_id)), row_id)).alias("_k"))
+    # the row at a place by row id takes the rank of the row at that place by a hash
+    each = F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("_rep")
+    left = by_number(d.select(*keys, row_id, F.col("_y").alias("_y")), row_id, row_id, keys).select(*keys, "_k", "_y", each)
+    right = d.select(*keys, row_id, F.col("_r0").alias("_rz"), each).withColumn("_u", uniform(seed, "perm", F.col("_rep"), F.col(row_id)))
+    right = numbered(right, [*keys, "_rep"], ["_u", row_id], spread_evenly(F.col("_u")), "_k").select(*keys, "_rep", "_k", "_rz")
     m = on(left, right, [*keys, "_rep", "_k"]).groupBy(*keys, "_rep").agg(F.sum(F.col("_y") * F.col("_rz")).alias("_s"), F.sum("_y").alias("_t"), F.count("*").alias("_c"))
     m = on(m, s.select(*keys, "_den"), keys).withColumn("_v", 0.5 + (F.col("_s") - F.col("_t") * (F.col("_c") + 1) / 2.0) / (2.0 * F.nullif("_den", F.lit(0.0))))
     m = on(m, point.select(*keys, "rga"), keys)

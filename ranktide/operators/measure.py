@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranktide.errors import UndefinedMeasure
-from ranktide.functions.ranks import by_value
+from ranktide.functions.ranks import rank_sums
 from ranktide.sources.frames import check_pair
 
 NOTE_CONSTANT = "target is constant"
@@ -30,29 +30,32 @@ def on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> D
     return a.join(renamed, same, how).drop(*[f"_on{i}" for i in range(len(keys))])
 
 
-def centred(df: DataFrame, keys: Sequence[str], y: str = "y", weight: str | None = None) -> DataFrame:
-    """Adds ``_c``, the target less the mean of its key, and ``_w``, the weight scaled to mean 1 (or 1)."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    m = df.groupBy(*keys).agg((F.sum(w * F.col(y)) / F.try_divide(F.sum(w), F.lit(1.0))).alias("_mean"), (F.count("*") / F.sum(w)).alias("_scale"))
-    d = on(df, m, keys).withColumn("_w", w * F.col("_scale"))
-    return d.withColumn("_c", (F.col(y) - F.col("_mean")) * F.col("_w")).drop("_mean", "_scale")
+def from_sums(i: int = 0, j: int = 1) -> tuple[Column, Column]:
+    """The measure from ``rank_sums`` of a score (place i) and the target (place j), and whether the target is constant."""
+    scale, mean = F.try_divide(F.col("_rows"), F.col("_w")), F.try_divide(F.col("_s"), F.col("_w"))
+    side = lambda k: scale * scale * F.col(f"_p{k}") - mean * F.col("_rows") * F.col("_rows") / 2.0
+    far = F.greatest(F.abs(F.col("_hi") - mean), F.abs(F.col("_lo") - mean))
+    flat = F.coalesce((F.col("_lo") == F.col("_hi")) | (F.abs(side(j)) <= far * F.col("_rows") * F.col("_rows") * 1e-15), F.lit(True))
+    return F.when(~flat, 0.5 + F.try_divide(side(i), 2.0 * side(j))), flat
 
 
 def rga(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", weight: str | None = None, least: int = 2) -> DataFrame:
-    """keys, n, rga, gini, note."""
-    d = centred(df.withColumns({y: F.col(y).cast("double"), z: F.col(z).cast("double")}), keys, y, weight)
-    w = F.col("_w")
-
-    def half(value: str) -> DataFrame:
-        g = by_value(d, keys, value, {"_sum": F.col("_c"), "_rows": F.lit(1.0)}, weight=w)
-        return g.groupBy(*keys).agg(F.sum(F.col("_sum") * F.col("rank")).alias("_s"), F.sum("_rows").alias("n"), F.max(F.abs(F.col("_sum") / F.col("_rows"))).alias("_far"))
-
-    num, den = half(z), half(y)
-    r = on(num.withColumnRenamed("_s", "_num").drop("_far"), den.select(*keys, F.col("_s").alias("_den"), "_far"), keys)
-    tiny = F.abs("_den") <= F.greatest(F.lit(1e-12), F.col("_far") * F.col("n") * F.col("n") * 1e-15)
-    value = F.when(~tiny & (F.col("n") >= least), 0.5 + F.try_divide(F.col("_num"), 2.0 * F.col("_den")))
-    note = F.when(F.col("n") < least, NOTE_FEW).when(tiny, NOTE_CONSTANT).otherwise("")
-    return r.select(*keys, F.col("n").cast("bigint").alias("n"), value.alias("rga"), (2.0 * value - 1.0).alias("gini"), note.alias("note"))
+    """keys, n, rga, gini, note.
+
+    Rows whose target, score or weight is missing, NaN or infinite are left out; the note counts them.  One pass over the rows, and one
+    before it for the cuts.
+    """
+    value, flat = from_sums()
+    r = rank_sums(df, keys, y, [z, y], weight).withColumns({"_value": value, "_flat": flat})
+    enough = F.col("_rows") >= least
+    value = F.when(enough, F.col("_value"))
+    note = F.concat_ws("; ", F.when(~enough, NOTE_FEW).when(F.col("_flat"), NOTE_CONSTANT), left_out())
+    return r.select(*keys, F.col("_rows").alias("n"), value.alias("rga"), (2.0 * value - 1.0).alias("gini"), note.alias("note"))
+
+
+def left_out() -> Column:
+    """What a note says of rows that were left out, or null."""
+    return F.when(F.col("_left_out") > 0, F.concat(F.col("_left_out").cast("string"), F.lit(" rows left out: a value is missing or infinite")))
 
 
 def rga_value(df: DataFrame, y: str = "y", z: str = "z", weight: str | None = None) -> float:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput
 from ranktide.functions import gauss
-from ranktide.operators.fairness import adjusted, null_draws, null_spread
+from ranktide.operators.fairness import adjusted, compared, pair_rows
 from ranktide.sources.frames import finite, level as check_level
 
 CRITERIA = ("demographic_parity", "equal_opportunity", "predictive_equality")
@@ -71,13 +71,13 @@ def pairs(groups: DataFrame, criterion: str, level: float = 0.95, n_resamples: i
     """a, b, difference, standard_error, null_error, ci_low, ci_high, p_value, p_adjusted of one criterion."""
     zc = gauss.quantile(1 - (1 - check_level(level)) / 2)
     k = _null_errors(groups.filter(F.col("criterion") == criterion))
-    side = lambda x, g, o: k.select(F.col("group").alias(g), F.col("place").alias(o), *[F.col(c).alias(f"{c}_{x}") for c in ("rate", "standard_error", "n_eligible", "n_selected", "null_error")])
-    p = side("a", "a", "_i").join(side("b", "b", "_j"), F.col("_i") < F.col("_j"))
-    low, high = agresti_caffo(F.col("n_selected_a"), F.col("n_eligible_a"), F.col("n_selected_b"), F.col("n_eligible_b"), zc)
-    p = p.withColumn("difference", F.col("rate_a") - F.col("rate_b")).withColumn("null_error", F.sqrt(F.pow("null_error_a", F.lit(2.0)) + F.pow("null_error_b", F.lit(2.0))))
-    p = p.withColumn("_t", F.coalesce(F.try_divide(F.col("difference"), F.col("null_error")), F.lit(0.0)))
-    p = p.select("a", "b", "difference", F.sqrt(F.pow("standard_error_a", F.lit(2.0)) + F.pow("standard_error_b", F.lit(2.0))).alias("standard_error"), "null_error", low.alias("ci_low"), high.alias("ci_high"), gauss.two_sided(F.col("_t")).alias("p_value"), "_t")
-    return adjusted(p, null_draws(k, "null_error", n_resamples, seed), "_t", n_resamples).drop("_t")
+    p = pair_rows(compared(k, "null_error", ["group", "rate", "standard_error", "n_eligible", "n_selected"], n_resamples, seed))
+    a, b = F.col("x"), F.col("y")
+    low, high = agresti_caffo(a["n_selected"], a["n_eligible"], b["n_selected"], b["n_eligible"], zc)
+    d, null = a["rate"] - b["rate"], F.sqrt(a["se"] * a["se"] + b["se"] * b["se"])
+    t = F.coalesce(F.try_divide(d, null), F.lit(0.0))
+    se = F.sqrt(a["standard_error"] * a["standard_error"] + b["standard_error"] * b["standard_error"])
+    return p.select(a["group"].alias("a"), b["group"].alias("b"), d.alias("difference"), se.alias("standard_error"), null.alias("null_error"), low.alias("ci_low"), high.alias("ci_high"), gauss.two_sided(t).alias("p_value"), adjusted(t, n_resamples).alias("p_adjusted"))
 
 
 def gaps(groups: DataFrame, level: float = 0.95) -> DataFrame:
@@ -104,7 +104,7 @@ def equalized_odds(gap_table: DataFrame) -> DataFrame:
 
 def noise_floor(groups: DataFrame, criterion: str, n_resamples: int = 2000, seed: int = 0) -> DataFrame:
     k = _null_errors(groups.filter(F.col("criterion") == criterion))
-    return null_spread(null_draws(k, "null_error", n_resamples, seed)).agg(F.avg("spread").alias("noise_floor"))
+    return compared(k, "null_error", [], n_resamples, seed).select(F.col("floor").alias("noise_floor"))
 
 
 __all__ = ["CRITERIA", "agresti_caffo", "decided", "equalized_odds", "gaps", "noise_floor", "pairs", "rates", "wilson"]

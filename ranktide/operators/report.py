@@ -73,6 +73,11 @@ class Report:
         return spark.createDataFrame(rows, "section string, subject string, metric string, value double")
 
 
+def settled(record: dict) -> dict:
+    """The record with numbers to twelve digits: sums differ in the last ones with the order of rows."""
+    return {k: float(f"{v:.12g}") if isinstance(v, float) else v for k, v in record.items()}
+
+
 def build(df: DataFrame, y: str, model: Model, train: DataFrame | None = None, variables: Sequence[str] = (), group: str | None = None, protected: Sequence[str] = (), threshold: float | None = None, name: str = "model", generated_at: str | None = None, row_id: str = "row_id", level: float = 0.95, min_group_size: int = 50, n_resamples: int = 2000, seed: int = 0) -> Report:
     """Accuracy always; explainability with ``train``; robustness with ``variables``; fairness with ``group`` and ``protected``; outcomes only with a threshold.
 
@@ -85,11 +90,11 @@ def build(df: DataFrame, y: str, model: Model, train: DataFrame | None = None, v
 
         def section(key: str, make: Callable[[], DataFrame]) -> None:
             try:
-                out.sections[key] = [r.asDict() for r in make().collect()]
+                out.sections[key] = [settled(r.asDict()) for r in make().collect()]
             except RankError as e:
                 out.warnings.append(f"{key}: {e}")
 
-        out.sections["accuracy"] = [accuracy.report(d, (), "y", "z", level=level).first().asDict()]
+        out.sections["accuracy"] = [settled(accuracy.report(d, (), "y", "z", level=level).first().asDict())]
         names = list(variables)
         if names and train is not None:
             section("explainability", lambda: explain.rge(train, df, model, names, row_id=row_id).orderBy("rge", ascending=False))
@@ -105,9 +110,9 @@ def build(df: DataFrame, y: str, model: Model, train: DataFrame | None = None, v
             else:
                 section("outcomes", lambda: outcomes.gaps(outcomes.rates(d, group, "y", "z", threshold, min_group_size, level, row_id), level))
         if protected:
-            section("leakage", lambda: fairness.proxy_leakage(d.select(row_id, "z", *protected, *[c for c in names if c not in protected]), list(protected), row_id=row_id))
+            section("leakage", lambda: fairness.proxy_leakage(d.select(row_id, "z", *protected, *[c for c in names if c not in protected]), list(protected), row_id=row_id, yhat="z").orderBy("variable"))
             if train is not None:
-                section("dependence", lambda: explain.rgf(train, df, model, list(protected), row_id=row_id))
+                section("dependence", lambda: explain.rgf(train, df, model, list(protected), row_id=row_id, yhat="z").orderBy("variable"))
         return out
     finally:
         d.unpersist()

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput
 from ranktide.functions.hashing import normal, uniform
+from ranktide.functions.ranks import by_number
 from ranktide.operators.inference import influence_values, jackknife_values
 from ranktide.operators.measure import on, rga
 from ranktide.operators.scorer import Model, score
@@ -48,19 +49,31 @@ def perturb(df: DataFrame, names: str | Sequence[str], magnitude: float = 0.05,
         sd = df.agg(*[F.stddev_pop(c).alias(f"_sd{i}") for i, c in enumerate(names)])
         d = df.crossJoin(F.broadcast(sd))
         return d.withColumns({c: F.col(c) + magnitude * F.col(f"_sd{i}") * normal(seed, "gauss", rep, F.col(row_id)) for i, c in enumerate(names)}).select(*df.columns)
-    out, n = df, df.count()
-    s = min(math.ceil(magnitude * n), n - math.ceil((1 - magnitude) * n))
+    out = df
     for c in names:
-        w = Window.orderBy(c, row_id)
-        a = out.withColumn("_k", F.row_number().over(w))
-        tails = out.select(F.col(c).alias("_x"), F.row_number().over(w).alias("_j")).filter((F.col("_j") <= s) | (F.col("_j") > n - s))
-        j = a.join(tails.withColumn("_k2", n + 1 - F.col("_j")).drop("_j"), F.col("_k") == F.col("_k2"), "left")
-        out = j.withColumn(c, F.coalesce("_x", c)).select(*df.columns)
+        out = mirrored(out, c, row_id).withColumn(c, F.when(_swapped(magnitude), F.col("_mirror")).otherwise(F.col(c))).select(*df.columns)
     return out
 
 
+def mirrored(df: DataFrame, column: str, row_id: str) -> DataFrame:
+    """The rows with ``_k``, their place by (column, row id), ``_n``, the number of rows, and ``_mirror``, the value of the row as far from the other end."""
+    placed = by_number(df, column, row_id)
+    n = df.agg(F.count("*").alias("_n"))
+    other = by_number(df.select(row_id, column), column, row_id, name="_j").crossJoin(F.broadcast(n)).select((F.col("_n") + 1 - F.col("_j")).alias("_at"), F.col(column).alias("_mirror"), "_n")
+    return placed.join(other, F.col("_k") == F.col("_at")).drop("_at")
+
+
+def _swapped(magnitude: float | Column) -> Column:
+    """Whether a row is in the share of either tail that is swapped."""
+    m, n = magnitude if isinstance(magnitude, Column) else F.lit(float(magnitude)), F.col("_n")
+    s = F.least(F.ceil(m * n), n - F.ceil((1 - m) * n))
+    return (F.col("_k") <= s) | (F.col("_k") > n - s)
+
+
 def _long(df: DataFrame, model: Model, groups: dict[str, list[str]], settings: Sequence[tuple[float, int]], kind: str, row_id: str, seed: int, **scorer) -> DataFrame:
     """row_id, y (score), variable, magnitude, rep, z (perturbed score)."""
+    if kind == "tailswap":
+        return _tailswaps(df, model, groups, [m for m, _ in settings], row_id, **scorer)
     full, out = score(df, model, "y", **scorer).select(row_id, "y"), None
     for name, g in groups.items():
         for m, rep in settings:
@@ -70,6 +83,24 @@ def _long(df: DataFrame, model: Model, groups: dict[str, list[str]], settings: S
     return out
 
 
+def _tailswaps(df: DataFrame, model: Model, groups: dict[str, list[str]], magnitudes: Sequence[float], row_id: str, **scorer) -> DataFrame:
+    """As ``_long``: a variable is ordered once, and all magnitudes are made from its places in one projection."""
+    full, out = score(df, model, "_full", **scorer), None
+    for name, g in groups.items():
+        for c in g:
+            _check(df, [c], "tailswap", max(magnitudes))
+        d = full.withColumn("_magnitude", F.explode(F.array(*[F.lit(float(m)) for m in magnitudes]))) if len(g) > 1 else full
+        for k, c in enumerate(g):
+            placed = mirrored(df.select(row_id, c), c, row_id).select(F.col(row_id).alias("_id"), "_k", "_n", "_mirror")
+            d = d.join(placed, F.col(row_id) == F.col("_id")).drop("_id")
+            if len(g) == 1:
+                d = d.withColumn("_magnitude", F.explode(F.array(*[F.lit(float(m)) for m in magnitudes])))
+            d = d.withColumn(c, F.when(_swapped(F.col("_magnitude")), F.col("_mirror")).otherwise(F.col(c))).drop("_k", "_n", "_mirror")
+        part = score(d, model, "_changed", **scorer).select(row_id, F.col("_full").alias("y"), F.lit(name).alias("variable"), F.col("_magnitude").alias("magnitude"), F.lit(0).alias("rep"), F.col("_changed").alias("z"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def rgr(df: DataFrame, model: Model, variables: str | Sequence[str], magnitude: float = 0.05, kind: str = "tailswap", group: bool = False, n_repeats: int = 1, ci: bool = False, ci_method: str = "jackknife", level: float = 0.95, row_id: str = "row_id", seed: int = 0, **scorer) -> DataFrame:
     """variable, n, rgr (mean over repeats), spread (and standard_error, ci_low, ci_high with ``ci``).
 

@@ -83,7 +83,7 @@ query("rga_ci_bootstrap", CUSTOMERS, None)(lambda d: inference.estimate(d, ["g"]
 query("rga_ci_bca", CUSTOMERS, None)(lambda d: inference.estimate(d, ["g"], method="bootstrap", n_resamples=REPS, seed=SEED).select("g", "n", "rga", "standard_error", "ci_low", "ci_high"))
 ORACLE["bootstrap_values"] = f"SELECT g, rep, {R('value', 'value')} FROM {boot(C, ['g'])}"
 ORACLE["rga_ci_bootstrap"] = f"SELECT g, n, {R('rga', 'rga')}, {R('sd', 'standard_error')}, {R('lo', 'ci_low')}, {R('hi', 'ci_high')} FROM {q.rga(C, ['g'])} JOIN (SELECT g, STDDEV_SAMP(value) AS sd, QUANTILE_CONT(value, 0.025) AS lo, QUANTILE_CONT(value, 0.975) AS hi FROM {boot(C, ['g'])} GROUP BY g) USING (g)"
-_cmp = lambda values, se: f"""SELECT s, n, {R('ra', 'rga_a')}, {R('rb', 'rga_b')}, {R('ra - rb', 'difference')}, {R('se', 'standard_error')}, {R(f'ra - rb - {q.Z95!r} * se', 'ci_low')}, {R(f'ra - rb + {q.Z95!r} * se', 'ci_high')}, {R('(ra - rb) / se', 'statistic')}, {R(q.two_sided('((ra - rb) / se)'), 'p_value')} FROM (
+_cmp = lambda values, se: f"""SELECT s, n, {R('ra', 'rga_a')}, {R('rb', 'rga_b')}, {R('ra - rb', 'difference')}, {R('se', 'standard_error')}, {R(f'ra - rb - {q.Z95!r} * se', 'ci_low')}, {R(f'ra - rb + {q.Z95!r} * se', 'ci_high')}, {R('(ra - rb) / se', 'statistic')}, {R(q.two_sided('((ra - rb) / se)'), 'p_value')}, (ra - rb - {q.Z95!r} * se > 0 OR ra - rb + {q.Z95!r} * se < 0) AS significant FROM (
   SELECT s, a.n AS n, a.rga AS ra, b.rga AS rb, {se} AS se FROM {q.rga(O, ['s'])} a JOIN {q.rga(O, ['s'], 'y', 'zb')} b USING (s) JOIN (
     SELECT s, STDDEV_SAMP(x.value - w.value) AS sd FROM {values(O, ['s'], 'y', 'z')} x JOIN {values(O, ['s'], 'y', 'zb')} w USING (s, row_id) GROUP BY s) d USING (s))"""
 query("compare_jackknife", ORDERS, _cmp(q.jackknife, "sd * (a.n - 1) / SQRT(a.n)"))(lambda d: inference.compare(d, ["s"], "y", "z", "zb"))
@@ -105,16 +105,26 @@ query("reference_measures", ORDERS, f"SELECT g, {R('CORR(y, z)', 'pearson')}, {R
 _kend = f"""SELECT {R('s / SQRT((p - ty) * (p - tz))', 'kendall')} FROM (SELECT CAST(SUM(CASE WHEN a.f3 < b.f3 AND a.f2 < b.f2 THEN 1 WHEN a.f3 < b.f3 AND a.f2 > b.f2 THEN -1 ELSE 0 END * a.m * b.m) AS DOUBLE) AS s FROM (SELECT f3, f2, COUNT(*) AS m FROM {C} GROUP BY f3, f2) a, (SELECT f3, f2, COUNT(*) AS m FROM {C} GROUP BY f3, f2) b)
   CROSS JOIN (SELECT COUNT(*) * (COUNT(*) - 1) / 2.0E0 AS p FROM {C}) CROSS JOIN (SELECT SUM(t * (t - 1) / 2.0E0) AS ty FROM (SELECT COUNT(*) AS t FROM {C} GROUP BY f3)) CROSS JOIN (SELECT SUM(t * (t - 1) / 2.0E0) AS tz FROM (SELECT COUNT(*) AS t FROM {C} GROUP BY f2))"""
 query("kendall", CUSTOMERS, _kend)(lambda d: accuracy.kendall(d, [], "f3", "f2"))
-_rep = f"""SELECT g, e.n AS n, {R('e.rga', 'rga')}, {R('se', 'standard_error')}, {R('2 * e.rga - 1', 'gini')}, {R('auroc', 'auroc')} FROM {q.estimate(O, ['g'], 'yb', 'z')} e JOIN {_auc} USING (g)"""
-query("accuracy_report", ORDERS, _rep)(lambda d: accuracy.report(d, ["g"], "yb", "z").select("g", "n", "rga", "standard_error", "gini", "auroc"))
+_null = f"(SELECT g, SQRT(VAR_POP(yb) * COUNT(*) * SUM((rz - m) * (rz - m)) / (COUNT(*) - 1)) / (2.0E0 * ABS(SUM(yb * (ry - m)))) AS sd FROM (SELECT g, yb, {q.rank('z', ['g'])} AS rz, {q.rank('yb', ['g'])} AS ry, (COUNT(*) OVER (PARTITION BY g) + 1) / 2.0E0 AS m FROM {O}) GROUP BY g)"
+_usual = f"(SELECT g, CORR(yb, z) AS pearson, CORR(ry, rz) AS spearman, SQRT(AVG((yb - z) * (yb - z))) AS rmse, AVG(ABS(yb - z)) AS mae FROM (SELECT *, {q.rank('yb', ['g'])} AS ry, {q.rank('z', ['g'])} AS rz FROM {O}) GROUP BY g)"
+# tau-b of two target values: concordant less discordant pairs, over the square root of the pairs that are no ties in either
+_tau = f"""(SELECT g, (2.0E0 * (SUM(yb * rz) - a * (a + 1) / 2.0E0) - a * (m - a)) / SQRT(a * (m - a) * (m * (m - 1) / 2.0E0 - tz)) AS kendall FROM (SELECT g, yb, {q.rank('z', ['g'])} AS rz, SUM(yb) OVER (PARTITION BY g) AS a, COUNT(*) OVER (PARTITION BY g) AS m FROM {O})
+  JOIN (SELECT g, SUM(t * (t - 1) / 2.0E0) AS tz FROM (SELECT g, COUNT(*) AS t FROM {O} GROUP BY g, z) GROUP BY g) USING (g) GROUP BY g, a, m, tz)"""
+_rep = f"""SELECT g, e.n AS n, {R('e.rga', 'rga')}, {R('se', 'standard_error')}, {R(f'e.rga - {q.Z95!r} * se', 'ci_low')}, {R(f'e.rga + {q.Z95!r} * se', 'ci_high')}, {R('2 * e.rga - 1', 'gini')}, {R(f'2 * (e.rga - {q.Z95!r} * se) - 1', 'gini_low')}, {R(f'2 * (e.rga + {q.Z95!r} * se) - 1', 'gini_high')}, TRUE AS is_binary,
+  {R('pearson', 'pearson')}, {R('spearman', 'spearman')}, {R('kendall', 'kendall')}, ROUND(rmse, 2) + 0.0E0 AS rmse, ROUND(mae, 2) + 0.0E0 AS mae, {R('auroc', 'auroc')}, {R(q.upper('((e.rga - 0.5E0) / sd)'), 'p_value')}, '' AS note
+  FROM {q.estimate(O, ['g'], 'yb', 'z')} e JOIN {_auc} USING (g) JOIN {_null} USING (g) JOIN {_usual} USING (g) JOIN {_tau} USING (g)"""
+query("accuracy_report", ORDERS, _rep)(lambda d: accuracy.report(d, ["g"], "yb", "z", with_kendall=True).withColumns({"rmse": F.round("rmse", 2), "mae": F.round("mae", 2)}))
 _cls = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _ovr_rel = f"(SELECT c AS class, CASE WHEN g = c THEN 1.0E0 ELSE 0.0E0 END AS y, CASE WHEN g = c THEN 0.5E0 ELSE 0.0E0 END + ((row_id + k * 7) % 13) / 13.0E0 AS z FROM {O} CROSS JOIN (VALUES {', '.join(f'({i}, {c!r})' for i, c in enumerate(_cls))}) v(k, c))"
 _ovr = f"SELECT class, CAST(m AS BIGINT) AS n, {R('rga', 'rga')} FROM {q.rga(_ovr_rel, ['class'])} JOIN (SELECT class, SUM(y) AS m FROM {_ovr_rel} GROUP BY class) USING (class)"
 query("one_vs_rest", ORDERS, f"{_ovr} UNION ALL SELECT NULL, CAST(SUM(n) AS BIGINT), {R('AVG(r)', 'rga')} FROM (SELECT n, rga AS r FROM ({_ovr.replace('ROUND(rga, 6) + 0.0E0', 'rga')}))")(
     lambda d: accuracy.one_vs_rest(d.withColumn("proba", F.array(*[F.when(F.col("g") == c, 0.5).otherwise(0.0) + ((F.col("row_id") + i * 7) % 13) / 13.0 for i, c in enumerate(_cls)])), "g", "proba", _cls).drop("note"))
 _models = f"(SELECT row_id, y, 'z' AS model, z FROM {O} UNION ALL SELECT row_id, y, 'zb', zb FROM {O} UNION ALL SELECT row_id, y, 'f2', f2 FROM {O})"
-query("compare_models", ORDERS, f"SELECT model, {R('rga', 'rga')}, {R('se', 'standard_error')}, ROW_NUMBER() OVER (ORDER BY rga DESC) AS place, {R(f'CASE WHEN rga > lo + 1E-9 THEN rga - lo END', 'difference')} FROM {q.estimate(_models, ['model'])} CROSS JOIN (SELECT MIN(rga) AS lo FROM {q.rga(_models, ['model'])})")(lambda d: accuracy.compare_models(d, "y", ["z", "zb", "f2"]).select("model", "rga", "standard_error", "place", "difference"))
-query("by_segment", ORDERS, f"SELECT g, n, {R('rga', 'rga')}, {R('se', 'standard_error')}, n >= 50 AS reliable FROM {q.estimate(O, ['g'], 'yb', 'zb')}")(lambda d: accuracy.by_segment(d, "g", "yb", "zb").select("g", "n", "rga", "standard_error", "reliable"))
+_pair = f"(SELECT model, STDDEV_SAMP(x.value - base.value) * (COUNT(*) - 1) / SQRT(COUNT(*)) AS sp FROM {q.jackknife(_models, ['model'])} x JOIN (SELECT row_id, value FROM {q.jackknife(_models, ['model'])} WHERE model = (SELECT MIN_BY(model, rga) FROM {q.rga(_models, ['model'])})) base USING (row_id) GROUP BY model)"
+_diff = "CASE WHEN rga > lo + 1E-9 THEN rga - lo END"
+query("compare_models", ORDERS, f"""SELECT model, {R('rga', 'rga')}, {R('se', 'standard_error')}, {R(f'rga - {q.Z95!r} * se', 'ci_low')}, {R(f'rga + {q.Z95!r} * se', 'ci_high')}, ROW_NUMBER() OVER (ORDER BY rga DESC) AS place, {R(_diff, 'difference')},
+  {R(f'CASE WHEN rga > lo + 1E-9 THEN {q.two_sided("((rga - lo) / sp)")} END', 'p_value')} FROM {q.estimate(_models, ['model'])} JOIN {_pair} USING (model) CROSS JOIN (SELECT MIN(rga) AS lo FROM {q.rga(_models, ['model'])})""")(lambda d: accuracy.compare_models(d, "y", ["z", "zb", "f2"]))
+query("by_segment", ORDERS, f"SELECT g, n, {R('rga', 'rga')}, {R('se', 'standard_error')}, {R(f'rga - {q.Z95!r} * se', 'ci_low')}, {R(f'rga + {q.Z95!r} * se', 'ci_high')}, n >= 50 AS reliable, '' AS note FROM {q.estimate(O, ['g'], 'yb', 'zb')}")(lambda d: accuracy.by_segment(d, "g", "yb", "zb"))
 _fr = [0.0, 0.01, 0.02, 0.05, 0.1]
 _cont = f"(SELECT fraction, rep, z, y + CASE WHEN rn <= ROUND_EVEN(fraction * n, 0) THEN CASE WHEN {q.uniform(str(SEED), chr(39) + 'sign' + chr(39), 'rep', 'row_id')} < 0.5E0 THEN -1.0E0 ELSE 1.0E0 END * 50.0E0 * sd ELSE 0.0E0 END AS y2 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY fraction, rep ORDER BY {q.uniform(str(SEED), chr(39) + 'pick' + chr(39), 'rep', 'row_id')}, row_id) AS rn FROM {C} CROSS JOIN (SELECT COUNT(*) AS n, STDDEV_POP(y) AS sd FROM {C}) CROSS JOIN (SELECT range AS rep FROM range(5)) CROSS JOIN (VALUES {', '.join(f'({f!r}E0)' for f in _fr)}) v(fraction)))"
 query("contamination", CUSTOMERS, f"SELECT fraction, {R('AVG(rga)', 'rga')}, ROUND(AVG(rmse), 4) + 0.0E0 AS rmse FROM {q.rga(_cont, ['fraction', 'rep'], 'y2')} JOIN (SELECT fraction, rep, SQRT(AVG((y2 - z) * (y2 - z))) AS rmse FROM {_cont} GROUP BY fraction, rep) USING (fraction, rep) GROUP BY fraction")(lambda d: accuracy.contamination(d, fractions=_fr, n_repeats=5, seed=SEED).select("fraction", "rga", F.round("rmse", 4).alias("rmse")))
@@ -161,7 +171,7 @@ def vs(changed: str, rel: str = O) -> str:
 query("tailswap", ORDERS, f"SELECT row_id, f2, {R('f1', 'f1')} FROM {swapped('f1', 0.1)}")(lambda d: robust.perturb(d, "f1", 0.1).select("row_id", "f2", "f1"))
 query("rgr", ORDERS, " UNION ALL ".join(f"SELECT '{c}' AS variable, n, {R('rga', 'rgr')} FROM {q.rga(vs(swapped(c, 0.05)))}" for c in FEATURES))(lambda d: robust.rgr(d, MODEL, FEATURES).select("variable", "n", "rgr"))
 query("rgr_group", ORDERS, f"SELECT 'f1+f2' AS variable, n, {R('rga', 'rgr')} FROM {q.rga(vs(swapped('f2', 0.2, swapped('f1', 0.2))))}")(lambda d: robust.rgr(d, MODEL, ["f1", "f2"], 0.2, group=True).select("variable", "n", "rgr"))
-query("rgr_ci", ORDERS, f"SELECT 'f2' AS variable, {R('rga', 'rgr')}, {R('se', 'standard_error')} FROM {q.estimate(vs(swapped('f2', 0.05)))}")(lambda d: robust.rgr(d, MODEL, "f2", ci=True).select("variable", "rgr", "standard_error"))
+query("rgr_ci", ORDERS, f"SELECT 'f2' AS variable, n, {R('rga', 'rgr')}, 0.0E0 AS spread, {R('se', 'standard_error')}, {R(f'rga - {q.Z95!r} * se', 'ci_low')}, {R(f'rga + {q.Z95!r} * se', 'ci_high')} FROM {q.estimate(vs(swapped('f2', 0.05)))}")(lambda d: robust.rgr(d, MODEL, "f2", ci=True))
 _grid = [0.05, 0.2, 0.5]
 _pts = " UNION ALL ".join(f"SELECT '{c}' AS variable, {m!r}E0 AS magnitude, rga AS r FROM {q.rga(vs(swapped(c, m)))}" for c in ("f1", "f2") for m in _grid)
 query("rgr_curve", ORDERS, f"SELECT variable, magnitude, {R('r', 'rgr')}, {R('SUM(area) OVER (PARTITION BY variable) / 0.5E0', 'aurgr')} FROM (SELECT *, (r + COALESCE(LAG(r) OVER w, 1.0E0)) / 2.0E0 * (magnitude - COALESCE(LAG(magnitude) OVER w, 0.0E0)) AS area FROM ({_pts}) WINDOW w AS (PARTITION BY variable ORDER BY magnitude))")(lambda d: robust.rgr_curve(d, MODEL, ["f1", "f2"], _grid))

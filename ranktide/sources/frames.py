@@ -80,6 +80,16 @@ def check_pair(df: DataFrame, y: str, z: str, least: int = 2, weight: str | None
     return df
 
 
+def no_missing_labels(df: DataFrame, labels: Sequence[str]) -> None:
+    """Raises if a label is null or NaN."""
+    columns(df, labels, "labels")
+    bad = [missing(F.col(c), df.schema[c].dataType) for c in labels]
+    r = df.agg(*[F.count_if(b).alias(f"bad_{i}") for i, b in enumerate(bad)]).first()
+    for i, c in enumerate(labels):
+        if r[f"bad_{i}"]:
+            raise BadInput(f"{c}: {r[f'bad_{i}']} missing labels")
+
+
 def level(x: float) -> float:
     if isinstance(x, bool) or not 0 < x < 1:
         raise BadInput(f"level must lie between 0 and 1, not {x!r}")

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ranktide.functions.ranks import by_value
+from ranktide.functions.ranks import rank_sums
+from ranktide.operators.measure import from_sums
 
 
 def tie_counts(events: DataFrame, ts: str, y: str, z: str, segments: Sequence[str] = (), window: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -27,24 +28,17 @@ def tie_counts(events: DataFrame, ts: str, y: str, z: str, segments: Sequence[st
 def measured(ties: DataFrame, segments: Sequence[str] = ()) -> DataFrame:
     """start, segments, n, rga from tie counts."""
     keys = ["start", *segments]
-    m = ties.groupBy(*keys).agg((F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("_m"), F.sum("n").alias("_n"))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        m = m.withColumnRenamed(k, f"_k{i}")
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    d = ties.join(m, same).withColumn("_c", F.col("n") * (F.col("y") - F.col("_m")))
-    parts = []
-    for v in ("z", "y"):
-        g = by_value(d, keys, v, {"c": F.col("_c")}, weight=F.col("n").cast("double"))
-        parts.append(g.groupBy(*keys).agg(F.sum(F.col("c") * F.col("rank")).alias(v), F.sum("n").alias("n")))
-    a, b = parts
-    b = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("y").alias("_den"))
-    return a.join(b, same).select(*keys, F.col("n").cast("bigint").alias("n"), F.when(F.abs("_den") > 1e-12, 0.5 + F.try_divide(F.col("z"), 2 * F.col("_den"))).alias("rga"))
+    sums = rank_sums(ties, keys, "y", ["z", "y"], weight="n").withColumn("_rows", F.col("_w"))  # a tie stands for n rows
+    return sums.select(*keys, F.col("_rows").cast("bigint").alias("n"), from_sums()[0].alias("rga"))
 
 
 def monitor(events: DataFrame, ts: str, y: str, z: str, path: str, checkpoint: str, segments: Sequence[str] = (), window: str = "1 day", late: str = "1 hour", **trigger) -> StreamingQuery:
     """Starts a query that appends each closed window's measure to Parquet at ``path``; a batch that is run again overwrites its own folder."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        measured(batch, segments).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.persist()  # read for the cuts and for the sums
+        try:
+            measured(batch, segments).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return tie_counts(events, ts, y, z, segments, window, late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(**(trigger or {"availableNow": True})).start()

@@ -2,10 +2,13 @@ import math
 import random
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 
 from ranktide.errors import BadInput, TooFewRows, UndefinedMeasure
-from ranktide.functions import gauss
-from ranktide.operators import accuracy, cohorts, explain, fairness, inference, measure, outcomes, robust
+from ranktide.functions import gauss, ranks
+from ranktide.operators import accuracy, cohorts, explain, fairness, inference, measure, outcomes, robust, scorer
 from ranktide.operators.report import build
 from ranktide.sources import frames
 from ranktide.streaming import monitor
@@ -13,7 +16,9 @@ from ranktide.streaming import monitor
 
 def pair(spark, y, z, **more):
     names = list(more)
-    return spark.createDataFrame([(i, float(a), float(b), *[more[k][i] for k in names]) for i, (a, b) in enumerate(zip(y, z, strict=True))], ["row_id", "y", "z", *names])
+    number = lambda v: None if v is None else float(v)
+    fields = "".join(f", {k} {'string' if any(isinstance(x, str) for x in more[k]) else 'double'}" for k in names)
+    return spark.createDataFrame([(i, number(a), number(b), *[more[k][i] for k in names]) for i, (a, b) in enumerate(zip(y, z, strict=True))], f"row_id bigint, y double, z double{fields}")
 
 
 def mean_ranks(v):
@@ -191,3 +196,127 @@ def test_formats(spark, tmp_path, fmt):
     assert frames.read(spark, str(tmp_path / fmt), fmt).count() == 2
     with pytest.raises(BadInput):
         frames.read(spark, "x", "xls")
+
+
+def test_incomplete_rows_are_left_out_and_counted(spark):
+    y, z = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0], [2.0, 7.0, 1.0, 8.0, 2.0, 8.0, 1.0, 8.0]
+    odd = pair(spark, [*y, float("nan"), 1.0, float("inf")], [*z, 1.0, None, 2.0])
+    r, clean = measure.rga(odd).first(), measure.rga(pair(spark, y, z)).first()
+    assert (r["n"], r["rga"]) == (8, pytest.approx(clean["rga"], abs=1e-12))
+    assert r["note"].startswith("3 rows left out")
+    assert clean["note"] == ""
+    e = inference.estimate(odd).first()
+    assert e["standard_error"] == pytest.approx(inference.estimate(pair(spark, y, z)).first()["standard_error"], abs=1e-12)
+    assert e["note"].startswith("3 rows left out")
+    none = measure.rga(pair(spark, [None, None], [1.0, 2.0])).first()
+    assert (none["n"], none["rga"]) == (0, None)
+
+
+def test_large_offsets_keep_digits(spark):
+    r = random.Random(4)
+    base = [round(r.gauss(100, 15), 2) for _ in range(300)]
+    z = [v + r.gauss(0, 8) for v in base]
+    plain = measure.rga(pair(spark, base, z)).first()["rga"]
+    assert measure.rga(pair(spark, [v + 1e9 for v in base], z)).first()["rga"] == pytest.approx(plain, abs=1e-6)
+
+
+@pytest.mark.parametrize("values", ["spread", "few", "one"])
+def test_parts_change_no_result(spark, monkeypatch, values):
+    """Cuts from all rows, of values that are distinct, few, or mostly one: ranks and row values stay those of a plain loop."""
+    monkeypatch.setattr(ranks, "SAMPLED", 2.0)
+    r = random.Random(7)
+    z = [{"spread": r.random(), "few": float(r.randrange(5)), "one": 1.0 if r.random() < 0.9 else r.random()}[values] for _ in range(200)]
+    y = [float(r.randrange(2)) for _ in z]
+    d = pair(spark, y, z)
+    assert measure.rga(d).first()["rga"] == pytest.approx(plain_rga(y, z), abs=1e-12)
+    out = {x["row_id"]: x["value"] for x in inference.jackknife_values(d).collect()}
+    for i in (0, 57, 199):
+        assert out[i] == pytest.approx(plain_rga(y[:i] + y[i + 1 :], z[:i] + z[i + 1 :]), abs=1e-10)
+
+
+def test_numbers_by_value(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "SAMPLED", 2.0)
+    r = random.Random(3)
+    z = [float(r.randrange(6)) for _ in range(150)]
+    got = {x["row_id"]: x["_k"] for x in ranks.by_number(pair(spark, z, z), "z", "row_id").collect()}
+    order = sorted(range(150), key=lambda i: (z[i], i))
+    assert got == {i: k + 1 for k, i in enumerate(order)}
+
+
+def test_missing_labels_and_unknown_baselines_are_refused(spark):
+    y, z = [float(i % 2) for i in range(20)], [float(i) for i in range(20)]
+    d = pair(spark, y, z, g=[None if i < 4 else "a" for i in range(20)])
+    for f in (lambda: fairness.parity_groups(d, "g"), lambda: accuracy.by_segment(d, "g")):
+        with pytest.raises(BadInput, match="4 missing labels"):
+            f()
+    nan = pair(spark, y, z, g=[float("nan") if i < 3 else 1.0 for i in range(20)])
+    with pytest.raises(BadInput, match="3 missing labels"):
+        fairness.parity_groups(nan, "g")
+    with pytest.raises(BadInput, match="baseline"):
+        accuracy.compare_models(d, "y", ["z"], baseline="other")
+    with pytest.raises(BadInput, match="method"):
+        accuracy.compare_models(d, "y", ["z"], method="other")
+
+
+def test_compare_models_by_every_method(spark):
+    r = random.Random(8)
+    y = [r.gauss(0, 1) for _ in range(120)]
+    d = pair(spark, y, [v + r.gauss(0, 1) for v in y], b=[v + r.gauss(0, 2) for v in y])
+    p = {}
+    for method in ("jackknife", "influence", "bootstrap"):
+        rows = {x["model"]: x for x in accuracy.compare_models(d, "y", ["z", "b"], method=method, n_resamples=100).collect()}
+        assert rows["z"]["place"] == 1
+        assert rows["b"]["difference"] is None
+        p[method] = rows["z"]["p_value"]
+        paired = inference.compare(d, (), "y", "z", "b", method=method, n_resamples=100).first()
+        assert rows["z"]["difference"] == pytest.approx(paired["difference"], abs=1e-9)
+        assert p[method] == pytest.approx(paired["p_value"], abs=1e-6)
+    assert p["influence"] == pytest.approx(p["jackknife"], abs=0.05)
+
+
+def test_leakage_of_text_and_of_the_score(spark):
+    d = pair(spark, [0.0] * 60, [float(i % 3) for i in range(60)], g=["abc"[i % 3] for i in range(60)], u=[float(i * 7 % 11) for i in range(60)])
+    r = {x["variable"]: x for x in fairness.proxy_leakage(d.drop("y"), "g", ["u"], yhat="z").collect()}
+    assert r["model"]["leakage"] == pytest.approx(1.0)
+    assert r["model"]["level"] in ("g == a", "g == c")
+    assert r["u"]["leakage"] < 0.6
+    with pytest.raises(BadInput, match="not numeric"):
+        fairness.proxy_leakage(d, ["g", "u"])
+
+
+def test_scores_of_models_and_retraining(spark):
+    rows = [(i, float(i % 7), float(i * 5 % 11), float((i % 7) > 3)) for i in range(80)]
+    d = spark.createDataFrame(rows, "row_id bigint, a double, b double, label double")
+    made = VectorAssembler(inputCols=["a", "b"], outputCol="features")
+    model = Pipeline(stages=[made, LogisticRegression(labelCol="label")]).fit(d)
+    full = scorer.score(d, model, "z")
+    assert measure.rga(full, (), "label", "z").first()["rga"] > 0.95
+
+    def refit(kept):
+        kept = [c for c in kept if c in ("a", "b")]
+        return Pipeline(stages=[VectorAssembler(inputCols=kept, outputCol="features"), LogisticRegression(labelCol="label")]).fit(d)
+
+    r = {x["variable"]: x["rge"] for x in explain.rge(d, d, model, ["a", "b"], method="retrain", refit=refit).collect()}
+    assert r["a"] > r["b"]
+    mean = {x["variable"]: x["rge"] for x in explain.rge(d, d, model, ["a", "b"]).collect()}
+    assert mean["a"] > mean["b"]
+    ev = scorer.RankEvaluator(label="label", score="probability")
+    assert ev.evaluate(model.transform(d)) == pytest.approx(measure.rga(full, (), "label", "z").first()["rga"])
+    assert ev.isLargerBetter()
+
+
+def test_sampled_shapley_adds_up(spark):
+    r = random.Random(5)
+    d = spark.createDataFrame([(i, r.random(), r.random(), r.random()) for i in range(60)], "row_id bigint, a double, b double, c double")
+    exact = {x["variable"]: x["value"] for x in explain.shapley(d, d, "3 * a + 2 * b + c", ["a", "b", "c"]).collect()}
+    some = {x["variable"]: x["value"] for x in explain.shapley(d, d, "3 * a + 2 * b + c", ["a", "b", "c"], max_exact=1, n_permutations=300).collect()}
+    assert sum(some.values()) == pytest.approx(sum(exact.values()), abs=1e-9)
+    assert all(some[k] == pytest.approx(exact[k], abs=0.05) for k in exact)
+
+
+def test_gaussian_draws_have_an_interval(spark):
+    r = random.Random(6)
+    d = spark.createDataFrame([(i, r.random(), r.random()) for i in range(100)], "row_id bigint, a double, b double")
+    x = robust.rgr(d, "2 * a + b", "a", magnitude=0.3, kind="gaussian", n_repeats=4, ci=True).first()
+    assert x["spread"] > 0
+    assert x["ci_low"] < x["rgr"] < x["ci_high"]
