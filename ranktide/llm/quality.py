@@ -80,14 +80,18 @@ def depleted(docs: DataFrame, least_left: float = LEAST_LEFT, **limits: float) -
 
 
 def clean_lines(docs: DataFrame, **limits: float) -> DataFrame:
-    """(doc_id, source, text, ...) -> the same with frequent lines taken out of the text, depleted documents left out."""
+    """(doc_id, source, text, ...) -> the same with frequent lines taken out of the text, depleted documents left out.  Columns of any names pass through."""
     _, often = frequent_lines(docs, **limits)
-    bad = often.groupBy("source").agg(F.collect_set("line").alias("often")).withColumnRenamed("source", "o_source")
-    d = docs.withColumn("_t", F.xxhash64("text")).join(bad, F.col("source").eqNullSafe(F.col("o_source")), "left").drop("o_source")
-    kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.coalesce("often", F.array().cast("array<bigint>")), F.xxhash64(normal(x))))
-    d = d.withColumn("text", F.array_join(kept, "\n")).drop("often")
+    o = often.select(F.col("source").alias("o_source"), F.col("line").alias("o_line"))
+    at = docs.filter("text is not null").select("source", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    at = at.join(o, F.col("source").eqNullSafe(F.col("o_source")) & (F.xxhash64(normal(F.col("line"))) == F.col("o_line")))
+    cut = at.groupBy(F.col("source").alias("c_source"), F.col("t").alias("c_t")).agg(F.collect_set("place").alias("places"))
     gone = depleted(docs, **limits).withColumnsRenamed({"source": "d_source", "t": "d_t"})
-    return d.join(gone, F.col("source").eqNullSafe(F.col("d_source")) & (F.col("_t") == F.col("d_t")), "left_anti").drop("_t")
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("r_source"), F.col("text").alias("r_text"), F.xxhash64("text").alias("r_t"))
+    d = d.join(gone, F.col("r_source").eqNullSafe(F.col("d_source")) & (F.col("r_t") == F.col("d_t")), "left_anti")
+    d = d.join(cut, F.col("r_source").eqNullSafe(F.col("c_source")) & (F.col("r_t") == F.col("c_t")), "left")
+    kept = F.when(F.col("places").isNull(), F.col("r_text")).otherwise(F.array_join(F.expr("filter(split(r_text, '\\n'), (x, i) -> not array_contains(places, i))"), "\n"))
+    return d.select(*[kept.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
