@@ -187,13 +187,13 @@ def spread_evenly(u: Column) -> Column:
     return F.floor(u * RANGES)
 
 
-def by_number(df: DataFrame, value: str, row_id: str, keys: Sequence[str] = (), name: str = "_k") -> DataFrame:
+def by_number(df: DataFrame, value: str, row_id: str, keys: Sequence[str] = (), name: str = "_k", cuts: Cuts | None = None) -> DataFrame:
     """The rows with their place by (value, row_id); ``value`` may be ``row_id`` itself.
 
     Parts are ranges between cuts of the value, and rows that have a cut's very value, of which there may be many, are
-    parted by ranges of a numeric row id.
+    parted by ranges of a numeric row id.  ``cuts`` are those of (value, row_id), if they are known.
     """
-    (by, _), (within, _) = cut_points(df, [value, row_id])
+    (by, _), (within, _) = cut_points(df, [value, row_id]) if cuts is None else cuts
     x, r = F.col(value).try_cast("double"), F.col(row_id).try_cast("double")
     p = part_of(x, by)
     part = p * RANGES + F.when(p % 2 == 1, range_of(r, within)).otherwise(0)

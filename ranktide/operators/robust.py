@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput
 from ranktide.functions.hashing import normal, uniform
-from ranktide.functions.ranks import by_number
+from ranktide.functions.ranks import Cuts, by_number, cut_points
 from ranktide.operators.inference import influence_values, jackknife_values
 from ranktide.operators.measure import on, rga
 from ranktide.operators.scorer import Model, score
@@ -55,12 +55,12 @@ def perturb(df: DataFrame, names: str | Sequence[str], magnitude: float = 0.05,
     return out
 
 
-def mirrored(df: DataFrame, column: str, row_id: str) -> DataFrame:
+def mirrored(df: DataFrame, column: str, row_id: str, cuts: Cuts | None = None) -> DataFrame:
     """The rows with ``_k``, their place by (column, row id), ``_n``, the number of rows, and ``_mirror``, the value of the row as far from the other end."""
-    placed = by_number(df, column, row_id)
+    cuts = cut_points(df, [column, row_id]) if cuts is None else cuts
     n = df.agg(F.count("*").alias("_n"))
-    other = by_number(df.select(row_id, column), column, row_id, name="_j").crossJoin(F.broadcast(n)).select((F.col("_n") + 1 - F.col("_j")).alias("_at"), F.col(column).alias("_mirror"), "_n")
-    return placed.join(other, F.col("_k") == F.col("_at")).drop("_at")
+    other = by_number(df.select(row_id, column), column, row_id, name="_j", cuts=cuts).crossJoin(F.broadcast(n)).select((F.col("_n") + 1 - F.col("_j")).alias("_at"), F.col(column).alias("_mirror"), "_n")
+    return by_number(df, column, row_id, cuts=cuts).join(other, F.col("_k") == F.col("_at")).drop("_at")
 
 
 def _swapped(magnitude: float | Column) -> Column:
@@ -86,12 +86,15 @@ def _long(df: DataFrame, model: Model, groups: dict[str, list[str]], settings: S
 def _tailswaps(df: DataFrame, model: Model, groups: dict[str, list[str]], magnitudes: Sequence[float], row_id: str, **scorer) -> DataFrame:
     """As ``_long``: a variable is ordered once, and all magnitudes are made from its places in one projection."""
     full, out = score(df, model, "_full", **scorer), None
+    names = list(dict.fromkeys(c for g in groups.values() for c in g))
+    *found, of_id = cut_points(df, [*names, row_id])  # one pass for all variables
+    cuts = {c: [x, of_id] for c, x in zip(names, found, strict=True)}
     for name, g in groups.items():
         for c in g:
             _check(df, [c], "tailswap", max(magnitudes))
         d = full.withColumn("_magnitude", F.explode(F.array(*[F.lit(float(m)) for m in magnitudes]))) if len(g) > 1 else full
         for k, c in enumerate(g):
-            placed = mirrored(df.select(row_id, c), c, row_id).select(F.col(row_id).alias("_id"), "_k", "_n", "_mirror")
+            placed = mirrored(df.select(row_id, c), c, row_id, cuts[c]).select(F.col(row_id).alias("_id"), "_k", "_n", "_mirror")
             d = d.join(placed, F.col(row_id) == F.col("_id")).drop("_id")
             if len(g) == 1:
                 d = d.withColumn("_magnitude", F.explode(F.array(*[F.lit(float(m)) for m in magnitudes])))
