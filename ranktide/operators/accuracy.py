@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ranktide.errors import BadInput
 from ranktide.functions import gauss
 from ranktide.functions.hashing import uniform
-from ranktide.functions.ranks import finite, numbered, rank_sums, spread_evenly
+from ranktide.functions.ranks import cut_points, finite, numbered, rank_sums, spread_evenly
 from ranktide.operators.inference import METHODS, ROW_VALUES, bootstrap_values, compare, estimate, from_rows, ranked, spread, test
 from ranktide.operators.measure import NOTE_CONSTANT, NOTE_FEW, from_sums, on, rga
 from ranktide.sources.frames import columns, level as check_level, no_missing_labels
@@ -185,7 +185,7 @@ def contamination(df: DataFrame, y: str = "y", z: str = "z", row_id: str = "row_
     long = numbered(long.withColumn("_u", uniform(seed, "pick", F.col("rep"), F.col(row_id))), ["fraction", "rep"], ["_u", row_id], spread_evenly(F.col("_u")), "_place")
     shift = F.when(F.col("_place") <= F.col("take"), F.when(uniform(seed, "sign", F.col("rep"), F.col(row_id)) < 0.5, -1.0).otherwise(1.0) * magnitude * F.col("_sd")).otherwise(0.0)
     long = long.withColumn("y2", F.col(y) + shift)
-    a = rga(long, ["fraction", "rep"], "y2", z)
+    a = rga(long, ["fraction", "rep"], "y2", z, cuts=cut_points(df, [y, z, y]))
     b = long.groupBy("fraction", "rep").agg(F.sqrt(F.avg(F.pow(F.col("y2") - F.col(z), F.lit(2.0)))).alias("rmse"))
     r = on(a, b, ["fraction", "rep"]).groupBy("fraction").agg(F.avg("rga").alias("rga"), F.avg("rmse").alias("rmse"))
     clean = on(rga(df, (), y, z), df.agg(F.sqrt(F.avg(F.pow(F.col(y) - F.col(z), F.lit(2.0)))).alias("_rmse")), ())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput
 from ranktide.functions.hashing import uniform
-from ranktide.functions.ranks import by_number, numbered, spread_evenly
+from ranktide.functions.ranks import by_number, cut_points, numbered, spread_evenly
 from ranktide.operators.inference import estimate
 from ranktide.operators.measure import on, rga
 from ranktide.sources.frames import columns, is_numeric
@@ -77,8 +77,9 @@ def search(df: DataFrame, features: Sequence[str], y: str = "y", z: str = "z", n
     """label, depth, n, rga, shortfall (the whole table's measure less the cohort's); cohorts with a constant target are left out."""
     m = memberships(df, features, n_bins, max_depth, min_size, row_id).withColumnRenamed(row_id, "_id")
     long = df.select(row_id, y, z).join(m, F.col(row_id) == F.col("_id")).select("label", "depth", y, z)
-    r = rga(long, ["label", "depth"], y, z).filter("rga is not null")
-    whole = rga(df, (), y, z).select(F.col("rga").alias("_whole"))
+    cuts = cut_points(df, [y, z, y])
+    r = rga(long, ["label", "depth"], y, z, cuts=cuts).filter("rga is not null")
+    whole = rga(df, (), y, z, cuts=cuts).select(F.col("rga").alias("_whole"))
     return r.crossJoin(F.broadcast(whole)).select("label", F.col("depth").cast("int").alias("depth"), "n", "rga", (F.col("_whole") - F.col("rga")).alias("shortfall"))
 
 
@@ -105,5 +106,5 @@ def search_p_value(df: DataFrame, features: Sequence[str], y: str = "y", z: str
     b = df.select(row_id, y, z, each.alias("_rep")).withColumn("_u", uniform(seed, "cohort", F.col("_rep"), F.col(row_id)))
     b = numbered(b, ["_rep"], ["_u", row_id], spread_evenly(F.col("_u")), "_k2").select("_rep", y, z, "_k2")
     j = a.join(b, (F.col("rep") == F.col("_rep")) & (F.col("_k") == F.col("_k2"))).join(m, F.col("_from") == F.col(row_id))
-    lows = rga(j.select("rep", "label", y, z), ["rep", "label"], y, z).groupBy("rep").agg(F.min("rga").alias("low"))
+    lows = rga(j.select("rep", "label", y, z), ["rep", "label"], y, z, cuts=cut_points(df, [y, z, y])).groupBy("rep").agg(F.min("rga").alias("low"))
     return lows.crossJoin(F.broadcast(seen)).groupBy("worst_rga").agg(((1.0 + F.count_if(F.col("low") <= F.col("worst_rga"))) / (n_permutations + 1.0)).alias("p_value"))

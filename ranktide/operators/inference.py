@@ -79,7 +79,7 @@ def bootstrap_values(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: s
     """keys, rep, value: the measure of each resample."""
     w = bootstrap_weights(df, keys, row_id, count(n_resamples, "n_resamples", 2), seed)
     # the weights of a resample sum to its rows already
-    r = rga(w.withColumn("_wt", F.col("_times")), [*keys, "_rep"], y, z, "_wt")
+    r = rga(w.withColumn("_wt", F.col("_times")), [*keys, "_rep"], y, z, "_wt", cuts=cut_points(df, [y, z, y]))
     return r.select(*keys, F.col("_rep").cast("bigint").alias("rep"), F.col("rga").alias("value"))
 
 

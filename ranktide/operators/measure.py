@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranktide.errors import UndefinedMeasure
-from ranktide.functions.ranks import rank_sums
+from ranktide.functions.ranks import Cuts, rank_sums
 from ranktide.sources.frames import check_pair
 
 NOTE_CONSTANT = "target is constant"
@@ -39,14 +39,14 @@ def from_sums(i: int = 0, j: int = 1) -> tuple[Column, Column]:
     return F.when(~flat, 0.5 + F.try_divide(side(i), 2.0 * side(j))), flat
 
 
-def rga(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", weight: str | None = None, least: int = 2) -> DataFrame:
+def rga(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", weight: str | None = None, least: int = 2, cuts: Cuts | None = None) -> DataFrame:
     """keys, n, rga, gini, note.
 
     Rows whose target, score or weight is missing, NaN or infinite are left out; the note counts them.  One pass over the rows, and one
-    before it for the cuts.
+    before it for the cuts, unless those of (target, score, target) are given; cuts of similar rows do as well.
     """
     value, flat = from_sums()
-    r = rank_sums(df, keys, y, [z, y], weight).withColumns({"_value": value, "_flat": flat})
+    r = rank_sums(df, keys, y, [z, y], weight, cuts).withColumns({"_value": value, "_flat": flat})
     enough = F.col("_rows") >= least
     value = F.when(enough, F.col("_value"))
     note = F.concat_ws("; ", F.when(~enough, NOTE_FEW).when(F.col("_flat"), NOTE_CONSTANT), left_out())

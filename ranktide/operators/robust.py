@@ -63,11 +63,11 @@ def mirrored(df: DataFrame, column: str, row_id: str, cuts: Cuts | None = None)
     return by_number(df, column, row_id, cuts=cuts).join(other, F.col("_k") == F.col("_at")).drop("_at")
 
 
-def _swapped(magnitude: float | Column) -> Column:
+def _swapped(magnitude: float | Column, place: str = "") -> Column:
     """Whether a row is in the share of either tail that is swapped."""
-    m, n = magnitude if isinstance(magnitude, Column) else F.lit(float(magnitude)), F.col("_n")
+    m, n = magnitude if isinstance(magnitude, Column) else F.lit(float(magnitude)), F.col(f"_n{place}")
     s = F.least(F.ceil(m * n), n - F.ceil((1 - m) * n))
-    return (F.col("_k") <= s) | (F.col("_k") > n - s)
+    return (F.col(f"_k{place}") <= s) | (F.col(f"_k{place}") > n - s)
 
 
 def _long(df: DataFrame, model: Model, groups: dict[str, list[str]], settings: Sequence[tuple[float, int]], kind: str, row_id: str, seed: int, **scorer) -> DataFrame:
@@ -83,6 +83,11 @@ def _long(df: DataFrame, model: Model, groups: dict[str, list[str]], settings: S
     return out
 
 
+def _cuts(df: DataFrame, model: Model, **scorer) -> Cuts:
+    """Cuts of the full score, which part the perturbed ones about as well."""
+    return cut_points(score(df, model, "_full", **scorer), ["_full"]) * 3
+
+
 def _tailswaps(df: DataFrame, model: Model, groups: dict[str, list[str]], magnitudes: Sequence[float], row_id: str, **scorer) -> DataFrame:
     """As ``_long``: a variable is ordered once, and all magnitudes are made from its places in one projection."""
     full, out = score(df, model, "_full", **scorer), None
@@ -92,13 +97,12 @@ def _tailswaps(df: DataFrame, model: Model, groups: dict[str, list[str]], magnit
     for name, g in groups.items():
         for c in g:
             _check(df, [c], "tailswap", max(magnitudes))
-        d = full.withColumn("_magnitude", F.explode(F.array(*[F.lit(float(m)) for m in magnitudes]))) if len(g) > 1 else full
+        d = full
         for k, c in enumerate(g):
-            placed = mirrored(df.select(row_id, c), c, row_id, cuts[c]).select(F.col(row_id).alias("_id"), "_k", "_n", "_mirror")
-            d = d.join(placed, F.col(row_id) == F.col("_id")).drop("_id")
-            if len(g) == 1:
-                d = d.withColumn("_magnitude", F.explode(F.array(*[F.lit(float(m)) for m in magnitudes])))
-            d = d.withColumn(c, F.when(_swapped(F.col("_magnitude")), F.col("_mirror")).otherwise(F.col(c))).drop("_k", "_n", "_mirror")
+            placed = mirrored(df.select(row_id, c), c, row_id, cuts[c])
+            d = d.join(placed.select(F.col(row_id).alias("_id"), F.col("_k").alias(f"_k{k}"), F.col("_n").alias(f"_n{k}"), F.col("_mirror").alias(f"_mirror{k}")), F.col(row_id) == F.col("_id")).drop("_id")
+        d = d.withColumn("_magnitude", F.explode(F.array(*[F.lit(float(m)) for m in magnitudes])))
+        d = d.withColumns({c: F.when(_swapped(F.col("_magnitude"), str(k)), F.col(f"_mirror{k}")).otherwise(F.col(c)) for k, c in enumerate(g)})
         part = score(d, model, "_changed", **scorer).select(row_id, F.col("_full").alias("y"), F.lit(name).alias("variable"), F.col("_magnitude").alias("magnitude"), F.lit(0).alias("rep"), F.col("_changed").alias("z"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -116,7 +120,7 @@ def rgr(df: DataFrame, model: Model, variables: str | Sequence[str], magnitude:
     groups = {"+".join(names): names} if group else {c: [c] for c in names}
     n_repeats = 1 if kind == "tailswap" else n_repeats
     long = _long(df, model, groups, [(magnitude, r) for r in range(n_repeats)], kind, row_id, seed, **scorer)
-    r = rga(long, ["variable", "rep"]).groupBy("variable").agg(F.max("n").alias("n"), F.avg("rga").alias("rgr"), F.coalesce(F.stddev_samp("rga"), F.lit(0.0)).alias("spread"))
+    r = rga(long, ["variable", "rep"], cuts=_cuts(df, model, **scorer)).groupBy("variable").agg(F.max("n").alias("n"), F.avg("rga").alias("rgr"), F.coalesce(F.stddev_samp("rga"), F.lit(0.0)).alias("spread"))
     if not ci:
         return r
     f = {"jackknife": jackknife_values, "influence": influence_values}.get(ci_method)
@@ -139,7 +143,7 @@ def rgr_curve(df: DataFrame, model: Model, variables: str | Sequence[str], grid:
     names = columns(df, variables, "variables")
     groups = {"+".join(names): names} if group else {c: [c] for c in names}
     long = _long(df, model, groups, [(m, r) for m in grid for r in range(1 if kind == "tailswap" else n_repeats)], kind, row_id, seed, **scorer)
-    p = rga(long, ["variable", "magnitude", "rep"]).groupBy("variable", "magnitude").agg(F.avg("rga").alias("rgr"))
+    p = rga(long, ["variable", "magnitude", "rep"], cuts=_cuts(df, model, **scorer)).groupBy("variable", "magnitude").agg(F.avg("rga").alias("rgr"))
     w = Window.partitionBy("variable").orderBy("magnitude")
     p = p.withColumn("_area", (F.col("rgr") + F.coalesce(F.lag("rgr").over(w), F.lit(1.0))) / 2.0 * (F.col("magnitude") - F.coalesce(F.lag("magnitude").over(w), F.lit(0.0))))
     return p.select("variable", "magnitude", "rgr", (F.sum("_area").over(Window.partitionBy("variable")) / float(grid[-1])).alias("aurgr"))
