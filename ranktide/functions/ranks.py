@@ -36,21 +36,22 @@ def cut_points(df: DataFrame, values: Sequence[str], ranges: int = RANGES) -> Cu
     return [found[v] for v in values]
 
 
-def range_of(value: Column, cuts: Sequence[float]) -> Column:
-    """Number of cuts below the value, by halving."""
+def range_sql(name: str, cuts: Sequence[float]) -> str:
+    """Number of cuts below a column of doubles, by halving.  It is SQL text, which is read at once, where columns are put together call by call."""
 
-    def among(lo: int, hi: int) -> Column:
+    def among(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         k = (lo + hi) // 2
-        return F.when(value > F.lit(cuts[k]), among(k + 1, hi)).otherwise(among(lo, k))
+        return f"CASE WHEN `{name}` > {cuts[k]!r}D THEN {among(k + 1, hi)} ELSE {among(lo, k)} END"
 
     return among(0, len(cuts))
 
 
-def part_of(value: Column, cuts: Sequence[float]) -> Column:
-    """Part of the value, in the order of values: even for a range, odd for a cut's very value."""
-    return range_of(value, cuts) * 2 + (value.isin(list(cuts)).cast("int") if cuts else F.lit(0))
+def part_of(name: str, cuts: Sequence[float]) -> Column:
+    """Part of a column of doubles, in the order of values: even for a range, odd for a cut's very value."""
+    hit = f"CAST(`{name}` IN ({', '.join(f'{c!r}D' for c in cuts)}) AS INT)" if cuts else "0"
+    return F.expr(f"2 * ({range_sql(name, cuts)}) + {hit}")
 
 
 def finite(*values: Column) -> Column:
@@ -63,13 +64,15 @@ def finite(*values: Column) -> Column:
 
 def _sides(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], weight: str | None, cuts: Cuts) -> DataFrame:
     """The keys as _g0, _g1, ..., t (y less its mean), w, side (place of the value), v, part: a row for each row and value; v and part are null in rows that are left out."""
-    x = {str(i): F.col(v).try_cast("double") for i, v in enumerate(values)}
+    x = {f"x{i}": F.col(v).try_cast("double") for i, v in enumerate(values)}
     t, w = F.col(y).try_cast("double"), F.col(weight).try_cast("double") if weight else F.lit(1.0)
-    ok = finite(t, w, *x.values())
-    entry = [F.struct(F.when(ok, c).alias("v"), F.when(ok, part_of(c, cuts[i + 1][0])).alias("part")).alias(n) for i, (n, c) in enumerate(x.items())]
-    d = df.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.when(ok, t - cuts[0][1]).alias("t"), w.alias("w"), *entry)
-    keys = [f"_g{i}" for i in range(len(keys))]
-    return d.unpivot([*keys, "t", "w"], list(x), "side", "e").select(*keys, "t", "w", "side", "e.v", "e.part")
+    g = [f"_g{i}" for i in range(len(keys))]
+    d = df.select(*[F.col(k).alias(n) for k, n in zip(keys, g, strict=True)], t.alias("t"), w.alias("w"), *[c.alias(n) for n, c in x.items()])
+    ok = " AND ".join(f"coalesce(abs(`{c}`) < double('inf'), false)" for c in ("t", "w", *x))
+    entry = [F.expr(f"if({ok}, `{n}`, null)").alias("v") for n in x]
+    parts = [F.when(F.expr(ok), part_of(n, cuts[i + 1][0])).alias("part") for i, n in enumerate(x)]
+    d = d.select(*g, F.expr(f"if({ok}, t - {cuts[0][1]!r}D, null)").alias("t"), "w", *[F.struct(e, q).alias(str(i)) for i, (e, q) in enumerate(zip(entry, parts, strict=True))])
+    return d.unpivot([*g, "t", "w"], [str(i) for i in range(len(values))], "side", "e").select(*g, "t", "w", "side", "e.v", "e.part")
 
 
 def rank_sums(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], weight: str | None = None, cuts: Cuts | None = None) -> DataFrame:
@@ -123,7 +126,7 @@ def placed(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], cu
     t = F.col(y).try_cast("double")
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
     d = df.filter(finite(t, *x)).withColumns({"_y": t - cuts[0][1], "_key": key} | {f"_x{i}": c for i, c in enumerate(x)})
-    d = d.withColumns({f"_q{i}": part_of(F.col(f"_x{i}"), cuts[i + 1][0]) for i in range(len(x))}).withColumn("_salt", salt).select(*df.columns, "_key", "_y", "_salt", *[c for i in range(len(x)) for c in (f"_x{i}", f"_q{i}")])
+    d = d.withColumns({f"_q{i}": part_of(f"_x{i}", cuts[i + 1][0]) for i in range(len(x))}).withColumn("_salt", salt).select(*df.columns, "_key", "_y", "_salt", *[c for i in range(len(x)) for c in (f"_x{i}", f"_q{i}")])
     for i in range(len(x)):
         of = totals.filter(F.col("side") == str(i))
         mine = of.select((F.struct(*[F.col(x).alias(k) for x, k in zip(g, keys, strict=True)]) if keys else key).alias("_k"), F.col("part").alias("_part"), F.col("_salt").alias("_ks"), F.col("_n").alias("_tn"), F.col("_s").alias("_ts"), "_bn", "_bs")
@@ -149,7 +152,7 @@ def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Col
     """keys, value, n (weight of the ties), before (weight below them), rank (their mean rank), and for each sum its tie total and ``<name>_upto`` (total of values up to this one)."""
     names = ["n", *sums]
     g = df.groupBy(*keys, value).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-    g = g.withColumn("_range", range_of(F.col(value).cast("double"), cut_points(df, [value])[0][0]))
+    g = g.withColumn("_double", F.col(value).cast("double")).withColumn("_range", F.expr(range_sql("_double", cut_points(df, [value])[0][0]))).drop("_double")
     whole = g.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in names])
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key
     whole = whole.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0.0)).alias(f"_{c}") for c in names])
@@ -194,10 +197,9 @@ def by_number(df: DataFrame, value: str, row_id: str, keys: Sequence[str] = (),
     parted by ranges of a numeric row id.  ``cuts`` are those of (value, row_id), if they are known.
     """
     (by, _), (within, _) = cut_points(df, [value, row_id]) if cuts is None else cuts
-    x, r = F.col(value).try_cast("double"), F.col(row_id).try_cast("double")
-    p = part_of(x, by)
-    part = p * RANGES + F.when(p % 2 == 1, range_of(r, within)).otherwise(0)
-    return numbered(df, keys, [value, row_id], F.coalesce(part, F.lit(-1)), name)
+    d = df.withColumns({"_bx": F.col(value).try_cast("double"), "_br": F.col(row_id).try_cast("double")})
+    d = d.withColumn("_bp", part_of("_bx", by)).withColumn("_bp", F.expr(f"coalesce(_bp * {RANGES} + if(_bp % 2 = 1, {range_sql('_br', within)}, 0), -1)"))
+    return numbered(d.drop("_bx", "_br"), keys, [value, row_id], F.col("_bp"), name).drop("_bp")
 
 
 def window_rank(value: str, keys: Sequence[str] = ()) -> Column:
