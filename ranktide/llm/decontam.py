@@ -7,8 +7,8 @@ A key is made of the walk at ``SAMPLED`` of its steps; each of ``TABLES`` sample
 
 An item-sized window is embedded piece by piece: a walk of ``STEPS`` steps starts anew at every word (and, in words of more than
 ``LONG_WORD`` characters, at every character of an item and every ``LONG_WORD // 2``-th of a document).
-One walk over the whole window would not do: at one edit in five characters it never falls back into step for long, and its
-Hamming distance is that of unrelated strings; pieces start in step again.
+One walk over the whole window would not do: for 40 words and one edit in five characters a quarter of its steps agree, and
+16 tables of 8 sampled steps would find 2 % of such copies; pieces start in step again.
 A window of a document is a candidate for an item if at least ``hits_for`` of its pieces meet pieces of the item on nearby diagonals:
 the most for which a copy at the least similarity still is a candidate with probability ``RECALL``,
 each piece meeting with probability ``MEETS``, which a test measures at one edit in five characters.
