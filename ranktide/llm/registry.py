@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ranktide.llm import decontam, language, licences, lines, lm, mixing, neardup, privacy, quality, secrets
+from ranktide.llm import decontam, interplay, language, licences, lines, lm, mixing, neardup, privacy, quality, secrets, urls
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_mixing": mixing.op10_mixing,
+    "op11_url_filters": urls.op11_url_filters,
+    "op13_filter_audit": interplay.op13_filter_audit,
 }
-ORACLE_SQL = {"op6_quality": quality.SQL, "op10_mixing": mixing.SQL}
+ORACLE_SQL = {"op6_quality": quality.SQL, "op10_mixing": mixing.SQL, "op11_url_filters": urls.SQL, "op13_filter_audit": interplay.SQL}
