@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES = " \t\n\v\f\r"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

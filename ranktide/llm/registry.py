@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ranktide.llm import decontam, interplay, language, licences, lines, lm, mixing, neardup, privacy, quality, secrets, urls
+from ranktide.llm import decontam, interplay, language, licences, lines, lm, mixing, neardup, privacy, quality, secrets, turns, urls
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_mixing": mixing.op10_mixing,
     "op11_url_filters": urls.op11_url_filters,
+    "op12_turn_repair": turns.op12_turn_repair,
     "op13_filter_audit": interplay.op13_filter_audit,
 }
-ORACLE_SQL = {"op6_quality": quality.SQL, "op10_mixing": mixing.SQL, "op11_url_filters": urls.SQL, "op13_filter_audit": interplay.SQL}
+ORACLE_SQL = {"op6_quality": quality.SQL, "op10_mixing": mixing.SQL, "op11_url_filters": urls.SQL, "op12_turn_repair": turns.SQL, "op13_filter_audit": interplay.SQL}
