@@ -49,9 +49,9 @@ def verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     r = r.withColumn("r_labels", F.size(F.split("r_host", r"\.")))
     near, digest = _keyed(F.concat("r_host", "r_path"))
     r = r.withColumns({"r_near": near, "r_digest": digest})
-    # at most as many shapes as label counts times path lengths of the rules, in one row
+    # at most as many shapes as label counts times path lengths of the rules, in one value
     shapes = r.agg(F.collect_set(F.struct(F.col("r_labels").alias("labels"), F.length("r_path").alias("length"))).alias("shapes"))
-    e = urls.select("host", "path").crossJoin(F.broadcast(shapes)).withColumns({"labels": F.size(F.split("host", r"\.")), "length": F.length("path")})
+    e = urls.select("host", "path", F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length"), shapes.scalar().alias("shapes"))
     fits = F.filter("shapes", lambda s: (s["labels"] <= F.col("labels")) & (s["length"] <= F.col("length")))
     e = e.select("host", "path", F.explode(fits).alias("s"))
     e = e.select("host", "path", F.expr("concat(substring_index(host, '.', -s.labels), left(path, s.length))").alias("expression"), "s.labels")
