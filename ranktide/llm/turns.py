@@ -197,7 +197,8 @@ def moves(auto: Repairs, rows: list[dict]) -> list[list[int]]:
     return out
 
 
-RESULT = "blank bigint, duplicate bigint, truncated bigint, illegal bigint, gaps bigint, cost bigint, audit string, repaired_sha256 string"
+FACTS = "blank bigint, duplicate bigint, truncated bigint, illegal bigint, gaps bigint, cost bigint"
+RESULT = f"{FACTS}, audit string, repaired_sha256 string"
 STATS = "rows bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, turns bigint, low bigint, high bigint, first_turn bigint, last_turn bigint, first string, last string"
 
 
@@ -206,11 +207,19 @@ def _arrow(kind: pa.DataType, **columns: pa.DataType) -> pa.Schema:
 
 
 INT, TEXT = pa.int64(), pa.string()
-RESULT_ARROW = pa.struct([(k, INT) for k in (*COUNTS, "gaps", "cost")] + [("audit", TEXT), ("repaired_sha256", TEXT)])
+FACTS_ARROW = {k: INT for k in (*COUNTS, "gaps", "cost")}
+RESULT_ARROW = pa.struct([*FACTS_ARROW.items(), ("audit", TEXT), ("repaired_sha256", TEXT)])
 STATS_ARROW = pa.struct([(k, INT) for k in ("rows", *COUNTS, "turns", "low", "high", "first_turn", "last_turn")] + [("first", TEXT), ("last", TEXT)])
 ROW_ARROW = pa.struct([("seq", INT), ("turn", INT), ("role", TEXT), ("text", TEXT), ("n", INT), ("fault", pa.int32())])
 
 
+def _kind(batches: Iterator[pa.RecordBatch], seen: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The same batches; the type of their conversations goes to ``seen``."""
+    for b in batches:
+        seen[:] = [b.schema.field("conv_id").type]
+        yield b
+
+
 def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, list[dict]]]:
     """Stretches of rows with equal keys."""
     at, held = None, []
@@ -227,36 +236,32 @@ def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tup
 
 def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block: the result of each conversation inside it; the rows and a summary of its first and its last."""
-    auto, block, held, schema = Repairs(), TaskContext.get().partitionId(), None, None
+    auto, block, held, kind = Repairs(), TaskContext.get().partitionId(), None, []
 
-    def edge(conv: object, rows: list[dict]) -> pa.RecordBatch:
-        for k, r in enumerate(rows):
-            r["seq"] = k
-        own = [{"conv_id": conv, "block": block, "row": r} for r in rows]
-        return pa.RecordBatch.from_pylist([*own, {"conv_id": conv, "block": block, "stats": summary(rows), "moves": moves(auto, rows)}], schema)
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, _arrow(*kind, block=INT, result=RESULT_ARROW, row=ROW_ARROW, stats=STATS_ARROW, moves=pa.list_(pa.list_(INT))))
 
-    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal schema
-        for b in batches:
-            schema = _arrow(b.schema.field("conv_id").type, block=INT, result=RESULT_ARROW, row=ROW_ARROW, stats=STATS_ARROW, moves=pa.list_(pa.list_(INT)))
-            yield b
+    def edge(conv: object, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        yield batch([{"conv_id": conv, "block": block, "stats": summary(rows), "moves": moves(auto, rows)}])
+        for k in range(0, len(rows), 256):
+            yield batch([{"conv_id": conv, "block": block, "row": r | {"seq": k + i}} for i, r in enumerate(rows[k : k + 256])])
 
     done, first = [], True
-    for (conv,), rows in _groups(typed(batches), "conv_id"):
+    for (conv,), rows in _groups(_kind(batches, kind), "conv_id"):
         if held:
             if first:
-                yield edge(*held)
+                yield from edge(*held)
                 first = False
             else:
                 done.append({"conv_id": held[0], "block": block, "result": whole(auto, held[1])})
         held = conv, rows
         if len(done) >= 1000:
-            yield pa.RecordBatch.from_pylist(done, schema)
+            yield batch(done)
             done = []
     if done:
-        yield pa.RecordBatch.from_pylist(done, schema)
+        yield batch(done)
     if held:
-        yield edge(*held)
+        yield from edge(*held)
 
 
 def _compose(table: pa.Table) -> pa.Table:
@@ -276,38 +281,43 @@ def _compose(table: pa.Table) -> pa.Table:
     for p, v in zip(pieces, reversed(behind), strict=True):
         out.append({"conv_id": p["conv_id"], "block": p["block"], "behind": v, "entry": q, "last": p is pieces[-1], "facts": facts})
         q = p["moves"][v][2 + q]
-    facts_arrow = pa.struct([(k, INT) for k in (*COUNTS, "gaps", "cost")])
-    return pa.Table.from_pylist(out, _arrow(table.schema.field("conv_id").type, block=INT, behind=INT, entry=INT, last=pa.bool_(), facts=facts_arrow))
+    return pa.Table.from_pylist(out, _arrow(table.schema.field("conv_id").type, block=INT, behind=INT, entry=INT, last=pa.bool_(), facts=pa.struct(FACTS_ARROW.items())))
 
 
 def _traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of a conversation in a block, with its state and vector: audit and repaired text in chunks."""
-    auto = Repairs()
+    auto, kind = Repairs(), []
     every = auto.vectors()
-    for (conv, block), rows in _groups(batches, "conv_id", "block"):
+
+    def chunk(how: dict, no: int, edits: list[str], lines: list[str]) -> pa.RecordBatch:
+        row = {"conv_id": how["conv_id"], "block": how["block"], "no": no, "audit": "".join(edits), "lines": "\n".join(lines)} | how["facts"]
+        return pa.RecordBatch.from_pylist([row], _arrow(*kind, block=INT, no=INT, audit=TEXT, lines=TEXT, **FACTS_ARROW))
+
+    for _, rows in _groups(_kind(batches, kind), "conv_id", "block"):
         how, no, edits, lines, held, q = rows[0], 0, [], [], 0, rows[0]["entry"]
         for e, more, q in trace(rows, scan(auto, rows, every[how["behind"]])[2], q):
             edits.append(e)
             lines += more
             held += len(e) + sum(map(len, more))
             if held > CHUNK:
-                yield pa.RecordBatch.from_pylist([{"conv_id": conv, "block": block, "no": no, "audit": "".join(edits), "lines": "\n".join(lines)} | how["facts"]])
+                yield chunk(how, no, edits, lines)
                 no, edits, lines, held = no + 1, [], [], 0
         if how["last"]:
             tail = auto.tail(q)
             edits.append("I" * len(tail))
             lines += [f"{i}:" for i in tail]
-        yield pa.RecordBatch.from_pylist([{"conv_id": conv, "block": block, "no": no, "audit": "".join(edits), "lines": "\n".join(lines)} | how["facts"]])
+        yield chunk(how, no, edits, lines)
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The chunks of a conversation in order: its result.  Text is read as a stream."""
-    at, edits, sha, facts, empty = None, [], None, {}, True
+    at, edits, sha, facts, empty, kind = None, [], None, {}, True, []
 
     def ended() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"conv_id": at[0]} | facts | {"audit": "".join(edits), "repaired_sha256": sha.hexdigest()}])
+        row = {"conv_id": at[0]} | facts | {"audit": "".join(edits), "repaired_sha256": sha.hexdigest()}
+        return pa.RecordBatch.from_pylist([row], _arrow(*kind, **FACTS_ARROW, audit=TEXT, repaired_sha256=TEXT))
 
-    for batch in batches:
+    for batch in _kind(batches, kind):
         for r in batch.to_pylist():
             if at != (r["conv_id"],):
                 if at:
@@ -348,13 +358,12 @@ def repair(rows: DataFrame) -> DataFrame:
     d = with_faults(rows).repartitionByRange(n, *order, F.left("text", F.lit(32))).sortWithinPartitions(*order, "text")
     row = "seq bigint, turn bigint, role string, text string, n bigint, fault int"
     blocks = written(d.mapInArrow(_in_blocks, f"conv_id {kind}, block bigint, result struct<{RESULT}>, row struct<{row}>, stats struct<{STATS}>, moves array<array<bigint>>"), "turns-blocks")
-    facts = "blank bigint, duplicate bigint, truncated bigint, illegal bigint, gaps bigint, cost bigint"
     edges = blocks.filter("stats is not null").select("conv_id", "block", "stats", "moves")
-    plan = written(edges.groupBy("conv_id").applyInArrow(_compose, f"conv_id {kind}, block bigint, behind bigint, entry bigint, last boolean, facts struct<{facts}>"), "turns-plan")
+    plan = written(edges.groupBy("conv_id").applyInArrow(_compose, f"conv_id {kind}, block bigint, behind bigint, entry bigint, last boolean, facts struct<{FACTS}>"), "turns-plan")
     p = F.broadcast(plan.withColumnsRenamed({"conv_id": "p_conv", "block": "p_block"}))  # two rows a block at most
     cut = blocks.filter("row is not null").select("conv_id", "block", "row.*").join(p, (F.col("block") == F.col("p_block")) & F.col("conv_id").eqNullSafe(F.col("p_conv"))).drop("p_conv", "p_block")
     cut = cut.repartition(n, "block", "conv_id").sortWithinPartitions("block", "conv_id", "seq")
-    chunks = cut.mapInArrow(_traced, f"conv_id {kind}, block bigint, no bigint, audit string, lines string, {facts}")
+    chunks = cut.mapInArrow(_traced, f"conv_id {kind}, block bigint, no bigint, audit string, lines string, {FACTS}")
     chunks = chunks.repartition(n, "conv_id").sortWithinPartitions("conv_id", "block", "no")
     long = chunks.mapInArrow(_digested, f"conv_id {kind}, {RESULT}")
     out = blocks.filter("result is not null").select("conv_id", "result.*").unionByName(long)
