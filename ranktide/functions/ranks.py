@@ -11,41 +11,69 @@ whole key, even if one key, or one value of it, has all rows.  Cuts balance the
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a key is cut into, the share of rows that cuts are found from, and the tasks that rows with a cut's value are dealt to.
+#: Rows that a range is meant to have, and ranges at least; so the ranges follow the rows.  Fractions that one pass asks for; what is beyond takes a second pass.
+ROWS = 1 << 18
 RANGES = 16
+FRACTIONS = 256
+#: The share of rows that cuts are found from, and the tasks that rows with a cut's value are dealt to.
 SAMPLED = 1 / 16
 SALTS = 32
 Cuts = list[tuple[list[float], float]]
 
 
-def cut_points(df: DataFrame, values: Sequence[str], ranges: int = RANGES) -> Cuts:
-    """For each column its cuts, ``ranges`` - 1 at most, and its mean over finite values: one pass over the rows, at once, so that every use cuts alike."""
-    distinct, out = list(dict.fromkeys(values)), []
+def ranges_for(rows: int) -> int:
+    return max(RANGES, -(-rows // ROWS))
+
+
+def cut_points(df: DataFrame, values: Sequence[str], ranges: int | None = None) -> Cuts:
+    """For each column its cuts and its mean over finite values: one pass over the rows, at once, so that every use cuts alike.
+
+    There is a range for every ``ROWS`` rows, ``RANGES`` at least, unless ``ranges`` says how many.  Above ``FRACTIONS`` ranges a second pass finds the cuts.
+    """
+    distinct = list(dict.fromkeys(values))
     x = [F.col(v).try_cast("double") for v in distinct]
     d = df.select(*[F.when(F.abs(c) < math.inf, c).alias(f"_{i}") for i, c in enumerate(x)], (F.rand(17) < SAMPLED).alias("_some"))
-    for i in range(len(x)):
-        out += [F.percentile_approx(F.when(F.col("_some"), F.col(f"_{i}")), [k / ranges for k in range(1, ranges)], 1000), F.coalesce(F.avg(f"_{i}"), F.lit(0.0))]
-    r = d.agg(*[c.alias(f"_{i}") for i, c in enumerate(out)]).first()
-    found = {v: (sorted(set(r[2 * i] or [])), r[2 * i + 1]) for i, v in enumerate(distinct)}
-    return [found[v] for v in values]
+
+    def found(parts: int) -> list[Column]:
+        every = [k / parts for k in range(1, parts)]
+        return [F.percentile_approx(F.when(F.col("_some"), F.col(f"_{i}")), every, max(1000, 10 * parts)).alias(f"_{i}") for i in range(len(x))]
+
+    r = d.agg(F.count("*").alias("_n"), *[F.coalesce(F.avg(f"_{i}"), F.lit(0.0)).alias(f"_m{i}") for i in range(len(x))], *found(FRACTIONS)).first()
+    parts, cuts = ranges_for(r["_n"]) if ranges is None else ranges, r
+    if parts > FRACTIONS:
+        cuts = d.agg(*found(parts)).first()
+        every = range(parts - 1)
+    else:
+        every = sorted({k * FRACTIONS // parts - 1 for k in range(1, parts)})
+    out = {v: (sorted({cuts[f"_{i}"][k] for k in every}) if cuts[f"_{i}"] else [], r[f"_m{i}"]) for i, v in enumerate(distinct)}
+    return [out[v] for v in values]
 
 
 def range_sql(name: str, cuts: Sequence[float]) -> str:
-    """Number of cuts below a column of doubles, by halving.  It is SQL text, which is read at once, where columns are put together call by call."""
+    """Number of cuts below a column of doubles, by halving.  It is SQL text, which is read at once, where columns are put together call by call.
+
+    Of many cuts every 64th is halved, and those between are looked up in an array.
+    """
+    top = cuts if len(cuts) <= FRACTIONS else cuts[63::64]
 
     def among(lo: int, hi: int) -> str:
         if lo == hi:
             return str(lo)
         k = (lo + hi) // 2
-        return f"CASE WHEN `{name}` > {cuts[k]!r}D THEN {among(k + 1, hi)} ELSE {among(lo, k)} END"
+        return f"CASE WHEN `{name}` > {top[k]!r}D THEN {among(k + 1, hi)} ELSE {among(lo, k)} END"
 
-    return among(0, len(cuts))
+    coarse = among(0, len(top))
+    if top is cuts:
+        return coarse
+    groups = json.dumps([list(cuts[k : k + 64]) for k in range(0, len(cuts) + 1, 64)])
+    return f"({coarse}) * 64 + size(filter(from_json('{groups}', 'array<array<double>>')[{coarse}], _c -> _c < `{name}`))"
 
 
 def part_of(name: str, cuts: Sequence[float]) -> Column:
@@ -62,27 +90,27 @@ def finite(*values: Column) -> Column:
     return ok
 
 
-def _sides(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], weight: str | None, cuts: Cuts) -> DataFrame:
-    """The keys as _g0, _g1, ..., t (y less its mean), w, side (place of the value), v, part: a row for each row and value; v and part are null in rows that are left out."""
+def side_rows(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], cuts: Cuts, more: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """The columns of ``more``, the keys as _g0, _g1, ..., t (y less its mean), w, side (place of the value), v, part: a row for each row and value; v and part are null in rows that are left out."""
     x = {f"x{i}": F.col(v).try_cast("double") for i, v in enumerate(values)}
     t, w = F.col(y).try_cast("double"), F.col(weight).try_cast("double") if weight else F.lit(1.0)
     g = [f"_g{i}" for i in range(len(keys))]
-    d = df.select(*[F.col(k).alias(n) for k, n in zip(keys, g, strict=True)], t.alias("t"), w.alias("w"), *[c.alias(n) for n, c in x.items()])
-    ok = " AND ".join(f"coalesce(abs(`{c}`) < double('inf'), false)" for c in ("t", "w", *x))
+    d = df.select(*[F.col(k).alias(n) for k, n in zip(keys, g, strict=True)], t.alias("t"), w.alias("w"), *[c.alias(n) for n, c in x.items()], *more)
+    ok = " AND ".join(f"coalesce(abs(`{c}`) < double('inf'), false)" for c in ("t", "w", *x)) + " AND w >= 0"
     entry = [F.expr(f"if({ok}, `{n}`, null)").alias("v") for n in x]
     parts = [F.when(F.expr(ok), part_of(n, cuts[i + 1][0])).alias("part") for i, n in enumerate(x)]
-    d = d.select(*g, F.expr(f"if({ok}, t - {cuts[0][1]!r}D, null)").alias("t"), "w", *[F.struct(e, q).alias(str(i)) for i, (e, q) in enumerate(zip(entry, parts, strict=True))])
-    return d.unpivot([*g, "t", "w"], [str(i) for i in range(len(values))], "side", "e").select(*g, "t", "w", "side", "e.v", "e.part")
+    d = d.select(*g, F.expr(f"if({ok}, t - {cuts[0][1]!r}D, null)").alias("t"), "w", *more, *[F.struct(e, q).alias(str(i)) for i, (e, q) in enumerate(zip(entry, parts, strict=True))])
+    return d.unpivot([*g, "t", "w", *more], [str(i) for i in range(len(values))], "side", "e").select(*g, "t", "w", *more, "side", "e.v", "e.part")
 
 
 def rank_sums(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], weight: str | None = None, cuts: Cuts | None = None) -> DataFrame:
-    """keys and, over the rows whose y, values and weight are all finite, _rows, _w (weights), _left_out (the other rows), _s, _s2, _lo, _hi (weighted sum, sum of squares, least and largest of y less its ``mean0``), and for each value k:
+    """keys and, over the rows whose y, values and weight are all finite and whose weight is not negative, _rows, _w (weights), _left_out (the other rows), _s, _s2, _lo, _hi (weighted sum, sum of squares, least and largest of y less its ``mean0``), and for each value k:
 
     ``_p<k>``: sum over its ties of their y times (weight below + half of their own), ``_d<k>``: distinct values, ``_t<k>``: sum of n^3 - n over ties.
     ``cuts`` are those of (y, *values), if they are known.
     """
     cuts = cut_points(df, [y, *values]) if cuts is None else cuts
-    u = _sides(df, keys, y, values, weight, cuts)
+    u = side_rows(df, keys, y, values, cuts, weight=weight)
     names, keys = keys, [f"_g{i}" for i in range(len(keys))]
     wt = F.col("w") * F.col("t")
     facts = [F.sum("w").alias("n"), F.sum(wt).alias("s"), F.count("*").alias("c"), F.sum(wt * F.col("t")).alias("s2"), F.min("t").alias("lo"), F.max("t").alias("hi")]
@@ -103,7 +131,7 @@ def rank_sums(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str],
         F.coalesce(F.sum(one("c")), F.lit(0)).alias("rows"), F.coalesce(F.sum(one("n")), F.lit(0.0)).alias("w"), F.coalesce(F.sum(F.when(~there & (F.col("side") == "0"), F.col("c"))), F.lit(0)).alias("left_out"), F.coalesce(F.sum(one("s")), F.lit(0.0)).alias("s"), F.sum(one("s2")).alias("s2"), F.min(one("lo")).alias("lo"), F.max(one("hi")).alias("hi"),
         *[of(i, c).alias(f"{c}{i}") for i in range(len(values)) for c in ("d", "t")], F.array_sort(F.collect_list(F.when(there, F.struct("side", "part", "n", "s", "p")))).alias("_parts"))
 
-    def total(i: int) -> Column:  # at most 2 * RANGES parts a side
+    def total(i: int) -> Column:  # a part for each range and each cut
         zero = F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("p"))
         return F.aggregate(F.filter("_parts", lambda e: e["side"] == str(i)), zero, lambda a, e: F.struct((a["before"] + e["n"]).alias("before"), (a["p"] + e["p"] + a["before"] * e["s"]).alias("p")))["p"]
 
@@ -117,8 +145,8 @@ def placed(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], cu
     ``cuts`` and ``sums`` are those of (y, *values).  Rows are shuffled once for each value.
     """
     g = [f"_g{i}" for i in range(len(keys))]
-    totals = _sides(df, keys, y, values, None, cuts).filter("part is not null").groupBy(*g, "side", "part").agg(F.count("*").cast("double").alias("_n"), F.sum("t").alias("_s"))
-    by = Window.partitionBy(*g, "side").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 2 * RANGES rows
+    totals = side_rows(df, keys, y, values, cuts).filter("part is not null").groupBy(*g, "side", "part").agg(F.count("*").cast("double").alias("_n"), F.sum("t").alias("_s"))
+    by = Window.partitionBy(*g, "side").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range and each cut
     totals = totals.withColumns({"_bn": F.coalesce(F.sum("_n").over(by), F.lit(0.0)), "_bs": F.coalesce(F.sum("_s").over(by), F.lit(0.0))})
     totals = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("part") % 2 == 1, SALTS - 1).otherwise(0))))
     key = F.struct(*keys) if keys else F.lit(0)  # structs are equal where nulls are
@@ -154,7 +182,7 @@ def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Col
     g = df.groupBy(*keys, value).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     g = g.withColumn("_double", F.col(value).cast("double")).withColumn("_range", F.expr(range_sql("_double", cut_points(df, [value])[0][0]))).drop("_double")
     whole = g.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in names])
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a key
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     whole = whole.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0.0)).alias(f"_{c}") for c in names])
     same = F.col("_range") == F.col("_r")
     for i, k in enumerate(keys):
@@ -185,9 +213,9 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return d.join(sizes, same).withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_p", "_before", "_in", *[f"_k{i}" for i in range(len(keys))])
 
 
-def spread_evenly(u: Column) -> Column:
-    """The part of a number in (0, 1), for orders by random numbers."""
-    return F.floor(u * RANGES)
+def spread_evenly(u: Column, df: DataFrame) -> Column:
+    """The part of a number in (0, 1), for orders of the rows of ``df``, which are counted, by random numbers."""
+    return F.floor(u * ranges_for(df.count()))
 
 
 def by_number(df: DataFrame, value: str, row_id: str, keys: Sequence[str] = (), name: str = "_k", cuts: Cuts | None = None) -> DataFrame:
@@ -198,7 +226,7 @@ def by_number(df: DataFrame, value: str, row_id: str, keys: Sequence[str] = (),
     """
     (by, _), (within, _) = cut_points(df, [value, row_id]) if cuts is None else cuts
     d = df.withColumns({"_bx": F.col(value).try_cast("double"), "_br": F.col(row_id).try_cast("double")})
-    d = d.withColumn("_bp", part_of("_bx", by)).withColumn("_bp", F.expr(f"coalesce(_bp * {RANGES} + if(_bp % 2 = 1, {range_sql('_br', within)}, 0), -1)"))
+    d = d.withColumn("_bp", part_of("_bx", by)).withColumn("_bp", F.expr(f"coalesce(_bp * {len(within) + 1} + if(_bp % 2 = 1, {range_sql('_br', within)}, 0), -1)"))
     return numbered(d.drop("_bx", "_br"), keys, [value, row_id], F.col("_bp"), name).drop("_bp")
 
 

@@ -11,6 +11,7 @@ from ranktide.errors import BadInput
 from ranktide.functions import gauss
 from ranktide.functions.hashing import uniform
 from ranktide.functions.ranks import cut_points, finite, numbered, rank_sums, spread_evenly
+from ranktide.operators.concordance import kendall
 from ranktide.operators.inference import METHODS, ROW_VALUES, bootstrap_values, compare, estimate, from_rows, ranked, spread, test
 from ranktide.operators.measure import NOTE_CONSTANT, NOTE_FEW, from_sums, on, rga
 from ranktide.sources.frames import columns, level as check_level, no_missing_labels
@@ -46,42 +47,8 @@ def reference_measures(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z:
     return r.select(*keys, "pearson", "spearman", "rmse", "mae", "is_binary")
 
 
-def kendall(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z") -> DataFrame:
-    """keys, kendall (tau-b), from counts of the distinct (target, score) pairs; grows with the square of the distinct targets.
-
-    Equal pairs are added up first; the concordant ones of a pair are those with smaller target and score, found by
-    a sum over the target levels, so it suits targets of few levels.
-    """
-    c = df.groupBy(*keys, y, z).agg(F.count("*").cast("double").alias("m"))
-    levels = c.select(*keys, F.col(y).alias("_level")).distinct()
-    long = on(c, levels, keys) if keys else c.crossJoin(F.broadcast(levels)) if levels.count() <= 10_000 else c.join(levels)
-    long = long.filter(F.col("_level") < F.col(y))  # rows of a larger target against each smaller level
-    other = c.select(*keys, F.col(y).alias("_level"), F.col(z), F.col("m").alias("_m2"))
-    both = long.select(*keys, "_level", y, z, "m", F.lit(0.0).alias("_m2")).unionByName(on(levels_pairs(c, keys, y), other, [*keys, "_level"]).select(*keys, "_level", y, z, F.lit(0.0).alias("m"), "_m2"))
-    w = Window.partitionBy(*keys, "_level", y).orderBy(z)
-    both = both.withColumn("_below", F.sum("_m2").over(w.rangeBetween(Window.unboundedPreceding, 0)) - F.sum("_m2").over(Window.partitionBy(*keys, "_level", y, z))).withColumn("_tie", F.sum("_m2").over(Window.partitionBy(*keys, "_level", y, z))).withColumn("_all", F.sum("_m2").over(Window.partitionBy(*keys, "_level", y)))
-    s = both.groupBy(*keys).agg(F.sum(F.col("m") * (F.col("_below") - (F.col("_all") - F.col("_below") - F.col("_tie")))).alias("_s"))
-    t = c.groupBy(*keys).agg(F.sum("m").alias("_n"))
-    for v in (y, z):
-        ties = c.groupBy(*keys, v).agg(F.sum("m").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2.0).alias(f"_t_{v}"))
-        t = on(t, ties, keys)
-    pairs = F.col("_n") * (F.col("_n") - 1) / 2.0
-    r = on(s, t, keys)
-    return r.select(*keys, F.try_divide(F.col("_s"), F.sqrt((pairs - F.col(f"_t_{y}")) * (pairs - F.col(f"_t_{z}")))).alias("kendall"))
-
-
-def levels_pairs(c: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
-    """keys, _level, y for every two levels of the target with _level below y."""
-    a = c.select(*keys, y).distinct()
-    b = a.withColumnsRenamed({y: "_level"} | {k: f"_p{i}" for i, k in enumerate(keys)})
-    same = F.col("_level") < F.col(y)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_p{i}"))
-    return a.join(b, same).drop(*[f"_p{i}" for i in range(len(keys))])
-
-
-def report(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", method: str = "jackknife", level: float = 0.95, with_kendall: bool = False, **options) -> DataFrame:
-    """One row a key: the estimate with its interval, Gini, the usual measures, the one-sided test and the note; Kendall's tau, whose cost grows with the target's levels, on demand."""
+def report(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", method: str = "jackknife", level: float = 0.95, with_kendall: bool = True, **options) -> DataFrame:
+    """One row a key: the estimate with its interval, Gini, the usual measures with Kendall's tau, the one-sided test and the note."""
     t = test(df, keys, y, z).select(*keys, "p_value")
     rows, sums = ranked(df, keys, y, [z])
     binary = sums.select(*keys, (F.col("_d1") == 2).alias("is_binary"), _auroc().alias("auroc"))
@@ -182,7 +149,7 @@ def contamination(df: DataFrame, y: str = "y", z: str = "z", row_id: str = "row_
         raise TooFewRows(f"{n} rows; at least 10 are needed")
     spec = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.lit(int(round(f * n))).alias("take")) for f in fractions])
     long = df.select(row_id, y, z, F.explode(spec).alias("_f")).select(row_id, y, z, "_f.fraction", "_f.take").crossJoin(F.broadcast(s)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
-    long = numbered(long.withColumn("_u", uniform(seed, "pick", F.col("rep"), F.col(row_id))), ["fraction", "rep"], ["_u", row_id], spread_evenly(F.col("_u")), "_place")
+    long = numbered(long.withColumn("_u", uniform(seed, "pick", F.col("rep"), F.col(row_id))), ["fraction", "rep"], ["_u", row_id], spread_evenly(F.col("_u"), df), "_place")
     shift = F.when(F.col("_place") <= F.col("take"), F.when(uniform(seed, "sign", F.col("rep"), F.col(row_id)) < 0.5, -1.0).otherwise(1.0) * magnitude * F.col("_sd")).otherwise(0.0)
     long = long.withColumn("y2", F.col(y) + shift)
     a = rga(long, ["fraction", "rep"], "y2", z, cuts=cut_points(df, [y, z, y]))

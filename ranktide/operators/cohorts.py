@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput
 from ranktide.functions.hashing import uniform
+from ranktide.functions.quantiles import exact
 from ranktide.functions.ranks import by_number, cut_points, numbered, spread_evenly
 from ranktide.operators.inference import estimate
 from ranktide.operators.measure import on, rga
-from ranktide.sources.frames import columns, is_numeric
+from ranktide.sources.frames import columns, count, is_numeric
 
 
 def bin_columns(df: DataFrame, features: Sequence[str], n_bins: int = 4) -> list[tuple[str, Column]]:
@@ -23,12 +24,13 @@ def bin_columns(df: DataFrame, features: Sequence[str], n_bins: int = 4) -> list
     infinite values are a bin of their own.  Digit strings count as numbers.
     """
     names = columns(df, features, "features")
+    count(n_bins, "n_bins", 2)
     num = {c: F.when(F.abs(F.col(c).try_cast("double")) < float("inf"), F.col(c).try_cast("double")) for c in names}
     odd = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in names]).first()
     numeric = [c for c in names if is_numeric(df, c) or not odd[c]]
-    qs = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-    facts = df.agg(*[F.struct(F.percentile(num[c], qs).alias("q"), F.count_distinct(num[c]).alias("k")).alias(c) for c in numeric]).first() if numeric else None
-    few = [c for c in numeric if facts[c]["k"] <= n_bins]
+    kinds = df.agg(*[F.count_distinct(num[c]).alias(c) for c in numeric]).first() if numeric else None
+    few = [c for c in numeric if kinds[c] <= n_bins]
+    quantiles = exact(df, {c: num[c] for c in numeric if c not in few}, [i / n_bins for i in range(n_bins + 1)])
     levels = df.agg(*[F.sort_array(F.collect_set(num[c])).alias(c) for c in few]).first() if few else None  # n_bins values at most
     out = []
     for c in names:
@@ -43,7 +45,7 @@ def bin_columns(df: DataFrame, features: Sequence[str], n_bins: int = 4) -> list
                 label = label.when(x == v, f"{c} == {v:g}")
             out.append((c, label))
             continue
-        edges = sorted(set(facts[c]["q"]))
+        edges = sorted(set(quantiles[c]))
         label = F.when(x.isNull(), missing)
         for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
             last = i == len(edges) - 2
@@ -56,6 +58,7 @@ def memberships(df: DataFrame, features: Sequence[str], n_bins: int = 4, max_dep
     """row_id, label, depth for every cohort of at least ``min_size`` rows that is not the whole table."""
     if max_depth not in (1, 2):
         raise BadInput("max_depth is 1 or 2")
+    count(min_size, "min_size", 2)
     bins = bin_columns(df, features, n_bins)
     wide = df.select(row_id, *[b.alias(f"_b{i}") for i, (_, b) in enumerate(bins)])
     n = df.count()
@@ -104,7 +107,7 @@ def search_p_value(df: DataFrame, features: Sequence[str], y: str = "y", z: str
     each = F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1)))
     a = by_number(df.select(row_id), row_id, row_id).select(F.col(row_id).alias("_from"), "_k", each.alias("rep"))
     b = df.select(row_id, y, z, each.alias("_rep")).withColumn("_u", uniform(seed, "cohort", F.col("_rep"), F.col(row_id)))
-    b = numbered(b, ["_rep"], ["_u", row_id], spread_evenly(F.col("_u")), "_k2").select("_rep", y, z, "_k2")
+    b = numbered(b, ["_rep"], ["_u", row_id], spread_evenly(F.col("_u"), df), "_k2").select("_rep", y, z, "_k2")
     j = a.join(b, (F.col("rep") == F.col("_rep")) & (F.col("_k") == F.col("_k2"))).join(m, F.col("_from") == F.col(row_id))
     lows = rga(j.select("rep", "label", y, z), ["rep", "label"], y, z, cuts=cut_points(df, [y, z, y])).groupBy("rep").agg(F.min("rga").alias("low"))
     return lows.crossJoin(F.broadcast(seen)).groupBy("worst_rga").agg(((1.0 + F.count_if(F.col("low") <= F.col("worst_rga"))) / (n_permutations + 1.0)).alias("p_value"))

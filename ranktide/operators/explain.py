@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput
 from ranktide.functions.hashing import uniform
+from ranktide.functions.quantiles import exact
 from ranktide.functions.ranks import by_number, cut_points, numbered, spread_evenly
 from ranktide.operators.inference import estimate
 from ranktide.operators.measure import on, rga
@@ -23,25 +24,24 @@ REMOVALS = ("mean", "median", "mode", "permute", "retrain")
 
 
 def replacement(train: DataFrame, names: Sequence[str], method: str) -> dict[str, object]:
-    """A value for each column, from one pass; other than numbers always take the most frequent value, the least of equals."""
+    """A value for each column, from one pass, medians from ``quantiles.exact``; other than numbers always take the most frequent value, the least of equals."""
     if method not in REMOVALS:
         raise BadInput(f"unknown removal {method!r}")
-    aggs = []
-    for c in names:
+    aggs, medians = [], [c for c in names if method == "median" and is_numeric(train, c)]
+    for c in [c for c in names if c not in medians]:
         if not is_numeric(train, c) or method == "mode":
             aggs.append(F.mode(c, True).alias(c))
-        elif method == "median":
-            aggs.append(F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c))
         else:
             aggs.append(F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(c))
-    return train.agg(*aggs).first().asDict()
+    found = exact(train, {c: F.col(c).cast("double") for c in medians}, [0.5]) if medians else {}
+    return (train.agg(*aggs).first().asDict() if aggs else {}) | {c: None if v is None else v[0] for c, v in found.items()}
 
 
 def permuted(df: DataFrame, names: Sequence[str], row_id: str, seed: int, stream: str = "permute") -> DataFrame:
     """The rows with the named columns permuted together: the row at a place by row id takes the values of the row at that place by a hash."""
     a = by_number(df, row_id, row_id)
     u = df.select(row_id, F.struct(*names).alias("_s")).withColumn("_u", uniform(seed, stream, F.col(row_id)))
-    b = numbered(u, (), ["_u", row_id], spread_evenly(F.col("_u")), "_k2").select("_s", "_k2")
+    b = numbered(u, (), ["_u", row_id], spread_evenly(F.col("_u"), df), "_k2").select("_s", "_k2")
     j = a.join(b, F.col("_k") == F.col("_k2"))
     return j.select(*[F.col("_s")[c].alias(c) if c in names else F.col(c) for c in df.columns])
 

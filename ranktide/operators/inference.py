@@ -1,8 +1,7 @@
 """Standard errors, intervals and tests for the measure.
 
 Values by row (leave-one-out and influence) come from sums by distinct score and by
-distinct target, joined to the rows by equality; replicates are one long table keyed
-by replicate.  All draws are hashes of (seed, stream, replicate, row).
+distinct target, joined to the rows by equality; replicates come from ``resampling``, as a vector for each row.  All draws are hashes of (seed, stream, replicate, row).
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from ranktide.functions import gauss
 from ranktide.functions.hashing import uniform
 from ranktide.functions.ranks import by_number, cut_points, finite, numbered, placed, rank_sums, spread_evenly
 from ranktide.operators.measure import NOTE_CONSTANT, NOTE_FEW, from_sums, left_out, on, rga
+from ranktide.operators.resampling import replicated
 from ranktide.sources.frames import count, level as check_level
 
 METHODS = ("jackknife", "influence", "bootstrap")
@@ -67,20 +67,10 @@ def influence_values(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: s
     return ranked(df, keys, y, [z])[0].withColumn("value", influence_value(0, 1)).select(*df.columns, "value")
 
 
-def bootstrap_weights(df: DataFrame, keys: Sequence[str], row_id: str, n_resamples: int, seed: int) -> DataFrame:
-    """The rows times replicates in which they were drawn, with ``_rep`` and ``_times``: exact multinomial draws in each key."""
-    placed = on(by_number(df, row_id, row_id, keys).withColumn("_i", F.col("_k") - 1).drop("_k"), df.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
-    reps = placed.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("_rep"))
-    drawn = reps.select(*keys, "_rep", F.floor(uniform(seed, "boot", F.col("_rep"), F.col("_i")) * F.col("_n")).alias("_i")).groupBy(*keys, "_rep", "_i").agg(F.count("*").cast("double").alias("_times"))
-    return on(drawn, placed.drop("_n"), [*keys, "_i"]).drop("_i")
-
-
 def bootstrap_values(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", row_id: str = "row_id", n_resamples: int = 2000, seed: int = 0) -> DataFrame:
     """keys, rep, value: the measure of each resample."""
-    w = bootstrap_weights(df, keys, row_id, count(n_resamples, "n_resamples", 2), seed)
-    # the weights of a resample sum to its rows already
-    r = rga(w.withColumn("_wt", F.col("_times")), [*keys, "_rep"], y, z, "_wt", cuts=cut_points(df, [y, z, y]))
-    return r.select(*keys, F.col("_rep").cast("bigint").alias("rep"), F.col("rga").alias("value"))
+    r = replicated(df, keys, y, [z], row_id, count(n_resamples, "n_resamples", 2), seed)
+    return r.select(*keys, F.col("_rep").cast("bigint").alias("rep"), F.col("_value0").alias("value"))
 
 
 def _sd(c: str) -> Column:
@@ -177,8 +167,8 @@ def compare(df: DataFrame, keys: Sequence[str] = (), y: str = "y", a: str = "za"
         complete = df.filter(finite(*[F.col(c).try_cast("double") for c in (y, a, b)]))  # the same rows for both
         ra, rb = rga(complete, keys, y, a, least=3), rga(complete, keys, y, b, least=3)
         point = on(ra.select(*keys, "n", F.col("rga").alias("rga_a")), rb.select(*keys, F.col("rga").alias("rga_b")), keys)
-        va, vb = (bootstrap_values(complete, keys, y, c, row_id, n_resamples, seed) for c in (a, b))
-        se = on(va.withColumnRenamed("value", "va"), vb.withColumnRenamed("value", "vb"), [*keys, "rep"]).withColumn("_d", F.col("va") - F.col("vb")).groupBy(*keys).agg(_sd("_d").alias("standard_error"))
+        both = replicated(complete, keys, y, [a, b], row_id, count(n_resamples, "n_resamples", 2), seed)
+        se = both.groupBy(*keys).agg(F.stddev_samp(F.col("_value0") - F.col("_value1")).alias("standard_error"))
     else:
         rows, sums = ranked(df, keys, y, [a, b])
         enough = F.col("_rows") >= 3
@@ -218,7 +208,7 @@ def test(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", al
     each = F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("_rep")
     left = by_number(d.select(*keys, row_id, F.col("_y").alias("_y")), row_id, row_id, keys).select(*keys, "_k", "_y", each)
     right = d.select(*keys, row_id, F.col("_r0").alias("_rz"), each).withColumn("_u", uniform(seed, "perm", F.col("_rep"), F.col(row_id)))
-    right = numbered(right, [*keys, "_rep"], ["_u", row_id], spread_evenly(F.col("_u")), "_k").select(*keys, "_rep", "_k", "_rz")
+    right = numbered(right, [*keys, "_rep"], ["_u", row_id], spread_evenly(F.col("_u"), df), "_k").select(*keys, "_rep", "_k", "_rz")
     m = on(left, right, [*keys, "_rep", "_k"]).groupBy(*keys, "_rep").agg(F.sum(F.col("_y") * F.col("_rz")).alias("_s"), F.sum("_y").alias("_t"), F.count("*").alias("_c"))
     m = on(m, s.select(*keys, "_den"), keys).withColumn("_v", 0.5 + (F.col("_s") - F.col("_t") * (F.col("_c") + 1) / 2.0) / (2.0 * F.nullif("_den", F.lit(0.0))))
     m = on(m, point.select(*keys, "rga"), keys)

@@ -42,7 +42,7 @@ def from_sums(i: int = 0, j: int = 1) -> tuple[Column, Column]:
 def rga(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", weight: str | None = None, least: int = 2, cuts: Cuts | None = None) -> DataFrame:
     """keys, n, rga, gini, note.
 
-    Rows whose target, score or weight is missing, NaN or infinite are left out; the note counts them.  One pass over the rows, and one
+    Rows whose target, score or weight is missing, NaN or infinite, or whose weight is negative, are left out; the note counts them.  One pass over the rows, and one
     before it for the cuts, unless those of (target, score, target) are given; cuts of similar rows do as well.
     """
     value, flat = from_sums()
@@ -55,7 +55,7 @@ def rga(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", wei
 
 def left_out() -> Column:
     """What a note says of rows that were left out, or null."""
-    return F.when(F.col("_left_out") > 0, F.concat(F.col("_left_out").cast("string"), F.lit(" rows left out: a value is missing or infinite")))
+    return F.when(F.col("_left_out") > 0, F.concat(F.col("_left_out").cast("string"), F.lit(" rows left out: a value is missing or infinite, or a weight negative")))
 
 
 def rga_value(df: DataFrame, y: str = "y", z: str = "z", weight: str | None = None) -> float:

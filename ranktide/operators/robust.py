@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput
+from ranktide.functions.gauss import quantile
 from ranktide.functions.hashing import normal, uniform
 from ranktide.functions.ranks import Cuts, by_number, cut_points
-from ranktide.operators.inference import influence_values, jackknife_values
+from ranktide.operators.inference import METHODS, influence_values, jackknife_values
 from ranktide.operators.measure import on, rga
+from ranktide.operators.resampling import replicated
 from ranktide.operators.scorer import Model, score
-from ranktide.sources.frames import columns, is_numeric
+from ranktide.sources.frames import columns, count, finite, is_numeric, level as check_level
 
 KINDS = ("tailswap", "gaussian", "shuffle")
 GRIDS = {"tailswap": (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5), "gaussian": (0.05, 0.1, 0.25, 0.5, 0.75, 1.0)}
@@ -23,9 +24,10 @@ GRIDS = {"tailswap": (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5), "gaussia
 def _check(df: DataFrame, names: Sequence[str], kind: str, magnitude: float) -> None:
     if kind not in KINDS:
         raise BadInput(f"unknown perturbation {kind!r}")
+    finite(magnitude, "magnitude")
     if kind == "tailswap" and not 0 <= magnitude <= 0.5:
         raise BadInput("a tail swap takes a share from 0 to 0.5")
-    if kind == "gaussian" and not (magnitude >= 0 and math.isfinite(magnitude)):
+    if kind == "gaussian" and magnitude < 0:
         raise BadInput("a gaussian perturbation takes a magnitude of 0 or more")
     for c in names:
         if kind != "shuffle" and not is_numeric(df, c):
@@ -108,36 +110,52 @@ def _tailswaps(df: DataFrame, model: Model, groups: dict[str, list[str]], magnit
     return out
 
 
-def rgr(df: DataFrame, model: Model, variables: str | Sequence[str], magnitude: float = 0.05, kind: str = "tailswap", group: bool = False, n_repeats: int = 1, ci: bool = False, ci_method: str = "jackknife", level: float = 0.95, row_id: str = "row_id", seed: int = 0, **scorer) -> DataFrame:
+def rgr(df: DataFrame, model: Model, variables: str | Sequence[str], magnitude: float = 0.05, kind: str = "tailswap", group: bool = False, n_repeats: int = 1, ci: bool = False, ci_method: str = "jackknife", level: float = 0.95, row_id: str = "row_id", seed: int = 0, n_resamples: int = 2000, **scorer) -> DataFrame:
     """variable, n, rgr (mean over repeats), spread (and standard_error, ci_low, ci_high with ``ci``).
 
-    Several repeats: values are averaged row by row over the draws, and the variance of
+    Several repeats: values are averaged row by row, bootstrap replicates replicate by replicate, over the draws, and the variance of
     the draws over their number is added.  This interval is known to be somewhat wide.
     """
-    from ranktide.functions.gauss import quantile
-
     names = columns(df, variables, "variables")
+    zc = quantile(1 - (1 - check_level(level)) / 2)
+    if ci_method not in METHODS:
+        raise BadInput(f"unknown method {ci_method!r}")
     groups = {"+".join(names): names} if group else {c: [c] for c in names}
-    n_repeats = 1 if kind == "tailswap" else n_repeats
+    n_repeats = 1 if kind == "tailswap" else count(n_repeats, "n_repeats")
     long = _long(df, model, groups, [(magnitude, r) for r in range(n_repeats)], kind, row_id, seed, **scorer)
     r = rga(long, ["variable", "rep"], cuts=_cuts(df, model, **scorer)).groupBy("variable").agg(F.max("n").alias("n"), F.avg("rga").alias("rgr"), F.coalesce(F.stddev_samp("rga"), F.lit(0.0)).alias("spread"))
     if not ci:
         return r
-    f = {"jackknife": jackknife_values, "influence": influence_values}.get(ci_method)
-    if f is None:
-        raise BadInput(f"unknown method {ci_method!r}")
-    v = f(long, ["variable", "rep"]).groupBy("variable", row_id).agg(F.avg("value").alias("value")).groupBy("variable")
-    v = v.agg(((F.count("*") - 1) * F.var_pop("value") if ci_method == "jackknife" else F.var_samp("value") / F.count("*")).alias("_var"))
-    zc = quantile(1 - (1 - level) / 2)
+    if ci_method == "bootstrap":
+        v = _pooled(long, n_repeats, row_id, count(n_resamples, "n_resamples", 2), seed).groupBy("variable").agg(F.var_samp("value").alias("_var"))
+    else:
+        f = {"jackknife": jackknife_values, "influence": influence_values}[ci_method]
+        v = f(long, ["variable", "rep"]).groupBy("variable", row_id).agg(F.avg("value").alias("value")).groupBy("variable")
+        v = v.agg(((F.count("*") - 1) * F.var_pop("value") if ci_method == "jackknife" else F.var_samp("value") / F.count("*")).alias("_var"))
     r = on(r, v, ["variable"]).withColumn("standard_error", F.sqrt(F.col("_var") + F.pow("spread", F.lit(2.0)) / n_repeats))
     return r.select("variable", "n", "rgr", "spread", "standard_error", (F.col("rgr") - zc * F.col("standard_error")).alias("ci_low"), (F.col("rgr") + zc * F.col("standard_error")).alias("ci_high"))
 
 
+def _pooled(long: DataFrame, n_repeats: int, row_id: str, n_resamples: int, seed: int) -> DataFrame:
+    """variable, value: for each replicate the mean over the perturbation draws of the measure.
+
+    All draws of a variable are columns of one row, which has one vector of bootstrap counts: every draw is resampled alike.  A replicate
+    that is not defined for one of the draws is left out.
+    """
+    wide = long.groupBy("variable", row_id, "y").pivot("rep", list(range(n_repeats))).agg(F.first("z"))
+    z = [f"_z{i}" for i in range(n_repeats)]
+    wide = wide.withColumnsRenamed({str(i): c for i, c in enumerate(z)})
+    values = replicated(wide, ["variable"], "y", z, row_id, n_resamples, seed)
+    mean = sum((F.col(f"_value{i}") for i in range(1, n_repeats)), F.col("_value0")) / n_repeats
+    return values.select("variable", mean.alias("value")).filter("value is not null")
+
+
 def rgr_curve(df: DataFrame, model: Model, variables: str | Sequence[str], grid: Sequence[float] | None = None, kind: str = "tailswap", group: bool = False, n_repeats: int = 1, row_id: str = "row_id", seed: int = 0, **scorer) -> DataFrame:
     """variable, magnitude, rgr, aurgr: the area under the curve from (0, 1), over the largest magnitude."""
     if kind == "shuffle":
         raise BadInput("a shuffle has no magnitude to draw a curve over")
-    grid = sorted(set(GRIDS[kind] if grid is None else grid))
+    grid = sorted({finite(m, "grid") for m in (GRIDS[kind] if grid is None else grid)})
+    count(n_repeats, "n_repeats")
     if len(grid) < 2 or grid[0] <= 0:
         raise BadInput("a curve needs two magnitudes above 0")
     names = columns(df, variables, "variables")

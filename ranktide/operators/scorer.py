@@ -1,8 +1,8 @@
-"""What gives a row its score: a column, SQL text, a function of the frame, or a fitted ML transformer."""
+"""What gives a row its score: a column, SQL text, a function of the frame, a fitted ML transformer, or a fitted Python estimator."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Transformer
 from pyspark.ml.evaluation import Evaluator
@@ -11,16 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput, BadScorer
+from ranktide.operators import estimators
 from ranktide.operators.measure import rga
 
-Model = Column | str | Callable[[DataFrame], Column] | Transformer
+Model = Column | str | Callable[[DataFrame], Column] | Transformer | object
 
 
-def score(df: DataFrame, model: Model, name: str = "z", pos_label: object = None, greater_is_better: bool = True) -> DataFrame:
+def score(df: DataFrame, model: Model, name: str = "z", pos_label: object = None, greater_is_better: bool = True, features: Sequence[str] | None = None) -> DataFrame:
     """The rows with one more column, the model's score.
 
     A transformer's ``probability`` of the positive class is preferred, then its
     ``rawPrediction``, then its ``prediction``.  A model of more than two classes needs ``pos_label``.
+    An object with predict_proba, decision_function or predict, in this order, scores Arrow batches of ``features``.
     """
     sign = 1.0 if greater_is_better else -1.0
     if isinstance(model, Transformer):
@@ -40,6 +42,8 @@ def score(df: DataFrame, model: Model, name: str = "z", pos_label: object = None
         column = F.expr(model)
     elif isinstance(model, Column):
         column = model
+    elif estimators.is_estimator(model):
+        column = estimators.score_column(df, model, features, pos_label)
     elif callable(model):
         column = model(df)
     else:

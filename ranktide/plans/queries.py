@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from ranktide.functions import ranks
 from ranktide.operators import accuracy, cohorts, explain, facade, fairness, inference, measure, outcomes, robust
+from ranktide.operators.resampling import PART
 from ranktide.operators.scorer import score
 from ranktide.plans import oracle as q
-from ranktide.plans.scored import CUSTOMERS, LINES, MODEL, ORDERS, table
+from ranktide.plans.scored import CUSTOMERS, LINES, MODEL, ORDERS, Linear, table
 from ranktide.streaming import monitor
 
 O, C, L = f"({ORDERS})", f"({CUSTOMERS})", f"({LINES})"
@@ -70,8 +71,14 @@ query("rga_ci_influence", ORDERS, f"SELECT g, n, {_ci} FROM (SELECT g, n, rga, s
 
 def boot(rel: str, keys: list[str], reps: int = REPS, y: str = "y", z: str = "z", seed: int = SEED) -> str:
     """keys, rep, value."""
-    k = q.head(keys)
-    drawn = f"(SELECT {k}rep, idx, COUNT(*) AS w FROM (SELECT {k}rep, CAST(FLOOR({q.uniform(str(seed), chr(39) + 'boot' + chr(39), 'rep', 'i')} * m) AS BIGINT) AS idx FROM (SELECT *, ROW_NUMBER() OVER ({q.part(keys)} ORDER BY row_id) - 1 AS i, COUNT(*) OVER ({q.part(keys)}) AS m FROM {rel}) CROSS JOIN (SELECT range AS rep FROM range({reps}))) GROUP BY {k}rep, idx)"
+    k, u = q.head(keys), lambda *of: q.uniform(str(seed), *of)
+    reps_ = f"(SELECT range AS rep FROM range({reps}))"
+    placed = f"(SELECT *, ROW_NUMBER() OVER ({q.part(keys)} ORDER BY row_id) - 1 AS i, COUNT(*) OVER ({q.part(keys)}) AS m FROM {rel})"
+    # draws go to parts of places first, and to places of a part then
+    dealt = f"""(SELECT {k}m, rep, CAST(FLOOR({u("'part'", 'rep', 'i')} * m) AS BIGINT) // {PART} AS p, COUNT(*) AS c FROM {placed} CROSS JOIN {reps_} WHERE m > {PART} GROUP BY {k}m, rep, p
+      UNION ALL SELECT DISTINCT {k}m, rep, 0, m FROM {placed} CROSS JOIN {reps_} WHERE m <= {PART})"""
+    place = f"CASE WHEN p = 0 THEN {u("'boot'", 'rep', 'j')} ELSE {u("'boot'", 'rep', 'p', 'j')} END"
+    drawn = f"(SELECT {k}rep, idx, COUNT(*) AS w FROM (SELECT {k}rep, p * {PART} + CAST(FLOOR({place} * LEAST({PART}, m - p * {PART})) AS BIGINT) AS idx FROM (SELECT *, UNNEST(range(c)) AS j FROM {dealt})) GROUP BY {k}rep, idx)"
     weighted = f"(SELECT {k}rep, {y}, {z}, CAST(w AS DOUBLE) AS w FROM {drawn} JOIN (SELECT *, ROW_NUMBER() OVER ({q.part(keys)} ORDER BY row_id) - 1 AS idx FROM {rel}) USING ({k}idx))"
     wr = lambda v: f"(SUM(w) OVER ({q.part(keys, 'rep')} ORDER BY {v} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (SUM(w) OVER ({q.part(keys, 'rep', v)}) - 1) / 2.0E0)"
     return f"(SELECT {k}rep, 0.5E0 + SUM(w * (_y - mu) * rz) / (2.0E0 * SUM(w * (_y - mu) * ry)) AS value FROM (SELECT {k}rep, w, {y} AS _y, SUM(w * {y}) OVER ({q.part(keys, 'rep')}) / SUM(w) OVER ({q.part(keys, 'rep')}) AS mu, {wr(y)} AS ry, {wr(z)} AS rz FROM {weighted}) GROUP BY {k}rep)"
@@ -105,6 +112,7 @@ query("reference_measures", ORDERS, f"SELECT g, {R('CORR(y, z)', 'pearson')}, {R
 _kend = f"""SELECT {R('s / SQRT((p - ty) * (p - tz))', 'kendall')} FROM (SELECT CAST(SUM(CASE WHEN a.f3 < b.f3 AND a.f2 < b.f2 THEN 1 WHEN a.f3 < b.f3 AND a.f2 > b.f2 THEN -1 ELSE 0 END * a.m * b.m) AS DOUBLE) AS s FROM (SELECT f3, f2, COUNT(*) AS m FROM {C} GROUP BY f3, f2) a, (SELECT f3, f2, COUNT(*) AS m FROM {C} GROUP BY f3, f2) b)
   CROSS JOIN (SELECT COUNT(*) * (COUNT(*) - 1) / 2.0E0 AS p FROM {C}) CROSS JOIN (SELECT SUM(t * (t - 1) / 2.0E0) AS ty FROM (SELECT COUNT(*) AS t FROM {C} GROUP BY f3)) CROSS JOIN (SELECT SUM(t * (t - 1) / 2.0E0) AS tz FROM (SELECT COUNT(*) AS t FROM {C} GROUP BY f2))"""
 query("kendall", CUSTOMERS, _kend)(lambda d: accuracy.kendall(d, [], "f3", "f2"))
+query("kendall_continuous", CUSTOMERS, f"SELECT a.g AS g, {R('SUM(SIGN(a.y - b.y) * SIGN(a.z - b.z)) / (SQRT(SUM(CASE WHEN a.y <> b.y THEN 1.0E0 ELSE 0.0E0 END)) * SQRT(SUM(CASE WHEN a.z <> b.z THEN 1.0E0 ELSE 0.0E0 END)))', 'kendall')} FROM {C} a JOIN {C} b ON a.g = b.g GROUP BY a.g")(lambda d: accuracy.kendall(d, ["g"], "y", "z"))
 _null = f"(SELECT g, SQRT(VAR_POP(yb) * COUNT(*) * SUM((rz - m) * (rz - m)) / (COUNT(*) - 1)) / (2.0E0 * ABS(SUM(yb * (ry - m)))) AS sd FROM (SELECT g, yb, {q.rank('z', ['g'])} AS rz, {q.rank('yb', ['g'])} AS ry, (COUNT(*) OVER (PARTITION BY g) + 1) / 2.0E0 AS m FROM {O}) GROUP BY g)"
 _usual = f"(SELECT g, CORR(yb, z) AS pearson, CORR(ry, rz) AS spearman, SQRT(AVG((yb - z) * (yb - z))) AS rmse, AVG(ABS(yb - z)) AS mae FROM (SELECT *, {q.rank('yb', ['g'])} AS ry, {q.rank('z', ['g'])} AS rz FROM {O}) GROUP BY g)"
 # tau-b of two target values: concordant less discordant pairs, over the square root of the pairs that are no ties in either
@@ -180,6 +188,13 @@ query("rgr_gaussian", ORDERS, f"SELECT 'f1' AS variable, {R('AVG(rga)', 'rgr')},
 _sh = f"(SELECT a.row_id, a.f1, b.f2, a.f3 FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY row_id) AS k FROM {O}) a JOIN (SELECT f2, ROW_NUMBER() OVER (ORDER BY {q.uniform(str(SEED), chr(39) + 'shuffle:0' + chr(39), 'row_id')}, row_id) AS k FROM {O}) b USING (k))"
 query("rgr_shuffle", ORDERS, f"SELECT 'f2' AS variable, {R('rga', 'rgr')} FROM {q.rga(vs(_sh))}")(lambda d: robust.rgr(d, MODEL, "f2", kind="shuffle", seed=SEED).select("variable", "rgr"))
 
+_stream = lambda d: f"'shuffle:{d}'"
+_shd = lambda d: vs(f"(SELECT a.row_id, a.f1, b.f2, a.f3 FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY row_id) AS k FROM {C}) a JOIN (SELECT f2, ROW_NUMBER() OVER (ORDER BY {q.uniform(str(SEED), _stream(d), 'row_id')}, row_id) AS k FROM {C}) b USING (k))", C)
+_draws = " UNION ALL ".join(f"SELECT {d} AS d, rep, value FROM {boot(_shd(d), [])}" for d in range(2))
+_points = " UNION ALL ".join(f"SELECT rga FROM {q.rga(_shd(d))}" for d in range(2))
+query("rgr_bootstrap", CUSTOMERS, f"SELECT 'f2' AS variable, {R('m', 'rgr')}, {R('s', 'spread')}, {R('SQRT(v + s * s / 2)', 'standard_error')} FROM (SELECT AVG(rga) AS m, STDDEV_SAMP(rga) AS s FROM ({_points})) CROSS JOIN (SELECT VAR_SAMP(x) AS v FROM (SELECT rep, AVG(value) AS x FROM ({_draws}) GROUP BY rep))")(
+    lambda d: robust.rgr(d, MODEL, "f2", kind="shuffle", n_repeats=2, ci=True, ci_method="bootstrap", n_resamples=REPS, seed=SEED).select("variable", "rgr", "spread", "standard_error"))
+
 # --- ranking fairness
 _pg = f"(SELECT g, n, rga, se, place FROM {q.estimate(O, ['g'], 'yb', 'z')} JOIN (SELECT g, MIN(row_id) AS place FROM {O} GROUP BY g) USING (g))"
 query("parity_groups", ORDERS, f"SELECT g AS \"group\", n, {_ci}, n >= 50 AS included FROM {_pg}")(lambda d: fairness.parity_groups(d, "g", "yb").select("group", "n", "rga", "standard_error", "ci_low", "ci_high", "included"))
@@ -223,6 +238,8 @@ query("cohort_p_value", CUSTOMERS, None)(lambda d: cohorts.search_p_value(d, ["g
 
 # --- scores, facade, monitoring
 query("score_sql", ORDERS, f"SELECT row_id, {R('-(' + _m + ')', 'z')} FROM {O}")(lambda d: score(d.drop("z"), MODEL, "z", greater_is_better=False).select("row_id", "z"))
+query("score_python", ORDERS, f"SELECT row_id, {R('-(' + _m + ')', 'z')} FROM {O}")(lambda d: score(d.drop("z"), Linear(), "z", pos_label=0).select("row_id", "z"))
+query("rge_python", ORDERS, _one("a", _avg, FEATURES))(lambda d: explain.rge(d, d, Linear(), FEATURES))
 query("facade_rge", ORDERS, "SELECT variable, rge FROM (" + _one("a", _avg, FEATURES) + ")")(lambda d: facade.compute_rge_values(d, d, MODEL, FEATURES))
 query("facade_rgr", ORDERS, "SELECT variable, rgr FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, {R('rga', 'rgr')} FROM {q.rga(vs(swapped(c, 0.05)))}" for c in FEATURES) + ")")(lambda d: facade.compute_rgr_values(d, MODEL, FEATURES))
 EVENTS = "SELECT ts, event_type, value AS y, CAST(FLOOR(value / 5.0E0) AS DOUBLE) + user_id % 3 AS z FROM events"

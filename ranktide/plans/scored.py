@@ -6,6 +6,8 @@ from one column with known disturbances.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: A row for each order: two targets, two scores, three features, group and dummies.
@@ -22,6 +24,16 @@ LINES = "SELECT l_returnflag AS g, l_extendedprice * (1 - l_discount) * (1 + l_t
 MODEL = "f1 + 2000.0E0 * f2 + 500.0E0 * f3"
 
 
+class Linear:
+    """The same model as a fitted Python estimator."""
+
+    classes_ = [0, 1]
+    feature_names_in_ = ["f1", "f2", "f3"]
+
+    def decision_function(self, x: pd.DataFrame) -> np.ndarray:
+        return x["f1"].to_numpy() + 2000.0 * x["f2"].to_numpy() + 500.0 * x["f3"].to_numpy()
+
+
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     name = sql.rsplit("FROM ", 1)[1].split()[0]
     spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"ranktide_{name}")
