@@ -236,7 +236,7 @@ def test_bins_are_checked(spark):
 
 def test_report_with_every_section(spark):
     n = 80
-    d = spark.createDataFrame([(i, float(i % 5), float(i % 7), float(i % 3), float(i % 2), "x" if i % 2 else "z") for i in range(n)], "row_id bigint, y double, f double, h double, p double, g string")
+    d = spark.createDataFrame([(i, float(i % 5 > 2), float(i % 7), float(i % 3), float(i % 2), "x" if i % 2 else "z") for i in range(n)], "row_id bigint, y double, f double, h double, p double, g string")
     out = build(d, "y", "f + h + p", train=d, variables=["f", "h"], group="g", protected=["p"], threshold=4.0, min_group_size=5, n_resamples=20)
     assert set(out.sections) == {"accuracy", "explainability", "robustness", "parity_groups", "parity", "outcomes", "leakage", "dependence"}
     assert all(out.sections.values()) and not out.warnings
