@@ -43,9 +43,14 @@ STEPS, SAMPLED, TABLES, WALKS = 20, 8, 2, 8
 #: Target share of copies at the least similarity that become candidates, and the chance that a piece of one meets.
 RECALL, MEETS = 0.98, 0.36
 SHORT, LONG_WORD = 12, 12
+#: Characters between the pieces of a document's long words; an item's long words have a piece at every character.
+STRIDE = 2
 ITEM_CHARS = 2_000_000
-#: Characters of documents walked through at once, and meetings looked at together.
-CHUNK, MEETINGS = 2_000_000, 4_000_000
+#: Characters of documents looked at together, meetings held before they are made distinct, and pieces walked at once.
+CHUNK, MEETINGS, BATCH = 2_000_000, 4_000_000, 1 << 15
+#: Bits of a band of diagonals, and the place of the zeroth.
+BAND = 24
+ZERO = 1 << (BAND - 2)
 M1 = np.uint64(0x9E3779B97F4A7C15)
 _PAD = STEPS + 2
 
@@ -79,17 +84,19 @@ class Walks:
     def keys(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
         """For each table, the key of every window."""
         for w, (moves, samples) in enumerate(zip(self.moves, self.samples, strict=True)):
-            at = starts.astype(np.int32) if len(codes) < 2**31 else starts.copy()
-            keys = [np.full(len(starts), w * TABLES + t + 1, dtype=np.uint64) for t in range(len(samples))]
+            out = np.empty((len(samples), len(starts)), dtype=np.uint64)
             use = [set(s.tolist()) for s in samples]
-            for j in range(STEPS):
-                c = codes[at]
-                for t, s in enumerate(use):
-                    if j in s:
-                        keys[t] *= M1
-                        keys[t] += c
-                at += moves[j][c]
-            for k in keys:
+            for k in range(0, len(starts), BATCH):  # arrays that fit a processor's cache
+                at, keys = starts[k : k + BATCH].copy(), out[:, k : k + BATCH]
+                keys[:] = (w * TABLES + 1 + np.arange(len(samples), dtype=np.uint64))[:, None]
+                for j in range(STEPS):
+                    c = codes[at]
+                    for t, s in enumerate(use):
+                        if j in s:
+                            keys[t] *= M1
+                            keys[t] += c
+                    at += moves[j][c]
+            for k in out:
                 k *= M1
                 yield k ^ (k >> np.uint64(32))
 
@@ -164,7 +171,11 @@ class Index:
         use = at - starts[of] <= sizes[of] - STEPS // 2 if long else np.zeros(0, dtype=bool)  # what a walk reads, on the whole, is in the item
         at, of = at[use], of[use]
         self.item, self.offset = np.array(long, dtype=np.int64)[of] if long else of, at - starts[of] if long else at
-        pieces = np.bincount(self.item, minlength=len(self.items))
+        # a window of the document has as many pieces as the item would have there; where a long word's pieces begin may shift
+        there = starts_of(codes, STRIDE) if long else at
+        which = np.searchsorted(starts, there, side="right") - 1
+        inside = there - starts[which] <= sizes[which] - STEPS // 2 if long else np.zeros(0, dtype=bool)
+        pieces = np.bincount(np.array(long, dtype=np.int64)[which[inside]] if long else there, minlength=len(self.items))
         self.most = np.array([int((1 - SIMILARITY) * len(t) + 1e-9) for t in self.items], dtype=np.int64)
         self.width = 2 * self.most + 8  # of a band of diagonals
         self.hits = np.array([hits_for(min(int(n), 1000)) for n in pieces], dtype=np.int64)
@@ -178,11 +189,12 @@ class Index:
     def candidates(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, first diagonal, last diagonal): runs of bands of diagonals with enough hits."""
         codes, starts = _codes(texts)
-        at = starts_of(codes, LONG_WORD // 2)
+        at = starts_of(codes, STRIDE)
         if not len(at) or not len(self.item):
             return
         of = np.searchsorted(starts, at, side="right") - 1
-        pairs = []
+        met, held = np.zeros(0, dtype=np.int64), 0
+        fresh: list[np.ndarray] = []
         for keys, (known, entry, seen) in zip(self.walks.keys(codes, at), self.tables, strict=True):
             maybe = np.flatnonzero(seen[(keys >> np.uint64(42)).astype(np.int64)])
             a, b = np.searchsorted(known, keys[maybe], side="left"), np.searchsorted(known, keys[maybe], side="right")
@@ -194,18 +206,21 @@ class Index:
                 k = n[x:y]
                 if not len(k):
                     continue
-                place = np.repeat(a[x:y] - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(int(k.sum()))
-                pairs.append(sorted_set(np.repeat(maybe[x:y], k) * len(self.item) + entry[place]))
-        if not pairs:
+                place = entry[np.repeat(a[x:y] - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(int(k.sum()))]
+                window = np.repeat(maybe[x:y], k)
+                item = self.item[place]
+                band = (at[window] - starts[of[window]] - self.offset[place]) // self.width[item]
+                fresh.append(sorted_set(((window * len(self.items) + item) << BAND) + band + ZERO))
+                held += len(fresh[-1])
+                if held > MEETINGS:  # a piece counts once in a band, however often and in whatever table it meets
+                    met, held, fresh = sorted_set(np.concatenate((met, *fresh))), 0, []
+        met = sorted_set(np.concatenate((met, *fresh)))
+        if not len(met):
             return
-        met = sorted_set(np.concatenate(pairs))
-        window, entry = met // len(self.item), met % len(self.item)
-        item, text = self.item[entry], of[window]
-        band = (at[window] - starts[text] - self.offset[entry]) // self.width[item]
-        key = ((text * len(self.items) + item) << 24) + band + (1 << 22)
-        key, n = np.unique(key, return_counts=True)
+        band, both = met & ((1 << BAND) - 1), met >> BAND
+        key, n = np.unique(((of[both // len(self.items)] * len(self.items) + both % len(self.items)) << BAND) + band, return_counts=True)
         beside = np.append(np.where(key[1:] == key[:-1] + 1, n[1:], 0), 0)  # hits may fall on two bands
-        need = self.hits[(key >> 24) % len(self.items)]
+        need = self.hits[(key >> BAND) % len(self.items)]
         good = n + beside >= need
         good[1:] |= good[:-1] & (key[1:] == key[:-1] + 1)  # the second band of such a pair
         key = key[good]
@@ -213,7 +228,7 @@ class Index:
             return
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1] + 1))
         for x, y in zip(new, [*new[1:], len(key)], strict=True):
-            (text, item), first, last = divmod(int(key[x]) >> 24, len(self.items)), (int(key[x]) & 0xFFFFFF) - (1 << 22), (int(key[y - 1]) & 0xFFFFFF) - (1 << 22)
+            (text, item), first, last = divmod(int(key[x]) >> BAND, len(self.items)), (int(key[x]) & (1 << BAND) - 1) - ZERO, (int(key[y - 1]) & (1 << BAND) - 1) - ZERO
             width = int(self.width[item])
             yield text, item, first * width, (last + 1) * width - 1
 
