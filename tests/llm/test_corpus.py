@@ -185,7 +185,30 @@ def phrase(r, n):
     return " ".join("".join(r.choice(SYL) for _ in range(r.randint(1, 4))) if r.random() < 0.5 else r.choice(WORDS["en"]) for _ in range(n))
 
 
-@pytest.mark.parametrize("n", [6, 12, 40])
+@pytest.mark.parametrize("n", [20, 40, 120, 400])
+@pytest.mark.parametrize("share", [0.1, 0.19])
+def test_decontamination_recall_without_spaces(n, share):
+    r = random.Random(n)
+    alphabet = [chr(0x4E00 + k) for k in range(1500)] if n == 120 else "abcdefghijklmnopqrstuvwxyz0123456789"
+    make = lambda size: "".join(r.choice(alphabet) for _ in range(size))
+    items = [make(n) for _ in range(80)]
+    index, hit, total = decontam.Index(items), 0, 0
+    for i, t in enumerate(items):
+        doc = decontam.plain(make(30) + edited(r, t, share).replace(" ", "x") + make(30))
+        if decontam.edit_distance(t, doc, int(0.2 * n)) <= int(0.2 * n):
+            total += 1
+            hit += any(j == i for _, j, _ in index.matches([doc]))
+    assert total > 60
+    assert hit >= 0.9 * total
+
+
+def test_decontamination_of_repeated_text_is_small():
+    """Every piece of such a text meets every piece of such an item; what is held is a piece and band, not a piece and piece."""
+    index = decontam.Index(["ab " * 300] * 3)
+    assert [(i, d) for _, i, d in index.matches([decontam.plain("ab " * 8000)])] == [(0, 0), (1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize("n", [5, 6, 12, 40])
 @pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.19])
 def test_decontamination_recall(n, share):
     r = random.Random(n)
