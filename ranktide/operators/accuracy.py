@@ -17,6 +17,10 @@ from ranktide.operators.measure import NOTE_CONSTANT, NOTE_FEW, from_sums, on, r
 from ranktide.sources.frames import columns, level as check_level, no_missing_labels
 
 
+#: Labels that one_vs_rest takes as classes by itself.
+CLASSES = 1000
+
+
 def _auroc(k: int = 0, target: int = 1) -> Column:
     """From ``rank_sums``: the rank sum of the larger of two target values; null for other targets."""
     n, lo, span = F.col("_rows"), F.col("_lo"), F.col("_hi") - F.col("_lo")
@@ -62,18 +66,25 @@ def report(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z",
     return r.select(*keys, "n", "rga", "standard_error", "ci_low", "ci_high", (2 * F.col("rga") - 1).alias("gini"), (2 * F.col("ci_low") - 1).alias("gini_low"), (2 * F.col("ci_high") - 1).alias("gini_high"), "is_binary", "pearson", "spearman", "kendall", "rmse", "mae", "auroc", "p_value", "note")
 
 
-def one_vs_rest(df: DataFrame, label: str, proba: str, classes: Sequence, average: str = "macro") -> DataFrame:
+def one_vs_rest(df: DataFrame, label: str, proba: str, classes: Sequence | None = None, average: str = "macro") -> DataFrame:
     """class, n, rga, note for each class of an array of probabilities, and a last row with class null for the average.
 
-    A class without rows, or with all of them, has null and a note and is left out of the average.
+    The probabilities of every row are those of ``classes`` in order, by default the labels in theirs, ``CLASSES`` at most.  A class without rows, or with all of them, has null and a note and is left out of the average.
     """
     if average not in ("macro", "weighted"):
         raise BadInput(f"unknown average {average!r}")
+    if classes is None:
+        found = df.select(label).filter(F.col(label).isNotNull()).distinct().limit(CLASSES + 1).collect()
+        if len(found) > CLASSES:
+            raise BadInput(f"{label} has more than {CLASSES} labels; name the classes")
+        classes = sorted(r[0] for r in found)
     if not classes or len(set(map(str, classes))) < len(classes):
         raise BadInput("classes must be named once each")
-    unlisted = df.filter(~F.col(label).cast("string").isin([str(c) for c in classes])).limit(1).count()
-    if unlisted:
-        raise BadInput("labels that are no class")
+    odd = df.agg(F.count_if(~F.coalesce(F.col(label).cast("string").isin([str(c) for c in classes]), F.lit(False))).alias("labels"), F.count_if(F.coalesce(F.size(proba), F.lit(-1)) != len(classes)).alias("widths")).first()
+    if odd["labels"]:
+        raise BadInput(f"{odd['labels']} rows with labels that are no class")
+    if odd["widths"]:
+        raise BadInput(f"{odd['widths']} rows without {len(classes)} probabilities, one for each class")
     long = df.select(F.col(label).cast("string").alias("_l"), F.posexplode(proba).alias("_k", "z"))
     long = long.withColumn("class", F.element_at(F.array(*[F.lit(str(c)) for c in classes]), F.col("_k") + 1)).withColumn("y", F.when(F.col("_l") == F.col("class"), 1.0).otherwise(0.0))
     share = long.groupBy("class").agg(F.sum("y").alias("members"))

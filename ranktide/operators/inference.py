@@ -114,7 +114,7 @@ def interval(reps: DataFrame, point: DataFrame, keys: Sequence[str], level: floa
 
 
 def estimate(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", method: str = "jackknife", level: float = 0.95, kind: str | None = None, row_id: str = "row_id", n_resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """keys, n, rga, standard_error, bias, ci_low, ci_high, note.
+    """keys, n, rga, standard_error, bias, ci_low, ci_high, note, gini, gini_low, gini_high, method, interval, level.
 
     The interval is normal for jackknife and influence, not clipped; for the bootstrap
     it is bca unless ``kind`` names another.  Fewer than three rows or a constant
@@ -131,9 +131,17 @@ def estimate(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z"
         ci = interval(reps, point, keys, level, kind, jackknife_values(df, keys, y, z) if kind == "bca" else None)
         r = on(on(point, se, keys, "left") if keys else on(point, se, keys), ci, keys, "left") if keys else on(on(point, se, keys), ci, keys)
         ok = F.col("_ok") * 2 >= n_resamples
-        return r.select(*keys, "n", "rga", F.when(ok, F.col("standard_error")).alias("standard_error"), F.lit(None).cast("double").alias("bias"), F.when(ok, F.col("ci_low")).alias("ci_low"), F.when(ok, F.col("ci_high")).alias("ci_high"), "note")
+        r = r.select(*keys, "n", "rga", F.when(ok, F.col("standard_error")).alias("standard_error"), F.lit(None).cast("double").alias("bias"), F.when(ok, F.col("ci_low")).alias("ci_low"), F.when(ok, F.col("ci_high")).alias("ci_high"), "note")
+        return r.select("*", *_record(method, kind, level))
     rows, sums = ranked(df, keys, y, [z])
-    return from_rows(rows.groupBy(*keys).agg(*spread(method)), sums, keys, method, zc)
+    r = from_rows(rows.groupBy(*keys).agg(*spread(method)), sums, keys, method, zc)
+    return r.select("*", *_record(method, "normal", level))
+
+
+def _record(method: str, interval: str, level: float) -> list[Column]:
+    """The Gini form of an estimate with its interval, and how they were found."""
+    gini = [(2.0 * F.col(c) - 1.0).alias(n) for c, n in (("rga", "gini"), ("ci_low", "gini_low"), ("ci_high", "gini_high"))]
+    return [*gini, F.lit(method).alias("method"), F.lit(interval).alias("interval"), F.lit(float(level)).alias("level")]
 
 
 def spread(method: str, k: int = 0, target: int = 1) -> list[Column]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranktide.errors import UndefinedMeasure
-from ranktide.functions.ranks import Cuts, rank_sums
+from ranktide.functions.ranks import Cuts, by_value, finite, rank_sums
 from ranktide.sources.frames import check_pair
 
 NOTE_CONSTANT = "target is constant"
@@ -74,6 +74,24 @@ def gini_value(df: DataFrame, y: str = "y", z: str = "z", weight: str | None = N
 rga_score = rga_value
 
 
+def discrete(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z") -> DataFrame:
+    """keys, n, rga, by the discrete definition: (conc - dec) / (inc - dec), sums of place times target in the order of the score, of falling and of rising targets.
+
+    Rows of one score take their mean target at all their places.  It shares no sums with ``rga`` and agrees with it; null for a constant target.
+    """
+    d = df.withColumns({"_dy": F.col(y).try_cast("double"), "_dz": F.col(z).try_cast("double")}).filter(finite(F.col("_dy"), F.col("_dz")))
+
+    def weighed(value: str, name: str) -> DataFrame:
+        support = F.col("total") / F.col("n")
+        places = F.col("n") * F.col("before") + F.col("n") * (F.col("n") - 1) / 2.0
+        v = by_value(d, keys, value, {"total": F.col("_dy")})
+        return v.groupBy(*keys).agg(F.sum(support * places).alias(name), F.sum("n").alias("n"), F.sum("total").alias("sum"))
+
+    r = on(weighed("_dz", "conc"), weighed("_dy", "inc").drop("n", "sum"), keys)
+    dec = (F.col("n") - 1) * F.col("sum") - F.col("inc")
+    return r.select(*keys, F.col("n").cast("bigint").alias("n"), F.when(F.abs(F.col("inc") - dec) > 1e-9 * F.abs(F.col("inc")), (F.col("conc") - dec) / F.nullif(F.col("inc") - dec, F.lit(0.0))).alias("rga"))
+
+
 def curves(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z") -> DataFrame:
     """keys, k (0 to n), fraction, lorenz, dual_lorenz, concordance.
 

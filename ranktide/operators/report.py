@@ -104,6 +104,9 @@ def build(df: DataFrame, y: str, model: Model, train: DataFrame | None = None, v
             section("robustness", lambda: robust.rgr_curve(df, model, names, row_id=row_id).orderBy("variable", "magnitude"))
         if group:
             section("parity_groups", lambda: fairness.parity_groups(d, group, "y", "z", min_group_size, level, row_id=row_id))
+            for r in out.sections.get("parity_groups", []):
+                if not r["included"]:
+                    out.warnings.append(f"parity: group {r['group']} has {r['n']} rows, fewer than {min_group_size}, and is not compared")
             section("parity", lambda: fairness.parity(d, group, "y", "z", min_group_size, level, row_id=row_id, n_resamples=n_resamples, seed=seed, gap_interval=False))
             if threshold is None:
                 out.warnings.append("outcomes: no threshold was given, so no selection rates are reported")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranktide.functions import ranks
+from ranktide.functions import ranks, sql
 from ranktide.operators import accuracy, cohorts, explain, facade, fairness, inference, measure, outcomes, robust
 from ranktide.operators.resampling import PART
 from ranktide.operators.scorer import score
@@ -48,6 +48,8 @@ def R(x: str, name: str) -> str:  # noqa: N802
 query("rga_by_flag", LINES, f"SELECT g, n, {R('rga', 'rga')}, {R('2 * rga - 1', 'gini')} FROM {q.rga(L, ['g'])}")(lambda d: measure.rga(d, ["g"]).drop("note"))
 query("rga_global", LINES, f"SELECT n, {R('rga', 'rga')} FROM {q.rga(L)}")(lambda d: measure.rga(d).select("n", "rga"))
 query("rga_weighted", LINES, f"SELECT g, n, {R('rga', 'rga')} FROM {q.rga_w(L, ['g'], 'y', 'z', 'w')}")(lambda d: measure.rga(d, ["g"], weight="w").select("g", "n", "rga"))
+_disc = lambda v: f"(RANK() OVER (PARTITION BY g ORDER BY {v}) - 1 + (COUNT(*) OVER (PARTITION BY g, {v}) - 1) / 2.0E0)"
+query("rga_discrete", ORDERS, f"SELECT g, n, {R('(conc - ((n - 1) * s - inc)) / (2 * inc - (n - 1) * s)', 'rga')} FROM (SELECT g, COUNT(*) AS n, SUM(y) AS s, SUM(y * iz) AS conc, SUM(y * iy) AS inc FROM (SELECT g, y, {_disc('t')} AS iz, {_disc('y')} AS iy FROM {O}) GROUP BY g)")(lambda d: measure.discrete(d, ["g"], "y", "t"))
 query("gini", ORDERS, f"SELECT s, {R('2 * rga - 1', 'gini')} FROM {q.rga(O, ['s'])}")(lambda d: measure.rga(d, ["s"]).select("s", "gini"))
 query("average_ranks", ORDERS, f"SELECT row_id, {R(q.rank('t', ['g']), 'rank')}, DENSE_RANK() OVER (PARTITION BY g ORDER BY t) - 1 AS tie FROM {O}")(lambda d: d.select("row_id", ranks.window_rank("t", ["g"]).alias("rank"), ranks.window_tie_id("t", ["g"]).cast("bigint").alias("tie")))
 query("weighted_ranks", ORDERS, f"SELECT row_id, {R('SUM(w) OVER (PARTITION BY g ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (SUM(w) OVER (PARTITION BY g, t) - 1) / 2.0E0', 'rank')} FROM {O}")(lambda d: d.select("row_id", ranks.window_weighted_rank("t", "w", ["g"]).alias("rank")))
@@ -61,6 +63,20 @@ _curve = f"""SELECT g, k, {R('k / CAST(n AS DOUBLE)', 'fraction')}, {R('lo / tot
   UNION ALL SELECT DISTINCT g, 0, 1, 1, 0, 0, 0 FROM {O})"""
 query("rga_curves", ORDERS, _curve)(lambda d: measure.curves(d, ["g"]))
 
+
+def in_sql(d: DataFrame, text: str) -> DataFrame:
+    """The query in Spark's SQL, with the functions of ``functions.sql``."""
+    sql.register(d.sparkSession)
+    d.createOrReplaceTempView("ranktide_scored")
+    return d.sparkSession.sql(text)
+
+
+_runs = "RANK() OVER (PARTITION BY s ORDER BY {0}) AS first_{0}, COUNT(*) OVER (PARTITION BY s, {0}) AS ties_{0}"
+query("sql_functions", ORDERS, f"SELECT s, {R('rga', 'rga')}, {R('2 * rga - 1', 'gini')} FROM {q.rga(O, ['s'])}")(lambda d: in_sql(d, f"""
+  SELECT s, rga, gini_of(rga) AS gini FROM (SELECT s, rga_of(SUM(c * mid_rank(first_z, ties_z)), SUM(c * mid_rank(first_y, ties_y))) AS rga
+    FROM (SELECT s, y - AVG(y) OVER (PARTITION BY s) AS c, {_runs.format('z')}, {_runs.format('y')} FROM ranktide_scored) GROUP BY s)"""))
+query("sql_curve", ORDERS, f"SELECT g AS key, k, fraction, concordance FROM ({_curve})")(lambda d: in_sql(d, "SELECT * FROM rga_curve(TABLE(SELECT g AS key, y, z FROM ranktide_scored) PARTITION BY key ORDER BY z)"))
+
 # --- inference
 query("jackknife_values", ORDERS, f"SELECT g, row_id, {R('value', 'value')} FROM {q.jackknife(O, ['g'])}")(lambda d: inference.jackknife_values(d, ["g"]).select("g", "row_id", "value"))
 query("influence_values", ORDERS, f"SELECT g, row_id, {R('value', 'value')} FROM {q.influence(O, ['g'])}")(lambda d: inference.influence_values(d, ["g"]).select("g", "row_id", "value"))

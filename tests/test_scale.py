@@ -11,9 +11,10 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput
-from ranktide.functions import quantiles, ranks
+from ranktide.functions import quantiles, ranks, sql
 from ranktide.operators import accuracy, cohorts, concordance, estimators, explain, inference, measure, resampling, robust, scorer
 from ranktide.operators.report import build
+from ranktide.streaming import monitor
 from test_measure import pair, plain_rga  # its folder is on the path
 
 rng = random.Random(23)
@@ -251,3 +252,70 @@ def test_estimates_by_bootstrap_in_small_parts(spark, monkeypatch):
     z = [v + rng.random() * 3 for v in y]
     e = inference.estimate(pair(spark, y, z), method="bootstrap", kind="basic", n_resamples=80).first()
     assert e["ci_low"] < e["rga"] < e["ci_high"]
+
+
+@pytest.mark.parametrize("method", ["jackknife", "bootstrap"])
+def test_estimates_tell_how_they_were_found(spark, method):
+    y = [float(i % 4) for i in range(40)]
+    e = inference.estimate(pair(spark, y, [v + rng.random() * 3 for v in y]), method=method, level=0.9, n_resamples=30, kind="percentile").first()
+    assert (e["method"], e["level"], e["interval"]) == (method, 0.9, "normal" if method == "jackknife" else "percentile")
+    assert [e["gini"], e["gini_low"], e["gini_high"]] == pytest.approx([2 * e[c] - 1 for c in ("rga", "ci_low", "ci_high")])
+
+
+def test_classes_default_to_the_labels(spark):
+    rows = [(i, "abc"[i % 3], [float(i % 3 == k) + (i * (k + 2) % 7) / 10 for k in range(3)]) for i in range(30)]
+    d = spark.createDataFrame(rows, "row_id bigint, label string, p array<double>")
+    assert sorted(map(tuple, accuracy.one_vs_rest(d, "label", "p").collect()), key=repr) == sorted(map(tuple, accuracy.one_vs_rest(d, "label", "p", ["a", "b", "c"]).collect()), key=repr)
+    with pytest.raises(BadInput, match="probabilities"):
+        accuracy.one_vs_rest(d.withColumn("p", F.slice("p", 1, 2)), "label", "p")
+    with pytest.raises(BadInput, match="no class"):
+        accuracy.one_vs_rest(d, "label", "p", ["a", "b", "x"])
+
+
+def test_report_warns_of_tiny_groups(spark):
+    d = spark.createDataFrame([(i, float(i % 2), float(i % 7), "small" if i < 6 else "AB"[i % 2 * (i % 3 == 0)]) for i in range(90)], "row_id bigint, y double, f double, g string")
+    out = build(d, "y", "f", group="g", min_group_size=10, n_resamples=20)
+    assert any("small" in w and "6 rows" in w for w in out.warnings)
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "one"])
+def test_discrete_definition_agrees(spark, monkeypatch, kind):
+    monkeypatch.setattr(ranks, "SAMPLED", 2.0)
+    z = [{"spread": rng.random(), "ties": float(rng.randrange(6)), "one": 2.0}[kind] for _ in range(120)]
+    y = [float(rng.randrange(9)) for _ in z]
+    d = pair(spark, [*y, None], [*z, 1.0])
+    a, b = measure.discrete(d).first(), measure.rga(d).first()
+    assert (a["n"], a["rga"]) == (120, pytest.approx(b["rga"], abs=1e-9))
+    assert measure.discrete(pair(spark, [1, 1, 1], [1, 2, 3])).first()["rga"] is None
+
+
+def test_curve_in_sql(spark):
+    sql.register(spark)
+    d = pair(spark, [3, 1, 2, 2, None, 5], [1, 1, 2, 3, 3, 3], key=["a", "a", "a", "b", "b", "b"])
+    d.createOrReplaceTempView("scored_here")
+    got = spark.sql("SELECT * FROM rga_curve(TABLE(SELECT key, y, z FROM scored_here) PARTITION BY key ORDER BY z)").collect()
+    want = measure.curves(d.filter("y is not null"), ["key"]).collect()
+    assert sorted((r["key"], r["k"], round(r["fraction"], 9), round(r["concordance"], 9)) for r in got) == sorted((r["key"], r["k"], round(r["fraction"], 9), round(r["concordance"], 9)) for r in want)
+    assert spark.sql("SELECT gini_of(rga_of(2.0D, 4.0D)), mid_rank(3, 2)").first()[:] == (0.5, 3.5)
+
+
+def test_labels_that_come_late(spark, tmp_path):
+    """Labels come a window later, in other files than their scores; closed windows are measured as a batch would."""
+    day = lambda d, h=0: f"2024-01-{d:02d} {h:02d}:00:00"
+    scores = [(f"{d}-{i}", day(d, i % 20), float(rng.randrange(8))) for d in range(1, 5) for i in range(40)]
+    labels = [(k, day(int(k.split("-")[0]) + 1, 21), float(rng.random() < z / 8)) for k, _, z in scores if not k.endswith("7")] + [("1-0", day(20), 1.0), ("none", day(2), 1.0)]
+    ends = [("end", day(25), 0.0), ("end2", day(28), 0.0)], [("end", day(25, 1), 0.0), ("end2", day(28, 1), 0.0)]
+    s_schema, l_schema = "id string, at string, z double", "id string, seen string, y double"
+    for rows, schema, name, end in ((scores, s_schema, "scores", ends[0]), (labels, l_schema, "labels", ends[1])):
+        column = schema.split(", ")[1].split()[0]
+        for k, part in enumerate([[r for r in rows if r[1] < day(3)], [r for r in rows if r[1] >= day(3)], end[:1], end[1:]]):
+            spark.createDataFrame(part, schema).withColumn(column, F.to_timestamp(column)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/{k}")
+    read = lambda name, r: r.option("recursiveFileLookup", "true").schema(spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{name}").schema)
+    batch = monitor.labelled(*(read(n, spark.read).parquet(f"{tmp_path}/{n}") for n in ("scores", "labels")), "id", "at", "seen", "2 days", "1 hour")
+    want = {r["start"]: (r["n"], pytest.approx(r["rga"])) for r in monitor.measured(monitor.tie_counts(batch, "at", "y", "z", late=None)).collect() if r["start"].day < 10}
+    streams = (read(n, spark.readStream.option("maxFilesPerTrigger", 1)).parquet(f"{tmp_path}/{n}") for n in ("scores", "labels"))
+    q = monitor.monitor(monitor.labelled(*streams, "id", "at", "seen", "2 days", "1 hour"), "at", "y", "z", f"{tmp_path}/out", f"{tmp_path}/state", late=None)
+    q.awaitTermination()
+    got = {r["start"]: (r["n"], r["rga"]) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r["start"].day < 10}
+    assert len(want) == 4
+    assert got == want
