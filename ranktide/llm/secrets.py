@@ -65,9 +65,19 @@ def dictionary(path: str) -> dict[str, int]:
     return ranks
 
 
-def _walk(v: str, i: int) -> int:
-    """End of the longest keyboard walk from i, in either direction."""
-    best = i
+_PREFIXES: dict = {}
+
+
+def prefixes(ranks: dict[str, int]) -> set[str]:
+    """What words begin with; found once for a vocabulary."""
+    if _PREFIXES.get("of") is not ranks:
+        _PREFIXES.update(of=ranks, known={w[:k] for w in ranks for k in range(3, len(w) + 1)})
+    return _PREFIXES["known"]
+
+
+def _walks(v: str, i: int) -> int:
+    """Length of the longest keyboard walk from i, in either direction; what it begins with is a walk, too."""
+    best = 0
     for row in ROWS:
         k = row.find(v[i])
         while k >= 0:
@@ -75,42 +85,56 @@ def _walk(v: str, i: int) -> int:
                 j, at = i, k
                 while j < len(v) and 0 <= at < len(row) and v[j] == row[at]:
                     j, at = j + 1, at + step
-                best = max(best, j)
+                best = max(best, j - i)
             k = row.find(v[i], k + 1)
     return best
 
 
-def guess_cost(value: str, ranks: dict[str, int]) -> float:
-    """log10 of the guesses that the cheapest segmentation of the value needs."""
+def guess_cost(value: str, ranks: dict[str, int], limit: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of the value needs; ``limit`` if that is as much or more.
+
+    Every span is offered: words of any length, dates, walks and repeats of every length from every place.  What would cost
+    ``limit`` by itself can be no part of a cheaper segmentation, so that places and periods beyond it are passed over.
+    """
     v, n = value.lower(), len(value)
     plain = v.translate(LEET)
+    begins, runs = prefixes(ranks), {}
     best = [0.0] + [math.inf] * n
-    same = [[0] * (n + 1) for _ in range(9)]  # by distance: how many characters from i on recur at that distance
-    for size in range(1, 9):
-        for i in range(n - size - 1, -1, -1):
-            same[size][i] = same[size][i + 1] + 1 if v[i] == v[i + size] else 0
     for i in range(n):
         here = best[i]
+        if here >= limit:
+            continue
 
         def reach(j: int, cost: float, here: float = here) -> None:
             if here + cost < best[j]:
                 best[j] = here + cost
 
         reach(i + 1, 1.0 if v[i].isdigit() else 1.42 if v[i].isalpha() else 1.52)  # 10, 26 or 33 guesses for a character
-        for j in range(i + 3, min(n, i + 20) + 1):
+        for j in range(i + 3, n + 1):
+            if v[i:j] not in begins and plain[i:j] not in begins:
+                break
             for form, extra in ((v[i:j], 0.0), (plain[i:j], 0.5)):
                 if r := ranks.get(form):
                     case = 0.3 if value[i:j] != v[i:j] else 0.0
                     reach(j, math.log10(r) + extra + case + 0.3)
-        if m := DATE.match(v, i):
-            reach(m.end(), math.log10(365 * 100))
-        if (j := _walk(v, i)) >= i + 3:
-            reach(j, math.log10(94 * 4 * (j - i)))
-        for size in range(1, min(8, (n - i) // 2) + 1):
-            times = 1 + same[size][i] // size
-            if times > 1 and size * times > 2:
-                reach(i + size * times, 1.5 * size + math.log10(times))
-    return best[n]
+        for j in range(i + 4, min(n, i + 10) + 1):
+            if DATE.fullmatch(v, i, j):
+                reach(j, math.log10(365 * 100))
+        for length in range(3, _walks(v, i) + 1):
+            reach(i + length, math.log10(94 * 4 * length))
+        period = 1
+        while i + 2 * period <= n and 1.5 * period + here < limit:
+            unit, (start, end, before) = v[i : i + period], runs.get((period, i % period), (0, 0, 0.0))
+            # inside a run that began earlier, a start that costs more than the units it saves is never cheaper
+            if i + 2 * period > end or here < before + math.log10(((i - start) // period + 2) / 2):
+                times = 1
+                while v.startswith(unit, i + times * period):
+                    times += 1
+                    if period * times > 2:
+                        reach(i + period * times, 1.5 * period + math.log10(times))
+                runs[period, i % period] = (i, i + times * period, here)
+            period += 1
+    return min(best[n], limit)
 
 
 def spans(text: str, ranks: dict[str, int]) -> list[tuple[int, int, int]]:
@@ -124,7 +148,7 @@ def spans(text: str, ranks: dict[str, int]) -> list[tuple[int, int, int]]:
         values |= {m.span(1): m[1] for m in USERINFO.finditer(text)}
     for (start, _), value in values.items():
         value = value.rstrip("\"',;)>.}]")
-        if len(value) >= 6 and guess_cost(value, ranks) >= MIN_LOG10:
+        if len(value) >= 6 and guess_cost(value, ranks, MIN_LOG10) >= MIN_LOG10:
             found.append((start, 3, start + len(value)))
     return sorted(found)
 
