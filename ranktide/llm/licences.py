@@ -80,7 +80,7 @@ SPELLINGS = [
 
 def canonical(text: Column) -> Column:
     """The form whose digest is looked up: words of letters and digits with a space on either side."""
-    c = F.regexp_replace(text, r"(?im)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved[^\p{L}\p{N}\n]*$).*$", " ")  # whole copyright lines
+    c = F.regexp_replace(text, r"(?im)^[^\p{L}\p{N}\n]*(?:copyright\b(?!\s+(?:notices?|holders?|owners?|laws?|licen[cs]es?)\b)|\(c\)|©|all rights reserved[^\p{L}\p{N}\n]*$).*$", " ")  # whole copyright lines; a wrapped line of a text may begin with "copyright holders"
     c = F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for a, b in SPELLINGS:
         c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
