@@ -4,8 +4,9 @@ Entities are found by one pattern with a branch for each kind: e-mail addresses,
 IPv4 addresses, card numbers, and names after a title.  A distinct entity
 gets one surrogate in the whole corpus, so mentions of one person stay one person:
 
-* digits become digits of a keyed hash, with grouping, signs and a leading ``+1`` kept,
-  card numbers keep their length and, where they had one, their Luhn check;
+* digits of phones and cards go through a keyed permutation of all numbers of their layout, with grouping, signs and a country code kept, so that they are
+  distinct by construction and none is its own; one may be another number of the corpus, which then has another surrogate itself.  Card numbers keep their
+  length and whether their Luhn check is right;
 * an IPv4 address becomes four other octets;
 * an address keeps its dots, its length class and a reserved top-level domain; equal local parts
   with other domains get unrelated surrogates;
@@ -14,7 +15,9 @@ gets one surrogate in the whole corpus, so mentions of one person stay one perso
   These are settled in a table of their own: names that share one, or whose surname is one of the corpus, are drawn again from a
   name space that grows with each round, until all are distinct.
 
-Other surrogates are checked for collisions: of the entities that share one, or whose surrogate is
+Names are found in Latin, Cyrillic and Greek script; a titled name of another script is left as it is.  Particles (``von``, ``van der``) stay.
+
+Surrogates of addresses are checked for collisions: of the entities that share one, or whose surrogate is
 itself an entity of the corpus, all but the first are hashed again with a higher attempt number, up to
 ``ATTEMPTS`` rounds, after which a distinct serial number from the hash makes the rest distinct.
 
@@ -42,16 +45,22 @@ FIRST = {
     ("m", "cyrillic"): ["Иван", "Пётр", "Сергей", "Андрей", "Павел", "Олег", "Максим", "Денис"],
     ("f", "cyrillic"): ["Анна", "Мария", "Елена", "Ольга", "Ирина", "Вера", "Дарья", "Нина"],
     ("n", "cyrillic"): ["Саша", "Женя", "Валя", "Слава"],
+    ("m", "greek"): ["Νίκος", "Πέτρος", "Μάριος", "Ιάσων"],
+    ("f", "greek"): ["Μαρία", "Ελένη", "Σοφία", "Ίριδα"],
+    ("n", "greek"): ["Αλέξης", "Άρτεμις"],
 }
-LAST = {"latin": ["Archer", "Bennett", "Calder", "Dalton", "Ellery", "Fischer", "Garnier", "Hidalgo", "Iversen", "Jansen", "Keller", "Lorenz", "Marchand", "Navarro", "Olsen", "Prieto", "Quinn", "Renard", "Serrano", "Tanner", "Ulrich", "Vidal", "Weber", "Ximenes", "Young", "Zeller"], "cyrillic": ["Орлов", "Зимин", "Белов", "Громов", "Седов", "Лебедь", "Шевчук", "Коваль"]}
-#: Syllables of made-up names, 48 for Latin and 40 for Cyrillic script.
-SYLLABLES = {"latin": [c + v for c in ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t") for v in "aeio"], "cyrillic": [c + v for c in "бвгдлмнрст" for v in "аеио"]}
+LAST = {"latin": ["Archer", "Bennett", "Calder", "Dalton", "Ellery", "Fischer", "Garnier", "Hidalgo", "Iversen", "Jansen", "Keller", "Lorenz", "Marchand", "Navarro", "Olsen", "Prieto", "Quinn", "Renard", "Serrano", "Tanner", "Ulrich", "Vidal", "Weber", "Ximenes", "Young", "Zeller"], "cyrillic": ["Орлов", "Зимин", "Белов", "Громов", "Седов", "Лебедь", "Шевчук", "Коваль"], "greek": ["Δήμου", "Καλός", "Λάμπρος", "Ράλλης", "Σταύρου", "Μελάς"]}
+#: Syllables of made-up names, 48 for Latin and Greek and 40 for Cyrillic script.
+SYLLABLES = {"latin": [c + v for c in ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t") for v in "aeio"], "cyrillic": [c + v for c in "бвгдлмнрст" for v in "аеио"], "greek": [c + v for c in "βγδζκλμνπρστ" for v in "αεηο"]}
 _TITLE = "|".join(sorted((t for v in TITLES.values() for t in v), key=lambda t: (-len(t), t)))
 EMAIL = r"[A-Za-z0-9\p{L}][A-Za-z0-9\p{L}._%+-]*@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)"
 CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
 PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"
-NAME = rf"(?<![\p{{L}}])(?:{_TITLE})\.?\x20\p{{Lu}}[\p{{L}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}'’-]+)?"
+#: Scripts with names to draw; a titled name of another script is no entity.
+_LETTER = r"\p{IsLatin}\p{IsCyrillic}\p{IsGreek}"
+PARTICLES = "von|van|der|den|de|del|della|di|da|du|la|le|zu|zur|ter|ten|af|av"
+NAME = rf"(?<![\p{{L}}])(?:{_TITLE})\.?\x20(?=[{_LETTER}])\p{{Lu}}[{_LETTER}'’-]+(?:(?:\x20(?:{PARTICLES})){{0,3}}\x20(?=[{_LETTER}])\p{{Lu}}[{_LETTER}'’-]+)?"
 ENTITY = f"{EMAIL}|{IP}|{CARD}|{PHONE}|{NAME}"
 #: A text without a match of this has no entity; cheaper than ENTITY.
 HINT = rf"@|\d[\d.() -]{{6}}|(?:{_TITLE})\.?\x20\p{{Lu}}"
@@ -66,12 +75,6 @@ def _hash(key: str, salt: str, e: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(salt), attempt.cast("string"), e, F.lit(key)), 256)
 
 
-def _digits(h: Column, n: int) -> Column:
-    """n decimal digits from a hash in hex."""
-    parts = [F.lpad((F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("bigint") % 100_000_000).cast("string"), 8, "0") for i in range((n + 7) // 8)]
-    return F.concat(*parts)
-
-
 def _pick(h: Column, at: int, names: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in names]), (F.conv(F.substring(h, at, 7), 16, 10).cast("bigint") % len(names) + 1).cast("int"))
 
@@ -89,23 +92,55 @@ def _luhn_sum(d: Column) -> Column:
     return F.aggregate(F.transform(chars, lambda c, i: F.when(i % 2 == 1, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int"))), F.lit(0), lambda a, x: a + x)
 
 
+def _permuted(number: Column, places: Column, layout: Column, key: str) -> Column:
+    """Another number of so many digits, by a keyed permutation that has no fixed point.
+
+    Four rounds of a Feistel network over the two halves of the number, one step on, and the rounds back: all numbers of a layout lie on one cycle.
+    """
+    e = F.struct(number.alias("x"), F.greatest(places, F.lit(1)).cast("int").alias("d"), layout.alias("f"))
+    # a = 10^(digits of the left half), b = 10^(digits of the right half)
+    half = lambda v: F.transform(F.array(v), lambda s: F.struct(s["f"].alias("f"), F.pow(F.lit(10.0), F.floor(s["d"] / 2)).cast("bigint").alias("a"), F.pow(F.lit(10.0), s["d"] - F.floor(s["d"] / 2)).cast("bigint").alias("b"), s["x"].alias("x")))
+
+    def run(s: Column) -> Column:
+        def step(v: Column, k: Column) -> Column:
+            j, sign = F.when(k < 4, k).otherwise(8 - k), F.when(k < 4, 1).otherwise(-1)
+            other = F.when(j % 2 == 0, v["r"]).otherwise(v["l"])
+            h = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), s["f"], j.cast("string"), other.cast("string"), F.lit(key)), 256), 1, 13), 16, 10).cast("bigint")
+            on = F.pmod(v["l"] * s["b"] + v["r"] + 1, s["a"] * s["b"])
+            left = F.when(k == 4, F.floor(on / s["b"])).when(j % 2 == 0, F.pmod(v["l"] + sign * F.pmod(h, s["a"]), s["a"])).otherwise(v["l"])
+            right = F.when(k == 4, F.pmod(on, s["b"])).when(j % 2 == 1, F.pmod(v["r"] + sign * F.pmod(h, s["b"]), s["b"])).otherwise(v["r"])
+            return F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
+
+        start = F.struct(F.floor(s["x"] / s["b"]).cast("bigint").alias("l"), F.pmod(s["x"], s["b"]).cast("bigint").alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(8)), start, step, lambda v: v["l"] * s["b"] + v["r"])
+
+    return F.transform(half(e), run)[0]
+
+
+def _number_surrogate(e: Column, kind: Column, key: str) -> Column:
+    """Phones and cards: their digits permuted among all of their layout, so that they are distinct; a country code, and whether a card's check digit is right, stay."""
+    digits = F.regexp_replace(e, r"\D", "")
+    code = F.length(F.regexp_replace(F.regexp_extract(e, r"^\+\d{1,3}(?=[ .(-])", 0), r"\D", ""))
+    is_card = kind == "card"
+    kept, last = F.when(is_card, 0).otherwise(code), F.when(is_card, 1).otherwise(0)
+    places = F.length(digits) - kept - last
+    free = F.substring(digits, kept + 1, places)
+    layout = F.concat_ws("|", kind, F.substring(digits, F.lit(1), kept), F.translate(e, "123456789", "000000000"))
+    new = F.lpad(_permuted(free.cast("bigint"), places, layout, key).cast("string"), places, F.lit("0"))
+    off = F.pmod(_luhn_sum(digits), F.lit(10))  # how far the check digit is from the right one
+    check = F.pmod(off - _luhn_sum(F.concat(new, F.lit("0"))), F.lit(10)).cast("string")
+    return _refill(e, F.concat(F.substring(digits, F.lit(1), kept), new, F.when(is_card, check).otherwise("")), kept)
+
+
 def surrogate(e: Column, kind: Column, attempt: Column, key: str) -> Column:
+    """Of an e-mail or IPv4 address."""
     h = _hash(key, "e", e, attempt)
-    # numbers: the first digits of a phone with a country code stay
-    plain = F.regexp_replace(e, r"\D", "")
-    fresh = _digits(h, 24)
-    phone = _refill(e, fresh, F.length(F.regexp_replace(F.regexp_extract(e, r"^\+\d{1,3}(?=[ .(-])", 0), r"\D", "")))
-    body = F.concat(F.substring(fresh, F.lit(1), F.length(plain) - 1), F.lit("0"))
-    check = (10 - _luhn_sum(body) % 10) % 10
-    valid = _luhn_sum(plain) % 10 == 0
-    digits = F.concat(F.substring(fresh, F.lit(1), F.length(plain) - 1), F.when(valid, check).otherwise((check + 1 + F.conv(F.substring(h, 60, 2), 16, 10).cast("int") % 9) % 10).cast("string"))
-    card = _refill(e, digits, F.lit(0))
     octet = [(F.conv(F.substring(h, 1 + 4 * i, 4), 16, 10).cast("int") % 254 + 1).cast("string") for i in range(4)]
     ip = F.concat_ws(".", *octet)
     local = F.regexp_extract(e, "^([^@]*)@", 1)
     dotted = F.when(local.contains("."), F.concat(_pick(h, 1, [x.lower() for x in FIRST["n", "latin"]]), F.lit("."), F.substring(h, 20, 6))).otherwise(F.concat(_pick(h, 1, [x.lower() for x in FIRST["n", "latin"]]), F.substring(h, 20, 6)))
     email = F.concat(dotted, F.lit("@mail"), F.substring(h, 40, 4), F.lit(".example"))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).otherwise(phone)
+    return F.when(kind == "email", email).otherwise(ip)
 
 
 def _made_up(h: Column, script: str, n: int) -> Column:
@@ -147,26 +182,31 @@ def settled_names(parts: DataFrame, key: str) -> DataFrame:
 def name_surrogates(names: DataFrame, key: str) -> DataFrame:
     """Distinct (entity, kind) of titled names -> entity, kind, surrogate."""
     words = F.split("entity", " ")
-    d = names.select("entity", "kind", words[0].alias("title"), F.when(F.size(words) > 2, words[1]).alias("given"), F.element_at(words, -1).alias("family"))
+    given = (F.size(words) > 2) & ~words[1].rlike(f"^(?:{PARTICLES})$")
+    # title, given name, particles, family name; all but the first and the last may be missing
+    middle = F.slice(words, F.when(given, 3).otherwise(2), F.greatest(F.size(words) - F.when(given, 3).otherwise(2), F.lit(0)))
+    d = names.select("entity", "kind", words[0].alias("title"), F.when(given, words[1]).alias("given"), F.nullif(F.array_join(middle, " "), F.lit("")).alias("particles"), F.element_at(words, -1).alias("family"))
     bare = F.regexp_replace("title", r"\.$", "")
     gender = F.when(bare.isin(TITLES["m"]), "m").when(bare.isin(TITLES["f"]), "f").otherwise("n")
-    script = F.when(F.col("family").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    script = F.when(F.col("family").rlike(r"\p{IsCyrillic}"), "cyrillic").when(F.col("family").rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     d = d.withColumns({"last_role": F.concat(F.lit("last-"), script), "first_role": F.concat(F.lit("first-"), gender, F.lit("-"), script)})
     parts = d.select(F.col("last_role").alias("role"), F.col("family").alias("name")).union(d.filter("given is not null").select("first_role", "given"))
     table = settled_names(parts, key)
     d = d.join(table.toDF("last_role", "family", "new_family"), ["last_role", "family"])
     d = d.join(table.toDF("first_role", "given", "new_given"), ["first_role", "given"], "left")
-    return d.select("entity", "kind", F.concat_ws(" ", "title", "new_given", "new_family").alias("surrogate"))
+    return d.select("entity", "kind", F.concat_ws(" ", "title", "new_given", "particles", "new_family").alias("surrogate"))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """Distinct (entity) -> entity, kind, surrogate, with surrogates distinct and none an entity.
+    """Distinct (entity) -> entity, kind, surrogate, with surrogates distinct, and none of an address an entity.
 
     A round costs a pass over the entities that are still open; the settled ones are written.
     """
     open_ = written(entities.select("entity", kind_of(F.col("entity")).alias("kind")).distinct(), "pii-entities")
     names = written(name_surrogates(open_.filter("kind = 'name'"), key), "pii-names")
-    open_ = open_.filter("kind != 'name'")
+    numbers = open_.filter("kind in ('phone', 'card')")
+    numbers = numbers.withColumn("surrogate", _number_surrogate(F.col("entity"), F.col("kind"), key))
+    open_ = open_.filter("kind in ('email', 'ip')")
     known = open_.select(F.col("entity").alias("surrogate"))
     done = None
     for attempt in range(ATTEMPTS + 1):
@@ -182,7 +222,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         open_ = state.filter("not settled").select("entity", "kind")
         if open_.isEmpty():
             break
-    return done.unionByName(names)
+    return done.unionByName(names).unionByName(numbers)
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
