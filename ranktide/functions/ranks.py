@@ -5,15 +5,15 @@ Cuts are approximate quantiles of a sample of the rows, so a value that a large
 counted, never sorted.  Sums run inside a range, and the totals of the parts before it are added.  No task holds a
 whole key, even if one key, or one value of it, has all rows.  Cuts balance the work and change no result.
 
-``rank_sums`` gives what the measure and its tests need of a key, ``placed`` facts for each row, ``by_value`` a row for each value.
-``window_*`` are plain window columns for callers who know that their keys are small.
+``rank_sums`` gives what the measure and its tests need of a key, ``placed`` and ``row_facts`` facts for each row, ``by_value`` a row for each value.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,14 +176,18 @@ def placed(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], cu
     return d.drop("_key", "_salt", *[c for i in range(len(x)) for c in (f"_x{i}", f"_q{i}")])
 
 
-def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], weight: Column | None = None) -> DataFrame:
-    """keys, value, n (weight of the ties), before (weight below them), rank (their mean rank), and for each sum its tie total and ``<name>_upto`` (total of values up to this one)."""
-    names = ["n", *sums]
-    g = df.groupBy(*keys, value).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
-    g = g.withColumn("_double", F.col(value).cast("double")).withColumn("_range", F.expr(range_sql("_double", cut_points(df, [value])[0][0]))).drop("_double")
+def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], weight: Column | None = None, cuts: Cuts | None = None) -> DataFrame:
+    """keys, value, n (weight of the ties), before (weight below them), rank (their mean rank), place (distinct values up to it), for each sum its tie total and ``<name>_upto`` (total of values up to this one), and n_all and ``<name>_all`` (totals of the key).
+
+    ``cuts`` are those of (value,), if they are known.
+    """
+    names = ["n", "place", *sums]
+    cuts = cut_points(df, [value]) if cuts is None else cuts
+    g = df.groupBy(*keys, value).agg(F.sum(weight if weight is not None else F.lit(1.0)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()]).withColumn("place", F.lit(1).cast("bigint"))
+    g = g.withColumn("_double", F.col(value).try_cast("double")).withColumn("_range", F.expr(range_sql("_double", cuts[0][0]))).drop("_double")
     whole = g.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in names])
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    whole = whole.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0.0)).alias(f"_{c}") for c in names])
+    whole = whole.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in names], *[F.sum(f"_{c}").over(Window.partitionBy(*keys)).alias(f"{c}_all") for c in names])
     same = F.col("_range") == F.col("_r")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
@@ -191,7 +195,30 @@ def by_value(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Col
     g = g.withColumns({f"_up_{c}": F.sum(c).over(upto) for c in names}).join(whole, same)
     g = g.withColumns({f"{c}_upto": F.col(f"_{c}") + F.col(f"_up_{c}") for c in names})
     g = g.withColumn("before", F.col("n_upto") - F.col("n")).withColumn("rank", F.col("before") + (F.col("n") + 1.0) / 2.0)
-    return g.select(*keys, value, "n", "before", "rank", *sums, *[f"{c}_upto" for c in sums])
+    return g.select(*keys, value, "n", "before", "rank", F.col("place_upto").alias("place"), *sums, *[f"{c}_upto" for c in sums], "n_all", *[f"{c}_all" for c in sums])
+
+
+def row_facts(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None, weight: str | None = None) -> DataFrame:
+    """Every row with ``rank`` (mean rank among ties, from 1; with weights, the weight below, half of the ties' own and a half), ``tie`` (distinct values below, from 0), and for each sum
+    ``<name>_tie`` (over its ties) and ``<name>_above`` (over strictly larger values; null where no value of the key's is there).
+
+    Nulls are one value, below all others; NaN is above all.  Facts of a value are found once and joined to its rows; rows that have a cut's very value, of which there may
+    be many, are dealt to ``SALTS`` tasks.
+    """
+    sums = sums or {}
+    cuts = cut_points(df, [value])
+    v = by_value(df, keys, value, sums, F.col(weight) if weight else None, cuts)
+    hot = F.expr(f"coalesce(try_cast(`{value}` AS double) IN ({', '.join(f'{c!r}D' for c in cuts[0][0])}), false)") if cuts[0][0] else F.lit(False)
+    v = v.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.when(hot | F.col(value).isNull(), SALTS - 1).otherwise(0))))
+    facts = [F.col("rank").alias("_rank"), (F.col("place") - 1).alias("_tie"), *[F.col(k).alias(f"_{k}_tie") for k in sums], *[(F.col(f"{k}_all") - F.coalesce(F.col(f"{k}_upto"), F.lit(0))).alias(f"_{k}_above") for k in sums]]
+    v = v.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v"), F.col("_deal").alias("_d"), *facts)
+    d = df.withColumn("_deal", F.when(hot | F.col(value).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")).otherwise(0))
+    same = all_of([F.col(value).eqNullSafe(F.col("_v")), F.col("_deal") == F.col("_d"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]])
+    return d.join(v, same).select(*df.columns, *[F.col(f"_{c}").alias(c) for c in ("rank", "tie", *[f"{k}_{w}" for k in sums for w in ("tie", "above")])])
+
+
+def all_of(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], part: Column, name: str) -> DataFrame:
@@ -228,27 +255,3 @@ def by_number(df: DataFrame, value: str, row_id: str, keys: Sequence[str] = (),
     d = df.withColumns({"_bx": F.col(value).try_cast("double"), "_br": F.col(row_id).try_cast("double")})
     d = d.withColumn("_bp", part_of("_bx", by)).withColumn("_bp", F.expr(f"coalesce(_bp * {len(within) + 1} + if(_bp % 2 = 1, {range_sql('_br', within)}, 0), -1)"))
     return numbered(d.drop("_bx", "_br"), keys, [value, row_id], F.col("_bp"), name).drop("_bp")
-
-
-def window_rank(value: str, keys: Sequence[str] = ()) -> Column:
-    """Mean rank among ties, from 1."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0
-
-
-def window_tie_id(value: str, keys: Sequence[str] = ()) -> Column:
-    return F.dense_rank().over(Window.partitionBy(*keys).orderBy(value)) - 1
-
-
-def window_tie_sum(value: str, payload: str, keys: Sequence[str] = ()) -> Column:
-    return F.sum(payload).over(Window.partitionBy(*keys, value))
-
-
-def window_above(value: str, payload: str, keys: Sequence[str] = ()) -> Column:
-    """Sum of the payload over strictly larger values."""
-    upto = Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    return F.sum(payload).over(Window.partitionBy(*keys)) - F.sum(payload).over(upto)
-
-
-def window_weighted_rank(value: str, weight: str, keys: Sequence[str] = ()) -> Column:
-    upto = Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    return F.sum(weight).over(upto) - (F.sum(weight).over(Window.partitionBy(*keys, value)) - 1.0) / 2.0

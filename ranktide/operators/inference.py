@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput
 from ranktide.functions import gauss
-from ranktide.functions.hashing import uniform
-from ranktide.functions.ranks import by_number, cut_points, finite, numbered, placed, rank_sums, spread_evenly
+from ranktide.functions.ranks import cut_points, finite, placed, rank_sums
+from ranktide.operators import permuting
 from ranktide.operators.measure import NOTE_CONSTANT, NOTE_FEW, from_sums, left_out, on, rga
 from ranktide.operators.resampling import replicated
 from ranktide.sources.frames import count, level as check_level
@@ -193,7 +193,7 @@ def test(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", al
     """keys, n, rga, statistic, p_value: against a score that ranks at random.
 
     Without ``n_permutations`` the exact variance over all permutations is used; with it,
-    ranks are permuted by hash and the p-value is (1 + as extreme) / (permutations + 1).
+    ranks are permuted inside strata (``permuting``) and the p-value is (1 + as extreme) / (permutations + 1).
     """
     if alternative not in ("greater", "two-sided", "less"):
         raise BadInput(f"unknown alternative {alternative!r}")
@@ -212,12 +212,11 @@ def test(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", al
         tail = {"greater": gauss.upper(stat), "less": 1.0 - gauss.upper(stat), "two-sided": gauss.two_sided(stat)}[alternative]
         return r.select(*keys, "n", "rga", stat.alias("statistic"), F.when(F.col("_sd") > 0, tail).when(F.col("rga").isNotNull(), 1.0).alias("p_value"))
     count(n_permutations, "n_permutations", 1)
-    # the row at a place by row id takes the rank of the row at that place by a hash
-    each = F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("_rep")
-    left = by_number(d.select(*keys, row_id, F.col("_y").alias("_y")), row_id, row_id, keys).select(*keys, "_k", "_y", each)
-    right = d.select(*keys, row_id, F.col("_r0").alias("_rz"), each).withColumn("_u", uniform(seed, "perm", F.col("_rep"), F.col(row_id)))
-    right = numbered(right, [*keys, "_rep"], ["_u", row_id], spread_evenly(F.col("_u"), df), "_k").select(*keys, "_rep", "_k", "_rz")
-    m = on(left, right, [*keys, "_rep", "_k"]).groupBy(*keys, "_rep").agg(F.sum(F.col("_y") * F.col("_rz")).alias("_s"), F.sum("_y").alias("_t"), F.count("*").alias("_c"))
+    g = [f"_g{i}" for i in range(len(keys))]
+    d = d.select(*[F.col(k).alias(x) for k, x in zip(keys, g, strict=True)], F.col(row_id).alias("_id"), F.col(row_id).cast("string").alias("_name"), F.col("_y").alias("_y"), F.col("_r0").alias("_r"), permuting.stratum(seed, row_id, F.col("_n")).alias("_stratum"))
+    schema = ", ".join([*[f"{x} {df.schema[k].dataType.simpleString()}" for k, x in zip(keys, g, strict=True)], "_s array<double>, _t double, _c bigint"])
+    m = d.groupBy(*g, "_stratum").applyInArrow(permuting.permuted_products(seed, "perm", n_permutations), schema)
+    m = m.select(*[F.col(x).alias(k) for k, x in zip(keys, g, strict=True)], F.posexplode("_s").alias("_rep", "_sum"), "_t", "_c").groupBy(*keys, "_rep").agg(F.sum("_sum").alias("_s"), F.sum("_t").alias("_t"), F.sum("_c").alias("_c"))
     m = on(m, s.select(*keys, "_den"), keys).withColumn("_v", 0.5 + (F.col("_s") - F.col("_t") * (F.col("_c") + 1) / 2.0) / (2.0 * F.nullif("_den", F.lit(0.0))))
     m = on(m, point.select(*keys, "rga"), keys)
     extreme = {"greater": F.col("_v") >= F.col("rga") - 1e-12, "less": F.col("_v") <= F.col("rga") + 1e-12, "two-sided": F.abs(F.col("_v") - 0.5) >= F.abs(F.col("rga") - 0.5) - 1e-12}[alternative]

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranktide.errors import UndefinedMeasure
-from ranktide.functions.ranks import Cuts, by_value, finite, rank_sums
+from ranktide.functions.ranks import Cuts, by_value, cut_points, finite, rank_sums
 from ranktide.sources.frames import check_pair
 
 NOTE_CONSTANT = "target is constant"
 NOTE_FEW = "too few rows"
+CURVES = ("lorenz", "dual_lorenz", "concordance")
+#: Places of the curves that are made in one group.
+PIECE = 1 << 14
 
 
 def on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -93,22 +96,29 @@ def discrete(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z"
 
 
 def curves(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z") -> DataFrame:
-    """keys, k (0 to n), fraction, lorenz, dual_lorenz, concordance.
+    """keys, k (0 to n), fraction, lorenz, dual_lorenz, concordance, over the rows whose target and score are finite.
 
     The concordance curve orders by the score and gives every tie its mean target,
     so it needs no choice among equal scores.  Null curves where the targets sum to nothing or less.
+
+    Between values a curve is a straight piece, so rows are never numbered: pieces are found by value, cut at every ``PIECE`` places, shuffled,
+    and only then given a row for each place.
     """
     keys = list(keys)
-    total, n = F.sum(y).over(Window.partitionBy(*keys)), F.count("*").over(Window.partitionBy(*keys))
-    d = df.withColumn("_t", F.avg(y).over(Window.partitionBy(*keys, z)))
-    rows = Window.partitionBy(*keys)
-    d = d.withColumns({"_n": n, "_total": total, "_a": F.row_number().over(rows.orderBy(y)), "_d": F.row_number().over(rows.orderBy(F.col(y).desc())), "_z": F.row_number().over(rows.orderBy(z))})
-    upto = lambda c: F.sum(c).over(Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    asc = d.select(*keys, F.col("_a").alias("k"), F.col(y).alias("_ya"), "_n", "_total")
-    desc = d.select(*keys, F.col("_d").alias("k"), F.col(y).alias("_yd"))
-    con = d.select(*keys, F.col("_z").alias("k"), F.col("_t").alias("_yz"))
-    j = on(on(asc, desc, [*keys, "k"]), con, [*keys, "k"])
-    part = lambda c: F.when(F.col("_total") > 0, upto(c) / F.col("_total"))
-    j = j.select(*keys, F.col("k").cast("bigint").alias("k"), (F.col("k") / F.col("_n")).alias("fraction"), part("_ya").alias("lorenz"), part("_yd").alias("dual_lorenz"), part("_yz").alias("concordance"))
+    d = df.select(*keys, F.col(y).try_cast("double").alias("_cy"), F.col(z).try_cast("double").alias("_cz")).filter(finite(F.col("_cy"), F.col("_cz")))
+    cuts = cut_points(d, ["_cy", "_cz"])
+    a, c = (by_value(d, keys, x, {"s": F.col("_cy")}, cuts=[cut]).withColumnsRenamed({"n_all": "_n", "s_all": "_total"}) for x, cut in zip(("_cy", "_cz"), cuts, strict=True))
+    slope, low = (F.col("s") / F.col("n")).alias("slope"), F.col("s_upto") - F.col("s")
+    pieces = [
+        a.select(*keys, "_n", "_total", F.lit(0).alias("curve"), F.col("before").alias("at"), "n", low.alias("base"), slope),
+        a.select(*keys, "_n", "_total", F.lit(1).alias("curve"), (F.col("_n") - F.col("before") - F.col("n")).alias("at"), "n", (F.col("_total") - F.col("s_upto")).alias("base"), slope),
+        c.select(*keys, "_n", "_total", F.lit(2).alias("curve"), F.col("before").alias("at"), "n", low.alias("base"), slope),
+    ]
+    p = pieces[0].unionByName(pieces[1]).unionByName(pieces[2]).withColumns({"at": F.col("at").cast("bigint"), "n": F.col("n").cast("bigint")})
+    p = p.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / PIECE), F.floor((F.col("at") + F.col("n") - 1) / PIECE))))
+    p = p.repartition(*keys, "block").withColumn("k", F.explode(F.sequence(F.greatest(F.col("at"), F.col("block") * PIECE) + 1, F.least(F.col("at") + F.col("n"), (F.col("block") + 1) * PIECE))))
+    height = F.col("base") + F.col("slope") * (F.col("k") - F.col("at"))
+    j = p.groupBy(*keys, "block", "k").agg(F.first("_n").alias("_n"), F.first("_total").alias("_total"), *[F.max(F.when(F.col("curve") == i, height)).alias(c) for i, c in enumerate(CURVES)])
+    j = j.select(*keys, "k", (F.col("k") / F.col("_n")).alias("fraction"), *[F.when(F.col("_total") > 0, F.col(c) / F.col("_total")).alias(c) for c in CURVES])
     zero = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    return j.unionByName(zero.select(*keys, F.lit(0).cast("bigint").alias("k"), *[F.lit(0.0).alias(c) for c in ("fraction", "lorenz", "dual_lorenz", "concordance")]))
+    return j.unionByName(zero.select(*keys, F.lit(0).cast("bigint").alias("k"), *[F.lit(0.0).alias(c) for c in ("fraction", *CURVES)]))

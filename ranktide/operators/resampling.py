@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranktide.functions.hashing import SCALE, uniform
-from ranktide.functions.ranks import SALTS, by_number, cut_points, ranges_for, side_rows
+from ranktide.functions.ranks import SALTS, Cuts, by_number, cut_points, ranges_for, side_rows
 from ranktide.operators.measure import from_sums, on
 
-#: Places of a part, draws that a task hashes for the parts, and rows that are unpacked at a time.
+#: Places of a part, draws that a task hashes for the parts, and rows and numbers that are unpacked at a time.
 PART = 4096
 BLOCK = 1 << 16
 CHUNK = 512
+UNPACKED = 1 << 22
 
 
 def packed(counts: np.ndarray) -> list[bytes]:
@@ -87,18 +88,19 @@ def with_draws(df: DataFrame, keys: Sequence[str], values: Sequence[str], row_id
     return out.select(*[F.col(x).alias(k) for k, x in zip(keys, g, strict=True)], *[c for c in out.columns if c not in g]), total or 0
 
 
-def _sums(replicates: int) -> Callable[[pa.Table], pa.Table]:
-    """Rows of one part of a value: for each replicate the weight, the weighted sum of t, and the sum over ties of their t times (weight below in the part + half of their own)."""
+def _sums(width: int, unpack: Callable[[Sequence[bytes]], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+    """Rows of one part of a value: for each of ``width`` replicates the weight, the weighted sum of t, and the sum over ties of their t times (weight below in the part + half of their own)."""
 
     def run(table: pa.Table) -> pa.Table:
         v, t = table.column("v").to_numpy(), table.column("t").to_numpy()
         order = np.argsort(v, kind="stable")
         drawn = table.column("_drawn").to_pylist()
-        below, total, p = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)
-        own, own_t, at = np.zeros(replicates), np.zeros(replicates), None
-        for k in range(0, len(v), CHUNK):
-            rows = order[k : k + CHUNK]
-            w = unpacked([drawn[i] for i in rows], replicates)
+        below, total, p = np.zeros(width), np.zeros(width), np.zeros(width)
+        own, own_t, at = np.zeros(width), np.zeros(width), None
+        chunk = max(1, min(CHUNK, UNPACKED // width))
+        for k in range(0, len(v), chunk):
+            rows = order[k : k + chunk]
+            w = unpack([drawn[i] for i in rows])
             first = np.flatnonzero(np.r_[True, np.diff(v[rows]) != 0])
             n, s = np.add.reduceat(w, first), np.add.reduceat(w * t[rows][:, None], first)
             total += s.sum(0)
@@ -122,15 +124,21 @@ def _sums(replicates: int) -> Callable[[pa.Table], pa.Table]:
 
 def replicated(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], row_id: str, replicates: int, seed: int) -> DataFrame:
     """keys, _rep, and ``_value0``, ``_value1``, ...: the measure of each value in each replicate, all from the same draws; null where it is not defined."""
-    sides = [*values, y]
-    cuts = cut_points(df, [y, *sides])
     d, rows = with_draws(df, keys, [y, *values], row_id, replicates, seed)
-    u = side_rows(d, keys, "_v0", [*[f"_v{i + 1}" for i in range(len(values))], "_v0"], cuts, ["_drawn"]).filter("part is not null")
+    return measured(d, keys, len(values), cut_points(df, [y, *values, y]), rows, replicates, lambda drawn: unpacked(drawn, replicates))
+
+
+def measured(d: DataFrame, keys: Sequence[str], values: int, cuts: Cuts, rows: int, width: int, unpack: Callable[[Sequence[bytes]], np.ndarray]) -> DataFrame:
+    """keys, _rep, and ``_value0``, ``_value1``, ...: the measure of each value with each of ``width`` weights of the rows; null where it is not defined.
+
+    ``d`` has the keys, the target as _v0, the values as _v1, _v2, ..., and ``_drawn``, from which ``unpack`` makes the weights.  ``cuts`` are those of (target, *values, target).
+    """
+    u = side_rows(d, keys, "_v0", [*[f"_v{i + 1}" for i in range(values)], "_v0"], cuts, ["_drawn"]).filter("part is not null")
     g = [f"_g{i}" for i in range(len(keys))]
     # a cut's very value, of which there may be many rows, is dealt out; its sums are added up again
     salt = F.when(F.col("part") % 2 == 1, F.pmod(F.xxhash64("_drawn", "t"), F.lit(max(SALTS, ranges_for(rows))))).otherwise(0)
-    schema = ", ".join([*[f"{x} {df.schema[k].dataType.simpleString()}" for k, x in zip(keys, g, strict=True)], "side string, part int, n array<double>, s array<double>, p array<double>, lo double, hi double"])
-    parts = u.withColumn("_salt", salt).groupBy(*g, "side", "part", "_salt").applyInArrow(_sums(replicates), schema)
+    schema = ", ".join([*[f"{x} {d.schema[k].dataType.simpleString()}" for k, x in zip(keys, g, strict=True)], "side string, part int, n array<double>, s array<double>, p array<double>, lo double, hi double"])
+    parts = u.withColumn("_salt", salt).groupBy(*g, "side", "part", "_salt").applyInArrow(_sums(width, unpack), schema)
     long = parts.select(*g, "side", "part", "lo", "hi", F.posexplode(F.arrays_zip("n", "s", "p")).alias("_rep", "_z")).groupBy(*g, "side", "part", "_rep").agg(
         F.sum("_z.n").alias("n"), F.sum("_z.s").alias("s"), F.sum("_z.p").alias("p"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     long = long.withColumn("p", F.when(F.col("part") % 2 == 1, F.col("s") * F.col("n") / 2.0).otherwise(F.col("p")))
@@ -139,5 +147,5 @@ def replicated(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str]
     total = lambda c: F.aggregate(own(0), F.lit(0.0), lambda a, e: a + e[c])
     zero = F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("p"))
     p = lambda i: F.aggregate(own(i), zero, lambda a, e: F.struct((a["before"] + e["n"]).alias("before"), (a["p"] + e["p"] + a["before"] * e["s"]).alias("p")))["p"]
-    k = k.select(*[F.col(x).alias(c) for c, x in zip(keys, g, strict=True)], "_rep", "_lo", "_hi", total("n").alias("_w"), total("s").alias("_s"), *[p(i).alias(f"_p{i}") for i in range(len(sides))]).withColumn("_rows", F.col("_w"))
-    return k.select(*keys, "_rep", *[from_sums(i, len(values))[0].alias(f"_value{i}") for i in range(len(values))])
+    k = k.select(*[F.col(x).alias(c) for c, x in zip(keys, g, strict=True)], "_rep", "_lo", "_hi", total("n").alias("_w"), total("s").alias("_s"), *[p(i).alias(f"_p{i}") for i in range(values + 1)]).withColumn("_rows", F.col("_w"))
+    return k.select(*keys, "_rep", *[from_sums(i, values)[0].alias(f"_value{i}") for i in range(values)])

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ranktide.functions import ranks, sql
 from ranktide.operators import accuracy, cohorts, explain, facade, fairness, inference, measure, outcomes, robust
+from ranktide.operators.permuting import STRATUM
 from ranktide.operators.resampling import PART
 from ranktide.operators.scorer import score
 from ranktide.plans import oracle as q
@@ -51,9 +52,9 @@ query("rga_weighted", LINES, f"SELECT g, n, {R('rga', 'rga')} FROM {q.rga_w(L, [
 _disc = lambda v: f"(RANK() OVER (PARTITION BY g ORDER BY {v}) - 1 + (COUNT(*) OVER (PARTITION BY g, {v}) - 1) / 2.0E0)"
 query("rga_discrete", ORDERS, f"SELECT g, n, {R('(conc - ((n - 1) * s - inc)) / (2 * inc - (n - 1) * s)', 'rga')} FROM (SELECT g, COUNT(*) AS n, SUM(y) AS s, SUM(y * iz) AS conc, SUM(y * iy) AS inc FROM (SELECT g, y, {_disc('t')} AS iz, {_disc('y')} AS iy FROM {O}) GROUP BY g)")(lambda d: measure.discrete(d, ["g"], "y", "t"))
 query("gini", ORDERS, f"SELECT s, {R('2 * rga - 1', 'gini')} FROM {q.rga(O, ['s'])}")(lambda d: measure.rga(d, ["s"]).select("s", "gini"))
-query("average_ranks", ORDERS, f"SELECT row_id, {R(q.rank('t', ['g']), 'rank')}, DENSE_RANK() OVER (PARTITION BY g ORDER BY t) - 1 AS tie FROM {O}")(lambda d: d.select("row_id", ranks.window_rank("t", ["g"]).alias("rank"), ranks.window_tie_id("t", ["g"]).cast("bigint").alias("tie")))
-query("weighted_ranks", ORDERS, f"SELECT row_id, {R('SUM(w) OVER (PARTITION BY g ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (SUM(w) OVER (PARTITION BY g, t) - 1) / 2.0E0', 'rank')} FROM {O}")(lambda d: d.select("row_id", ranks.window_weighted_rank("t", "w", ["g"]).alias("rank")))
-query("tie_and_suffix_sums", ORDERS, f"SELECT row_id, {R('SUM(y) OVER (PARTITION BY g, t)', 'tie_sum')}, {R('SUM(y) OVER (PARTITION BY g) - SUM(y) OVER (PARTITION BY g ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'above')} FROM {O}".replace(", 6)", ", 3)"))(lambda d: rounded(d.select("row_id", ranks.window_tie_sum("t", "y", ["g"]).alias("tie_sum"), ranks.window_above("t", "y", ["g"]).alias("above")), 3))
+query("average_ranks", ORDERS, f"SELECT row_id, {R(q.rank('t', ['g']), 'rank')}, DENSE_RANK() OVER (PARTITION BY g ORDER BY t) - 1 AS tie FROM {O}")(lambda d: ranks.row_facts(d, ["g"], "t").select("row_id", "rank", "tie"))
+query("weighted_ranks", ORDERS, f"SELECT row_id, {R('SUM(w) OVER (PARTITION BY g ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (SUM(w) OVER (PARTITION BY g, t) - 1) / 2.0E0', 'rank')} FROM {O}")(lambda d: ranks.row_facts(d, ["g"], "t", weight="w").select("row_id", "rank"))
+query("tie_and_suffix_sums", ORDERS, f"SELECT row_id, {R('SUM(y) OVER (PARTITION BY g, t)', 'tie_sum')}, {R('SUM(y) OVER (PARTITION BY g) - SUM(y) OVER (PARTITION BY g ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'above')} FROM {O}".replace(", 6)", ", 3)"))(lambda d: rounded(ranks.row_facts(d, ["g"], "t", {"y": F.col("y")}).select("row_id", F.col("y_tie").alias("tie_sum"), F.col("y_above").alias("above")), 3))
 query("rank_table", ORDERS, f"SELECT t, CAST(COUNT(*) AS DOUBLE) AS n, {R('SUM(COUNT(*)) OVER (ORDER BY t) - (COUNT(*) - 1) / 2.0E0', 'rank')} FROM {O} GROUP BY t")(lambda d: ranks.by_value(d, [], "t", {}).select("t", "n", "rank"))
 _curve = f"""SELECT g, k, {R('k / CAST(n AS DOUBLE)', 'fraction')}, {R('lo / tot', 'lorenz')}, {R('du / tot', 'dual_lorenz')}, {R('co / tot', 'concordance')} FROM (
   SELECT a.g, a.k, a.n, a.tot, a.lo, b.du, c.co FROM
@@ -115,9 +116,11 @@ query("compare_bootstrap", CUSTOMERS, f"SELECT {R('ra - rb', 'difference')}, {R(
 _test = f"(SELECT g, n, rga, (rga - 0.5E0) / sd AS t FROM {q.rga(O, ['g'], 'y', 'w')} JOIN (SELECT g, SQRT(VAR_POP(y) * COUNT(*) * SUM((rz - m) * (rz - m)) / (COUNT(*) - 1)) / (2.0E0 * ABS(SUM(y * (ry - m)))) AS sd FROM (SELECT g, y, {q.rank('w', ['g'])} AS rz, {q.rank('y', ['g'])} AS ry, (COUNT(*) OVER (PARTITION BY g) + 1) / 2.0E0 AS m FROM {O}) GROUP BY g) USING (g))"
 query("test_analytic", ORDERS, f"SELECT g, n, {R('rga', 'rga')}, {R('t', 'statistic')}, {R(q.upper('t'), 'p_value')} FROM {_test}")(lambda d: inference.test(d, ["g"], "y", "w"))
 query("test_two_sided", ORDERS, f"SELECT g, n, {R('rga', 'rga')}, {R('t', 'statistic')}, {R(q.two_sided('t'), 'p_value')} FROM {_test}")(lambda d: inference.test(d, ["g"], "y", "w", "two-sided"))
+_st = lambda rel: f"(SELECT *, FLOOR({q.uniform(str(SEED), chr(39) + 'stratum' + chr(39), 'row_id')} * CEIL(COUNT(*) OVER () / {STRATUM}.0E0)) AS st FROM {rel})"
+_at = lambda stream: f"ROW_NUMBER() OVER (PARTITION BY rep, st ORDER BY {q.uniform(str(SEED), chr(39) + stream + chr(39), 'rep', 'row_id')}, row_id) AS k"
 _perm = f"""SELECT {R(f'(1.0E0 + SUM(CASE WHEN v >= r - 1E-12 THEN 1 ELSE 0 END)) / ({REPS} + 1.0E0)', 'p_value')} FROM (SELECT a.rep, 0.5E0 + SUM((a.y - mu) * b.rz) / (2.0E0 * MAX(den)) AS v FROM
-  (SELECT rep, y, ROW_NUMBER() OVER (PARTITION BY rep ORDER BY row_id) AS k FROM {C} CROSS JOIN (SELECT range AS rep FROM range({REPS}))) a JOIN
-  (SELECT rep, rz, ROW_NUMBER() OVER (PARTITION BY rep ORDER BY {q.uniform(str(SEED), chr(39) + 'perm' + chr(39), 'rep', 'row_id')}, row_id) AS k FROM (SELECT row_id, {q.rank('f2')} AS rz FROM {C}) CROSS JOIN (SELECT range AS rep FROM range({REPS}))) b USING (rep, k)
+  (SELECT rep, st, y, ROW_NUMBER() OVER (PARTITION BY rep, st ORDER BY row_id) AS k FROM {_st(C)} CROSS JOIN (SELECT range AS rep FROM range({REPS}))) a JOIN
+  (SELECT rep, st, rz, {_at('perm')} FROM {_st(f"(SELECT row_id, {q.rank('f2')} AS rz FROM {C})")} CROSS JOIN (SELECT range AS rep FROM range({REPS}))) b USING (rep, st, k)
   CROSS JOIN (SELECT AVG(y) AS mu, SUM((y - m) * ry) AS den FROM (SELECT y, AVG(y) OVER () AS m, {q.rank('y')} AS ry FROM {C})) GROUP BY a.rep) CROSS JOIN (SELECT rga AS r FROM {q.rga(C, [], 'y', 'f2')})"""
 query("test_permutation", CUSTOMERS, _perm)(lambda d: inference.test(d, [], "y", "f2", n_permutations=REPS, seed=SEED).select("p_value"))
 
@@ -250,7 +253,12 @@ _b = f"(SELECT row_id, yb AS y, z, 'g == ''' || g || '''' AS b0, 'd1 == ' || CAS
 _coh = f"(SELECT y, z, 1 AS depth, UNNEST([b0, b1, b2]) AS label FROM {_b} UNION ALL SELECT y, z, 2, UNNEST([b0 || ' and ' || b1, b0 || ' and ' || b2, b1 || ' and ' || b2]) FROM {_b})"
 query("cohort_search", ORDERS, f"SELECT label, depth, n, {R('rga', 'rga')}, {R('(SELECT rga FROM ' + q.rga(O, [], 'yb') + ') - rga', 'shortfall')} FROM {q.rga(_coh, ['label', 'depth'])} WHERE n >= 100 AND rga IS NOT NULL")(lambda d: cohorts.search(d, _fs, "yb", "z"))
 query("cohort_worst", ORDERS, f"SELECT label, {R('rga', 'rga')} FROM {q.rga(_coh, ['label', 'depth'])} x WHERE n >= 100 AND x.rga IS NOT NULL ORDER BY x.rga, label LIMIT 10")(lambda d: cohorts.worst(d, _fs, "yb", "z").select("label", "rga"))
-query("cohort_p_value", CUSTOMERS, None)(lambda d: cohorts.search_p_value(d, ["g", "f3"], "yb", "z", min_size=40, n_permutations=20, seed=SEED))
+_cb = f"(SELECT row_id, yb AS y, z, st, g AS b0, CASE WHEN f3 < q1 THEN 1 WHEN f3 < q2 THEN 2 WHEN f3 < q3 THEN 3 ELSE 4 END AS b1 FROM {_st(C)} CROSS JOIN (SELECT QUANTILE_CONT(f3, 0.25) AS q1, QUANTILE_CONT(f3, 0.5) AS q2, QUANTILE_CONT(f3, 0.75) AS q3 FROM {C}))"
+_moved = f"""(SELECT rep, y, z, b0, b1 FROM (SELECT st, y, z, ROW_NUMBER() OVER (PARTITION BY st ORDER BY row_id) AS k FROM {_cb}) JOIN (SELECT rep, st, b0, b1, {_at('cohort')} FROM {_cb} CROSS JOIN (SELECT range AS rep FROM range(20))) USING (st, k)
+  UNION ALL SELECT -1, y, z, b0, b1 FROM {_cb})"""
+_clows = f"(SELECT rep, MIN(rga) AS low FROM {q.rga(f'(SELECT rep, y, z, UNNEST([b0, CAST(b1 AS VARCHAR), b0 || CAST(b1 AS VARCHAR)]) AS label FROM {_moved})', ['rep', 'label'])} WHERE n >= 40 GROUP BY rep)"
+_cp = f"SELECT {R('w', 'worst_rga')}, {R('(1.0E0 + SUM(CASE WHEN low <= w + 1E-12 THEN 1 ELSE 0 END)) / 21.0E0', 'p_value')} FROM {_clows} CROSS JOIN (SELECT low AS w FROM {_clows} WHERE rep = -1) WHERE rep >= 0 GROUP BY w"
+query("cohort_p_value", CUSTOMERS, _cp)(lambda d: cohorts.search_p_value(d, ["g", "f3"], "yb", "z", min_size=40, n_permutations=20, seed=SEED))
 
 # --- scores, facade, monitoring
 query("score_sql", ORDERS, f"SELECT row_id, {R('-(' + _m + ')', 'z')} FROM {O}")(lambda d: score(d.drop("z"), MODEL, "z", greater_is_better=False).select("row_id", "z"))
