@@ -2,7 +2,7 @@
 
 Lines are normalised (lower case; digits and white space between words become one
 space) and hashed.  For each host the operator counts in how many distinct texts a
-line stands.  Lines in more than ``MIN_TEXTS`` + ``SHARE`` of the host's texts are removed,
+line stands.  Lines in more than ``LIMIT`` of them are removed, however large the host is,
 and a document that keeps less than ``LEAST_LEFT`` of its words is depleted and rejected.
 Equal texts count once, so copies of a clean text don't deplete each other.
 
@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from ranktide.llm.common import WORD, documents
 
-MIN_TEXTS = 10
-SHARE = 0.01
+LIMIT = 20
 LEAST_LEFT = 0.4
 #: Fixed values of the contract.
 SYMBOLS, SPACES, WINDOW = "#*$%&|<>", " \t\n\v\f\r", 8
@@ -56,20 +55,18 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"[0-9\x20\x09-\x0D]+", " ")))
 
 
-def frequent_lines(docs: DataFrame, min_texts: float = MIN_TEXTS, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(source, text) -> lines of every distinct text, and the (source, line) above the host's limit."""
+def frequent_lines(docs: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(source, text) -> lines of every distinct text, and the (source, line) in more than ``limit`` distinct texts of the host."""
     texts = docs.filter("text is not null").select("source", "text", F.xxhash64("text").alias("t"))
     lines = texts.select("source", "t", F.explode(F.split("text", "\n")).alias("line")).withColumn("norm", normal(F.col("line"))).filter("norm != ''")
     lines = lines.select("source", "t", F.xxhash64("norm").alias("line"), F.size(F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).alias("words"))
     # one row for each distinct text and line; copies of a text on a host fall together
     lines = lines.groupBy("source", "t", "line").agg(F.sum("words").alias("words"))
-    per_host = texts.groupBy("source").agg(F.count_distinct("t").alias("texts")).withColumnRenamed("source", "h_source")
-    often = lines.groupBy("source", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_texts)
-    often = often.join(per_host, F.col("source").eqNullSafe(F.col("h_source"))).filter(F.col("n") > min_texts + share * F.col("texts")).select("source", "line", "n")
+    often = lines.groupBy("source", "line").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
     return lines, often
 
 
-def depleted(docs: DataFrame, least_left: float = LEAST_LEFT, **limits: float) -> DataFrame:
+def depleted(docs: DataFrame, least_left: float = LEAST_LEFT, **limits: int) -> DataFrame:
     """(source, text) -> source, t (hash of the text), for texts that lose too many words with the frequent lines."""
     lines, often = frequent_lines(docs, **limits)
     o = often.select(F.col("source").alias("o_source"), F.col("line").alias("o_line"))
@@ -79,7 +76,7 @@ def depleted(docs: DataFrame, least_left: float = LEAST_LEFT, **limits: float) -
     return sums.filter(F.col("words") - F.col("gone") < least_left * F.col("words")).select("source", "t")
 
 
-def clean_lines(docs: DataFrame, **limits: float) -> DataFrame:
+def clean_lines(docs: DataFrame, **limits: int) -> DataFrame:
     """(doc_id, source, text, ...) -> the same with frequent lines taken out of the text, depleted documents left out.  Columns of any names pass through."""
     _, often = frequent_lines(docs, **limits)
     o = often.select(F.col("source").alias("o_source"), F.col("line").alias("o_line"))
@@ -111,8 +108,7 @@ rep AS (SELECT row_id, CAST(sum(least(8, i - coalesce(before, -100))) AS BIGINT)
 texts AS (SELECT DISTINCT source, raw AS t FROM d WHERE raw IS NOT NULL),
 ln AS (SELECT source, t, lower(trim(regexp_replace(line, '[0-9\x20\x09-\x0D]+', ' ', 'g'))) AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM (SELECT source, t, unnest(string_split(t, chr(10))) AS line FROM texts)),
 ln2 AS (SELECT source, t, norm, sum(words) AS words FROM ln WHERE norm <> '' GROUP BY source, t, norm),
-host AS (SELECT source, count(*) AS texts FROM texts GROUP BY source),
-often AS (SELECT l.source, l.norm FROM (SELECT source, norm, count(*) AS n FROM ln2 GROUP BY source, norm) l JOIN host h ON l.source IS NOT DISTINCT FROM h.source WHERE n > 10 + 0.01E0 * texts),
+often AS (SELECT source, norm FROM ln2 GROUP BY source, norm HAVING count(*) > 20),
 gone AS (
   SELECT l.source, l.t FROM ln2 l LEFT JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm
   GROUP BY l.source, l.t HAVING sum(words) - sum(CASE WHEN o.norm IS NOT NULL THEN words ELSE 0 END) < 0.4E0 * sum(words)),

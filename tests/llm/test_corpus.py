@@ -322,6 +322,18 @@ def test_quality_depletes(spark):
     assert not any(common[0] in t for t in kept.values())
 
 
+def test_line_limit_does_not_follow_the_host(spark):
+    """What a host of few texts rejects, a host of many rejects too: lines in 20 texts stay, lines in 21 go."""
+    line = {k: f"{k} line that is found on many pages of this site and says nothing at all of them" for k in ("often", "seldom")}
+    few = [(i, f"{line['often']}\n{'abcdefghijklmnopqrstuvwxyz'[i]}", "en", "small", 0) for i in range(21)] + [(100 + i, f"{line['seldom']}\n{'abcdefghijklmnopqrstuvwxyz'[i]}", "en", "small", 0) for i in range(20)]
+    many = [(1000 + i, t, lang, None, n) for i, t, lang, _, n in few] + [(5000 + i, sentence("en", 30), "en", None, 0) for i in range(3000)]
+    gone = quality.depleted(docs(spark, few + many))
+    assert {(r["source"], r["count"]) for r in gone.groupBy("source").count().collect()} == {("small", 21), (None, 21)}
+    kept = {r["doc_id"] for r in quality.clean_lines(docs(spark, few + many)).collect()}
+    assert not kept & {*range(21), *range(1000, 1021)}
+    assert {*range(100, 120), *range(1100, 1120), *range(5000, 8000)} <= kept
+
+
 def test_licences(spark, folder):
     got = {r["doc_id"]: r for r in licences.op7_licence_scan(spark, folder).collect()}
     assert (got[65]["licence"], got[65]["named"]) == ("MIT", "MIT")
