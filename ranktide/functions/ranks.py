@@ -15,7 +15,7 @@ import math
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: Rows that a range is meant to have, and ranges at least; so the ranges follow the rows.  Fractions that one pass asks for; what is beyond takes a second pass.
@@ -25,6 +25,8 @@ FRACTIONS = 256
 #: The share of rows that cuts are found from, and the tasks that rows with a cut's value are dealt to.
 SAMPLED = 1 / 16
 SALTS = 32
+#: A sample of fewer rows is given up for all rows.
+FEW = 256
 Cuts = list[tuple[list[float], float]]
 
 
@@ -33,26 +35,32 @@ def ranges_for(rows: int) -> int:
 
 
 def cut_points(df: DataFrame, values: Sequence[str], ranges: int | None = None) -> Cuts:
-    """For each column its cuts and its mean over finite values: one pass over the rows, at once, so that every use cuts alike.
+    """For each column its cuts and about its mean over finite values: one pass over the rows, at once, so that every use cuts alike.
 
-    There is a range for every ``ROWS`` rows, ``RANGES`` at least, unless ``ranges`` says how many.  Above ``FRACTIONS`` ranges a second pass finds the cuts.
+    There is a range for every ``ROWS`` rows, ``RANGES`` at least, unless ``ranges`` says how many.  Only the sample's rows are aggregated, and the rows are counted by it;
+    where it has fewer than ``FEW`` rows, all are.  Above ``FRACTIONS`` ranges a second pass finds the cuts.
     """
     distinct = list(dict.fromkeys(values))
+    names = [f"_{i}" for i in range(len(distinct))]
     x = [F.col(v).try_cast("double") for v in distinct]
-    d = df.select(*[F.when(F.abs(c) < math.inf, c).alias(f"_{i}") for i, c in enumerate(x)], (F.rand(17) < SAMPLED).alias("_some"))
-
-    def found(parts: int) -> list[Column]:
-        every = [k / parts for k in range(1, parts)]
-        return [F.percentile_approx(F.when(F.col("_some"), F.col(f"_{i}")), every, max(1000, 10 * parts)).alias(f"_{i}") for i in range(len(x))]
-
-    r = d.agg(F.count("*").alias("_n"), *[F.coalesce(F.avg(f"_{i}"), F.lit(0.0)).alias(f"_m{i}") for i in range(len(x))], *found(FRACTIONS)).first()
-    parts, cuts = ranges_for(r["_n"]) if ranges is None else ranges, r
+    every = df.select(*[c.alias(n) for n, c in zip(names, x, strict=True)]).selectExpr(*[f"if(abs({n}) < double('inf'), {n}, null) AS {n}" for n in names])
+    some = df.filter(F.rand(17) < SAMPLED).select(*[c.alias(n) for n, c in zip(names, x, strict=True)]).selectExpr(*[f"if(abs({n}) < double('inf'), {n}, null) AS {n}" for n in names])
+
+    def found(d: DataFrame, parts: int) -> Row:
+        shares = ", ".join(f"{k / parts!r}D" for k in range(1, parts))
+        return d.agg(F.expr("count(*) AS n"), *[F.expr(f"coalesce(avg({n}), 0D) AS m{n}") for n in names], *[F.expr(f"percentile_approx({n}, array({shares}), {max(1000, 10 * parts)}) AS {n}") for n in names]).first()
+
+    r, share = found(some, FRACTIONS), SAMPLED
+    if r["n"] < FEW:
+        some, share = every, 1.0
+        r = found(some, FRACTIONS)
+    parts, cuts = ranges_for(math.ceil(r["n"] / min(share, 1.0))) if ranges is None else ranges, r
     if parts > FRACTIONS:
-        cuts = d.agg(*found(parts)).first()
-        every = range(parts - 1)
+        cuts = found(some, parts)
+        places = range(parts - 1)
     else:
-        every = sorted({k * FRACTIONS // parts - 1 for k in range(1, parts)})
-    out = {v: (sorted({cuts[f"_{i}"][k] for k in every}) if cuts[f"_{i}"] else [], r[f"_m{i}"]) for i, v in enumerate(distinct)}
+        places = sorted({k * FRACTIONS // parts - 1 for k in range(1, parts)})
+    out = {v: (sorted({cuts[n][k] for k in places}) if cuts[n] else [], r[f"m{n}"]) for n, v in zip(names, distinct, strict=True)}
     return [out[v] for v in values]
 
 
@@ -112,31 +120,25 @@ def rank_sums(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str],
     cuts = cut_points(df, [y, *values]) if cuts is None else cuts
     u = side_rows(df, keys, y, values, cuts, weight=weight)
     names, keys = keys, [f"_g{i}" for i in range(len(keys))]
-    wt = F.col("w") * F.col("t")
-    facts = [F.sum("w").alias("n"), F.sum(wt).alias("s"), F.count("*").alias("c"), F.sum(wt * F.col("t")).alias("s2"), F.min("t").alias("lo"), F.max("t").alias("hi")]
+    facts = ["sum(w) AS n", "sum(w * t) AS s", "count(*) AS c", "sum(w * t * t) AS s2", "min(t) AS lo", "max(t) AS hi"]
     # a cut's very value: a row each; part null: rows that are left out
-    tied = u.filter("part is null or part % 2 = 1").groupBy(*keys, "side", "part").agg(*facts)
-    tied = tied.select(*keys, "side", "part", "n", "s", "c", "s2", "lo", "hi", (F.col("s") * F.col("n") / 2.0).alias("p"), F.lit(1).cast("bigint").alias("d"), (F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("t"))
-    at = Window.partitionBy(*keys, "side", "part").orderBy("v")
-    peers = at.rangeBetween(Window.unboundedPreceding, 0)
-    r = u.filter("part % 2 = 0").withColumns({"first": F.rank().over(at), "place": F.row_number().over(at), "upto": F.sum("w").over(peers), "count": F.count("*").over(peers)})
-    own = F.sum("w").over(Window.partitionBy(*keys, "side", "part", "v")) if weight else F.col("count") - F.col("first") + 1
-    r = r.withColumn("own", own.cast("double"))
-    ranged = r.groupBy(*keys, "side", "part").agg(*facts, F.sum(wt * (F.col("upto") - F.col("own") / 2.0)).alias("p"), F.count_if(F.col("first") == F.col("place")).alias("d"), F.sum(F.col("own") * F.col("own") - 1.0).alias("t"))
-    parts = ranged.unionByName(tied)
-    there = F.col("part").isNotNull()
-    one = lambda c: F.when(there & (F.col("side") == "0"), F.col(c))  # noqa: E731  every side has the same rows
-    of = lambda i, c: F.coalesce(F.sum(F.when(there & (F.col("side") == str(i)), F.col(c))), F.lit(0))
-    k = parts.groupBy(*keys).agg(
-        F.coalesce(F.sum(one("c")), F.lit(0)).alias("rows"), F.coalesce(F.sum(one("n")), F.lit(0.0)).alias("w"), F.coalesce(F.sum(F.when(~there & (F.col("side") == "0"), F.col("c"))), F.lit(0)).alias("left_out"), F.coalesce(F.sum(one("s")), F.lit(0.0)).alias("s"), F.sum(one("s2")).alias("s2"), F.min(one("lo")).alias("lo"), F.max(one("hi")).alias("hi"),
-        *[of(i, c).alias(f"{c}{i}") for i in range(len(values)) for c in ("d", "t")], F.array_sort(F.collect_list(F.when(there, F.struct("side", "part", "n", "s", "p")))).alias("_parts"))
-
-    def total(i: int) -> Column:  # a part for each range and each cut
-        zero = F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("p"))
-        return F.aggregate(F.filter("_parts", lambda e: e["side"] == str(i)), zero, lambda a, e: F.struct((a["before"] + e["n"]).alias("before"), (a["p"] + e["p"] + a["before"] * e["s"]).alias("p")))["p"]
-
-    out = [F.col(c).alias(f"_{c}") for c in ("rows", "w", "left_out", "s", "s2", "lo", "hi")]
-    return k.select(*[F.col(g).alias(c) for g, c in zip(keys, names, strict=True)], *out, *[c for i in range(len(values)) for c in (total(i).alias(f"_p{i}"), F.col(f"d{i}").alias(f"_d{i}"), F.col(f"t{i}").alias(f"_t{i}"))])
+    tied = u.filter("part is null or part % 2 = 1").groupBy(*keys, "side", "part").agg(*[F.expr(c) for c in facts])
+    tied = tied.selectExpr(*keys, "side", "part", "n", "s", "c", "s2", "lo", "hi", "s * n / 2D AS p", "1L AS d", "n * n * n - n AS t")
+    by = ", ".join([*keys, "side", "part"])
+    peers = f"OVER (PARTITION BY {by} ORDER BY v RANGE UNBOUNDED PRECEDING)"
+    at = f"OVER (PARTITION BY {by} ORDER BY v)"
+    r = u.filter("part % 2 = 0").selectExpr("*", f"rank() {at} AS first", f"row_number() {at} AS place", f"sum(w) {peers} AS upto", f"count(*) {peers} AS count")
+    r = r.selectExpr("*", f"sum(w) OVER (PARTITION BY {by}, v) AS own" if weight else "CAST(count - first + 1 AS DOUBLE) AS own")
+    ranged = r.groupBy(*keys, "side", "part").agg(*[F.expr(c) for c in (*facts, "sum(w * t * (upto - own / 2D)) AS p", "count_if(first = place) AS d", "sum(own * own - 1D) AS t")])
+    # SQL text: it is read at once, where columns are put together call by call
+    one = lambda f, c: f"{f}(if(part IS NOT NULL AND side = '0', {c}, NULL))"  # noqa: E731  every side has the same rows
+    of = lambda i, c: f"coalesce(sum(if(part IS NOT NULL AND side = '{i}', {c}, NULL)), 0) AS _{c}{i}"
+    facts = [f"coalesce({one('sum', 'c')}, 0L) AS _rows", f"coalesce({one('sum', 'n')}, 0D) AS _w", "coalesce(sum(if(part IS NULL AND side = '0', c, NULL)), 0L) AS _left_out", f"coalesce({one('sum', 's')}, 0D) AS _s", f"{one('sum', 's2')} AS _s2", f"{one('min', 'lo')} AS _lo", f"{one('max', 'hi')} AS _hi"]
+    each = "array_sort(collect_list(if(part IS NOT NULL, struct(side, part, n, s, p), NULL))) AS _parts"  # a part for each range and each cut
+    k = ranged.unionByName(tied).groupBy(*keys).agg(*[F.expr(c) for c in (*facts, *[of(i, c) for i in range(len(values)) for c in ("d", "t")], each)])
+    total = lambda i: f"aggregate(filter(_parts, e -> e.side = '{i}'), struct(0D AS before, 0D AS p), (a, e) -> struct(a.before + e.n AS before, a.p + e.p + a.before * e.s AS p)).p AS _p{i}"
+    kept = ["_rows", "_w", "_left_out", "_s", "_s2", "_lo", "_hi", *[c for i in range(len(values)) for c in (total(i), f"_d{i}", f"_t{i}")]]
+    return k.select(*[F.col(g).alias(c) for g, c in zip(keys, names, strict=True)], *[F.expr(c) for c in kept])
 
 
 def placed(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], cuts: Cuts, sums: DataFrame) -> DataFrame:

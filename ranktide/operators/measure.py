@@ -35,11 +35,10 @@ def on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> D
 
 def from_sums(i: int = 0, j: int = 1) -> tuple[Column, Column]:
     """The measure from ``rank_sums`` of a score (place i) and the target (place j), and whether the target is constant."""
-    scale, mean = F.try_divide(F.col("_rows"), F.col("_w")), F.try_divide(F.col("_s"), F.col("_w"))
-    side = lambda k: scale * scale * F.col(f"_p{k}") - mean * F.col("_rows") * F.col("_rows") / 2.0
-    far = F.greatest(F.abs(F.col("_hi") - mean), F.abs(F.col("_lo") - mean))
-    flat = F.coalesce((F.col("_lo") == F.col("_hi")) | (F.abs(side(j)) <= far * F.col("_rows") * F.col("_rows") * 1e-15), F.lit(True))
-    return F.when(~flat, 0.5 + F.try_divide(side(i), 2.0 * side(j))), flat
+    mean = "try_divide(_s, _w)"
+    side = lambda k: f"(try_divide(_rows, _w) * try_divide(_rows, _w) * _p{k} - {mean} * _rows * _rows / 2D)"
+    flat = f"coalesce(_lo = _hi OR abs({side(j)}) <= greatest(abs(_hi - {mean}), abs(_lo - {mean})) * _rows * _rows * 1e-15D, true)"
+    return F.expr(f"if({flat}, NULL, 0.5D + try_divide({side(i)}, 2D * {side(j)}))"), F.expr(flat)
 
 
 def rga(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", weight: str | None = None, least: int = 2, cuts: Cuts | None = None) -> DataFrame:
