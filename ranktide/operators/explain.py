@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ranktide.errors import BadInput
 from ranktide.functions.hashing import uniform
 from ranktide.functions.quantiles import exact
-from ranktide.functions.ranks import by_number, cut_points, numbered, spread_evenly
+from ranktide.functions.ranks import by_number, numbered, spread_evenly
 from ranktide.operators.inference import estimate
 from ranktide.operators.measure import on, rga
 from ranktide.operators.scorer import Model, score
@@ -89,7 +89,7 @@ def rge(train: DataFrame, df: DataFrame, model: Model, variables: str | Sequence
     if ci:
         e = estimate(long, ["variable"], "y", "z", level=level)
         return e.select("variable", "n", (k * (1 - F.col("rga"))).alias("rge"), (k * (1 - F.col("ci_high"))).alias("rge_low"), (k * (1 - F.col("ci_low"))).alias("rge_high"))
-    return rga(long, ["variable"], cuts=cut_points(score(df, model, "_full", **scorer), ["_full"]) * 3).select("variable", "n", (k * (1 - F.col("rga"))).alias("rge"))
+    return rga(long, ["variable"]).select("variable", "n", (k * (1 - F.col("rga"))).alias("rge"))  # cuts of the reduced scores too: they may all lie between two cuts of the full one
 
 
 def rge_group(train: DataFrame, df: DataFrame, model: Model, variables: Sequence[str], **options) -> DataFrame:
@@ -123,7 +123,8 @@ def shapley(train: DataFrame, df: DataFrame, model: Model, variables: Sequence[s
     full = score(df, model, "_full")
     long = full.crossJoin(F.broadcast(masks))  # a table of 2^d rows at most, d bounded by max_exact
     long = long.withColumns({c: F.when(F.expr(f"shiftright(mask, {j}) & 1") == 1, F.lit(values[c])).otherwise(F.col(c)) for j, c in enumerate(names)})
-    v = rga(score(long, model, "z").select("mask", F.col("_full").alias("y"), "z"), ["mask"], cuts=cut_points(full, ["_full"]) * 3).select("mask", (1 - F.col("rga")).alias("v"))
+    # cuts of the scores of all coalitions: those without a column have fewer values, which may all lie between two cuts of the full score
+    v = rga(score(long, model, "z").select("mask", F.col("_full").alias("y"), "z"), ["mask"]).select("mask", (1 - F.col("rga")).alias("v"))
     step = spark.createDataFrame([(a, b, names[j], w) for a, b, j, w in steps], "a bigint, b bigint, variable string, w double")
     s = step.join(v.withColumnsRenamed({"mask": "b", "v": "vb"}), "b").join(v.withColumnsRenamed({"mask": "a", "v": "va"}), "a", "left")
     k = 2.0 if normalize else 1.0

@@ -20,3 +20,15 @@ def test_sql_functions_order_no_whole_key(spark):
     if os.path.isdir("/root/testdata/sf0.001"):
         plan = queries.QUERIES["sql_functions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"windowspecdefinition\(\w+#\d+, [yz]#", plan)
+
+
+def test_coalitions_share_no_range_with_a_whole_key(spark, monkeypatch):
+    seen, rga = [], explain.rga
+    monkeypatch.setattr(explain, "rga", lambda *a, **k: seen.append((a, k)) or rga(*a, **k))
+    d = spark.range(2000).selectExpr("id AS row_id", "cast(id * 37 % 1009 AS double) AS f1", "cast(id % 7 AS double) AS f2")
+    explain.shapley(d, d, "f1 + 10 * f2", ["f1", "f2"]).collect()
+    explain.rge(d, d, "f1 + 10 * f2", ["f1", "f2"], group=True).collect()
+    for (long, keys), named in seen:
+        cuts = named.get("cuts") or ranks.cut_points(long, ["y", "z", "y"])
+        fullest = long.groupBy(*keys, ranks.part_of("z", cuts[1][0]).alias("p")).count().filter("p % 2 = 0").agg(F.max("count")).first()[0] or 0
+        assert fullest < 1000  # of 2,000 rows with one score
