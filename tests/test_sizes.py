@@ -32,3 +32,15 @@ def test_coalitions_share_no_range_with_a_whole_key(spark, monkeypatch):
         cuts = named.get("cuts") or ranks.cut_points(long, ["y", "z", "y"])
         fullest = long.groupBy(*keys, ranks.part_of("z", cuts[1][0]).alias("p")).count().filter("p % 2 = 0").agg(F.max("count")).first()[0] or 0
         assert fullest < 1000  # of 2,000 rows with one score
+
+
+def test_draws_are_hashed_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "PART", 8)
+    monkeypatch.setattr(resampling, "BLOCK", 10)
+    d = spark.range(600).selectExpr("id AS row_id", "id % 2 AS g", "double(id % 17) AS y", "double(id % 5) AS z")
+    values = lambda: {(r["g"], r["_rep"]): r["_value0"] for r in resampling.replicated(d, ["g"], "y", ["z"], "row_id", 20, 3).collect()}
+    want = values()
+    monkeypatch.setattr(resampling, "DEALT", 1000, raising=False)
+    out, rows = resampling.with_draws(d, ["g"], ["y", "z"], "row_id", 20, 3)
+    assert rows == 600 and out.rdd.getNumPartitions() == 12
+    assert values() == pytest.approx(want)
