@@ -9,12 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranktide.errors import BadInput
 from ranktide.functions import gauss
-from ranktide.functions.ranks import cut_points, finite, placed, rank_sums
+from ranktide.functions.ranks import SENT, cut_points, finite, key_sums, part_sums, placed, rank_sums
 from ranktide.operators import permuting
 from ranktide.operators.measure import NOTE_CONSTANT, NOTE_FEW, from_sums, left_out, on, rga
 from ranktide.operators.resampling import replicated
@@ -23,17 +24,21 @@ from ranktide.sources.frames import count, level as check_level
 METHODS = ("jackknife", "influence", "bootstrap")
 
 
-def ranked(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows whose y and values are all finite, with facts of each row by each value and by y, and the ``rank_sums`` of the keys.
+def ranked(df: DataFrame, keys: Sequence[str], y: str, values: Sequence[str], keep: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows, of the columns ``keep``, whose y and values are all finite, with facts of each row by each value and by y, and the ``rank_sums`` of the keys.
 
     Columns of the rows: ``_y`` (y less a constant, which changes no measure), ``_n``, ``_sy``, and for the k-th of (*values, y): ``_r<k>`` (mean rank),
     ``_u<k>`` (sum of _y over its ties), ``_c<k>`` (sum of _y up to it) and ``_p<k>`` (sum of _y times rank over the key).
     """
     every = [*values, y]
     cuts = cut_points(df, [y, *every])
-    sums = rank_sums(df, keys, y, every, cuts=cuts)
+    parts = part_sums(df, keys, y, every, None, cuts)
+    # used several times and found once: small, and kept on two executors where the session has no folder for checkpoints
+    parts = parts.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else parts.localCheckpoint(storageLevel=StorageLevel.MEMORY_AND_DISK_2)
+    few = parts.count() <= SENT
+    sums = key_sums(parts, keys, len(every))
     t = sums.select(*keys, F.col("_rows").alias("_n"), F.col("_s").alias("_sy"), *[(F.col(f"_p{k}") + F.col("_s") / 2.0).alias(f"_p{k}") for k in range(len(every))])
-    return placed(df, keys, y, every, cuts, t), sums
+    return placed(df, keys, y, every, cuts, parts, t, keep, few), sums
 
 
 def jackknife_value(k: int, target: int) -> Column:
@@ -133,7 +138,7 @@ def estimate(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z"
         ok = F.col("_ok") * 2 >= n_resamples
         r = r.select(*keys, "n", "rga", F.when(ok, F.col("standard_error")).alias("standard_error"), F.lit(None).cast("double").alias("bias"), F.when(ok, F.col("ci_low")).alias("ci_low"), F.when(ok, F.col("ci_high")).alias("ci_high"), "note")
         return r.select("*", *_record(method, kind, level))
-    rows, sums = ranked(df, keys, y, [z])
+    rows, sums = ranked(df, keys, y, [z], [])
     r = from_rows(rows.groupBy(*keys).agg(*spread(method)), sums, keys, method, zc)
     return r.select("*", *_record(method, "normal", level))
 
@@ -178,11 +183,14 @@ def compare(df: DataFrame, keys: Sequence[str] = (), y: str = "y", a: str = "za"
         both = replicated(complete, keys, y, [a, b], row_id, count(n_resamples, "n_resamples", 2), seed)
         se = both.groupBy(*keys).agg(F.stddev_samp(F.col("_value0") - F.col("_value1")).alias("standard_error"))
     else:
-        rows, sums = ranked(df, keys, y, [a, b])
+        rows, sums = ranked(df, keys, y, [a, b], [])
         enough = F.col("_rows") >= 3
         point = sums.select(*keys, F.col("_rows").alias("n"), F.when(enough, from_sums(0, 2)[0]).alias("rga_a"), F.when(enough, from_sums(1, 2)[0]).alias("rga_b"))
         value, n = ROW_VALUES[method], F.count("*")
-        se = rows.groupBy(*keys).agg((F.stddev_samp(value(0, 2) - value(1, 2)) * (n - 1 if method == "jackknife" else F.lit(1.0)) / F.sqrt(n)).alias("standard_error"))
+        # each is used twice, so that they stay columns: inside the aggregate they make a method that the JVM does not compile
+        d = rows.select(*keys, value(0, 2).alias("_va"), value(1, 2).alias("_vb"))
+        d = d.groupBy(*keys).agg(F.stddev_samp(F.when(F.col("_va").isNotNull() & F.col("_vb").isNotNull(), F.col("_va") - F.col("_vb"))).alias("_sd"), n.alias("_m"))
+        se = d.select(*keys, (F.col("_sd") * (F.col("_m") - 1 if method == "jackknife" else F.lit(1.0)) / F.sqrt("_m")).alias("standard_error"))
     r = on(point, se, keys).withColumn("difference", F.col("rga_a") - F.col("rga_b"))
     stat = F.when(F.col("standard_error") > 0, F.try_divide(F.col("difference"), F.col("standard_error"))).when(F.col("difference") == 0, 0.0).otherwise(F.signum("difference") * math.inf)
     p = F.when(F.col("standard_error") > 0, gauss.two_sided(F.try_divide(F.col("difference"), F.col("standard_error")))).when(F.col("difference") == 0, 1.0).otherwise(0.0)
@@ -200,7 +208,7 @@ def test(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", al
     value, flat = from_sums()
     rows = F.col("_rows")
     sums = rank_sums(df, keys, y, [z, y]) if n_permutations is None else None
-    d, sums = (None, sums) if sums is not None else ranked(df, keys, y, [z])
+    d, sums = (None, sums) if sums is not None else ranked(df, keys, y, [z], [row_id])
     s = sums.withColumns({
         "n": rows, "rga": F.when(rows >= 2, value), "_vy": F.col("_s2") / rows - F.pow(F.col("_s") / rows, F.lit(2.0)),
         "_rr": (F.pow(rows, F.lit(3.0)) - rows - F.col("_t0")) / 12.0, "_den": F.col("_p1") - F.col("_s") * rows / 2.0,
