@@ -46,7 +46,7 @@ def _references(y: str, z: str) -> list[Column]:
 
 def reference_measures(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z") -> DataFrame:
     """keys, pearson, spearman, rmse, mae, is_binary; a correlation with a constant is null."""
-    rows, sums = ranked(df, keys, y, [z])
+    rows, sums = ranked(df, keys, y, [z], [y, z])
     r = on(sums.select(*keys, (F.col("_d1") == 2).alias("is_binary")), rows.groupBy(*keys).agg(*_references(y, z)), keys)
     return r.select(*keys, "pearson", "spearman", "rmse", "mae", "is_binary")
 
@@ -54,7 +54,7 @@ def reference_measures(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z:
 def report(df: DataFrame, keys: Sequence[str] = (), y: str = "y", z: str = "z", method: str = "jackknife", level: float = 0.95, with_kendall: bool = True, **options) -> DataFrame:
     """One row a key: the estimate with its interval, Gini, the usual measures with Kendall's tau, the one-sided test and the note."""
     t = test(df, keys, y, z).select(*keys, "p_value")
-    rows, sums = ranked(df, keys, y, [z])
+    rows, sums = ranked(df, keys, y, [z], [y, z])
     binary = sums.select(*keys, (F.col("_d1") == 2).alias("is_binary"), _auroc().alias("auroc"))
     if method == "bootstrap":
         e = on(estimate(df, keys, y, z, method, level, **options), rows.groupBy(*keys).agg(*_references(y, z)), keys)
@@ -121,7 +121,7 @@ def compare_models(df: DataFrame, y: str, scores: Sequence[str], baseline: str |
         se = reps.join(ref, F.col("rep") == F.col("_rep")).groupBy("model").agg(F.stddev_samp("value").alias("standard_error"), F.stddev_samp(F.col("value") - F.col("_base")).alias("_se"))
         r = point.join(se, "model").crossJoin(F.broadcast(base))
     else:
-        rows, sums = ranked(df, (), y, scores)
+        rows, sums = ranked(df, (), y, scores, [])
         names = F.array(*[F.lit(s) for s in scores])
         values = F.array(*[F.when(F.col("_rows") >= 3, from_sums(i, k)[0]) for i in range(k)])
         points = sums.select(values.alias("_rga"), names.alias("_name"))
