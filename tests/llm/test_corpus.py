@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -459,6 +460,23 @@ def test_open_buckets(spark, monkeypatch):
     assert not wrong
 
 
+@pytest.mark.parametrize("waiting", [256, 1])
+def test_bucket_rows_in_the_order_of_their_key_alone(monkeypatch, waiting):
+    monkeypatch.setattr(lines, "WAITING", waiting)
+    r = random.Random(3)
+    for _ in range(40):
+        pivots = {k: r.choice([None, r.randint(-9, 9)]) for k in range(-3, 12)}
+        data = sorted(((r.randint(-9, 9), k, pivots[k]) for k in r.choices(list(pivots), k=r.randint(0, 90))), key=lambda x: x[1])
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("node", "key", "pivot"), x, strict=True)) for x in data[a : a + 7]], pa.schema([(n, pa.int64()) for n in ("node", "key", "pivot")])) for a in range(0, len(data), 7)]
+        got = [x for b in lines._followers(iter(batches)) for x in zip(*b.to_pydict().values(), strict=True)]
+        want = []
+        for k in sorted({k for _, k, _ in data}):
+            nodes = sorted({n for n, key, _ in data if key == k})
+            first = nodes[0] if pivots[k] is None else pivots[k]
+            want += [(n, k, first) for n in nodes if n != first]
+        assert got == want
+
+
 def test_near_duplicates(spark):
     texts = []
     for _ in range(15):
