@@ -75,7 +75,7 @@ class Walks:
         rng = np.random.default_rng(seed)
         self.moves, self.samples = [], []
         for _ in range(WALKS):
-            bits = rng.integers(0, 2, size=(STEPS // 2, 256)).astype(np.int32)
+            bits = rng.integers(0, 2, size=(STEPS // 2, 256)).astype(np.int64)
             # of every two steps one moves on, so that no walk stays behind, and each sample has a step of every stretch
             self.moves.append(np.stack((bits, 1 - bits), axis=1).reshape(-1, 256))
             edges = np.ceil(np.linspace(0, STEPS, SAMPLED + 1)).astype(int)
@@ -90,12 +90,12 @@ class Walks:
                 at, keys = starts[k : k + BATCH].copy(), out[:, k : k + BATCH]
                 keys[:] = (w * TABLES + 1 + np.arange(len(samples), dtype=np.uint64))[:, None]
                 for j in range(STEPS):
-                    c = codes[at]
+                    c = codes.take(at, mode="clip").astype(np.int64)  # no place is outside, so nothing is clipped; unchecked gathers and one width are faster
                     for t, s in enumerate(use):
                         if j in s:
                             keys[t] *= M1
-                            keys[t] += c
-                    at += moves[j][c]
+                            keys[t] += c.view(np.uint64)
+                    at += moves[j].take(c, mode="clip")
             for k in out:
                 k *= M1
                 yield k ^ (k >> np.uint64(32))
@@ -107,14 +107,17 @@ def starts_of(codes: np.ndarray, stride: int) -> np.ndarray:
     first = ~gap
     first[1:] &= gap[:-1]
     begins = np.flatnonzero(first)
-    lengths = np.diff(np.append(begins, len(codes)))
-    ends = np.flatnonzero(gap)
-    lengths = ends[np.searchsorted(ends, begins)] - begins if len(begins) else lengths
+    last = gap
+    last[1:] &= ~last[:-1]  # a gap's first place
+    ends = np.flatnonzero(last)
+    ends = ends[len(ends) - len(begins) :]  # each word has a gap after it; the first may be before the first word
+    lengths = ends - begins
     long = np.flatnonzero(lengths > LONG_WORD)
-    if not len(long):
-        return begins
-    more = [np.arange(begins[k], begins[k] + lengths[k] - STEPS // 4, stride) for k in long]
-    return np.unique(np.concatenate((begins, *more)))
+    for a in range(0, len(long), BATCH):
+        begin, n = begins[long[a : a + BATCH]], -(-(lengths[long[a : a + BATCH]] - STEPS // 4) // stride)
+        of = np.repeat(np.arange(len(n)), n)
+        first[begin[of] + stride * (np.arange(len(of)) - (np.cumsum(n) - n)[of])] = True
+    return np.flatnonzero(first)
 
 
 def hits_for(starts: int, recall: float = RECALL, meets: float = MEETS) -> int:

@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -477,6 +478,28 @@ def test_bucket_rows_in_the_order_of_their_key_alone(monkeypatch, waiting):
         assert got == want
 
 
+def test_starts_of_walks_are_found_in_a_few_passes():
+    r = random.Random(5)
+    for _ in range(100):
+        codes, _ = decontam._codes(["".join(r.choice("ab  cd") if r.random() < 0.8 else "x" * r.randint(1, 40) for _ in range(r.randint(0, 30))) for _ in range(3)])
+        text = "".join(" " if c in (0, 32) else "x" for c in codes)
+        for stride in (1, 2, 3):
+            want = set()
+            for m in re.finditer("x+", text):
+                want |= {m.start()} | (set(range(m.start(), m.end() - decontam.STEPS // 4, stride)) if m.end() - m.start() > decontam.LONG_WORD else set())
+            assert decontam.starts_of(codes, stride).tolist() == sorted(want)
+    texts = [sentence("en", 40) for _ in range(3000)]
+    took = lambda f: min(f() for _ in range(3))
+
+    def spent(f, *x):
+        t = time.process_time()
+        f(*x)
+        return time.process_time() - t
+
+    codes, _ = decontam._codes(texts)
+    assert took(lambda: spent(decontam.starts_of, codes, 2)) < 4 * took(lambda: spent(decontam._codes, texts))
+
+
 def test_near_duplicates(spark):
     texts = []
     for _ in range(15):
