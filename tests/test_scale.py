@@ -319,3 +319,24 @@ def test_labels_that_come_late(spark, tmp_path):
     got = {r["start"]: (r["n"], r["rga"]) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r["start"].day < 10}
     assert len(want) == 4
     assert got == want
+
+
+# --- generated code
+def method_sizes(df):
+    """Bytes of the largest method that Spark generates for each stage of the plan."""
+    seq = df._jdf.queryExecution().debug().codegenToSeq()
+    return [seq.apply(k)._3().maxMethodCodeSize() for k in range(seq.size())]
+
+
+@pytest.mark.parametrize("method", ["jackknife", "influence"])
+def test_paired_values_are_compiled(spark, method):
+    """The JVM runs methods above 8,000 bytes by its interpreter."""
+    d = spark.range(4000).select("id", F.col("id").alias("row_id"), (F.col("id") % 3).alias("s"), F.rand(1).alias("y"), F.rand(2).alias("z"), F.rand(3).alias("zb"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan has no code before it runs
+    try:
+        sizes = method_sizes(inference.compare(d, ["s"], "y", "z", "zb", method=method))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    print("SIZES", sizes)
+    assert sizes
+    assert max(sizes) < 8000
